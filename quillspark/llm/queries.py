@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, packing, quality, token_counts, warc
+from . import decontam, licenses, packing, pii, quality, token_counts, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,12 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op6_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.detect(_read(spark, sf_dir, "documents"))
+    of = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
+    return rows.select("doc_id", *[of(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS[:4])], F.sha2(pii.written_spans(F.col("base")), 256).alias("base_sha256"), pii.written_spans(F.col("spans")).alias("spans"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
 
@@ -40,5 +46,5 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_read(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op4_decontaminate, op7_token_counts, op8_warc_round_trip, op10_pack)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op4_decontaminate, op6_sanitise, op7_token_counts, op8_warc_round_trip, op10_pack)}
 ORACLES: dict[str, str] = {}
