@@ -113,3 +113,15 @@ def to_arrow(schema: str, spark: SparkSession) -> pa.Schema:
     from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(schema))
+
+
+def bits_for(bytes_total: int, each: int = 16 << 20) -> int:
+    """Bits of a key that choose its bucket, so that a bucket holds about `each` of bytes_total."""
+    return max(3, int(max(1, bytes_total / each) - 1).bit_length())
+
+
+def by_bucket(keys: np.ndarray, bits: int) -> list[tuple[int, slice]]:
+    """The stretches of ascending 64-bit keys that share their first bits, with the bucket these name."""
+    edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+    edges = [0, *edges.tolist(), len(keys)]
+    return [(k, slice(a, b)) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
