@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, lm, packing, pii, quality, token_counts, warc
+from . import decontam, licenses, lm, near_dup, packing, pii, quality, token_counts, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.groups(_read(spark, sf_dir, "documents"))
+
+
 def op6_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pii.detect(_read(spark, sf_dir, "documents"))
     of = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
@@ -50,5 +54,5 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_read(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op4_decontaminate, op6_sanitise, op7_token_counts, op8_warc_round_trip, op9_lm_scores, op10_pack)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op4_decontaminate, op5_near_duplicates, op6_sanitise, op7_token_counts, op8_warc_round_trip, op9_lm_scores, op10_pack)}
 ORACLES: dict[str, str] = {}
