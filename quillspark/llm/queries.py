@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, lm, near_dup, packing, pii, quality, token_counts, warc
+from . import decontam, licenses, lm, near_dup, packing, pii, quality, repeats, token_counts, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents"))
 
 
+def op3_cut_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.cut_repeats(_read(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -54,5 +58,5 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_read(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op4_decontaminate, op5_near_duplicates, op6_sanitise, op7_token_counts, op8_warc_round_trip, op9_lm_scores, op10_pack)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_cut_repeats, op4_decontaminate, op5_near_duplicates, op6_sanitise, op7_token_counts, op8_warc_round_trip, op9_lm_scores, op10_pack)}
 ORACLES: dict[str, str] = {}
