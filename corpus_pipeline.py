@@ -1,13 +1,55 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+STAGES are (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. Each stage works on all rows that the
+one before kept and all but the last return the columns of documents. Null ids, null or empty texts and repeated rows have the
+results that the operators state; a document whose quality is not judged (null text) fails the base rules and goes.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.llm import decontam, near_dup, packing, pii, quality
+from quillspark.llm.common import written
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the certified cutoffs keep."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = quality.quality_rules(docs, labels)
+    gone = rows.where(~F.col("kept")).select(F.col("id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest id."""
+    return near_dup.one_of_each(docs, near_dup.groups(docs))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return decontam.clean_of(docs, decontam.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data and the terms that disclose it replaced; n_chars follows the new text."""
+    return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences."""
+    return packing.packed(docs)
+
 
-STAGES: list = []
+STAGES = [("quality rules", quality_rules), ("near duplicates", near_dedup), ("decontamination", decontaminate), ("personal data", sanitise), ("packing", pack)]
+#: SQL cannot express signatures, automata and tokenisers; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    raise NotImplementedError
+    """All stages over documents, each but the last written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
