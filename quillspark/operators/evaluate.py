@@ -221,7 +221,7 @@ def detection(predicted: DataFrame, truth: DataFrame, threshold: float = 0.5, mo
     recall at `grid` recalls."""
     w = Window.partitionBy("page", "class").orderBy(F.desc("score"), "pid")
     p = predicted.withColumn("pid", F.monotonically_increasing_id()).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
-    t = truth.withColumn("tid", F.monotonically_increasing_id())
+    t = truth.select(*[(F.col(c) + F.lit(0.0)).alias(c) if c[0] in "xy" else F.col(c).alias(c) for c in ("page", "class", "x1", "y1", "x2", "y2")])  # own columns: both sides may come from one table
     box = [f"{c}{i}" for c in "xy" for i in (1, 2)]
 
     def match(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:

@@ -72,9 +72,9 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def knn_probe(vectors: DataFrame, queries: DataFrame, k: int, cells: int = 32, probes: int = 8, sample: int = 20_000, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 7) -> DataFrame:
-    """Approximate knn_batch: centroids fitted on at most `sample` rows, every row indexed under its nearest centroid, the
-    `probes` nearest cells of a query searched (an equi-join on the cell)."""
+def knn_probe(vectors: DataFrame, queries: DataFrame, k: int, cells: int = 32, probes: int = 12, copies: int = 3, sample: int = 20_000, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 7) -> DataFrame:
+    """Approximate knn_batch: centroids fitted on at most `sample` rows, every row indexed under its `copies`
+    nearest centroids, the `probes` nearest cells of a query searched (an equi-join on the cell)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -91,9 +91,9 @@ def knn_probe(vectors: DataFrame, queries: DataFrame, k: int, cells: int = 32, p
 
         return f
 
-    rows = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("v"), nearest(1)(F.col(vec_col))[0].alias("cell"))
+    rows = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("v"), F.explode(nearest(copies)(F.col(vec_col))).alias("cell"))
     asks = queries.select("query_id", F.col("vector").alias("q"), F.explode(nearest(probes)("vector")).alias("cell"))
-    found = asks.join(rows, "cell").select("query_id", "vec_id", F.round(score(F.col("v"), F.col("q")), 6).alias("score"))
+    found = asks.join(rows, "cell").select("query_id", "vec_id", F.round(score(F.col("v"), F.col("q")), 6).alias("score")).distinct()
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -183,7 +183,8 @@ def write_kb_json(entries: DataFrame, path: str, version: str = "1.0") -> None:
 
 def envelopes(entries: DataFrame, version: str = "1.0") -> DataFrame:
     """An envelope for each source file. It is one value by definition, so it is as large as the file's entries."""
-    body = F.array_sort(F.collect_list(F.struct("id", *[c for c in entries.columns if c not in ("id", "source_file")])))
+    by_id = lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)  # noqa: E731  maps have no order
+    body = F.array_sort(F.collect_list(F.struct("id", *[c for c in entries.columns if c not in ("id", "source_file")])), by_id)
     return entries.groupBy("source_file").agg(F.count(F.lit(1)).cast("int").alias("total_entries"), body.alias("entries")).select(F.lit(version).alias("schema_version"), "*")
 
 
