@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -35,21 +34,25 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, read many times without recomputing."""
+    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, read many times without recomputing.
+
+    Once it is written, Spark drops the shuffle files of the job: the table stands in for them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspark/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_DROP_SHUFFLES, "false")
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
     atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Just the two columns, as (id, text); every other column, whatever its name, stays out of the operator."""
     return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -115,6 +118,16 @@ def to_arrow(schema: str, spark: SparkSession) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending 64-bit keys as differences, byte plane by byte plane: the high planes are nearly all zeros and compress away."""
+    return np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked_keys(data) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def bits_for(bytes_total: int, each: int = 16 << 20) -> int:
     """Bits of a key that choose its bucket, so that a bucket holds about `each` of bytes_total."""
     return max(3, int(max(1, bytes_total / each) - 1).bit_length())

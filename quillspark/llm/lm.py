@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bits_for, block_of, by_bucket, id_text, n_blocks, release, splitmix, to_arrow, written
+from .common import bits_for, block_of, by_bucket, id_text, n_blocks, packed_keys, splitmix, to_arrow, unpacked_keys, written
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _SENT = "n int, bucket int, block int, keys binary, counts binary"
@@ -162,11 +162,11 @@ def model_scores(docs: DataFrame, order: int = 2, mu: float = 400.0, id_col: str
         out = []
         for n in range(1, order + 1):
             keys, counts = block.keys[n - 1], block.counts(n, trained)
-            out += [(n, k, key[0].as_py(), keys[s].tobytes(), counts[s].tobytes()) for k, s in by_bucket(keys, bits)]
+            out += [(n, k, key[0].as_py(), packed_keys(keys[s]), counts[s].tobytes()) for k, s in by_bucket(keys, bits)]
         return pa.table([pa.array([r[i] for r in out], f.type) for i, f in enumerate(sent_shape)], schema=sent_shape)
 
     def add(key, t):
-        keys = [np.frombuffer(x.as_buffer(), "<u8") for x in t.column("keys")]
+        keys = [unpacked_keys(x.as_buffer()) for x in t.column("keys")]
         counts = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in t.column("counts")])
         kinds, index = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.zeros(len(kinds), np.int64)
@@ -181,7 +181,6 @@ def model_scores(docs: DataFrame, order: int = 2, mu: float = 400.0, id_col: str
 
     sent = rows.groupBy("block").applyInArrow(send, _SENT)
     answers = written(sent.groupBy("n", "bucket").applyInArrow(add, _ANSWER), "lm-counts")
-    release(spark)
     told = answers.where("n = 1").agg(F.sum("tokens"), F.sum("types")).first()
     n_tokens, n_types = (int(x or 0) for x in told)
 
