@@ -7,10 +7,11 @@ average. Nodes of at most `limit` classes are compared exhaustively by signature
 levels. Independent trees repeat this: a pair misses all of them with a probability of about 0.25 ** trees at the threshold.
 Every pair that signatures propose is confirmed on the full sets.
 
-In a node only pairs that can still join two components are proposed: first a spanning forest of its likeliest pairs, then,
-among what is still apart, every likely pair. So a group of thousands of near copies gives links, not all its pairs. A node that
-is still larger than `limit` at the last level is dealt over blocks that share its least member; the members that do not
-end in that member's component then meet every block.
+In a node only pairs that can still join two components matter. Members of a large node are first held against one of them
+(a star), and nodes that are one component branch no further. Leaves propose a spanning forest of their likeliest pairs; among
+what is then still apart every likely pair is tested inside its node, on the full sets. So a group of thousands of near copies
+gives links, not all its pairs. A node that is still larger than `limit` at the last level is dealt over blocks that share its
+least member; the members that do not end in that member's component then meet every block.
 
 Defined results. Fewer than five words: the whole sequence is the one shingle. No words or null text: an empty set, linked with
 nothing, its own component. Rows that repeat an id are one document with the links of all its texts. A null id keeps a null
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, release, splitmix, to_arrow, written
+from .common import id_text, splitmix, to_arrow, written
 from .components import components
 
 WIDTH = 5
@@ -177,35 +178,121 @@ def _propose(members: DataFrame, least: float, forest: bool) -> DataFrame:
     return members.repartition("node").sortWithinPartitions("node", "a").mapInArrow(run, schema).distinct()
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, share: float) -> DataFrame:
-    """Those pairs (a, b) of documents whose full sets have the similarity."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    rows = id_text(docs, id_col, text_col).join(wanted, "id", "left_semi")
+def _sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, s): the full shingle sets of the documents in ids (id)."""
+    rows = id_text(docs, id_col, text_col).join(ids, "id", "left_semi")
     schema = "id long, s binary"
     shape = to_arrow(schema, docs.sparkSession)
 
-    def sets_of(batches):
+    def run(batches):
         make = Shingler()
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([make(t.as_py()).tobytes() for t in part.column("text")], pa.binary())], schema=shape)
 
-    sets = written(rows.mapInArrow(sets_of, schema).distinct(), "shingle-sets")
+    return written(rows.mapInArrow(run, schema).distinct(), "shingle-sets")
+
+
+def _similar(x, y, share: float) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True)) if not isinstance(x, frozenset) else len(x & y)
+    return both > 0 and both >= share * (len(x) + len(y) - both) - 1e-9
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """Those pairs (a, b) of documents whose full sets have the similarity."""
 
     def test(batches):
         for b in batches:
-            good = []
-            for x, y in zip(b.column("sa"), b.column("sb")):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both > 0 and both >= share * (len(x) + len(y) - both) - 1e-9)
+            good = [_similar(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), share) for x, y in zip(b.column("sa"), b.column("sb"))]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     return both.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long").distinct()
 
 
+def _confirm_in_nodes(members: DataFrame, least: float, share: float) -> DataFrame:
+    """(a, b): confirmed links that join different components within a node; members are (node, a, comp, sig, s). Likely pairs
+    are tried likeliest first and never leave the task; a pair whose components are joined already is not tried."""
+    schema = "a long, b long"
+    shape = to_arrow(schema, members.sparkSession)
+
+    def links(rows):
+        comp = np.array([r[2] for r in rows], np.int64)
+        if len(rows) < 2 or (comp == comp[0]).all():
+            return []
+        sig = np.frombuffer(b"".join(r[3] for r in rows), "<u4").reshape(-1, PLACES)
+        found = _likely(sig, comp, least, False)
+        if not found:
+            return []
+        agree = np.array([(sig[i] == sig[j]).sum() for i, j in found])
+        sets, up, out = {}, {}, []
+
+        def root(x):
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        def set_of(i):
+            if i not in sets:
+                sets[i] = frozenset(np.frombuffer(rows[i][4], "<u8").tolist())
+            return sets[i]
+
+        for k in np.argsort(-agree, kind="stable").tolist():
+            i, j = found[k]
+            x, y = root(rows[i][2]), root(rows[j][2])
+            if x != y and _similar(set_of(i), set_of(j), share):
+                up[x] = y
+                out.append((rows[i][1], rows[j][1]))
+        return out
+
+    def run(batches):
+        held: list[tuple] = []
+        for b in batches:
+            found = []
+            for row in zip(*(b.column(c).to_pylist() for c in ("node", "a", "comp", "sig", "s"))):
+                if held and held[0][0] != row[0]:
+                    found += links(held)
+                    held = []
+                held.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], schema=shape)
+        found = links(held)
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], schema=shape)
+
+    return members.repartition("node").sortWithinPartitions("node", "a").select("node", "a", "comp", "sig", "s").mapInArrow(run, schema).distinct()
+
+
+def _agreeing(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) whose signatures agree in a share of at least `least` places."""
+
+    def test(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u4").reshape(-1, PLACES) for c in ("x", "y"))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= least, pa.bool_()))
+
+    both = pairs.join(sigs.withColumnRenamed("sig", "x"), "a").join(sigs.select(F.col("a").alias("b"), F.col("sig").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
+
+
+def _as_links(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def _labelled(m: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """m with comp: the component of a, or a itself."""
+    if labels is None:
+        return m.withColumn("comp", F.col("a"))
+    m = m.join(labels.select(F.col("node").alias("a"), "component"), "a", "left")
+    return m.withColumn("comp", F.coalesce("component", "a")).drop("component")
+
+
+def _apart(m: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Labelled rows of the nodes that hold more than one component."""
+    m = _labelled(m, labels)
+    mixed = m.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("node")
+    return m.join(mixed, "node", "left_semi")
+
+
 def groups(docs: DataFrame, share: float = 0.75, trees: int = 12, limit: int = 256, depth: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row: component_id is the smallest id reachable by links."""
     least = share - 4 * (share * (1 - share) / PLACES) ** 0.5  # of the agreement of two signatures at the threshold
@@ -213,20 +300,33 @@ def groups(docs: DataFrame, share: float = 0.75, trees: int = 12, limit: int = 2
     # an id whose rows differ in text stands for all of them
     classes = written(feats.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("a"), F.min("sig").alias("sig")), "near-classes")
     sigs = classes.select("a", "sig")
+    # an id with several texts joins their classes
+    again = feats.where("set_key is not null").join(classes.select("set_key", "a"), "set_key").where("id <> a").select(F.col("id").alias("u"), F.col("a").alias("v"))
+    shared = again.join(again.groupBy("u").agg(F.count_distinct("v").alias("n")).where("n > 1").select("u"), "u", "left_semi")
+    named = again.join(classes.select(F.col("a").alias("u")).distinct(), "u", "left_semi")
+    all_links = written(shared.unionByName(named).distinct(), "near-same-ids")
 
-    nodes, leaves = written(_branch(sigs, share, trees), "near-nodes"), []
+    nodes, leaves, labels, rest = written(_branch(sigs, share, trees), "near-nodes"), [], None, None
     for level in range(depth):
         sizes = written(nodes.groupBy("node").count().where("count > 1"), "near-sizes")
-        own = nodes.join(sizes, "node")
-        leaves.append(own.where(F.col("count") <= limit).select("node", "a"))
-        rest = own.where(F.col("count") > limit).select("node", "a")
-        if not sizes.where(F.col("count") > limit).limit(1).count():
-            rest = None
+        leaves.append(nodes.join(sizes.where(F.col("count") <= limit).select("node"), "node", "left_semi"))
+        large = sizes.where(F.col("count") > limit).select("node")
+        if not large.limit(1).count():
             break
-        if level < depth - 1:
-            nodes = written(_branch(rest.join(sigs, "a"), share), "near-nodes")
+        own = nodes.join(large, "node", "left_semi")
+        if level == 0:  # most of a large group is linked with one of its members; nodes that are one component need no branching
+            star = own.groupBy("node").agg(F.min_by("a", F.xxhash64("a")).alias("p"))
+            star = own.join(star, "node").where("a <> p").select(F.least("a", "p").alias("a"), F.greatest("a", "p").alias("b")).distinct()
+            star = written(_agreeing(star, sigs, least), "near-star")
+            sets = _sets(star.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, id_col, text_col)
+            all_links = all_links.unionByName(_as_links(written(_confirm(star, sets, share), "near-links")))
+            labels = written(components(all_links), "near-labels")
+        own = written(_apart(own, labels).select("node", "a"), "near-large")
+        if level == depth - 1:
+            rest = own
+            break
+        nodes = written(_branch(own.join(sigs, "a"), share), "near-nodes")
     if rest is not None:  # still large: blocks that share the node's least member
-        rest = written(rest.distinct(), "near-rest")
         first = rest.groupBy("node").agg(F.min("a").alias("first"), F.ceil(F.count(F.lit(1)) / limit).alias("blocks"))
         blocks = rest.join(first, "node").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")))
         block = F.xxhash64("node", "block")
@@ -234,41 +334,30 @@ def groups(docs: DataFrame, share: float = 0.75, trees: int = 12, limit: int = 2
     members = leaves[0]
     for x in leaves[1:]:
         members = members.unionByName(x)
-    members = written(members.distinct(), "near-members")
-    release(docs.sparkSession)
+    members = written(_apart(members.distinct(), labels).select("node", "a", "comp"), "near-members")
 
-    with_sig = lambda m: m.join(sigs, "a")
-    pairs = written(_propose(with_sig(members.withColumn("comp", F.col("a"))), least, True), "near-pairs")
-    links = written(_confirm(pairs, docs, id_col, text_col, share), "near-links")
-    # an id with several texts joins their classes
-    again = feats.where("set_key is not null").join(classes.select("set_key", "a"), "set_key").where("id <> a").select(F.col("id").alias("u"), F.col("a").alias("v"))
-    shared = again.join(again.groupBy("u").agg(F.count_distinct("v").alias("n")).where("n > 1").select("u"), "u", "left_semi")
-    ids_of_classes = feats.join(classes.select(F.col("a").alias("id")).distinct(), "id", "left_semi").where("set_key is not null").join(classes.select("set_key", "a"), "set_key").where("id <> a").select(F.col("id").alias("u"), F.col("a").alias("v"))
-    fixed = written(shared.unionByName(ids_of_classes).distinct(), "near-same-ids")
-    all_links = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(fixed)
+    pairs = written(_propose(members.join(sigs, "a"), least, True), "near-pairs")
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, id_col, text_col)
+    all_links = all_links.unionByName(_as_links(written(_confirm(pairs, sets, share), "near-links")))
     labels = written(components(all_links), "near-labels")
 
-    def apart(m: DataFrame) -> DataFrame:
-        m = m.join(labels.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("comp", F.coalesce("component", "a")).drop("component")
-        mixed = m.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("node")
-        return m.join(mixed, "node", "left_semi")
-
-    left = apart(members)
+    # what is likely but still apart: all of a small set of documents joined by likely pairs is one node, larger ones keep theirs
+    likely = written(components(_as_links(pairs)), "near-likely")
+    small = likely.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= limit).select("component")
+    of = likely.join(small, "component", "left_semi").select(F.col("node").alias("a"), F.col("component").alias("super"))
+    left = _apart(members.select("node", "a"), labels).join(of, "a", "left").select(F.when(F.col("super").isNotNull(), F.xxhash64("super", F.lit("likely"))).otherwise(F.col("node")).alias("node"), "a", "comp").distinct()
     if rest is not None:  # members of a large node outside its first member's component meet every block
-        far = apart(rest)
+        far = _apart(rest, labels)
         core = far.groupBy("node").agg(F.min_by("comp", "a").alias("core"), F.ceil(F.count(F.lit(1)) / limit).alias("blocks"))
         far = far.join(core, "node")
-        odd = far.where("comp <> core").withColumn("part", F.pmod(F.xxhash64("a", F.lit(1)), F.ceil(F.col("blocks"))))
+        odd = far.where("comp <> core").withColumn("part", F.pmod(F.xxhash64("a", F.lit(1)), F.col("blocks")))
         odd = odd.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        parts = odd.select("node", "part").distinct()
-        other = far.withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks"))).join(parts, "node")
+        other = far.withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks"))).join(odd.select("node", "part").distinct(), "node")
         name = F.xxhash64("node", "block", "part").alias("node")
-        left = left.unionByName(odd.select("a", name, "comp").unionByName(other.select("a", name, "comp")).distinct().select(*left.columns))
-    more = written(_propose(with_sig(left), least, False).join(pairs, ["a", "b"], "left_anti"), "near-pairs")
+        left = left.unionByName(odd.select(name, "a", "comp").unionByName(other.select(name, "a", "comp")).distinct())
+    more = written(_confirm_in_nodes(left.join(sigs, "a").join(sets.withColumnRenamed("id", "a"), "a"), least, share), "near-links")
     if more.limit(1).count():
-        links = written(_confirm(more, docs, id_col, text_col, share), "near-links")
-        if links.limit(1).count():
-            labels = written(components(all_links.unionByName(links.select(F.col("a").alias("u"), F.col("b").alias("v")))), "near-labels")
+        labels = written(components(all_links.unionByName(_as_links(more))), "near-labels")
     label = labels.select(F.col("node").alias("a"), "component")
     of_class = classes.select("set_key", "a").join(label, "a", "left").select("set_key", F.coalesce("component", "a").alias("component"))
     out = feats.join(of_class, "set_key", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
