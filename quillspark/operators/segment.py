@@ -280,3 +280,17 @@ def drop_page_furniture(blocks: DataFrame, top: str, bottom: str, height: str, t
     """Blocks outside the header and footer margins that are no dotted table-of-contents lines."""
     outside = (F.col(bottom) < header) | (F.col(top) > F.col(height) - footer)
     return blocks.where(~outside & ~F.col(text).rlike(r"(\. ?){4,}\d+"))
+
+
+def chunk_tables(tables: DataFrame, id_col: str, html: str = "text_as_html", most: int = 500) -> DataFrame:
+    """(table_id, chunk_index, text_as_html, text, num_carried_over_header_rows): rows of a table in chunks whose text stays
+    within `most` where a row allows it; later chunks carry the header rows (leading rows with <th>)."""
+    trs = F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>.*?</tr>"), F.lit(0))
+    plain = lambda r: T.strip(F.regexp_replace(F.regexp_replace(r, "<[^>]+>", " "), r"\s+", " "))
+    rows = tables.select(F.col(id_col).alias("table_id"), trs.alias("r")).withColumn("heads", F.size(F.filter("r", lambda x, i: F.forall(F.slice(F.col("r"), 1, i + 1), lambda y: y.rlike("(?i)<th\\b")))))
+    head = F.array_join(F.slice("r", 1, F.col("heads")), "")
+    body = F.slice(F.col("r"), F.col("heads") + 1, F.size("r"))
+    parts = _fold(body, lambda now, x: F.length(plain(F.concat(now, x))) <= most, "")
+    rows = rows.select("table_id", "heads", head.alias("head"), F.posexplode(F.when(F.size(parts) > 0, parts).otherwise(F.array(F.lit("")))).alias("chunk_index", "b"))
+    whole = F.concat(F.lit("<table>"), "head", "b", F.lit("</table>"))
+    return rows.select("table_id", "chunk_index", whole.alias("text_as_html"), plain(whole).alias("text"), F.when(F.col("chunk_index") > 0, F.col("heads")).otherwise(F.lit(0)).alias("num_carried_over_header_rows"))

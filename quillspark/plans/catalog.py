@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import classify, entries, evaluate, search, segment
+from ..operators import classify, entries, evaluate, language, registry, search, segment
 from ..sources import files
 from ..streaming import ingest
 
@@ -337,7 +337,7 @@ def turn_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def title_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of users as titles: chunks by section (tests hold the invariants)."""
     c = read(spark, sf_dir, "conversations").withColumn("type", F.when(F.col("role") == "user", "Title").otherwise("NarrativeText"))
-    return segment.chunk_by_title(c, "conv_id", "turn", most=1000, combine_under=300)
+    return registry.chunk(c, "by_title", "conv_id", "turn", most=1000, combine_under=300)
 
 
 @query()
@@ -685,6 +685,23 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.reading_order(c, "conv_id", "page", "turn", "x", "y").select("conv_id", "turn", F.col("place").cast("long").alias("place"))
 
 
+@query()
+def language_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of each language by what the profiles of the other half of the corpus make of them."""
+    d = read(spark, sf_dir, "documents")
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    found = language.detect(d.where(~half), language.profiles(d.where(half)), "doc_id")
+    return d.where(~half).join(found, "doc_id").groupBy("lang", "detected").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def table_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as tables of turns, in chunks with repeated headers."""
+    row = F.concat(F.lit("<tr><td>"), F.col("turn").cast("string"), F.lit("</td><td>"), F.regexp_replace("text", "[<>]", ""), F.lit("</td></tr>"))
+    t = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", row.alias("r")))), lambda x: x["r"]), "").alias("rows"))
+    return segment.chunk_tables(t.select("conv_id", F.concat(F.lit("<table><tr><th>turn</th><th>text</th></tr>"), "rows", F.lit("</table>")).alias("text_as_html")), "conv_id", most=1000)
+
+
 @query()
 def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents as a stream of entries, counted by type."""
