@@ -28,16 +28,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bits_for, block_of, by_bucket, n_blocks, release, splitmix, to_arrow, written
+from .common import bits_for, block_of, by_bucket, n_blocks, packed_keys, splitmix, to_arrow, unpacked_keys, written
 from .suffixes import sort_suffixes
 
 LENGTH = 50
 GRAM = 24
 _SPAN = LENGTH - GRAM + 1  # places of an anchor in a window
 _SLICE = 1 << 20
+_ALONE = 255  # in place of an anchor's: the piece is one window of a frequent anchor, complete in its bucket
 _ASK = "bucket int, block int, keys binary"
 _TOLD = "block int, bucket int, keys binary, hot binary"
-_PIECES = "bucket int, block int, local boolean, ids binary, rows binary, at binary, ends binary, anchors binary, data binary"
+_PIECES = "bucket int, block int, local boolean, ids binary, rows binary, at binary, ends binary, sizes binary, anchors binary, data binary"
 _CUTS = "block int, ids binary, rows binary, at binary, ends binary"
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 
@@ -52,8 +53,9 @@ class Texts:
         self.bytes = b"".join([*parts, bytes(LENGTH + 8)])
         self.data = np.frombuffer(self.bytes, np.uint8)
 
-    def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(anchor, start, end): runs of windows with one anchor; end - 1 is the last window's start."""
+    def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(anchor, start, end, place): runs of windows with one anchor; end - 1 is the last window's start, and the anchor is
+        `place` bytes after the first's."""
         out: list = []
         # window starts, text by text; short texts share a slice, long ones take several
         can = self.first + np.maximum(0, self.lens - LENGTH + 1)
@@ -81,8 +83,9 @@ class Texts:
             edge = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (valid[1:] != valid[:-1])]))
             stop = np.concatenate([edge[1:], [b - a]])
             good = valid[edge]
-            out.append((low[edge[good]] & ~np.uint64(63), edge[good] + a, stop[good] + a))
-        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            edge, stop, low = edge[good], stop[good], low[edge[good]]
+            out.append((low & ~np.uint64(63), edge + a, stop + a, ((low & np.uint64(63)).astype(np.int64) - edge) & 63))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
 
 
 def _joined(at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +99,7 @@ def _joined(at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _local(t: Texts, ids: np.ndarray, rows: np.ndarray, told: np.ndarray, hot: np.ndarray, bits: int, block: int, shape: pa.Schema) -> pa.Table:
     """What a block sends in step 2."""
-    anchor, start, end = t.pieces()
+    anchor, start, end, place = t.pieces()
     kinds, index, n = np.unique(anchor, return_inverse=True, return_counts=True)
     again = (n > 1) | np.isin(kinds, told)
     use = np.flatnonzero(again[index])
@@ -123,37 +126,58 @@ def _local(t: Texts, ids: np.ndarray, rows: np.ndarray, told: np.ndarray, hot: n
         wide = np.int64(1) << np.int64(40)  # documents apart, then maximal runs
         a, e = _joined(cut_doc * wide + cut_at, cut_doc * wide + cut_end)
         d = a // wide
-        out.append((block % (1 << bits), block, True, ids[d].tobytes(), rows[d].tobytes(), (a - d * wide).tobytes(), (e - d * wide).tobytes(), b"", b""))
-    send = np.array([k for have in least.values() for k in have], np.int64)
+        out.append((block % (1 << bits), block, True, ids[d].tobytes(), rows[d].tobytes(), (a - d * wide).tobytes(), (e - d * wide).tobytes(), b"", b"", b""))
+    # one piece of an anchor that no other block has is settled
+    known = np.isin(kinds, told)[index]
+    first = np.array([have[0] for have in least.values()], np.int64)
+    several = np.bincount(index[first], minlength=len(kinds)) > 1 if len(first) else np.zeros(len(kinds), bool)
+    send = np.array([k for have in least.values() for k in have if known[have[0]] or several[index[have[0]]]], np.int64)
     if len(send):
         warm = send[~is_hot[send]]
-        a, w, key = start[warm], end[warm] + LENGTH - 1, anchor[warm]
+        a, w, key, p = start[warm], end[warm] + LENGTH - 1, anchor[warm], place[warm].astype(np.uint8)
         cold = send[is_hot[send]]
         if len(cold):  # one entry a window
             count = end[cold] - start[cold]
             from_ = np.repeat(start[cold] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
             name = np.array([xxhash.xxh3_64_intdigest(t.bytes[x : x + LENGTH]) for x in from_.tolist()], np.uint64)
-            a, w, key = np.concatenate([a, from_]), np.concatenate([w, from_ + LENGTH]), np.concatenate([key, name])
+            a, w, key, p = np.concatenate([a, from_]), np.concatenate([w, from_ + LENGTH]), np.concatenate([key, name]), np.concatenate([p, np.full(len(from_), _ALONE, np.uint8)])
         by = np.argsort(key, kind="stable")
-        a, w, key = a[by], w[by], key[by]
+        a, w, key, p = a[by], w[by], key[by], p[by]
         d = np.searchsorted(t.first, a, "right") - 1
         for bucket, s in by_bucket(key, bits):
             data = b"".join(t.bytes[x:y] for x, y in zip(a[s].tolist(), w[s].tolist()))
-            out.append((bucket, block, False, ids[d[s]].tobytes(), rows[d[s]].tobytes(), (a[s] - t.first[d[s]]).tobytes(), (w[s] - t.first[d[s]]).tobytes(), key[s].tobytes(), data))
+            out.append((bucket, block, False, ids[d[s]].tobytes(), rows[d[s]].tobytes(), (a[s] - t.first[d[s]]).astype("<u4").tobytes(), b"", (w[s] - a[s]).astype("u1").tobytes(), p[s].tobytes(), pa.compress(data, "zstd", asbytes=True)))
     return pa.table([pa.array([r[i] for r in out], f.type) for i, f in enumerate(shape)], schema=shape)
 
 
+def _variant(ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Numbers the different texts of an id (by their hash): 0 for nearly all."""
+    by = np.lexsort((rows, ids))
+    i, r = ids[by], rows[by]
+    same = np.concatenate([[False], i[1:] == i[:-1]])[: len(i)]
+    step = np.cumsum(same & np.concatenate([[False], r[1:] != r[:-1]])[: len(i)])
+    start = np.maximum.accumulate(np.where(same, 0, np.arange(len(i))))
+    out = np.empty(len(i), "<i4")
+    out[by] = step - step[start]
+    return out
+
+
 def _column(table: pa.Table, name: str, kind: str) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)])
 
 
 def _settle(t: pa.Table) -> tuple[np.ndarray, ...]:
     """(block, id, row, at, end) of what is to go, from the pieces of a bucket."""
-    ids, rows, at, ends, key = (_column(t, c, k) for c, k in (("ids", "<i8"), ("rows", "<i8"), ("at", "<i8"), ("ends", "<i8"), ("anchors", "<u8")))
-    block = np.repeat(t.column("block").to_numpy(), [len(x.as_buffer()) // 8 for x in t.column("ids")])
-    data = b"".join(x.as_buffer() for x in t.column("data")) + bytes(LENGTH + 16)
-    size = ends - at
+    ids, rows, at, size, place = (_column(t, c, k) for c, k in (("ids", "<i8"), ("rows", "<i4"), ("at", "<u4"), ("sizes", "u1"), ("anchors", "u1")))
+    at, size, each = at.astype(np.int64), size.astype(np.int64), [len(x.as_buffer()) for x in t.column("sizes")]
+    ends = at + size
+    block = np.repeat(t.column("block").to_numpy(), each)
+    bytes_of = np.add.reduceat(size, np.cumsum([0, *each[:-1]])).tolist()
+    data = b"".join([*(pa.decompress(x.as_buffer(), n, "zstd", asbytes=True) for x, n in zip(t.column("data"), bytes_of)), bytes(LENGTH + 16)])
     first = np.cumsum(size) - size
+    words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    anchor = first + np.where(place == _ALONE, 0, place)
+    key = splitmix(words[anchor]) * np.uint64(3) + splitmix(words[anchor + 8]) * np.uint64(5) + splitmix(words[anchor + 16])
     # equal pieces are one piece with the least of their documents
     number: dict[bytes, int] = {}
     piece = np.array([number.setdefault(data[a : a + n], len(number)) for a, n in zip(first.tolist(), size.tolist())], np.int64)
@@ -164,7 +188,7 @@ def _settle(t: pa.Table) -> tuple[np.ndarray, ...]:
     np.minimum.at(least, piece, ids)
     # suffixes of the pieces whose anchor has several: each window of each
     _, a_index, a_count = np.unique(key[one], return_inverse=True, return_counts=True)
-    multi = np.flatnonzero(a_count[a_index] > 1)
+    multi = np.flatnonzero((a_count[a_index] > 1) & (place[one] != _ALONE))
     windows = size[one[multi]] - LENGTH + 1
     base = np.cumsum(windows) - windows
     owner = np.repeat(multi, windows)
@@ -194,37 +218,38 @@ def _settle(t: pa.Table) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20, hot: int = 64) -> DataFrame:
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20, hot: int = 64) -> DataFrame:
     """CUT rows of every whole text; kept_text is what is left (a cut inside a character leaves U+FFFD)."""
     spark = docs.sparkSession
     both = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     blocks = n_blocks(both, block_bytes)
-    bits = bits_for(blocks * block_bytes)
+    bits = bits_for(blocks * block_bytes, 2 << 20)  # a bucket's suffixes take some fifty times the bytes of its pieces
     rows = both.select(block_of(blocks).alias("block"), "id", "text", F.xxhash64("id", "text").alias("row"))
     ask_shape, told_shape, piece_shape, cuts_shape, cut_shape = (to_arrow(x, spark) for x in (_ASK, _TOLD, _PIECES, _CUTS, CUT))
 
     def ask(key, t):
         keys = np.unique(Texts(t.column("text").to_pylist()).pieces()[0])
-        out = [(k, key[0].as_py(), keys[s].tobytes()) for k, s in by_bucket(keys, bits)]
+        out = [(k, key[0].as_py(), packed_keys(keys[s])) for k, s in by_bucket(keys, bits)]
         return pa.table([pa.array([r[i] for r in out], f.type) for i, f in enumerate(ask_shape)], schema=ask_shape)
 
     def tell(key, t):
-        parts = [np.frombuffer(x.as_buffer(), "<u8") for x in t.column("keys")]
-        kinds, n = np.unique(np.concatenate(parts), return_counts=True)
-        again, many = kinds[n > 1], kinds[n > hot]
-        own = [(p[np.isin(p, again)].tobytes(), p[np.isin(p, many)].tobytes()) for p in parts]
+        parts = [unpacked_keys(x.as_buffer()) for x in t.column("keys")]
+        _, index, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        own, at = [], 0
+        for p in parts:
+            blocks_with, at = n[index[at : at + len(p)]], at + len(p)
+            own.append((p[blocks_with > 1].tobytes(), p[blocks_with > hot].tobytes()))
         return pa.table([t.column("block"), t.column("bucket"), pa.array([x[0] for x in own], pa.binary()), pa.array([x[1] for x in own], pa.binary())], schema=told_shape)
 
     some = rows.where("id is not null")
     told = written(some.groupBy("block").applyInArrow(ask, _ASK).groupBy("bucket").applyInArrow(tell, _TOLD), "repeats-anchors")
-    release(spark)
 
     def send(key, t, a):
         if not t.num_rows:
             return pa.table([pa.array([], f.type) for f in piece_shape], schema=piece_shape)
         known, many = (np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(x.as_buffer(), "<u8") for x in a.column(c))]) for c in ("keys", "hot"))
         ids, names = (np.array(t.column(c).to_pylist(), np.int64) for c in ("id", "row"))
-        return _local(Texts(t.column("text").to_pylist()), ids, names, known, many, bits, key[0].as_py(), piece_shape)
+        return _local(Texts(t.column("text").to_pylist()), ids, _variant(ids, names), known, many, bits, key[0].as_py(), piece_shape)
 
     def settle(key, t):
         out = []
@@ -242,19 +267,21 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     sent = some.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(send, _PIECES)
     cuts = written(sent.groupBy("bucket").applyInArrow(settle, _CUTS), "repeats-cuts")
-    release(spark)
 
     def cut(key, t, c):
         spans: dict[tuple, tuple] = {}
         if c.num_rows:
-            ids, names, at, ends = (_column(c, x, "<i8") for x in ("ids", "rows", "at", "ends"))
+            ids, names, at, ends = (_column(c, x, k) for x, k in (("ids", "<i8"), ("rows", "<i4"), ("at", "<i8"), ("ends", "<i8")))
             by = np.lexsort((at, names, ids))
             ids, names, at, ends = ids[by], names[by], at[by], ends[by]
             edge = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (names[1:] != names[:-1])]))
             for s, e in zip(edge.tolist(), [*edge[1:].tolist(), len(ids)]):
                 spans[int(ids[s]), int(names[s])] = _joined(at[s:e], ends[s:e])
         out = []
-        for i, name, text in zip(*(t.column(x).to_pylist() for x in ("id", "row", "text"))):
+        has_id = [i is not None for i in t.column("id").to_pylist()]
+        name_of = np.full(t.num_rows, -1, np.int64)
+        name_of[has_id] = _variant(*(np.array([v for v in t.column(x).to_pylist() if v is not None] if x == "id" else np.array(t.column(x).to_pylist(), np.int64)[has_id], np.int64) for x in ("id", "row")))
+        for i, name, text in zip(t.column("id").to_pylist(), name_of.tolist(), t.column("text").to_pylist()):
             data = (text or "").encode()
             a, e = spans.get((i, name), ((), ()))
             kept, last = [], 0
