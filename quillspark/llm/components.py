@@ -36,13 +36,17 @@ def _forest(links: DataFrame) -> DataFrame:
     return links.mapInArrow(run, _LINK)
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, rounds: int = 60, most: int = 500_000) -> DataFrame:
     """(node, component) of every node with a link: component is the least node it is joined with.
 
-    Steps repeat until the links no longer change; none are collected. A hot node's links meet only in a minimum."""
+    Up to `most` links (counted first; some 100 MB in a task) are joined in one task. Beyond that, steps repeat until the links
+    no longer change. None are collected to the driver. A hot node's links meet only in a minimum."""
     now = written(_forest(links.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v")), "links")
     mark = None
-    for _ in range(rounds):
+    small = now.limit(most + 1).count() <= most
+    if small:
+        now = written(_forest(now.coalesce(1)), "links")
+    for _ in range(0 if small else rounds):
         n, total = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if (n, total) == mark or not n:
             break
@@ -55,5 +59,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         small = down.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
         now = written(small.where("u <> v").distinct(), "links")
     else:
-        raise RuntimeError("links still change; raise rounds")
+        if not small:
+            raise RuntimeError("links still change; raise rounds")
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
