@@ -13,14 +13,22 @@ from ..functions import text as T
 def words_of(t: Column) -> Column:
     """Words of a text for bags of words: lower case, bullets and punctuation but - and ' off. Single characters count only
     where no other single character is next to them and they are letters or digits."""
-    w = F.filter(F.split(T.drop_bullet(T.drop_punctuation(F.lower(t), "-'")), r"\s+"), lambda x: x != "")
+    return _counted(_split(t))
+
+
+def _split(t: Column) -> Column:
+    return F.filter(F.split(T.drop_bullet(T.drop_punctuation(F.lower(t), "-'")), r"\s+"), lambda x: x != "")
+
+
+def _counted(w: Column) -> Column:
     lone = lambda i: F.coalesce(F.length(F.try_element_at(w, i)) == 1, F.lit(False))
     return F.filter(w, lambda x, i: (F.length(x) > 1) | (x.rlike(r"^[\p{L}\p{N}]$") & ~lone(i + 2) & ~F.when(i > 0, lone(F.greatest(i, F.lit(1)))).otherwise(F.lit(False))))
 
 
 def bags(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:
     """(id, word, n)."""
-    return df.select(id_col, F.explode(words_of(F.col(text))).alias("word")).groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("n"))
+    split = df.select(id_col, _split(F.col(text)).alias("_w"))  # a column of its own, split once a text
+    return split.select(id_col, F.explode(_counted(F.col("_w"))).alias("word")).groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def vocabulary(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:
@@ -115,9 +123,10 @@ def _weighted(weights: tuple[int, int, int]):
 
 def ngrams(df: DataFrame, id_col: str, n: int, text: str = "text") -> DataFrame:
     """(id, h, gram): different word n-grams of each text; h is the hash to join by."""
-    w = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
+    words = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
+    w = F.col("_w")  # a column of its own: inside the lambda the split would run again for each gram
     grams = F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
-    return df.select(id_col, F.explode(F.array_distinct(grams)).alias("gram")).select(id_col, F.xxhash64("gram").alias("h"), "gram")
+    return df.select(id_col, words.alias("_w")).select(id_col, F.explode(F.array_distinct(grams)).alias("gram")).select(id_col, F.xxhash64("gram").alias("h"), "gram")
 
 
 def ngram_overlap(a: DataFrame, b: DataFrame, a_id: str, b_id: str, n: int = 5, text: str = "text") -> DataFrame:
