@@ -119,18 +119,23 @@ def _branch(rows: DataFrame, share: float, trees: int = 0) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _likely(sig: np.ndarray, comp: np.ndarray, least: float, forest: bool) -> list[tuple[int, int]]:
-    """Pairs of members (rows of sig) whose signatures agree in a share of at least `least` places and whose components differ;
-    with forest, only those that a greedy spanning forest takes, likeliest first."""
+def _likely(sig: np.ndarray, comp: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of members (rows of sig), likeliest first, whose signatures agree in a share of at least `least` places and
+    whose components differ."""
     n = len(sig)
     if n == 2:
-        return [(0, 1)] if comp[0] != comp[1] and (sig[0] == sig[1]).mean() >= least else []
+        both = np.arange(int(comp[0] != comp[1] and (sig[0] == sig[1]).mean() >= least))
+        return both, both + 1
     agree = np.zeros((n, n), np.int16)
     for a in range(0, n, 32):
         agree[a : a + 32] = (sig[a : a + 32, None, :] == sig[None, :, :]).sum(axis=2)
     i, j = np.nonzero(np.triu(agree >= least * PLACES, 1) & (comp[:, None] != comp[None, :]))
-    if not forest:
-        return list(zip(i.tolist(), j.tolist()))
+    order = np.argsort(-agree[i, j], kind="stable")
+    return i[order], j[order]
+
+
+def _forest(i: np.ndarray, j: np.ndarray, comp: np.ndarray) -> list[tuple[int, int]]:
+    """Those of the pairs, in their order, that a greedy spanning forest of the components takes."""
     up = {}
 
     def root(x):
@@ -139,17 +144,18 @@ def _likely(sig: np.ndarray, comp: np.ndarray, least: float, forest: bool) -> li
         return x
 
     out, names = [], comp.tolist()
-    for k in np.argsort(-agree[i, j], kind="stable").tolist():
-        x, y = root(names[i[k]]), root(names[j[k]])
-        if x != y:
-            up[x] = y
-            out.append((int(i[k]), int(j[k])))
+    for x, y in zip(i.tolist(), j.tolist()):
+        u, v = root(names[x]), root(names[y])
+        if u != v:
+            up[u] = v
+            out.append((x, y))
     return out
 
 
-def _propose(members: DataFrame, least: float, forest: bool) -> DataFrame:
-    """(a, b), a < b, from members (node, a, comp, sig); nodes are complete within a partition and bounded in size."""
-    schema = "a long, b long"
+def _propose(members: DataFrame, least: float) -> DataFrame:
+    """(node, a, b) from members (node, a, comp, sig): b is null for each member with a likely partner in another component, and
+    the forest's pairs have a < b. Nodes are complete within a partition and bounded in size."""
+    schema = "node long, a long, b long"
     shape = to_arrow(schema, members.sparkSession)
 
     def run(batches):
@@ -160,10 +166,12 @@ def _propose(members: DataFrame, least: float, forest: bool) -> DataFrame:
             if len(rows) < 2 or (comp == comp[0]).all():
                 return []
             sig = np.frombuffer(b"".join(r[3] for r in rows), "<u4").reshape(-1, PLACES)
-            return [(min(a[i], a[j]), max(a[i], a[j])) for i, j in _likely(sig, comp, least, forest) if a[i] != a[j]]
+            i, j = _likely(sig, comp, least)
+            near = [(rows[k][0], int(a[k]), None) for k in np.unique(np.concatenate([i, j])).tolist()]
+            return near + [(rows[x][0], int(min(a[x], a[y])), int(max(a[x], a[y]))) for x, y in _forest(i, j, comp)]
 
         def out(found):
-            return pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in found], pa.int64()) for k in (0, 1)], schema=shape)
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(3)], schema=shape)
 
         for b in batches:
             found = []
@@ -175,7 +183,7 @@ def _propose(members: DataFrame, least: float, forest: bool) -> DataFrame:
             yield out(found)
         yield out(pairs(held))
 
-    return members.repartition("node").sortWithinPartitions("node", "a").mapInArrow(run, schema).distinct()
+    return members.repartition("node").sortWithinPartitions("node", "a").mapInArrow(run, schema)
 
 
 def _sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -222,10 +230,6 @@ def _confirm_in_nodes(members: DataFrame, least: float, share: float) -> DataFra
         if len(rows) < 2 or (comp == comp[0]).all():
             return []
         sig = np.frombuffer(b"".join(r[3] for r in rows), "<u4").reshape(-1, PLACES)
-        found = _likely(sig, comp, least, False)
-        if not found:
-            return []
-        agree = np.array([(sig[i] == sig[j]).sum() for i, j in found])
         sets, up, out = {}, {}, []
 
         def root(x):
@@ -238,8 +242,7 @@ def _confirm_in_nodes(members: DataFrame, least: float, share: float) -> DataFra
                 sets[i] = frozenset(np.frombuffer(rows[i][4], "<u8").tolist())
             return sets[i]
 
-        for k in np.argsort(-agree, kind="stable").tolist():
-            i, j = found[k]
+        for i, j in zip(*(k.tolist() for k in _likely(sig, comp, least))):
             x, y = root(rows[i][2]), root(rows[j][2])
             if x != y and _similar(set_of(i), set_of(j), share):
                 up[x] = y
@@ -336,7 +339,8 @@ def groups(docs: DataFrame, share: float = 0.75, trees: int = 12, limit: int = 2
         members = members.unionByName(x)
     members = written(_apart(members.distinct(), labels).select("node", "a", "comp"), "near-members")
 
-    pairs = written(_propose(members.join(sigs, "a"), least, True), "near-pairs")
+    found = written(_propose(members.join(sigs, "a"), least), "near-likely-members")
+    pairs = written(found.where("b is not null").select("a", "b").distinct(), "near-pairs")
     sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, id_col, text_col)
     all_links = all_links.unionByName(_as_links(written(_confirm(pairs, sets, share), "near-links")))
     labels = written(components(all_links), "near-labels")
@@ -345,7 +349,7 @@ def groups(docs: DataFrame, share: float = 0.75, trees: int = 12, limit: int = 2
     likely = written(components(_as_links(pairs)), "near-likely")
     small = likely.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= limit).select("component")
     of = likely.join(small, "component", "left_semi").select(F.col("node").alias("a"), F.col("component").alias("super"))
-    left = _apart(members.select("node", "a"), labels).join(of, "a", "left").select(F.when(F.col("super").isNotNull(), F.xxhash64("super", F.lit("likely"))).otherwise(F.col("node")).alias("node"), "a", "comp").distinct()
+    left = _apart(found.where("b is null").select("node", "a"), labels).join(of, "a", "left").select(F.when(F.col("super").isNotNull(), F.xxhash64("super", F.lit("likely"))).otherwise(F.col("node")).alias("node"), "a", "comp").distinct()
     if rest is not None:  # members of a large node outside its first member's component meet every block
         far = _apart(rest, labels)
         core = far.groupBy("node").agg(F.min_by("comp", "a").alias("core"), F.ceil(F.count(F.lit(1)) / limit).alias("blocks"))
@@ -354,7 +358,13 @@ def groups(docs: DataFrame, share: float = 0.75, trees: int = 12, limit: int = 2
         odd = odd.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         other = far.withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks"))).join(odd.select("node", "part").distinct(), "node")
         name = F.xxhash64("node", "block", "part").alias("node")
-        left = left.unionByName(odd.select(name, "a", "comp").unionByName(other.select(name, "a", "comp")).distinct())
+        far = written(odd.select(name, "a", "comp").unionByName(other.select(name, "a", "comp")).distinct(), "near-far")
+        met = written(_propose(far.join(sigs, "a"), least).where("b is null").select("node", "a"), "near-likely-members")
+        left = left.unionByName(far.join(met, ["node", "a"], "left_semi"))
+    left = written(left, "near-left")
+    more_ids = left.select(F.col("a").alias("id")).distinct().join(sets.select("id"), "id", "left_anti")
+    if more_ids.limit(1).count():  # the forest joins components and does not name each member that has a likely partner
+        sets = sets.unionByName(_sets(more_ids, docs, id_col, text_col))
     more = written(_confirm_in_nodes(left.join(sigs, "a").join(sets.withColumnRenamed("id", "a"), "a"), least, share), "near-links")
     if more.limit(1).count():
         labels = written(components(all_links.unionByName(_as_links(more))), "near-labels")

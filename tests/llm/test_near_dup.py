@@ -62,3 +62,18 @@ def test_an_id_with_two_texts_joins_both(spark):
     t = ["one two three four five six seven", "red blue green grey pink teal gold"]
     df = spark.createDataFrame([(1, t[0]), (5, t[0]), (5, t[1]), (7, t[1]), (3, t[1])], "doc_id long, text string")
     assert {r.component_id for r in near_dup.groups(df).collect()} == {1}
+
+
+def test_links_between_blocks_of_a_large_node(spark):
+    """One tree whose only node holds all documents: pairs of near copies are dealt to different blocks of it."""
+    rng = random.Random(55)
+    some = lambda n: ["".join(rng.choices("abcdefgh", k=5)) for _ in range(n)]
+    common, rows = some(120), []
+    for _ in range(12):
+        own = some(100)
+        for v in range(2):
+            x = list(own)
+            x[rng.randrange(100)] = f"x{v}"
+            rows.append((len(rows), " ".join(common + x)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(df, limit=4, trees=1, depth=1) == brute(rows)
