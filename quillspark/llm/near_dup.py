@@ -345,11 +345,15 @@ def groups(docs: DataFrame, share: float = 0.75, trees: int = 12, limit: int = 2
     all_links = all_links.unionByName(_as_links(written(_confirm(pairs, sets, share), "near-links")))
     labels = written(components(all_links), "near-labels")
 
-    # what is likely but still apart: all of a small set of documents joined by likely pairs is one node, larger ones keep theirs
+    # what is likely but still apart is tested in its node, and all of a small set of documents joined by likely pairs is one node
+    # more, which spares the nodes that lie within it
     likely = written(components(_as_links(pairs)), "near-likely")
     small = likely.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= limit).select("component")
     of = likely.join(small, "component", "left_semi").select(F.col("node").alias("a"), F.col("component").alias("super"))
-    left = _apart(found.where("b is null").select("node", "a"), labels).join(of, "a", "left").select(F.when(F.col("super").isNotNull(), F.xxhash64("super", F.lit("likely"))).otherwise(F.col("node")).alias("node"), "a", "comp").distinct()
+    still = written(_apart(found.where("b is null").select("node", "a"), labels).join(of, "a", "left").select("node", "a", "comp", "super"), "near-still")
+    within = still.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.count("super").alias("m"), F.min("super").alias("x"), F.max("super").alias("y")).where("n = m and x = y").select("node")
+    grouped = still.where("super is not null").select(F.xxhash64("super", F.lit("likely")).alias("node"), "a", "comp").distinct()
+    left = still.join(within, "node", "left_anti").select("node", "a", "comp").unionByName(grouped)
     if rest is not None:  # members of a large node outside its first member's component meet every block
         far = _apart(rest, labels)
         core = far.groupBy("node").agg(F.min_by("comp", "a").alias("core"), F.ceil(F.count(F.lit(1)) / limit).alias("blocks"))

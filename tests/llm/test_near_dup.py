@@ -77,3 +77,21 @@ def test_links_between_blocks_of_a_large_node(spark):
             rows.append((len(rows), " ".join(common + x)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert result(df, limit=4, trees=1, depth=1) == brute(rows)
+
+
+def test_a_leaf_whose_first_pair_between_two_components_fails(spark):
+    """One tree: 8 and 9 are linked by the large node's star; in their leaf the forest takes (8, 10), which is no link; (9, 10) is."""
+    rng = random.Random(53)
+    some = lambda n: ["".join(rng.choices("abcdefgh", k=5)) for _ in range(n)]
+    common, own = some(120), some(80)
+    texts = []
+    for edits in (2, 1, 1):
+        x = common + own
+        for _ in range(edits):
+            x[rng.randrange(len(x))] = f"x{rng.randrange(10**6)}"
+        texts.append(x)
+    texts[2][180:194] = [f"y{k}" for k in range(14)]
+    rows = [(8 + k, " ".join(x)) for k, x in enumerate(texts + [common + some(80) for _ in range(7)])]
+    want = brute(rows)
+    assert [r[2] for r in want[:3]] == [8, 8, 8]
+    assert result(spark.createDataFrame(rows, "doc_id long, text string"), limit=7, trees=1, depth=3) == want
