@@ -2,8 +2,10 @@
 text is matched against ordered licence rules; the first rule whose identifiers occur one after the other wins, and its
 identifiers are then taken out before the later rules are tried.
 
-Native DataFrame expressions throughout: no shuffle, no Python. A text is cut at line feeds and after sentence ends; a sentence
-is lower-cased, comment marks and punctuation become single spaces.
+Native DataFrame expressions throughout: no shuffle, no Python. A text is cut after sentence ends and at lines without letters
+and digits; comment marks and punctuation become single spaces, letters lower case. A sentence may be wrapped, and lines without a
+full stop run into it: so known sentences are looked for from each line on, over one line, over up to LINES lines and, from the
+first, over the whole sentence; the shortest that is known counts.
 
 Defined results. Null and empty texts have no sentences known and licence "none". A text with known sentences that no rule takes
 is "unknown". Repeated rows each get their row; very long texts are scanned whole.
@@ -59,14 +61,36 @@ RULES = [
     (("AllRights",), "Proprietary"),
 ]
 #: Without one of these no sentence above can match; a cheap test that spares most texts the cutting.
-_HINT = r"(?i)licen[sc]|permi(ssion|tted)|copyright|rights reserved|public domain|cc0|warrant|free software|later version|endorse|as[ -]is"
+_HINT = r"(?i)licen[sc]|permi(ssion|tted)|copyright|rights reserved|public domain|cc0|warrant|free software|later version|endorse|as is".replace(" ", r"[^\p{L}\p{N}]+(?:(?:dnl|rem)[ \t]+)?")
+#: Where a wrapped sentence may begin: the first words above, or what follows a leading ".*".
+_START = r"^(?:this|licensed|you|unless|released|distributed|permission|the|redistribution|neither|either|dedicated|copyright|all)\b|\b(?:under|cc0)\b"
+LINES = 8
+#: Sentence ends: not "v. 2.0", nor "free software; you can" and a blank line; a GPL text may go on with its version after a comma.
+_END = r"(?i)(?<=[.;!?])(?<!\bv\.)(?<!free[^\p{L}\p{N}]{1,8}software;)\s+|,(?=[^\p{L}\p{N}]+either[^\p{L}\p{N}]+version)|\n[^\p{L}\p{N}\n]*(?=\n)"
 
 
 def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, in order, empty ones left out."""
-    cut = F.split(text, r"[\n\r]+|(?<=[.;!?])[ \t]+")
-    plain = F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " ")))
-    return F.filter(plain, lambda s: s != "")
+    """The sentences of a text, in order, each as its normalised lines, empty ones left out."""
+    plain = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"(?im)^[ \t]*(?:dnl|rem)(?:[ \t]|$)", "")
+    lines = lambda s: F.transform(F.split(s, "\n"), lambda x: F.trim(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", " ")))
+    return F.filter(F.transform(F.split(plain, _END), lambda s: F.filter(lines(s), lambda x: x != "")), lambda s: F.size(s) > 0)
+
+
+def _known(lines: Column) -> Column:
+    """The identifiers found in the lines of a sentence, in order. What several lines give and the next line gives again is one."""
+
+    def at(line: Column, k: Column) -> Column:
+        reach = F.array(*map(F.lit, range(2, LINES + 1)), F.when(k == 0, F.size(lines)).otherwise(LINES))
+        wide = F.when(line.rlike(_START), F.array_compact(F.transform(reach, lambda n: identifiers(F.array_join(F.slice(lines, k + 1, n), " ")))))
+        one = identifiers(line)
+        return F.struct(one.alias("one"), F.when(one.isNull() & (F.size(lines) > 1), F.get(wide, F.lit(0))).alias("wide"))
+
+    def own(found: Column) -> Column:
+        following = lambda k: F.coalesce(F.get(found, k + 1)["one"], F.get(found, k + 1)["wide"], F.lit(""))
+        return F.transform(found, lambda x, k: F.coalesce(x["one"], F.when(x["wide"] != following(k), x["wide"])))
+
+    # the array is bound once, as the element of an array of one
+    return F.array_compact(F.flatten(F.transform(F.array(F.transform(lines, at)), own)))
 
 
 def identifiers(sentence: Column) -> Column:
@@ -80,7 +104,7 @@ def identifiers(sentence: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_known, sentence_ids, licenses, license) of every whole text."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    told = F.when(F.col("t").rlike(_HINT), F.filter(F.transform(sentences(F.col("t")), identifiers), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+    told = F.when(F.col("t").rlike(_HINT), F.flatten(F.transform(sentences(F.col("t")), _known))).otherwise(F.array().cast("array<string>"))
     rows = rows.select("doc_id", told.alias("ids"))
     state = F.concat(F.lit("|"), F.concat_ws("||", "ids"), F.lit("|"))
     found = []

@@ -98,6 +98,62 @@ def test_licences(spark, odd):
     assert {r.license for r in licenses.scan(odd).collect()} == {"none"} and licenses.scan(odd).count() == odd.count()
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+GPL2 = """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version."""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+
+
+def test_licences_wrapped_as_published(spark):
+    texts = {"MIT": (3, MIT), "BSD-3-Clause": (2, BSD), "GPL-or-later": (2, GPL3), "LGPL": (1, LGPL), "Apache-2.0": (4, APACHE), "MPL-2.0": (1, MPL)}
+    rows, want = [], []
+    for licence, (n, t) in [*texts.items(), ("GPL-or-later", (2, GPL2)), ("CC0-1.0", (1, "Released to the public\ndomain by me"))]:
+        marked = ["\n".join((mark + line).rstrip() for line in t.split("\n")) for mark in ("# ", " * ", "// ", "dnl ", "REM ")]
+        for x in [t, t.replace("\n", "\r\n"), "Copyright (c) 2020 A. Body\n" + t, "some code\n\n" + t + "\n\nmore code", *marked]:
+            rows.append((len(rows), x))
+            want.append((n, licence))
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(rows[r.doc_id][1], (r.n_known, r.license)) for r in got] == [(rows[i][1], w) for i, w in enumerate(want)]
+
+
 def test_licence_lines_of_the_corpus(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = docs.join(queries.op2_license_scan(spark, "/root/testdata/sf0.01"), "doc_id").select("text", "license").collect()
