@@ -56,8 +56,8 @@ def components(links: DataFrame, rounds: int = 60, most: int = 500_000) -> DataF
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
-        now = written(small.where("u <> v").distinct(), "links")
+        steps = down.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
+        now = written(steps.where("u <> v").distinct(), "links")
     else:
         if not small:
             raise RuntimeError("links still change; raise rounds")

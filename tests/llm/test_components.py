@@ -23,3 +23,9 @@ def test_components_of_random_links(spark, most):
     got = [tuple(r) for r in components(spark.createDataFrame(links, "u long, v long"), most=most).collect()]
     assert sorted(got) == sorted((x, root(x)) for x in list(up))
     assert components(spark.createDataFrame([], "u long, v long"), most=most).count() == 0
+
+
+def test_links_that_still_change_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(400)], "u long, v long").repartition(8)
+    with pytest.raises(RuntimeError, match="raise rounds"):
+        components(chain, rounds=1, most=0)
