@@ -1,15 +1,16 @@
 """Quality rules whose cutoffs come with a guarantee (risk-controlled thresholds).
 
 A labelled holdout gives, for each stratum (language) and feature, how many good documents lie above each possible cutoff.
-Cutoffs are tried from the most lenient to the strictest; a cutoff holds if the exact binomial (Clopper-Pearson) upper bound
-of its false rejection rate stays at or under the allowed rate. The tests of one feature and stratum are nested and stop at
-the first failure (fixed-sequence testing), so they need no correction among themselves; across strata and features the error
-probability is divided by their number (Bonferroni), and the allowed rate of a stratum is divided over its features, as a
-document is rejected when any feature is above its cutoff. Hence, with probability 1 - delta over the holdout, every stratum
-loses at most `alpha` of its good documents to the cutoffs.
-
-Defined results. Null or empty text: all counts 0, base_failed. A null language is a stratum of its own. A stratum with too few
-good labels (or none) has no certified cutoff and rejects nothing beyond the base rules. Several labels of a document: it is
+A document's score is the largest of its features, each measured by a fixed level (LEVELS), so one cutoff of the score is a cutoff
+of every feature. Cutoffs are tried from the most lenient to the strictest; a cutoff holds if the exact binomial
+(Clopper-Pearson) upper bound of its false rejection rate stays at or under the allowed rate. The tests of a stratum are nested
+and stop at the first failure (fixed-sequence testing), so they need no correction among themselves; the error probability is
+divided by the number of strata and one more: strata with too few good labels for a cutoff of their own are pooled and share
+one. Hence, with probability 1 - delta over the holdout, every stratum with its own cutoff, and the pool as a whole, loses at
+most `alpha` of its good documents to the cutoffs.
+
+Defined results. Null or empty text: all counts 0, base_failed. A null language is a stratum of its own. A stratum without
+good labels, or in a pool with too few, has no certified cutoff and rejects nothing beyond the base rules. Several labels of a document: it is
 good if any says so. Null labels and labels of unknown documents count for nothing. Repeated rows each get their row.
 """
 
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import by_arrow, id_text, sized_join, splitmix, written
 
 FEATURES = ("symbols", "dup_lines", "repeats", "capitals", "marks", "sameness", "long_words")
+#: What each feature is measured by in the score (its level scores 1000).
+LEVELS = {"symbols": 200, "dup_lines": 500, "repeats": 300, "capitals": 300, "marks": 500, "sameness": 1000, "long_words": 1000}
 #: Features are whole numbers, thousandths, from 0 to this.
 TOP = 5000
 WINDOW = 8
@@ -109,24 +112,30 @@ def most_errors(n: int, rate: float, level: float) -> int:
 
 
 def cutoffs(counted: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05, label_col: str = "quality", id_col: str = "doc_id") -> DataFrame:
-    """(stratum, feature, n_good, allowed, cutoff) from the labelled rows of counted (see stats()).
+    """(stratum, feature, n_good, allowed, cutoff) from the labelled rows of counted (see stats()); n_good and allowed are those of
+    the pool where a stratum is in it.
 
-    Labels that do not join with a row count for nothing. Only counts for each feature value (at most TOP + 1) are shuffled."""
+    Labels that do not join with a row count for nothing. Only counts for each score are shuffled."""
     told = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
     good = counted.join(told.where("y = 1"), "id", "left_semi").withColumn("stratum", F.coalesce("stratum", F.lit("\0none")))
-    values = good.select("stratum", F.explode(F.map_from_arrays(F.array(*map(F.lit, FEATURES)), F.array(*[features()[k] for k in FEATURES]))).alias("feature", "value"))
-    hist = written(values.groupBy("stratum", "feature", "value").count(), "quality-counts")
-    total = hist.groupBy("stratum", "feature").agg(F.sum("count").alias("n_good"))
-    n_tests = max(1, total.count())
+    score = F.greatest(*[F.ceil(1000 * v / LEVELS[k]) for k, v in features().items()])
+    hist = written(good.groupBy("stratum", score.alias("value")).count(), "quality-counts")
+    n_tests = hist.select("stratum").distinct().count() + 1
 
     @F.pandas_udf("long")
     def allowed(n: pd.Series) -> pd.Series:
-        return n.map(lambda x: most_errors(int(x), alpha / len(FEATURES), delta / n_tests)).astype("int64")
-
-    total = total.withColumn("allowed", allowed("n_good"))
-    above = F.sum("count").over(Window.partitionBy("stratum", "feature").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, -1))
-    nested = hist.withColumn("above", F.coalesce(above, F.lit(0))).join(total, ["stratum", "feature"])
-    return nested.groupBy("stratum", "feature", "n_good", "allowed").agg(F.min(F.when(F.col("above") <= F.col("allowed"), F.col("value"))).alias("cutoff"))
+        return n.map(lambda x: most_errors(int(x), alpha, delta / n_tests)).astype("int64")
+
+    own = hist.groupBy("stratum").agg(F.sum("count").alias("n")).withColumn("own", allowed("n"))
+    units = own.select("stratum", F.when(F.col("own") < 0, "\0pool").otherwise(F.concat(F.lit("\0own"), "stratum")).alias("unit"))
+    hist = hist.join(units, "stratum").groupBy("unit", "value").agg(F.sum("count").alias("count"))
+    total = hist.groupBy("unit").agg(F.sum("count").alias("n_good")).withColumn("allowed", allowed("n_good"))
+    above = F.sum("count").over(Window.partitionBy("unit").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, -1))
+    nested = hist.withColumn("above", F.coalesce(above, F.lit(0))).join(total, "unit")
+    found = nested.groupBy("unit", "n_good", "allowed").agg(F.min(F.when(F.col("above") <= F.col("allowed"), F.col("value"))).alias("score"))
+    of = F.explode(F.map_from_arrays(F.array(*map(F.lit, LEVELS)), F.array(*map(F.lit, LEVELS.values())))).alias("feature", "level")
+    rows = units.join(found, "unit").select("stratum", "n_good", "allowed", "score", of)
+    return rows.select("stratum", "feature", "n_good", "allowed", F.floor(F.col("score") * F.col("level") / 1000).cast("int").alias("cutoff"))
 
 
 def judge(counted: DataFrame, limits: DataFrame) -> DataFrame:

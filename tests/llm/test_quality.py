@@ -59,6 +59,17 @@ def test_bad_documents_go_and_the_risk_is_kept(spark):
     assert all("symbols" in r.reasons for r in rows if r.quality == 0 and not r.kept)
 
 
+def test_strata_of_some_hundred_labels_and_a_pool_of_smaller_ones_act(spark):
+    docs, labels = _corpus(spark)
+    lang = quality.F.expr("case when doc_id % 3 > 0 then 'en' when doc_id < 1500 then 'fr' when doc_id < 2100 then 'de' when doc_id < 2700 then 'es' end")
+    docs = docs.withColumn("lang", lang).where("doc_id % 3 > 0 or doc_id < 3300")
+    rows = quality.quality_rules(docs, labels).join(labels.withColumnRenamed("doc_id", "id"), "id").collect()
+    for s in ("en", "fr", "de", "es", "\0none"):
+        own = [r for r in rows if r.stratum == s]
+        assert sum(r.kept for r in own if r.quality == 0) < 0.05 * sum(r.quality == 0 for r in own)
+    assert sum(not r.kept for r in rows if r.quality == 1) <= 0.02 * sum(r.quality for r in rows)
+
+
 def test_few_labels_certify_nothing(spark):
     docs, labels = _corpus(spark)
     assert quality.quality_rules(docs, labels.where("doc_id < 200")).where("size(reasons) > 0").count() == 0
