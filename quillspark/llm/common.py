@@ -17,9 +17,12 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset (tests), one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only in local mode, where there is one machine, a folder of our
+    own stands in for it; on a cluster an unset folder is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = f"{tempfile.gettempdir()}/quillspark-scratch"
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -58,6 +61,35 @@ def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A key for a row from its id and text, never null: rows share it that are equal in both."""
+    i, t = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
+    return F.xxhash64(i.isNull(), F.coalesce(i, F.lit(0)), t.isNull(), F.coalesce(t, F.lit("")))
+
+
+def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, text): the two columns and each row's key."""
+    return df.select(row_key(id_col, text_col).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+
+def sized(keys: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """A table of 64-bit keys, marked for broadcast if it has at most max_rows rows (counted; 8 MB); more are joined by shuffle."""
+    return F.broadcast(keys) if keys.limit(max_rows + 1).count() <= max_rows else keys
+
+
+def rows_without(df: DataFrame, gone: DataFrame, id_col: str, text_col: str, once: DataFrame | None = None) -> DataFrame:
+    """df without the rows whose key is in gone (row); of rows whose key is in once (row) one stays. All columns as they are."""
+    name = "row_key"
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    as_is = [F.col(f"`{c}`") for c in df.columns]
+    left = df.select(*as_is, row_key(id_col, text_col).alias(name)).join(sized(gone.select(F.col("row").alias(name)).distinct()), name, "left_anti")
+    if once is not None and once.limit(1).count():
+        once = sized(once.select(F.col("row").alias(name)))
+        left = left.join(once, name, "left_anti").unionByName(left.join(once, name, "left_semi").dropDuplicates([name]))
+    return left.select(*as_is)
+
+
 def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", max_rows: int = 100_000, salts: int = 32) -> DataFrame:
     """big joined with a lookup table that has one row a key.
 
@@ -81,11 +113,6 @@ def block_of(n: int, key: str = "id") -> Column:
     return F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
 
 
-def partitions_of(bytes_total: int, least: int, each: int = 32 << 20) -> int:
-    """Shuffle partitions of about `each` bytes, `least` at least."""
-    return int(max(least, -(-bytes_total // each)))
-
-
 def splitmix(x: np.ndarray) -> np.ndarray:
     """64-bit mixing of each element (splitmix64's finaliser)."""
     x = x.astype(np.uint64, copy=True)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import to_arrow, written
+from .common import sized_join, to_arrow, written
 
 _LINK = "u long, v long"
 
@@ -40,7 +40,8 @@ def components(links: DataFrame, rounds: int = 60, most: int = 500_000) -> DataF
     """(node, component) of every node with a link: component is the least node it is joined with.
 
     Up to `most` links (counted first; some 100 MB in a task) are joined in one task. Beyond that, steps repeat until the links
-    no longer change. None are collected to the driver. A hot node's links meet only in a minimum."""
+    no longer change. None are collected to the driver. A hot node's links meet only in a minimum, and are split by salt
+    where each takes it up."""
     now = written(_forest(links.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v")), "links")
     mark = None
     small = now.limit(most + 1).count() <= most
@@ -53,10 +54,10 @@ def components(links: DataFrame, rounds: int = 60, most: int = 500_000) -> DataF
         mark = (n, total)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        large = sized_join(both, least, ["u"], "inner").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        steps = down.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
+        steps = sized_join(down, least, ["u"], "inner").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
         now = written(steps.where("u <> v").distinct(), "links")
     else:
         if not small:

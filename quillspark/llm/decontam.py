@@ -6,9 +6,10 @@ at least one piece occurs in it unchanged (pigeonhole). All pieces of all items
 its budget. Both sides are compared in lower case with every run of non-word characters as one space.
 
 The documents are not shuffled. Items go to the tasks in chunks of at most `chunk_bytes` of text: one broadcast a chunk, as many
-passes as there are chunks, so a benchmark of any size is searched whole.
+passes as there are chunks, so a benchmark of any size is searched whole. A chunk is searched, its hits written and its broadcast
+dropped before the next is read: driver and executors hold one at a time.
 
-Defined results. Null or empty texts and items without a word have no hits. Equal items (under different ids) are each reported.
+Defined results. Null or empty texts and items without a word have no hits. Items too short for an edit must stand as whole words. Equal items (under different ids) are each reported.
 Rows of documents that repeat an id are each searched; equal hits are given once. Of several places of an item in a document the
 closest, and of these the first, is given.
 """
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, to_arrow
+from .common import id_text, keyed, rows_without, to_arrow, written
 
 HIT = "doc_id long, item_id long, distance int, start long, end long, budget int"
 _GAP = re.compile(r"[\W_]+")
@@ -85,7 +86,7 @@ class Matcher:
         self.items = [(i, t, budget(len(t), rate)) for i, t in items]
         found: dict[str, list[tuple[int, int]]] = {}
         for k, (_, t, e) in enumerate(self.items):
-            for offset, piece in pieces(t, e):
+            for offset, piece in pieces(t, e) if e else [(-1, f" {t} ")]:
                 found.setdefault(piece, []).append((k, offset))
         self.machine = ahocorasick.Automaton()
         for piece, where in found.items():
@@ -98,9 +99,9 @@ class Matcher:
         if not text or not self.items:
             return
         spots: dict[int, list[int]] = {}
-        for last, (n, where) in self.machine.iter(text):
+        for last, (n, where) in self.machine.iter(f" {text} "):
             for k, offset in where:
-                spots.setdefault(k, []).append(last - n + 1 - offset)  # where the item would start
+                spots.setdefault(k, []).append(last - n - offset)  # where the item would start
         for k, starts in spots.items():
             i, item, e = self.items[k]
             best = None
@@ -118,15 +119,19 @@ class Matcher:
                 yield i, *best, e
 
 
-def _chunks(items: DataFrame, chunk_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in chunks of bounded size, one after the other on the driver."""
+def _chunks(items: DataFrame, chunk_bytes: int) -> tuple[int, Iterator[list[tuple[int, str]]]]:
+    """The number of chunks of bounded size, and the items in them, read one after the other."""
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-2 * total // chunk_bytes))
-    part = items.withColumn("c", F.pmod(F.xxhash64("id"), F.lit(n)))
-    for k in range(n):
-        rows = part.where(F.col("c") == k).select("id", "text").collect()
-        if chunk := sorted({(r.id, t) for r in rows if (t := normal(r.text))}):
-            yield chunk
+    part = items.withColumn("c", F.pmod(F.xxhash64("id", "text"), F.lit(n)))
+
+    def each():
+        for k in range(n):
+            rows = part.where(F.col("c") == k).select("id", "text").collect()
+            if chunk := sorted({(r.id, t) for r in rows if (t := normal(r.text))}):
+                yield chunk
+
+    return n, each()
 
 
 def matches(docs: DataFrame, items: DataFrame, rate: float = 0.06, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", chunk_bytes: int = 4 << 20) -> DataFrame:
@@ -135,8 +140,9 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = 0.06, id_col: str =
     spark = docs.sparkSession
     rows = id_text(docs, id_col, text_col)
     shape = to_arrow(HIT, spark)
-    out = None
-    for chunk in _chunks(id_text(items, item_col, item_text_col).where("id is not null"), chunk_bytes):
+    n, chunks = _chunks(id_text(items, item_col, item_text_col).where("id is not null"), chunk_bytes)
+    out = spark.createDataFrame([], HIT)
+    for chunk in chunks:
         sent = spark.sparkContext.broadcast(chunk)
 
         def run(batches, sent=sent):
@@ -147,13 +153,15 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = 0.06, id_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, shape)], schema=shape)
 
         hits = rows.mapInArrow(run, HIT)
-        out = hits if out is None else out.unionByName(hits)
-    out = spark.createDataFrame([], HIT) if out is None else out
+        if n > 1:
+            hits = written(hits, "decontam-hits")
+            sent.destroy()
+        out = out.unionByName(hits)
     best = F.min(F.struct("distance", "start", "end", "budget"))
     return out.groupBy("doc_id", "item_id").agg(best.alias("x")).select("doc_id", "item_id", "x.*")
 
 
-def clean_of(docs: DataFrame, hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the documents that hold a test item; all columns as they are."""
-    bad = hits.select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("_hit"), "left_anti")
+def clean_of(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **k) -> DataFrame:
+    """docs without the rows that hold a test item, whatever their ids; all columns as they are."""
+    hits = matches(keyed(docs, id_col, text_col), items, id_col="row", **k).select(F.col("doc_id").alias("row")).distinct()
+    return rows_without(docs, written(hits, "decontam-gone"), id_col, text_col)

@@ -23,12 +23,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_arrow, id_text, sized_join, splitmix, written
+from .common import by_arrow, row_key, rows_without, sized_join, splitmix, written
 
 FEATURES = ("symbols", "dup_lines", "repeats", "capitals", "marks", "sameness", "long_words")
 #: What each feature is measured by in the score (its level scores 1000).
 LEVELS = {"symbols": 200, "dup_lines": 500, "repeats": 300, "capitals": 300, "marks": 500, "sameness": 1000, "long_words": 1000}
-#: Features are whole numbers, thousandths, from 0 to this.
+#: Features are whole numbers, thousandths, from 0 to this: what is beyond counts as this much (the certified risk holds for the
+#: features as they are cut).
 TOP = 5000
 WINDOW = 8
 _SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
@@ -76,15 +77,16 @@ def text_stats(text: str | None) -> tuple[int, ...]:
 
 
 def stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """id, stratum and the counts of every whole text."""
+    """id, row (a key from id and text, never null), stratum and the counts of every whole text."""
     names = [x.split()[0] for x in _STATS.split(", ")]
 
-    def make(ids, texts, strata):
+    def make(ids, keys, texts, strata):
         rows = [text_stats(t) for t in texts]
-        return {"id": ids, "stratum": strata} | {n: [r[i] for r in rows] for i, n in enumerate(names)}
+        return {"id": ids, "row": keys, "stratum": strata} | {n: [r[i] for r in rows] for i, n in enumerate(names)}
 
-    rows = id_text(docs, id_col, text_col).withColumn("stratum", F.lit(None).cast("string")) if stratum_col not in docs.columns else docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(stratum_col).cast("string").alias("stratum"))
-    return by_arrow(rows, make, f"id long, stratum string, {_STATS}")
+    stratum = F.col(f"`{stratum_col}`") if stratum_col in docs.columns else F.lit(None)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), row_key(id_col, text_col).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"), stratum.cast("string").alias("stratum"))
+    return by_arrow(rows, make, f"id long, row long, stratum string, {_STATS}")
 
 
 def features() -> dict[str, Column]:
@@ -149,6 +151,12 @@ def judge(counted: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """id, counts, base_failed, reasons, kept for each document."""
+    """id, row, counts, base_failed, reasons, kept for each document."""
     counted = written(stats(docs), "quality")
     return judge(counted, cutoffs(counted, labels, alpha, delta))
+
+
+def good_of(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
+    """docs without the rows that the rules reject, whatever their ids; all columns as they are."""
+    bad = quality_rules(docs, labels, **limits).where(~F.col("kept")).select("row")
+    return rows_without(docs, written(bad, "quality-gone"), id_col, text_col)

@@ -29,3 +29,10 @@ def test_links_that_still_change_are_an_error(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(400)], "u long, v long").repartition(8)
     with pytest.raises(RuntimeError, match="raise rounds"):
         components(chain, rounds=1, most=0)
+
+
+def test_a_chain_over_many_partitions_is_whole_or_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(400)], "u long, v long").repartition(64)
+    with pytest.raises(RuntimeError, match="raise rounds"):
+        components(chain, rounds=2, most=0)
+    assert {r.component for r in components(chain, most=0).collect()} == {0}

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from quillspark.llm import near_dup
 
 
@@ -80,7 +82,7 @@ def test_links_between_blocks_of_a_large_node(spark):
 
 
 def test_a_leaf_whose_first_pair_between_two_components_fails(spark):
-    """One tree: 8 and 9 are linked by the large node's star; in their leaf the forest takes (8, 10), which is no link; (9, 10) is."""
+    """8 and 9 are linked by a large node's star; in their leaves the forest may take (8, 10), which is no link; (9, 10) is."""
     rng = random.Random(53)
     some = lambda n: ["".join(rng.choices("abcdefgh", k=5)) for _ in range(n)]
     common, own = some(120), some(80)
@@ -94,4 +96,33 @@ def test_a_leaf_whose_first_pair_between_two_components_fails(spark):
     rows = [(8 + k, " ".join(x)) for k, x in enumerate(texts + [common + some(80) for _ in range(7)])]
     want = brute(rows)
     assert [r[2] for r in want[:3]] == [8, 8, 8]
-    assert result(spark.createDataFrame(rows, "doc_id long, text string"), limit=7, trees=1, depth=3) == want
+    assert result(spark.createDataFrame(rows, "doc_id long, text string"), limit=7, trees=4, depth=3) == want
+
+
+def test_a_small_limit_loses_no_pair_of_a_node(spark):
+    """One tree without branching: 150 pairs under a frequent line; what its nodes hold is found whatever the limit."""
+    rng = random.Random(7)
+    some = lambda n: ["".join(rng.choices("abcdefgh", k=5)) for _ in range(n)]
+    common, rows = some(60), []
+    for _ in range(150):
+        own = some(60)
+        for v in range(2):
+            x = list(own)
+            x[rng.randrange(60)] = f"x{v}"
+            rows.append((len(rows), " ".join(common + x)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = result(df, limit=100_000, trees=1, depth=1)
+    assert result(df, limit=16, trees=1, depth=1) == whole
+    assert result(df) == brute(rows)
+    assert result(df, limit=16) == brute(rows)
+
+
+def test_one_row_of_each_group_stays(spark):
+    t = ["one two three four five six seven", "one two three four five six seven", "red blue green grey pink teal gold"]
+    rows = [(None, t[0], 1), (4, t[0], 2), (2, t[1], 3), (None, t[2], 4), (None, t[2], 5), (7, "other words stand in this text", 6), (7, "other words stand in this text", 7), (7, "and more words of another text", 8), (9, None, 9), (None, None, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").withColumn("_gone", F.lit(1)).withColumn("row_key", F.lit(1))
+    kept = near_dup.one_of_each(df)
+    assert kept.columns == df.columns
+    got = sorted(r.n for r in kept.collect())
+    assert [n for n in got if n < 4] == [3] and len({4, 5} & set(got)) == 1 and len({6, 7} & set(got)) == 1
+    assert {8, 9, 10} <= set(got) and len(got) == 6

@@ -3,6 +3,7 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quillspark.llm import decontam, licenses, queries, token_counts, warc
 from quillspark.llm.tokens import Encoder
@@ -57,10 +58,24 @@ def test_decontamination_odd_rows(spark, odd, empty):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "..."), (4, "same words here"), (5, "same words here")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontam.matches(odd, items).collect()} == {(4, 4), (4, 5), (5, 4), (5, 5)}
     assert decontam.matches(empty, items).count() == 0 and decontam.matches(odd, items.where("false")).count() == 0
-    kept = decontam.clean_of(odd, decontam.matches(odd, items))
+    kept = decontam.clean_of(odd, items)
     assert kept.columns == odd.columns and kept.count() == odd.count() - 3
 
 
+def test_rows_without_an_id_are_cleaned_and_names_may_clash(spark):
+    rows = [(None, "the whole test item is here as it was", 1), (None, "a clean text", 2), (3, "the whole test item is here as it was", 3), (3, "another text of this id", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_key int").withColumn("_hit", F.col("row_key"))
+    items = spark.createDataFrame([(1, "test item is here"), (2, "ean")], "item_id long, text string")
+    kept = decontam.clean_of(df, items)
+    assert kept.columns == df.columns and sorted(r.row_key for r in kept.collect()) == [2, 4]
+
+
+def test_short_items_must_stand_as_words(spark):
+    df = spark.createDataFrame([(1, "a party"), (2, "modern art"), (3, "Art."), (4, "an art party, art")], "doc_id long, text string")
+    got = decontam.matches(df, spark.createDataFrame([(1, "art")], "item_id long, text string"))
+    assert {(r.doc_id, r.start, r.end) for r in got.collect()} == {(2, 7, 10), (3, 0, 3), (4, 3, 6)}
+
+
 # WARC
 
 

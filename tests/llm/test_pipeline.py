@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quillspark.llm import decontam, quality
 
@@ -33,3 +35,19 @@ def test_odd_rows_pass_through_all_stages(spark, odd, empty):
         for _, stage in corpus_pipeline.STAGES:
             df = stage(spark, df, SF)
         df.count()
+
+
+def test_rows_without_an_id_and_repeated_rows_are_judged(spark, docs):
+    """Every stage decides on rows: copies of documents without an id, and rows that are equal, get what the documents get."""
+    rows = docs.orderBy("doc_id").limit(60)
+    more = rows.withColumn("doc_id", F.lit(None).cast("long")).unionByName(rows.limit(5)).withColumn("_gone", F.lit(1))
+    out = dict(corpus_pipeline.STAGES)
+    one = out["quality rules"](spark, more, SF)
+    alone = out["quality rules"](spark, rows, SF)
+    assert {r.text for r in one.collect()} == {r.text for r in alone.collect()} and one.columns == more.columns
+    two = out["near duplicates"](spark, one, SF)
+    texts = [r.text for r in two.collect()]
+    assert len(texts) == len(set(texts)) == out["near duplicates"](spark, alone, SF).count()
+    items = [decontam.normal(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    dirty = spark.createDataFrame([(None, "before " + items[0] + " after", 1), (1, "a clean one", 2)], "doc_id long, text string, _hit int")
+    assert [r._hit for r in out["decontamination"](spark, dirty, SF).collect()] == [2]
