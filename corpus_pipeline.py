@@ -1,8 +1,9 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
 STAGES are (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. Each stage works on all rows that the
-one before kept and all but the last return the columns of documents. Null ids, null or empty texts and repeated rows have the
-results that the operators state; a document whose quality is not judged (null text) fails the base rules and goes.
+one before kept and all but the last return the columns of documents. A stage decides on rows, by their id and text: rows without
+an id and other texts of an id are judged on their own, rows equal in both go or stay together and only one of them is left by the
+near-duplicate stage. A null or empty text fails the base rules and goes.
 """
 
 from __future__ import annotations
@@ -16,20 +17,17 @@ from quillspark.llm.common import written
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the certified cutoffs keep."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rows = quality.quality_rules(docs, labels)
-    gone = rows.where(~F.col("kept")).select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return quality.good_of(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id."""
-    return near_dup.one_of_each(docs, near_dup.groups(docs))
+    return near_dup.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
-    return decontam.clean_of(docs, decontam.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return decontam.clean_of(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
