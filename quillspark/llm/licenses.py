@@ -16,6 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Licence identifiers that a file may name in one line.
+SPDX_IDS = [
+    "Apache-2.0", "MIT", "MIT-0", "BSD-2-Clause", "BSD-3-Clause", "0BSD", "ISC", "Zlib", "Unlicense", "BSL-1.0", "MPL-2.0", "EPL-1.0", "EPL-2.0", "CC0-1.0", "CC-BY-4.0",
+    "CC-BY-SA-4.0", "CC-BY-NC-4.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later",
+    "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later",
+]
 # Known licence sentences (normalised regular expressions, whole sentence) by identifier.
 SENTENCES = {
     "ApacheGrant": r"(this (work|file|project|software) is )?licensed under the apache license,? version 2 0( the license)?",
@@ -26,12 +32,22 @@ SENTENCES = {
     "MITPermission": r"permission is hereby granted free of charge to any person obtaining a copy of this software.*",
     "MITNotice": r"the above copyright notice and this permission notice shall be included in all copies.*",
     "AsIs": r"the software is provided as is without warranty of any kind.*",
+    "ISCPermission": r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that .*",
+    "FreePermission": r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "ISCAsIs": r"the software is provided as is and the author disclaims all warranties.*",
+    "ZlibAsIs": r"this software is provided as is without any express or implied warranty.*",
+    "ZlibPermission": r"permission is granted to anyone to use this software for any purpose including commercial applications.*",
+    "Unencumbered": r"this is free and unencumbered software released into the public domain",
+    "BoostGrant": r"(distributed under the )?boost software license version 1 0.*",
+    "EPL1Grant": r"(this program and the accompanying materials|all rights reserved this program and the accompanying materials) are made available under the terms of the eclipse public license (v ?|version )?1 0.*",
+    "EPL2Grant": r"this program and the accompanying materials are made available under the terms of the eclipse public license (v ?|version )?2 0.*",
+    "AGPLGrant": r".*under the terms of the gnu affero general public license.*",
     "BSDRedistribution": r"redistribution and use in source and binary forms with or without modification are permitted.*",
     "BSDNoEndorse": r"neither the name of .* may be used to endorse or promote products.*",
     "GPL3Grant": r"this (work|program|software) is licensed under the gnu general public license,? version 3",
     "GPL2Grant": r"this (work|program|software) is licensed under the gnu general public license,? version 2",
     "GPLFree": r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license.*",
-    "GPLAnyLater": r"either version [23] of the license or at your option any later version.*",
+    "GPLAnyLater": r"either version (2|2 1|3) of the license or at your option any later version.*",
     "LGPLGrant": r".*under the terms of the gnu lesser general public license.*",
     "MPL2Grant": r"this source code form is subject to the terms of the mozilla public license v 2 0",
     "CCBYNC": r"(this work is )?licensed under (a )?(cc by nc|creative commons attribution noncommercial) 4 0( international)?( license)?",
@@ -39,7 +55,7 @@ SENTENCES = {
     "CCBY": r"(this work is )?licensed under (a )?(cc by|creative commons attribution) 4 0( international)?( license)?",
     "CC0": r"(this work is )?(released|dedicated) (in)?to the public domain.*|.*cc0 1 0.*",
     "AllRights": r"(copyright .*)?all rights reserved",
-}
+} | {f"SPDX:{i}": r"spdx license identifier " + i.lower().replace("-", " ").replace(".", " ") for i in SPDX_IDS}
 # Licence rules in the order they are tried: the identifiers that must follow each other, and the licence.
 RULES = [
     (("ApacheGrant", "ApacheTerms", "ApacheCopy", "AsIsApache"), "Apache-2.0"),
@@ -47,6 +63,18 @@ RULES = [
     (("BSDRedistribution", "BSDNoEndorse"), "BSD-3-Clause"),
     (("BSDRedistribution",), "BSD-2-Clause"),
     (("GPLFree", "GPLAnyLater"), "GPL-or-later"),
+    (("AGPLGrant", "GPLAnyLater"), "AGPL-or-later"),
+    (("LGPLGrant", "GPLAnyLater"), "LGPL-or-later"),
+    (("ISCPermission",), "ISC"),
+    (("FreePermission",), "0BSD"),
+    (("ZlibAsIs", "ZlibPermission"), "Zlib"),
+    (("ZlibPermission",), "Zlib"),
+    (("Unencumbered",), "Unlicense"),
+    (("BoostGrant",), "BSL-1.0"),
+    (("EPL2Grant",), "EPL-2.0"),
+    (("EPL1Grant",), "EPL-1.0"),
+    (("AGPLGrant",), "AGPL"),
+    (("GPLFree",), "GPL"),
     (("GPL3Grant",), "GPL-3.0-only"),
     (("GPL2Grant",), "GPL-2.0-only"),
     (("LGPLGrant",), "LGPL"),
@@ -59,11 +87,11 @@ RULES = [
     (("CCBY",), "CC-BY-4.0"),
     (("CC0",), "CC0-1.0"),
     (("AllRights",), "Proprietary"),
-]
+] + [((f"SPDX:{i}",), i) for i in SPDX_IDS]
 #: Without one of these no sentence above can match; a cheap test that spares most texts the cutting.
 _HINT = r"(?i)licen[sc]|permi(ssion|tted)|copyright|rights reserved|public domain|cc0|warrant|free software|later version|endorse|as is".replace(" ", r"[^\p{L}\p{N}]+(?:(?:dnl|rem)[ \t]+)?")
 #: Where a wrapped sentence may begin: the first words above, or what follows a leading ".*".
-_START = r"^(?:this|licensed|you|unless|released|distributed|permission|the|redistribution|neither|either|dedicated|copyright|all)\b|\b(?:under|cc0)\b"
+_START = r"^(?:this|spdx|boost|licensed|you|unless|released|distributed|permission|the|redistribution|neither|either|dedicated|copyright|all)\b|\b(?:under|cc0)\b"
 LINES = 8
 #: Sentence ends: not "v. 2.0", nor "free software; you can" and a blank line; a GPL text may go on with its version after a comma.
 _END = r"(?i)(?<=[.;!?])(?<!\bv\.)(?<!free[^\p{L}\p{N}]{1,8}software;)\s+|,(?=[^\p{L}\p{N}]+either[^\p{L}\p{N}]+version)|\n[^\p{L}\p{N}\n]*(?=\n)"
