@@ -8,8 +8,10 @@ the payload as rows (archive, record, chunk_no, payload) with the SHA-1 so far:
 Of records with equal payloads of at least 1000 bytes the one with the largest page id is the response, the others are revisits
 that refer to it. Equal payloads meet by digest in an aggregation (one row a digest and task, however many copies).
 
-Defined results. A null payload is empty. A null url is written without a target. Repeated page ids: each row gets a record.
-An empty table gives no archive rows and no pages. A record cut short raises when read.
+Defined results. A null payload is empty. A null url is written without a target. Repeated page ids: each row gets a record (rows
+with the largest id of equal payloads are all responses). A null page id is always a response and none refers to it. An empty table
+gives no archive rows and no pages. A record cut short, and one whose payload has not the length or digest of its header, raises
+when read.
 """
 
 from __future__ import annotations
@@ -35,9 +37,11 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bod
     url = F.col(url_col).cast("string") if url_col in pages.columns else F.lit(None).cast("string")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), F.encode(F.coalesce(F.col(body_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
+    # payloads too short for a revisit meet no others: each has a key of its own, so the many empty ones are not one key
+    rows = rows.withColumn("same", F.when(F.octet_length("payload") >= least, F.col("digest")).otherwise(F.concat(F.lit("short:"), F.coalesce(F.col("page_id").cast("string"), F.col("url"), F.lit("")))))
     first = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    rows = rows.join(first, "digest", "left")
-    return rows.withColumn("refers_to", F.when(F.col("kept") != F.col("page_id"), F.col("kept"))).drop("kept")
+    rows = rows.join(first.withColumnRenamed("digest", "same"), "same", "left")
+    return rows.withColumn("refers_to", F.when(F.col("kept") != F.col("page_id"), F.col("kept"))).drop("kept", "same")
 
 
 def header(page_id: int | None, url: str | None, n: int, digest: str, refers_to: int | None, stored: int) -> bytes:
@@ -109,7 +113,9 @@ class Record:
         f, self.no, self.done = self.fields, self.no + 1, last
         page, refers = (f.get(k, "")[len("<urn:page:") : -1] for k in ("warc-record-id", "warc-refers-to"))
         digest = f["warc-payload-digest"].removeprefix("sha1:")
-        ok = (f["warc-type"] == "revisit" or self.sha.hexdigest() == digest) if last else None
+        if last and f["warc-type"] != "revisit" and (self.sha.hexdigest() != digest or self.seen != int(f["x-payload-length"])):
+            raise ValueError(f"record {self.key} is damaged: its payload is not what its header says")
+        ok = True if last else None
         return (*self.key, self.no - 1, int(page) if page else None, f["warc-type"], int(refers) if refers else None, f.get("warc-target-uri"), data, digest if f["warc-type"] == "revisit" else self.sha.hexdigest(), int(f["x-payload-length"]), last, ok)
 
     def _take(self) -> Iterator[tuple]:
