@@ -4,8 +4,8 @@ Patterns find the protected entities (e-mail and IP addresses, card and phone nu
 disclose them: for a term t near an entity e, pointwise mutual information log2(n(t,e) N / (n(t) n(e))) is what t reveals of
 e, and log2(N / n(e)) all there is to reveal; their ratio is the disclosure. Terms over `remove` are removed and terms over
 `generalise` are generalised, wherever they stand in a text with that entity. Terms are lower-cased maximal runs of three
-letters or more; near means within REACH characters. n(t) counts all texts; n(e) and n(t, e) count different texts, and a
-pair must stand in `support` different surroundings, so copies of one passage prove nothing.
+letters or more; near means within REACH characters. N, n(t), n(e) and n(t, e) all count different texts, so copies of a text
+change nothing, and a pair must stand in `support` different surroundings, so neither do copies of one passage.
 
 Defined results. A null text is empty: no spans. Matches that fail their test (parts, digits, Luhn) are dropped without a
 retry. Offsets are code points. Repeated rows each get their row; equal texts get equal spans. Spans of different kinds may
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sized_join, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 REACH = 48
@@ -82,9 +82,13 @@ def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text", suppor
     near = written(_near(found, spans), "pii-near")
     pairs = near.groupBy("k", "v", "term").agg(F.count_distinct("h").alias("n_te"), F.count_distinct("around").alias("n_around")).where(F.col("n_around") >= support)
     n_e = spans.groupBy("k", "v").agg(F.count_distinct("h").alias("n_e"))
-    n = docs.count()
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(_TERM), F.lit(0)))).alias("term"))
-    n_t = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    t = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
+    copies = written(t.groupBy("h").agg(F.count(F.lit(1)).alias("c")), "pii-copies")
+    n = copies.count()
+    # each of c equal texts counts for 1 / c of one
+    rows = sized_join(t, copies.where("c > 1"), ["h"], max_rows=1_000_000).withColumn("share", 1 / F.coalesce("c", F.lit(1)))
+    words = rows.select("share", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(_TERM), F.lit(0)))).alias("term"))
+    n_t = words.groupBy("term").agg(F.round(F.sum("share")).alias("n_t"))
     rows = pairs.join(n_e, ["k", "v"]).join(n_t, "term")
     bits = F.log2(F.lit(float(max(2, n))) / F.col("n_e"))
     pmi = F.log2(F.col("n_te") * F.lit(float(max(2, n))) / (F.col("n_t") * F.col("n_e")))
