@@ -1,6 +1,6 @@
 """Mixture-controlled packing: deficit round robin over source queues fills every window to the target token proportions.
 
-Documents are tokenised once into a table, dealt over parts by a hash of their id (so every part holds a slice of every source,
+Documents are tokenised once into a table, dealt over parts source by source in turn (so every part holds an even slice of every source,
 a hot one too), and each part is packed on its own: a window adds share * window to each source's deficit, sources with a
 deficit of at least `grain` are served in turn, and what is left of the window goes to the largest deficits. Deficits carry
 over from window to window. From part to part they carry too: what the earlier parts owe or are ahead for a source follows
@@ -30,22 +30,28 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def token_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", end_id: int = 0) -> DataFrame:
-    """(id, source, n_tokens, ids) of every whole text, the end id included; ids are little-endian 16-bit numbers."""
+    """(id, source, n_tokens, ids, turn) of every whole text, the end id included; ids are little-endian 16-bit numbers, and turn numbers
+    the texts of a source within a task from a place of their own, whatever their ids."""
     source = F.coalesce(F.col(source_col).cast("string"), F.lit("")) if source_col in docs.columns else F.lit("")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), source.alias("source"), F.col(text_col).cast("string").alias("text"))
-    schema = "id long, source string, n_tokens long, ids binary"
+    schema = "id long, source string, n_tokens long, ids binary, turn long"
     shape, end = to_arrow(schema, docs.sparkSession), int(end_id)
 
     def run(batches):
-        enc = encoder()
+        from pyspark import TaskContext
+
+        enc, task, turns = encoder(), TaskContext.get().partitionId(), {}
         for b in batches:
             for a in range(0, b.num_rows, 500):  # small batches out: ids of a few hundred documents at a time
-                part, ids = b.slice(a, 500), []
+                part, ids, turn = b.slice(a, 500), [], []
                 for t in part.column("text").to_pylist():
                     x = enc.ids(t)
                     x.append(end)
                     ids.append(x.tobytes())
-                yield pa.RecordBatch.from_pydict({"id": part.column("id"), "source": part.column("source"), "n_tokens": [len(x) // 2 for x in ids], "ids": ids}, schema=shape)
+                for s in part.column("source").to_pylist():
+                    turns[s] = turns.get(s, zlib.crc32(f"{task} {s}".encode())) + 1
+                    turn.append(turns[s])
+                yield pa.RecordBatch.from_pydict({"turn": turn, "id": part.column("id"), "source": part.column("source"), "n_tokens": [len(x) // 2 for x in ids], "ids": ids}, schema=shape)
 
     return rows.mapInArrow(run, schema)
 
@@ -107,11 +113,11 @@ def _cut(windows: Iterator[list], window: int) -> Iterator[list]:
             yield seq
 
 
-def pack(tokens: DataFrame, window: int = 1024, grain: int = 64, part_tokens: int = 4 << 20, targets: DataFrame | None = None) -> DataFrame:
+def pack(tokens: DataFrame, window: int = 1024, grain: int = 64, part_tokens: int = 1 << 20, targets: DataFrame | None = None) -> DataFrame:
     """Pieces (PIECE) of token_table()'s rows. targets: (source, share); sources without a row get 0."""
     total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
     parts = max(1, -(-total // part_tokens))
-    tokens = tokens.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    tokens = tokens.withColumn("part", F.pmod("turn", F.lit(parts)).cast("int"))
     have = written(tokens.groupBy("part", "source").agg(F.sum("n_tokens").alias("have")), "packing-totals")
     if targets is None:
         targets = have.groupBy("source").agg((F.sum("have") / F.lit(max(1, total))).alias("share"))
