@@ -108,9 +108,10 @@ def n_blocks(df: DataFrame, block_bytes: int) -> int:
     return max(1, -(-total // block_bytes))
 
 
-def block_of(n: int, key: str = "id") -> Column:
-    """The block of a row, from its id alone: the same in every pass, whatever executor is lost in between."""
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
+def block_of(n: int, *keys: str) -> Column:
+    """The block of a row, from its id and text alone: the same in every pass, whatever executor is lost in between; rows without an
+    id, and those that share one, are dealt like all others."""
+    return F.pmod(F.xxhash64(*(keys or ("id", "text"))), F.lit(n)).cast("int")
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:
@@ -155,6 +156,15 @@ def unpacked_keys(data) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
+def packed_counts(counts: np.ndarray) -> bytes:
+    """64-bit counts byte plane by byte plane: the high planes are all zeros and compress away."""
+    return counts.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked_counts(data) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
 def bits_for(bytes_total: int, each: int = 16 << 20) -> int:
     """Bits of a key that choose its bucket, so that a bucket holds about `each` of bytes_total."""
     return max(3, int(max(1, bytes_total / each) - 1).bit_length())

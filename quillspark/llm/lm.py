@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bits_for, block_of, by_bucket, id_text, n_blocks, packed_keys, splitmix, to_arrow, unpacked_keys, written
+from .common import bits_for, block_of, by_bucket, id_text, n_blocks, packed_counts, packed_keys, splitmix, to_arrow, unpacked_counts, unpacked_keys, written
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _SENT = "n int, bucket int, block int, keys binary, counts binary"
@@ -171,10 +171,9 @@ def model_scores(docs: DataFrame, order: int = 2, mu: float = 400.0, id_col: str
         kinds, index = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.zeros(len(kinds), np.int64)
         np.add.at(totals, index, counts)
-        totals = np.minimum(totals, 2**32 - 1).astype("<u4")
         each, at, out = totals[index], 0, []
         for k in keys:
-            out.append(each[at : at + len(k)].tobytes())
+            out.append(packed_counts(each[at : at + len(k)]))
             at += len(k)
         none = [0] * (len(keys) - 1)
         return pa.table([t.column("n"), t.column("bucket"), t.column("block"), pa.array(out, pa.binary()), pa.array([int((totals > 0).sum()), *none], pa.int64()), pa.array([int(counts.sum(dtype=np.int64)), *none], pa.int64())], schema=answer_shape)
@@ -189,7 +188,7 @@ def model_scores(docs: DataFrame, order: int = 2, mu: float = 400.0, id_col: str
         a = a.sort_by([("n", "ascending"), ("bucket", "ascending")])
         of = a.column("n").to_numpy()
         data = a.column("totals").to_pylist()
-        totals = [np.frombuffer(b"".join(d for d, k in zip(data, of) if k == n), "<u4") for n in range(1, order + 1)]
+        totals = [np.concatenate([np.zeros(0, np.int64), *(unpacked_counts(d) for d, k in zip(data, of) if k == n)]) for n in range(1, order + 1)]
         scores = Automaton(block, totals, n_tokens, n_types, mu).scores(block)
         real = block.place > 0
         c = totals[0][block.index[0][real]]
