@@ -7,8 +7,8 @@ have equal anchors, so equal windows meet wherever pieces with the same anchor m
 1. Each block of documents sends the different anchors of its texts to buckets by hash; a bucket tells the blocks which anchors
    other blocks have too.
 2. Each block sends the pieces of anchors that occur more than once, each different piece once, with its least document; equal
-   pieces of larger documents are settled on the spot. A bucket sorts the suffixes of the pieces it got (the windows), and
-   groups of equal ones name the least document of each window: what of each piece is to go follows from that.
+   pieces of larger documents in the block are settled on the spot. A bucket sorts the suffixes of all the pieces it got (the
+   windows), and groups of equal ones name the least document of each window: what of each piece is to go follows from that.
 3. Each block cuts the texts.
 
 Anchors found in more than `hot` blocks are dealt window by window, by a hash of the window, so no bucket takes in all
@@ -170,7 +170,6 @@ def _settle(t: pa.Table) -> tuple[np.ndarray, ...]:
     """(block, id, row, at, end) of what is to go, from the pieces of a bucket."""
     ids, rows, at, size, place = (_column(t, c, k) for c, k in (("ids", "<i8"), ("rows", "<i4"), ("at", "<u4"), ("sizes", "u1"), ("anchors", "u1")))
     at, size, each = at.astype(np.int64), size.astype(np.int64), [len(x.as_buffer()) for x in t.column("sizes")]
-    ends = at + size
     block = np.repeat(t.column("block").to_numpy(), each)
     bytes_of = np.add.reduceat(size, np.cumsum([0, *each[:-1]])).tolist()
     data = b"".join([*(pa.decompress(x.as_buffer(), n, "zstd", asbytes=True) for x, n in zip(t.column("data"), bytes_of)), bytes(LENGTH + 16)])
@@ -178,44 +177,25 @@ def _settle(t: pa.Table) -> tuple[np.ndarray, ...]:
     words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
     anchor = first + np.where(place == _ALONE, 0, place)
     key = splitmix(words[anchor]) * np.uint64(3) + splitmix(words[anchor + 8]) * np.uint64(5) + splitmix(words[anchor + 16])
-    # equal pieces are one piece with the least of their documents
-    number: dict[bytes, int] = {}
-    piece = np.array([number.setdefault(data[a : a + n], len(number)) for a, n in zip(first.tolist(), size.tolist())], np.int64)
-    n = len(number)
-    one = np.zeros(n, np.int64)
-    one[piece[::-1]] = np.arange(len(piece))[::-1]
-    least = np.full(n, np.iinfo(np.int64).max)
-    np.minimum.at(least, piece, ids)
-    # suffixes of the pieces whose anchor has several: each window of each
-    _, a_index, a_count = np.unique(key[one], return_inverse=True, return_counts=True)
-    multi = np.flatnonzero((a_count[a_index] > 1) & (place[one] != _ALONE))
-    windows = size[one[multi]] - LENGTH + 1
-    base = np.cumsum(windows) - windows
+    # the suffixes of all pieces whose anchor has several
+    _, a_index, a_count = np.unique(key, return_inverse=True, return_counts=True)
+    multi = np.flatnonzero(a_count[a_index] > 1)
+    windows = size[multi] - LENGTH + 1
     owner = np.repeat(multi, windows)
-    start = np.repeat(first[one[multi]] - base, windows) + np.arange(int(windows.sum()))
-    order, group = sort_suffixes(np.frombuffer(data, np.uint8), start, LENGTH)
+    step = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+    order, group = sort_suffixes(np.frombuffer(data, np.uint8), first[owner] + step, LENGTH)
     low = np.full(int(group[-1]) + 1 if len(group) else 0, np.iinfo(np.int64).max)
-    np.minimum.at(low, group, least[owner[order]])
-    window_least = np.empty(len(start), np.int64)
-    window_least[order] = low[group]
-    window_base = np.full(n, -1, np.int64)
-    window_base[multi] = base
-    whole = least[piece] < ids
-    w = np.flatnonzero(whole)
-    out = [(block[w], ids[w], rows[w], at[w], ends[w])]
-    p = np.flatnonzero(~whole & (window_base[piece] >= 0))
-    if len(p):
-        count = size[p] - LENGTH + 1
-        entry = np.repeat(p, count)
-        place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        hit = window_least[window_base[piece[entry]] + place] < ids[entry]
-        entry, place = entry[hit], place[hit]
-        if len(entry):
-            new = np.concatenate([[True], (entry[1:] != entry[:-1]) | (place[1:] != place[:-1] + 1)])
-            last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(entry) - 1]])
-            e = entry[new]
-            out.append((block[e], ids[e], rows[e], at[e] + place[new], at[e] + place[last] + LENGTH))
-    return tuple(np.concatenate(x) for x in zip(*out))
+    np.minimum.at(low, group, ids[owner[order]])
+    least = np.empty(len(owner), np.int64)
+    least[order] = low[group]
+    hit = least < ids[owner]
+    entry, step = owner[hit], step[hit]
+    if not len(entry):
+        return tuple(np.zeros(0, k) for k in (block.dtype, np.int64, "<i4", np.int64, np.int64))
+    new = np.concatenate([[True], (entry[1:] != entry[:-1]) | (step[1:] != step[:-1] + 1)])
+    last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(entry) - 1]])
+    e = entry[new]
+    return block[e], ids[e], rows[e], at[e] + step[new], at[e] + step[last] + LENGTH
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20, hot: int = 64) -> DataFrame:
