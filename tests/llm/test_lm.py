@@ -59,3 +59,12 @@ def test_odd_rows(odd, empty):
     want = sorted(map(str, ((r[0], r[1], r[2], r[3], r[4], round(r[5], 4), round(r[6], 4)) for r in brute([(r.doc_id, r.text) for r in odd.collect()], 2, 400.0))))
     got = sorted(map(str, ((*r[:5], round(r[5], 4), round(r[6], 4)) for r in lm.model_scores(odd).collect())))
     assert got == want
+
+
+def test_counts_beyond_32_bits_stay_whole():
+    import numpy as np
+
+    from quillspark.llm.common import packed_counts, unpacked_counts
+
+    counts = np.array([0, 1, 2**32 - 1, 2**32, 3 * 10**12, 2**62], np.int64)
+    assert unpacked_counts(packed_counts(counts)).tolist() == counts.tolist()

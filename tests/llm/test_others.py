@@ -1,6 +1,11 @@
+import gzip
 import hashlib
 import random
+import re
+import textwrap
+import zlib
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -96,6 +101,18 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.where("false")).count() == 0
 
 
+def test_damaged_archives_and_awkward_ids(spark):
+    pages = [(None, "u", "y" * 3000), (4, "u", "y" * 3000), (4, "u", "y" * 3000), (2, "u", "y" * 3000), (None, None, None), (7, "u", "z" * 5000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = sorted((str(r.page_id), r.record_type, r.refers_to) for r in warc.round_trip(df).collect())
+    assert got == [("2", "revisit", 4), ("4", "response", None), ("4", "response", None), ("7", "response", None), ("None", "response", None), ("None", "response", None)]
+    blocks = warc.write_archives(df.where("page_id = 7"))
+    whole = zlib.decompress(bytes(blocks.collect()[0].data), 31)
+    spoilt = spark.createDataFrame([(0, 0, 0, gzip.compress(whole.replace(b"zzz", b"zyz", 1)))], warc.BLOCKS)
+    with pytest.raises(Exception, match="damaged"):
+        warc.read_archives(spoilt).collect()
+
+
 # licences
 
 
@@ -158,7 +175,7 @@ file, You can obtain one at http://mozilla.org/MPL/2.0/."""
 
 
 def test_licences_wrapped_as_published(spark):
-    texts = {"MIT": (3, MIT), "BSD-3-Clause": (2, BSD), "GPL-or-later": (2, GPL3), "LGPL": (1, LGPL), "Apache-2.0": (4, APACHE), "MPL-2.0": (1, MPL)}
+    texts = {"MIT": (3, MIT), "BSD-3-Clause": (2, BSD), "GPL-or-later": (2, GPL3), "LGPL-or-later": (2, LGPL), "Apache-2.0": (4, APACHE), "MPL-2.0": (1, MPL)}
     rows, want = [], []
     for licence, (n, t) in [*texts.items(), ("GPL-or-later", (2, GPL2)), ("CC0-1.0", (1, "Released to the public\ndomain by me"))]:
         marked = ["\n".join((mark + line).rstrip() for line in t.split("\n")) for mark in ("# ", " * ", "// ", "dnl ", "REM ")]
@@ -169,6 +186,60 @@ def test_licences_wrapped_as_published(spark):
     assert [(rows[r.doc_id][1], (r.n_known, r.license)) for r in got] == [(rows[i][1], w) for i, w in enumerate(want)]
 
 
+#: Texts of licences, as published, with the licence and the number of sentences that the rules know.
+TEXTS = [
+    ("ISC", 2, "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE."),
+    ("0BSD", 2, "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE."),
+    ("Zlib", 2, "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("Unlicense", 1, "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software."),
+    ("BSL-1.0", 1, "Distributed under the Boost Software License, Version 1.0. (See accompanying file or a copy at the site.)"),
+    ("EPL-2.0", 1, "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at http://www.eclipse.org/legal/epl-2.0"),
+    ("EPL-1.0", 1, "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution."),
+    ("AGPL-or-later", 2, "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-or-later", 2, GPL3.replace("\n", " ")),
+    ("LGPL-or-later", 2, LGPL.replace("\n", " ")),
+    ("MIT", 3, MIT.replace("\n\n", "\0").replace("\n", " ").replace("\0", "\n\n")),
+    ("MPL-2.0", 1, MPL.replace("\n", " ")),
+    ("Apache-2.0", 4, APACHE),
+    ("GPL-2.0-only", 1, "SPDX-License-Identifier: GPL-2.0-only"),
+    ("MIT", 1, "SPDX-License-Identifier: MIT"),
+    ("AGPL-3.0-or-later", 1, "SPDX-License-Identifier: AGPL-3.0-or-later"),
+]
+
+
+def plain_match(sentences):
+    """(known, licence) of whole sentences given one by one: each against every pattern, then the rules in turn."""
+    known = []
+    for s in sentences:
+        s = re.sub(r"[\W_]+", " ", s.lower()).strip()
+        known += [n for n, p in licenses.SENTENCES.items() if re.fullmatch(p.replace(",?", ""), s)][:1]
+    left, found = list(known), []
+    for names, licence in licenses.RULES:
+        k = 0
+        while k + len(names) <= len(left):
+            if tuple(left[k : k + len(names)]) == names:
+                left[k : k + len(names)] = []
+                if licence not in found:
+                    found.append(licence)
+            else:
+                k += 1
+    return len(known), " AND ".join(found) if found else "unknown" if known else "none"
+
+
+def test_licence_texts_against_a_plain_matcher(spark):
+    rows, want = [], []
+    for licence, n, t in TEXTS:
+        cut = [s for p in re.split(r"\n\s*\n", t) for s in re.split(r"(?<=[.!?])(?<!v\.)\s+|(?<=[a-z\)\"];)\s+(?=you may|either)|,(?= either version)|\n(?=You may)", p)]
+        cut = [x for s in cut for x in ([s] if "free software; you" not in s else re.split(r"; (?=either)", s))]
+        assert plain_match([re.sub(r"\s+", " ", s) for s in cut]) == (n, licence), (licence, plain_match(cut))
+        for x in (t, textwrap.fill(t, 70) if "\n" not in t else "\n".join(textwrap.fill(p, 70) for p in t.split("\n"))):
+            rows += [(len(rows), x), (len(rows) + 1, "Some words before it.\n\n" + x.replace("\n", "\n# ") + "\n\nint main() {}")]
+            want += [(n, licence)] * 2
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(rows[r.doc_id][1], (r.n_known, r.license)) for r in got] == [(rows[i][1], w) for i, w in enumerate(want)]
+    assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_licence_lines_of_the_corpus(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = docs.join(queries.op2_license_scan(spark, "/root/testdata/sf0.01"), "doc_id").select("text", "license").collect()
