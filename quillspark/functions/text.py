@@ -23,6 +23,22 @@ SINGLE_QUOTES = "\u0027\u2018\u2019\u201a\u201b\u2039\u203a\u275b\u275c\u300c\u3
 # Signs of an academic text, case ignored.
 ACADEMIC = [r"\$\$.*?\$\$", r"\$\\mu\$", r"\\rho", r"\\frac\{", r"\\sum", r"\\int", r"\\sigma", r"\d+(\.\d+){2,}\s+", r"\b(Abstract|Introduction|Conclusion|References|Bibliography|Section|Chapter)\b", r"\b(FFP|FP|lambda|functional programming|metacomposition|cell|fetch)\b", r"<[A-Z]+,\s*[a-z]", r"\$\d+\$", r"\^\d+\^"]
 
+# Names and codes of the states in an address line.
+STATES = [
+    "Alabama", "Alaska", "Arizona", "Arkansas", "California", "Colorado", "Connecticut", "Delaware", "Florida", "Georgia", "Hawaii", "Idaho", "Illinois",
+    "Indiana", "Iowa", "Kansas", "Kentucky", "Louisiana", "Maine", "Maryland", "Massachusetts", "Michigan", "Minnesota", "Mississippi", "Missouri", "Montana",
+    "Nebraska", "Nevada", "New Hampshire", "New Jersey", "New Mexico", "New York", "North Carolina", "North Dakota", "Ohio", "Oklahoma", "Oregon",
+    "Pennsylvania", "Rhode Island", "South Carolina", "South Dakota", "Tennessee", "Texas", "Utah", "Vermont", "Virginia", "Washington", "West Virginia",
+    "Wisconsin", "Wyoming",
+]
+STATE_CODES = "AL|AK|AS|AZ|AR|CA|CO|CT|DE|DC|FM|FL|GA|GU|HI|ID|IL|IN|IA|KS|KY|LA|ME|MH|MD|MA|MI|MN|MS|MO|MT|NE|NV|NH|NJ|NM|NY|NC|ND|MP|OH|OK|OR|PW|PA|PR|RI|SC|SD|TN|TX|UT|VT|VI|VA|WA|WV|WI|WY"
+#: An address line: up to five words, a comma, a state and a five-digit code.
+CITY_STATE_ZIP = r"(?i)^(?:[a-z][a-z.-]{1,15} ?){1,5},\s?(?:" + "|".join(STATES) + "|" + STATE_CODES + r")(?:, |\s)?[0-9]{5}(?:-[0-9]{4})?\b"
+# A phone number at the end of a text.
+PHONE_AT_END = r"(?:\+?(\d{1,3}))?[-. (]*(\d{3})?[-. )]*(\d{3})[-. ]*(\d{4})(?: *x(\d+))?\s*$"
+#: Verbs told by form: auxiliaries, and endings that few other words have (a part-of-speech tagger is not built).
+VERB = r"(?i)\b(?:is|are|was|were|be|been|am|has|have|had|do|does|did|can|could|will|would|shall|should|may|might|must|[a-z]{2,}(?:ed|ing|ify|ize|ise))\b"
+
 _CLASS = "[" + "".join("\\" + c if c in "-*" else c for c in BULLETS) + "]"
 
 
@@ -96,11 +112,15 @@ def strip_tags(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"(?is)<script[^>]*>.*?</script>", " "), r"(?is)<style[^>]*>.*?</style>", " "), r"<[^>]+>", " ")
 
 
+# Where a stray # stands for a mu, and what the place becomes, in the order the rules are applied. (Rules for #(x:y) and
+# #(<...>) have nothing left to match once any #( is replaced.)
+MU_PLACES = [(r"\\#", "{mu}"), (r"#\s*\(", "{mu}("), (r"(?i)#([a-z])\s*=", "{mu}$1 ="), (r"#\s*<", "{mu}<"), (r"(?i)(p)#([a-z])", "$1{mu}$2")]
+
+
 def repair_math(c: Column) -> Column:
     """A stray # before a bracket or a variable is a mu."""
-    mu = r"\$\\mu\$"
-    for pattern, to in ((r"\\#", mu), (r"#\s*\(", mu + "("), (r"(?i)#([a-z])\s*=", mu + "$1 ="), (r"#\s*<", mu + "<"), (r"(?i)(p)#([a-z])", "$1" + mu + "$2")):
-        c = F.regexp_replace(c, pattern, to)
+    for pattern, to in MU_PLACES:
+        c = F.regexp_replace(c, pattern, to.replace("{mu}", r"\$\\mu\$"))
     return c
 
 
@@ -242,9 +262,32 @@ def is_narrative(c: Column) -> Column:
     return ~t.rlike(r"^\d+$") & (t != "") & ~exceeds_cap_ratio(t) & ~under_non_alpha(t) & (sentence_count(t) >= 2)
 
 
-def element_type(c: Column) -> Column:
-    """The type of a text block; the first test that holds decides."""
-    return F.when(is_bulleted(c), "ListItem").when(is_email(c), "EmailAddress").when(is_numbered(c), "ListItem").when(is_narrative(c), "NarrativeText").when(is_title(c), "Title").otherwise("Text")
+def is_city_state_zip(c: Column) -> Column:
+    return strip(c).rlike(CITY_STATE_ZIP)
+
+
+def has_phone(c: Column) -> Column:
+    return strip(c).rlike(PHONE_AT_END)
+
+
+def has_verb(c: Column) -> Column:
+    return c.rlike(VERB)
+
+
+def has_word_of(c: Column, words: list[str]) -> Column:
+    """Whether one of the words (lower case) is in the text, punctuation off."""
+    return F.arrays_overlap(F.split(drop_punctuation(F.lower(c)), r"\s+"), F.array(*map(F.lit, words)))
+
+
+def page_part(top: Column, bottom: Column, height: Column, header: float = 0.07, footer: float = 0.93) -> Column:
+    """Header or Footer for a block that lies in the margins of its page, else null."""
+    return F.when(bottom / height <= header, "Header").when(top / height >= footer, "Footer")
+
+
+def element_type(c: Column, part: Column | None = None) -> Column:
+    """The type of a text block; the first test that holds decides. part: see page_part()."""
+    first = F.when(F.lit(False), "") if part is None else F.when(part.isNotNull(), part)
+    return first.when(is_bulleted(c), "ListItem").when(is_email(c), "EmailAddress").when(is_city_state_zip(c), "Address").when(is_numbered(c), "ListItem").when(is_narrative(c), "NarrativeText").when(is_title(c), "Title").otherwise("Text")
 
 
 def store_text(title: Column, content: Column, keywords: Column) -> Column:
@@ -268,10 +311,15 @@ def display_title(title: Column, text: Column) -> Column:
     return F.when(F.coalesce(strip(title), F.lit("")) != "", title).otherwise(F.concat(F.substring(text, 1, 60), F.lit("...")))
 
 
+def display_source(source: Column) -> Column:
+    return shortened(source, 40, 37)
+
+
 def approx_page(place: Column, total: Column, pages: int = 30) -> Column:
     return F.greatest(F.lit(1), F.floor(place / F.greatest(total, F.lit(1)) * pages)).cast("int")
 
 
+# The patterns below are fixed values.
 def promoted_heading(c: Column) -> Column:
     """A heading from the first 1000 characters, or the empty string."""
     p = F.substring(c, 1, 1000)

@@ -29,8 +29,24 @@ TOPIC_RULES = {
     "Demo": ["demo", "example", "sample", "tutorial"],
 }
 # Words that are no keywords, and words of the trade that are.
-STOPWORDS = "the and for are you your this that with from into onto over under through between among without within upon than but or so yet because while if when though although unless until since as".split()
-DOMAIN_WORDS = "printer scanner document network wireless usb wi-fi ethernet software driver settings paper cartridge ink toner control panel display button menu option feature function system device installation setup configuration connection interface memory storage data file folder image text table page format size quality speed performance support help guide manual troubleshoot error problem solution warning caution note".split()
+STOPWORDS = [
+    "the", "and", "for", "are", "you", "your", "this", "that", "with", "from", "into", "onto", "over", "under", "through", "between", "among", "without",
+    "within", "upon", "than", "but", "or", "so", "yet", "because", "while", "if", "when", "though", "although", "unless", "until", "since", "as",
+]
+# More words that open a sentence without being its subject.
+OPENERS = [
+    "which", "who", "whom", "whose", "what", "where", "why", "how", "is", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did",
+    "will", "would", "could", "should", "may", "might", "must", "shall", "can", "need", "dare", "ought", "used", "to", "of", "in", "on", "at", "by", "during",
+    "before", "after", "above", "below", "again", "further", "then", "once", "here", "there", "all", "each", "few", "more", "most", "other", "some", "such",
+    "no", "nor", "not", "only", "own", "same", "too", "very", "just", "these", "those", "i", "he", "she", "it", "we", "they",
+]
+DOMAIN_WORDS = [
+    "printer", "scanner", "document", "network", "wireless", "usb", "wi-fi", "ethernet", "software", "driver", "settings", "paper", "cartridge",
+    "ink", "toner", "control", "panel", "display", "button", "menu", "option", "feature", "function", "system", "device", "installation", "setup",
+    "configuration", "connection", "interface", "memory", "storage", "data", "file", "folder", "image", "text", "table", "page", "format", "size",
+    "quality", "speed", "performance", "support", "help", "guide", "manual", "troubleshoot", "error", "problem", "solution", "warning", "caution",
+    "note",
+]
 
 _NUMBERED = r"(?:^|\n)[\s*•\-]*\d+\."
 
@@ -120,13 +136,13 @@ def keywords(text: Column, most: int = 8) -> Column:
     ignored) once; three characters at least."""
     t = F.regexp_replace(text, r"[<>{}\[\]\\|]", " ")
     found = lambda p, g=0: F.regexp_extract_all(t, F.lit(p), F.lit(g))
-    stop = F.array(*map(F.lit, STOPWORDS))
+    stop, opening = F.array(*map(F.lit, STOPWORDS)), F.array(*map(F.lit, STOPWORDS + OPENERS))
     capitals = F.slice(F.array_distinct(found(r"\b[A-Z]{3,}\b")), 1, 4)
-    starts = F.slice(F.filter(found(r"(?:^|\n|\.\s|:\s)([A-Z][a-zA-Z]{2,})", 1), lambda w: ~F.array_contains(stop, F.lower(w))), 1, 4)
+    starts = F.slice(F.filter(found(r"(?:^|\n|\.\s|:\s)([A-Z][a-zA-Z]{2,})", 1), lambda w: ~F.array_contains(opening, F.lower(w))), 1, 4)
     steps = F.slice(found(r"(?i)\b(?:Step|Phase|Chapter|Section)\s+\d+\b"), 1, 2)
     quoted = F.slice(found('"([^"]{3,30})"', 1), 1, 2)
     domain = F.slice(F.transform(found(r"(?i)\b(?:" + "|".join(DOMAIN_WORDS) + r")\b"), F.lower), 1, 3)
-    every = F.filter(F.transform(F.concat(capitals, starts, steps, quoted, domain), F.trim), lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, F.lower(w)))
+    every = F.filter(F.transform(F.concat(capitals, starts, steps, quoted, domain), lambda w: F.trim(w)), lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, F.lower(w)))
     once = F.filter(every, lambda w, i: F.array_position(F.transform(every, F.lower), F.lower(w)) == i + 1)
     return F.slice(once, 1, most)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,17 +115,64 @@ def apply_results(entries: DataFrame, results: DataFrame, on: str = "id") -> Dat
     return rows.withColumns({"changed": new != F.col("type"), "llm_type": F.col("_r.llm_type"), "llm_confidence": F.col("_r.llm_confidence"), "type": new}).drop("_r")
 
 
-def llm_batches(df: DataFrame, size: int = 5, id_col: str = "id") -> DataFrame:
-    """(batch, ids, items) of `size` entries each, in order of id.
+def numbered(df: DataFrame, *by: str, out: str = "number") -> DataFrame:
+    """df with 0, 1, 2 ... in order of the columns.
+
+    In two steps, within ranges of rows and then over the ranges (a row each), so no task takes in all rows."""
+    ranged = df.repartitionByRange(*by).withColumn("_p", F.spark_partition_id())
+    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    base = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(*by)) - 1
+    return ranged.withColumn("_r", own).join(F.broadcast(base), "_p").withColumn(out, (F.col("_base") + F.col("_r")).cast("long")).drop("_p", "_r", "_base")
 
-    Numbered in two steps, within ranges of ids and then over the ranges, so no task takes in all entries."""
+
+def llm_batches(df: DataFrame, size: int = 5, id_col: str = "id") -> DataFrame:
+    """(batch, ids, items) of `size` entries each, in order of id."""
     rows = df.select(F.col(id_col).alias("id"), F.struct(F.col(id_col).alias("id"), F.substring("title", 1, 100).alias("title"), F.substring("content", 1, 300).alias("content")).alias("item"))
-    ranged = rows.repartitionByRange("id").withColumn("p", F.spark_partition_id())
-    sizes = ranged.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    base = sizes.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    own = F.row_number().over(Window.partitionBy("p").orderBy("id")) - 1
-    numbered = ranged.withColumn("r", own).join(F.broadcast(base), "p").withColumn("batch", F.floor((F.col("base") + F.col("r")) / size))
-    return numbered.groupBy("batch").agg(F.transform(F.array_sort(F.collect_list("item")), lambda x: x["id"]).alias("ids"), F.array_sort(F.collect_list("item")).alias("items"))
+    rows = numbered(rows, "id").withColumn("batch", F.floor(F.col("number") / size))
+    return rows.groupBy("batch").agg(F.transform(F.array_sort(F.collect_list("item")), lambda x: x["id"]).alias("ids"), F.array_sort(F.collect_list("item")).alias("items"))
+
+
+def prompts(batches: DataFrame) -> DataFrame:
+    """(batch, ids, prompt): what a model is asked about each of llm_batches()."""
+    item = lambda x, i: F.concat(F.lit("Entry "), i.cast("string"), F.lit("\nTitle: "), F.coalesce(x["title"], F.lit("")), F.lit("\nContent: "), F.coalesce(x["content"], F.lit("")))
+    head = F.lit(f"Give each entry one type of {', '.join(TYPES)}, keywords and a confidence, as a JSON list in the order of the entries.\n\n")
+    return batches.select("batch", "ids", F.concat(head, F.array_join(F.transform("items", item), "\n\n")).alias("prompt"))
+
+
+def ask(asked: DataFrame, call: Callable[[list[str]], list[str]]) -> DataFrame:
+    """(batch, ids, answer): call takes the prompts of an Arrow batch and gives as many answers; it runs on the executors, and what it
+    raises fails the task."""
+    kind = asked.schema["ids"].dataType.simpleString()
+
+    def run(parts):
+        for p in parts:
+            got = list(call(p["prompt"].tolist()))
+            if len(got) != len(p):
+                raise ValueError(f"{len(p)} prompts gave {len(got)} answers")
+            yield p[["batch", "ids"]].assign(answer=got)
+
+    return asked.mapInPandas(run, f"batch long, ids {kind}, answer string")
+
+
+def batch_results(answers: DataFrame) -> DataFrame:
+    """(id, llm_type, llm_confidence) from (batch, ids, answer): the answers of a batch are matched with its ids by their place; what
+    is no JSON list, and places beyond the ids, count for nothing."""
+    body = F.regexp_extract(F.regexp_replace("answer", "```(?:json)?", ""), r"(?s)(\[.*\])", 1)
+    rows = answers.select("ids", F.posexplode(F.from_json(body, "array<struct<type:string,confidence:double>>")).alias("i", "x"))
+    return rows.where(F.col("i") < F.size("ids")).select(F.get("ids", F.col("i")).alias("id"), F.col("x.type").alias("llm_type"), F.col("x.confidence").alias("llm_confidence"))
+
+
+def filter_types(df: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, kind: str = "type") -> DataFrame:
+    """Elements of the included types, or without the excluded ones; exactly one list is given."""
+    if (include is None) == (exclude is None):
+        raise ValueError("give either include or exclude")
+    return df.where(F.col(kind).isin(*include) if include is not None else ~F.col(kind).isin(*exclude))
+
+
+def random_ids(df: DataFrame, out: str = "id") -> DataFrame:
+    """df with a random UUID a row. Drawn anew whenever the plan runs: write the result before the ids are used twice."""
+    return df.withColumn(out, F.uuid())
 
 
 def delete_where(df: DataFrame, company: str | None = None, topic: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -215,6 +264,7 @@ def clean_report(df: DataFrame, steps: list[str], text: str = "text", by: str =
 ENTITIES = {
     "email": r"[a-z0-9.+_-]+@[a-z0-9.+_-]+\.[a-z]+",
     "ip": r"\b(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}\b",
+    "ipv6": r"\b[a-z0-9]{4}::[a-z0-9]{4}:[a-z0-9]{4}:[a-z0-9]{4}:[a-z0-9]{4}%?[0-9]*",
     "phone": r"\+?[0-9]{1,3} ?\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}",
     "datetime": r"[A-Za-z]{3}, [0-9]{1,2} [A-Za-z]{3} [0-9]{4} [0-9]{2}:[0-9]{2}:[0-9]{2} [+-][0-9]{4}",
     "mapi_id": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+;",

@@ -37,12 +37,19 @@ def vocabulary(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:
 
 
 def percent_missing(output: DataFrame, source: DataFrame, id_col: str, text: str = "text") -> DataFrame:
-    """(id, pct_missing): the share of the source's words that the output lacks, to three places; 0 for an empty source."""
-    have = bags(output, id_col, text).withColumnRenamed("n", "m")
-    rows = bags(source, id_col, text).join(have, [id_col, "word"], "left")
-    by = rows.groupBy(id_col).agg(F.sum(F.greatest(F.col("n") - F.coalesce("m", F.lit(0)), F.lit(0))).alias("missing"), F.sum("n").alias("total"))
+    """(id, pct_missing): the share of the source's words that the output lacks, to three places; 0 for an empty source. Documents
+    that only one side has are left out.
+
+    Words of both sides are counted in one aggregation, under opposite columns."""
+    sides = [x.select(id_col, _split(F.col(text)).alias("_w"), F.lit(s).alias("_s")) for x, s in ((source, 1), (output, 0))]
+    both = sides[0].unionByName(sides[1])
+    words = both.select(id_col, "_s", F.explode_outer(_counted(F.col("_w"))).alias("word"))
+    n = words.groupBy(id_col, "word").agg(F.sum("_s").alias("n"), F.sum(1 - F.col("_s")).alias("m"))
+    real = F.col("word").isNotNull()
+    by = n.groupBy(id_col).agg(F.sum(F.when(real, F.greatest(F.col("n") - F.col("m"), F.lit(0)))).alias("missing"), F.sum(F.when(real, F.col("n"))).alias("total"), F.sum("n").alias("a"), F.sum("m").alias("b"))
     share = F.least(F.lit(1.0), F.round(F.coalesce(F.try_divide(F.col("missing"), F.col("total")), F.lit(0.0)), 3))
-    return source.select(id_col).distinct().join(output.select(id_col).distinct(), id_col).join(by, id_col, "left").select(id_col, share.alias("pct_missing"))
+    # a side without a word still has its row with a null word, so a and b tell who was there
+    return by.where("a > 0 and b > 0").select(id_col, share.alias("pct_missing"))
 
 
 def type_frequency(elements: DataFrame, doc: str, kind: str = "type", depth: str = "category_depth") -> DataFrame:
@@ -122,19 +129,22 @@ def _weighted(weights: tuple[int, int, int]):
 
 
 def ngrams(df: DataFrame, id_col: str, n: int, text: str = "text") -> DataFrame:
-    """(id, h, gram): different word n-grams of each text; h is the hash to join by."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
+    """(id, h, h2): different word n-grams of each text as two 64-bit hashes of their words' hashes: 128 bits tell them apart."""
+    words = F.transform(F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
     w = F.col("_w")  # a column of its own: inside the lambda the split would run again for each gram
-    grams = F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
-    return df.select(id_col, words.alias("_w")).select(id_col, F.explode(F.array_distinct(grams)).alias("gram")).select(id_col, F.xxhash64("gram").alias("h"), "gram")
+    part = lambda i, k: F.xxhash64(F.transform(F.slice(w, i, n), lambda x: x[k]))
+    grams = F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.struct(part(i, "a").alias("h"), part(i, "b").alias("h2"))))
+    return df.select(id_col, words.alias("_w")).select(id_col, F.explode(F.array_distinct(grams)).alias("g")).select(id_col, "g.h", "g.h2")
 
 
-def ngram_overlap(a: DataFrame, b: DataFrame, a_id: str, b_id: str, n: int = 5, text: str = "text") -> DataFrame:
+def ngram_overlap(a: DataFrame, b: DataFrame, a_id: str, b_id: str, n: int = 5, text: str = "text", most_rows: int = 2_000_000) -> DataFrame:
     """(a_id, b_id, shared, pct): n-grams of a row of b that a row of a has, and their share of b's; pairs that share none are
-    left out. b is the shorter side by use (test items); the join is on the hash and then the n-gram."""
+    left out. b is the shorter side by use (test items): its grams are broadcast up to most_rows of them (counted; 24 bytes each), and
+    those of a are then not shuffled."""
     gb = ngrams(b, b_id, n, text)
     total = gb.groupBy(b_id).agg(F.count(F.lit(1)).alias("total"))
-    hit = ngrams(a, a_id, n, text).join(gb, ["h", "gram"]).groupBy(a_id, b_id).agg(F.count(F.lit(1)).alias("shared"))
+    side = F.broadcast(gb) if gb.limit(most_rows + 1).count() <= most_rows else gb
+    hit = ngrams(a, a_id, n, text).join(side, ["h", "h2"]).groupBy(a_id, b_id).agg(F.count(F.lit(1)).alias("shared"))
     return hit.join(total, b_id).select(a_id, b_id, "shared", F.round(F.col("shared") / F.col("total"), 6).alias("pct"))
 
 
@@ -222,6 +232,11 @@ def table_detection(tables: DataFrame, doc: str) -> DataFrame:
     return tables.select(doc, *[F.when(none, F.lit(1.0)).otherwise(F.round(F.coalesce(x, F.lit(0.0)), 6)).alias(n) for x, n in ((p, "precision"), (r, "recall"), (f1, "f1"))])
 
 
+def composite_structure() -> Column:
+    """Composite accuracy of a table from its row_accuracy and col_accuracy (places) and row_content and col_content."""
+    return F.round((F.col("col_accuracy") + F.col("row_accuracy") + (F.col("col_content") + F.col("row_content")) / 2) / 3, 6)
+
+
 def detection(predicted: DataFrame, truth: DataFrame, threshold: float = 0.5, most: int = 100, grid: int = 101) -> DataFrame:
     """(class, n_truth, precision, recall, f1, ap) of boxes (page, class, score, x1, y1, x2, y2) against (page, class, x1, ...).
 
@@ -254,12 +269,19 @@ def detection(predicted: DataFrame, truth: DataFrame, threshold: float = 0.5, mo
     cls = truth.schema["class"].dataType.simpleString()
     hits = p.select("page", "class", "score", "rank", *box).groupBy("page", "class").cogroup(t.select("page", "class", *box).groupBy("page", "class")).applyInPandas(match, f"class {cls}, score double, page {truth.schema['page'].dataType.simpleString()}, rank int, hit int")
     n = truth.groupBy("class").agg(F.count(F.lit(1)).alias("n_truth"))
-    by = Window.partitionBy("class").orderBy(F.desc("score"), "page", "rank")
-    run = hits.withColumn("tp", F.sum("hit").over(by)).withColumn("k", F.row_number().over(by)).join(n, "class")
-    run = run.withColumn("precision", F.col("tp") / F.col("k")).withColumn("recall", F.col("tp") / F.col("n_truth"))
-    run = run.withColumn("best", F.max("precision").over(by.rowsBetween(0, Window.unboundedFollowing)))
-    # a point of the grid reads the best precision at its recall or beyond
-    points = run.withColumn("upto", F.floor(F.col("recall") * (grid - 1) + 1e-9)).groupBy("class", "upto").agg(F.max("best").alias("best"))
+    # running sums in two steps: within ranges of the order, and over the ranges' totals (a row for each class and range)
+    order = [F.asc("class"), F.desc("score"), F.asc("page"), F.asc("rank")]
+    ranged = hits.repartitionByRange(*order).withColumn("p", F.spark_partition_id())
+    totals = ranged.groupBy("class", "p").agg(F.sum("hit").alias("h"), F.count(F.lit(1)).alias("m"))
+    earlier = Window.partitionBy("class").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select("class", "p", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}0") for c in ("h", "m")])
+    own = Window.partitionBy("class", "p").orderBy(*order[1:])
+    run = ranged.withColumns({"h": F.sum("hit").over(own), "m": F.row_number().over(own)}).join(F.broadcast(base), ["class", "p"]).join(n, "class")
+    tp = F.col("h0") + F.col("h")
+    run = run.select("class", (tp / (F.col("m0") + F.col("m"))).alias("precision"), F.floor(tp / F.col("n_truth") * (grid - 1) + 1e-9).alias("upto"))
+    # a point of the grid reads the best precision at its recall or beyond; recalls only rise, so that is the best of its bucket and later ones
+    points = run.groupBy("class", "upto").agg(F.max("precision").alias("best"))
+    points = points.withColumn("best", F.max("best").over(Window.partitionBy("class").orderBy(F.desc("upto"))))
     before = F.coalesce(F.lag("upto").over(Window.partitionBy("class").orderBy("upto")), F.lit(-1))
     ap = points.withColumn("width", F.col("upto") - before).groupBy("class").agg(F.round(F.sum(F.col("best") * F.col("width")) / grid, 6).alias("ap"))
     last = hits.groupBy("class").agg(F.sum("hit").alias("tp"), F.count(F.lit(1)).alias("made"))

@@ -12,28 +12,39 @@ def _grams(text: Column, n: int) -> Column:
 
 
 def profiles(df: DataFrame, text: str = "text", lang: str = "lang", n: int = 2) -> DataFrame:
-    """(gram, scores: map of language to log-probability) of labelled texts, add-one smoothed.
+    """(gram, scores: map of language to (score, unseen)) of labelled texts: log-probabilities of the gram and of one that the language
+    has not shown, add-one smoothed.
 
     An n of 2 keeps the table at a few thousand rows whatever the corpus: there are only so many pairs of letters."""
     counts = df.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(_grams(F.col(text), n)).alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("c"))
     total = counts.groupBy("lang").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds"))
-    rows = counts.join(total, "lang").select("lang", "gram", F.log((F.col("c") + 1) / (F.col("total") + F.col("kinds"))).alias("score"), F.log(1 / (F.col("total") + F.col("kinds"))).alias("unseen"))
-    return rows.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "score"))).alias("scores"))
+    size = F.col("total") + F.col("kinds")
+    rows = counts.join(total, "lang").select("lang", "gram", F.struct(F.log((F.col("c") + 1) / size).alias("score"), F.log(1 / size).alias("unseen")).alias("x"))
+    return rows.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "x"))).alias("scores"))
 
 
-def detect(df: DataFrame, learnt: DataFrame, id_col: str, text: str = "text", n: int = 2, unseen: float = -14.0, most_rows: int = 200_000) -> DataFrame:
-    """(id, lang): the likeliest language; null for blank texts, `eng` for ASCII texts of under five words is left to the caller.
+def detect(df: DataFrame, learnt: DataFrame, id_col: str, text: str = "text", n: int = 2, most_rows: int = 200_000) -> DataFrame:
+    """(id, detected): the likeliest language of all that have profiles; ties go to the later name; null for texts without a known
+    gram. `eng` for ASCII texts of under five words is left to the caller (see short_ascii()).
 
     Grams of a text are counted before they meet the profiles, which are broadcast up to most_rows rows."""
     grams = df.select(id_col, F.explode(_grams(F.col(text), n)).alias("gram")).groupBy(id_col, "gram").agg(F.count(F.lit(1)).alias("c"))
     side = F.broadcast(learnt) if learnt.limit(most_rows + 1).count() <= most_rows else learnt
-    langs = sorted(r.k for r in learnt.select(F.explode(F.map_keys("scores")).alias("k")).distinct().limit(1000).collect())
-    sums = [F.sum(F.col("c") * F.coalesce(F.try_element_at("scores", F.lit(x)), F.lit(unseen))).alias(f"_{i}") for i, x in enumerate(langs)]
-    rows = grams.join(side, "gram").groupBy(id_col).agg(*sums)
-    best = F.array_max(F.array(*[F.struct(F.col(f"_{i}").alias("s"), F.lit(x).alias("l")) for i, x in enumerate(langs)]))["l"]
+    # a language gets what its grams score over unseen ones; the unseen score of all grams (those of the entry "") is added in the end
+    every = F.array(F.struct(F.lit("").alias("key"), F.struct(F.lit(1.0).alias("score"), F.lit(0.0).alias("unseen")).alias("value")))
+    each = grams.join(side, "gram").select(id_col, "c", F.explode(F.concat(F.map_entries("scores"), every)).alias("x"))
+    sums = each.groupBy(id_col, F.col("x.key").alias("lang")).agg(F.sum(F.col("c") * (F.col("x.value.score") - F.col("x.value.unseen"))).alias("s"), F.min("x.value.unseen").alias("u"))
+    rows = sums.groupBy(id_col).agg(F.max(F.when(F.col("lang") == "", F.col("s"))).alias("n"), F.collect_list(F.when(F.col("lang") != "", F.struct("lang", "s", "u"))).alias("of"))
+    best = F.array_max(F.transform("of", lambda x: F.struct((x["s"] + x["u"] * F.col("n")).alias("s"), x["lang"].alias("lang"))))["lang"]
     return df.select(id_col).join(rows.select(id_col, best.alias("detected")), id_col, "left")
 
 
+def short_ascii(text: Column, detected: Column) -> Column:
+    """`en` for texts that are ASCII and have under five words, null for blank ones, else what was detected."""
+    blank = F.trim(text) == ""
+    return F.when(blank | text.isNull(), F.lit(None)).when(~text.rlike(r"[^\x00-\x7F]") & (F.size(F.split(F.trim(text), r"\s+")) < 5), F.lit("en")).otherwise(detected)
+
+
 def of_elements(found: DataFrame, doc: str, seq: str, lang: str = "detected") -> DataFrame:
     """found with document_lang: the language most of a document's elements have."""
     w = Window.partitionBy(doc)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -65,6 +67,9 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec
                 yield pd.DataFrame({"query_id": np.repeat(ids, keep), "vec_id": i[best.ravel()], "score": np.take_along_axis(s, best, 1).ravel()})
 
         near = vectors.select(F.col(id_col).alias("i"), F.col(vec_col).alias("v")).mapInPandas(run, "query_id long, vec_id long, score double")
+        if parts > 1:  # written before the next block is read: driver and executors hold one at a time
+            near = written(near, "knn-block")
+            sent.destroy()
         out = near if out is None else out.unionByName(near)
     if out is None:
         out = spark.createDataFrame([], "query_id long, vec_id long, score double")

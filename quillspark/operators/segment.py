@@ -68,6 +68,21 @@ def split_strategy(df: DataFrame, id_col: str, text: str = "text", least: int =
     return rows.select(id_col, F.when(F.col("m") >= least, "markdown").when(F.col("n") >= least, "plaintext").otherwise("paragraph").alias("strategy"))
 
 
+def split_by_strategy(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:
+    """(id, strategy, seq, title, content): each text split the way split_strategy() names: at its markdown headings, at its plain
+    ones, or into packed paragraphs."""
+    told = split_strategy(df, id_col, text)
+    of = lambda s: df.join(told.where(F.col("strategy") == s).select(id_col), id_col, "left_semi")
+    marked = markdown_headings(of("markdown"), id_col, text).select(id_col, F.lit("markdown").alias("strategy"), F.col("section").cast("long").alias("seq"), "title", F.col("body").alias("content"))
+    heads = plaintext_headings(of("plaintext"), id_col, text)
+    nxt = F.lead("offset").over(Window.partitionBy(id_col).orderBy("offset"))
+    heads = heads.withColumn("end", nxt).withColumn("seq", F.row_number().over(Window.partitionBy(id_col).orderBy("offset")).cast("long"))
+    size = F.coalesce("end", F.length(text)) - F.col("offset")
+    plain = heads.join(df.select(id_col, text), id_col).select(id_col, F.lit("plaintext").alias("strategy"), "seq", "title", T.strip(F.substring(F.col(text), (F.col("offset") + 1).cast("int"), size.cast("int"))).alias("content"))
+    packed = pack_paragraphs(of("paragraph"), id_col, text).select(id_col, F.lit("paragraph").alias("strategy"), F.col("block").cast("long").alias("seq"), "title", "content")
+    return marked.unionByName(plain).unionByName(packed)
+
+
 def _fold(parts: Column, joins: Callable[[Column, Column], Column], sep: str) -> Column:
     """An ordered fold of texts into blocks: joins(block, next) says whether the next goes into the block."""
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("now"))
@@ -94,13 +109,20 @@ def pack_paragraphs(df: DataFrame, id_col: str, text: str = "text", most: int =
     return rows.select(id_col, "block", T.shortened(first, 80, 80).alias("title"), F.substring("t", 1, most).alias("content"), T.approx_page(F.col("block"), F.col("n"), pages).alias("page"))
 
 
-def smart_split(df: DataFrame, id_col: str, title: str, text: str = "text", size: int = 800) -> DataFrame:
+def smart_split(df: DataFrame, id_col: str, title: str, text: str = "text", size: int = 800, kind: str | None = None) -> DataFrame:
     """(id, part, title, content): junk paragraphs dropped, others merged until a table, a long one or 0.8 of the size;
-    parts under 20 characters go; later parts are (cont. n)."""
+    parts under 20 characters go; later parts are (cont. n). With a type column, type: sop_step for a part with numbered lines under a
+    "To ..." title or with dashed numbers under a title with "step", else the given one. Parts of academic texts have their math
+    repaired, and a promoted heading in place of a "Section n"."""
     parts = F.filter(F.transform(F.split(text, r"\n{2,}"), T.strip), lambda p: (p != "") & ~T.is_junk(p))
     blocks = F.filter(_fold(parts, lambda now, x: ~_is_table(x) & ~_is_table(now) & (F.length(x) <= 200) & (F.length(now) <= int(0.8 * size)), "\n\n"), lambda b: F.length(b) >= 20)
-    rows = df.select(id_col, F.col(title).alias("_title"), F.posexplode(blocks).alias("part", "content"))
-    return rows.select(id_col, "part", F.when(F.col("part") > 0, F.concat("_title", F.lit(" (cont. "), F.col("part").cast("string"), F.lit(")"))).otherwise(F.col("_title")).alias("title"), "content")
+    rows = df.select(id_col, F.col(title).alias("_title"), F.col(kind).alias("_kind") if kind else F.lit(None).cast("string").alias("_kind"), T.is_academic(F.col(text)).alias("_academic"), F.posexplode(blocks).alias("part", "content"))
+    rows = rows.withColumn("content", F.when(F.col("_academic"), T.repair_math(F.col("content"))).otherwise(F.col("content")))
+    promoted = T.promoted_heading(F.col("content"))
+    rows = rows.withColumn("_title", F.when(F.col("_academic") & F.col("_title").rlike(r"^Section\s+\d+$") & (promoted != ""), promoted).otherwise(F.col("_title")))
+    step = (F.lower("_title").startswith("to ") & F.col("content").rlike(r"(?:^|\n)[\s*•\-]*\d+\.")) | (F.contains(F.lower("_title"), F.lit("step")) & F.col("content").rlike(r"(?:^|\n)\s*-\s*\d+\."))
+    more = [F.when(step, F.lit("sop_step")).otherwise(F.col("_kind")).alias("type")] if kind else []
+    return rows.select(id_col, "part", *more, F.when(F.col("part") > 0, F.concat("_title", F.lit(" (cont. "), F.col("part").cast("string"), F.lit(")"))).otherwise(F.col("_title")).alias("title"), "content")
 
 
 def hard_cut(df: DataFrame, id_col: str, text: str = "text", size: int = 500) -> DataFrame:
@@ -173,6 +195,23 @@ def chunk_basic(elements: DataFrame, doc: str, seq: str, text: str = "text", kin
     return rows.select(doc, order.alias("chunk_seq"), "text", F.col("c.n").alias("n_elements"), F.col("c.a").alias("first_seq"), F.col("c.b").alias("last_seq"), (F.col("piece") > 0).alias("is_continuation"))
 
 
+def overlapped(chunks: DataFrame, doc: str, overlap: int, all_chunks: bool = False, text: str = "text", seq: str = "chunk_seq", continuation: str = "is_continuation") -> DataFrame:
+    """chunks with the last `overlap` characters of the chunk before (at most; white space off) and a space put in front: only where an
+    over-long element was cut, or for all chunks. Cut the elements to most - overlap - 1 characters to stay within most."""
+    before = F.lag(text).over(Window.partitionBy(doc).orderBy(seq))
+    tail = T.strip(F.substring(before, F.greatest(F.lit(1), F.length(before) - overlap + 1), F.lit(overlap)))
+    wanted = before.isNotNull() & (tail != "") & (F.lit(True) if all_chunks else F.col(continuation))
+    return chunks.withColumn(text, F.when(wanted, F.concat(tail, F.lit(" "), F.col(text))).otherwise(F.col(text)))
+
+
+def cut_tokens(df: DataFrame, id_col: str, text: str = "text", most: int = 512) -> DataFrame:
+    """(id, piece, text): texts cut into runs of at most `most` words (as token_size() counts), joined by single spaces."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    rows = df.select(id_col, words.alias("_w"))
+    runs = F.when(F.size("_w") > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size("_w") - 1) / most).cast("int")), lambda k: F.array_join(F.slice("_w", k * most + 1, most), " "))).otherwise(F.array().cast("array<string>"))
+    return rows.select(id_col, F.posexplode(runs).alias("piece", "text"))
+
+
 def token_size(c: Column) -> Column:
     """Words as tokens, for chunk_basic(size=...)."""
     return F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
@@ -200,19 +239,34 @@ def chunk_by_title(elements: DataFrame, doc: str, seq: str, text: str = "text",
 
 def reconstruct_tables(chunks: DataFrame) -> DataFrame:
     """(table_id, text, n_chunks, text_as_html): chunks of a table by chunk_index (none last), joined by a space; html only if
-    every chunk has it. Chunks (table_id, chunk_index, text, text_as_html) without a table are left out."""
+    every chunk has it. Chunks (table_id, chunk_index, text, text_as_html) without a table are left out. Where chunks have
+    num_carried_over_header_rows, the text of so many first rows is taken off the front of the chunk's."""
+    if "num_carried_over_header_rows" in chunks.columns:
+        trs = F.regexp_extract_all("text_as_html", F.lit(r"(?is)<tr[^>]*>.*?</tr>"), F.lit(0))
+        head = T.strip(F.regexp_replace(F.regexp_replace(F.array_join(F.slice(trs, 1, F.col("num_carried_over_header_rows")), " "), "<[^>]+>", " "), r"\s+", " "))
+        carried = F.coalesce((F.col("num_carried_over_header_rows") > 0) & (F.size(trs) >= F.col("num_carried_over_header_rows")) & (head != "") & F.startswith(F.col("text"), head), F.lit(False))
+        chunks = chunks.withColumn("text", F.when(carried, T.strip(F.substring(F.col("text"), F.length(head) + 1, F.length("text")))).otherwise(F.col("text")))
     order = F.struct(F.col("chunk_index").isNull().alias("late"), F.col("chunk_index").alias("i"), F.col("text").alias("t"), F.col("text_as_html").alias("h"))
     rows = chunks.where("table_id is not null").groupBy("table_id").agg(F.array_sort(F.collect_list(order)).alias("x"))
     html = F.when(F.forall("x", lambda c: c["h"].isNotNull()), F.array_join(F.transform("x", lambda c: c["h"]), ""))
     return rows.select("table_id", F.array_join(F.transform("x", lambda c: c["t"]), " ").alias("text"), F.size("x").alias("n_chunks"), html.alias("text_as_html"))
 
 
-def consolidate(elements: DataFrame, by: list[str], seq: str, first: list[str] = [], strings: list[str] = [], lists: list[str] = [], unique: list[str] = []) -> DataFrame:  # noqa: B006
-    """One row a group: first values that aren't null, strings joined by a space, lists joined, lists united in order; columns
-    not named are dropped."""
+def consolidate(elements: DataFrame, by: list[str], seq: str, first: list[str] = [], strings: list[str] = [], lists: list[str] = [], unique: list[str] = [], maps: list[str] = []) -> DataFrame:  # noqa: B006
+    """One row a group: first values that aren't null, strings joined by a space, lists joined, lists united in order, maps of lists
+    with all their keys and, key by key, their lists united in order; columns not named are dropped."""
     of = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(seq, F.col(c).alias("v"))))), lambda x: x["v"])
     out = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(seq))).alias(c) for c in first]
     out += [F.array_join(of(c), " ").alias(c) for c in strings] + [F.flatten(of(c)).alias(c) for c in lists] + [F.array_distinct(F.flatten(of(c))).alias(c) for c in unique]
+    # maps cannot be ordered, so their entries are: an array of them stands for each map
+    pairs = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(seq, F.map_entries(c).alias("v"))))), lambda x: x["v"]))
+
+    def united(c: str) -> Column:
+        keys = F.array_sort(F.array_distinct(F.transform(pairs(c), lambda e: e["key"])))
+        of_key = lambda k: F.transform(F.filter(pairs(c), lambda e: e["key"] == k), lambda e: e["value"])
+        return F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), F.array_distinct(F.flatten(of_key(k))).alias("value"))))
+
+    out += [united(c).alias(c) for c in maps]
     return elements.groupBy(*by).agg(*out)
 
 

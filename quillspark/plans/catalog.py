@@ -608,7 +608,8 @@ def recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select source as source_file, count(*)::int as total_entries, min(doc_id) as first_id from documents group by 1")
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("source_file"), F.col("lang").alias("topic"))
-    return files.envelopes(e).select("source_file", "total_entries", F.col("entries")[0]["id"].alias("first_id"))
+    parts = files.envelopes(e, most=1000).select("source_file", "total_entries", F.col("entries")[0]["id"].alias("first_id"))
+    return parts.groupBy("source_file").agg(F.sum("total_entries").cast("int").alias("total_entries"), F.min("first_id").alias("first_id"))
 
 
 @query("""select doc_id, string_agg(line, chr(10) order by r) as text from (select source as doc_id, row_number() over (partition by source order by doc_id) as r, lang || ' | ' || n_chars as line from documents) where r <= 200 group by 1""")

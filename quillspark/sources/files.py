@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from ..functions import text as T
+from ..operators.entries import numbered
+from ..operators.segment import split_paragraphs
 
 # Extensions of each format category, and the topic of each extension.
 CATEGORIES = {"pdf": ["pdf"], "word": ["doc", "docx"], "excel": ["xls", "xlsx", "csv", "tsv"], "powerpoint": ["ppt", "pptx"], "image": ["jpg", "jpeg", "png", "tiff", "bmp", "heic"], "email": ["eml", "msg"], "text": ["txt", "md", "html", "xml", "json"], "other": ["odt", "rtf", "epub"]}
@@ -92,9 +94,10 @@ def table_text(df: DataFrame, seq: str, by: list[str] = [], rows: int = 200) ->
     return top.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "line"))), lambda x: x["line"]), "\n").alias("text"))
 
 
-def read_kb_json(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of knowledge-base envelopes, one row each; the envelope's source stands in where an entry has none."""
-    rows = spark.read.schema(ENVELOPE).option("multiLine", True).json(path)
+def read_kb_json(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """Entries of knowledge-base envelopes (one a file, or one a line), one row each; the envelope's source stands in where an entry has
+    none."""
+    rows = spark.read.schema(ENVELOPE).option("multiLine", multiline).json(path)
     return rows.select(F.col("source_file").alias("_s"), F.explode("entries").alias("e")).select("_s", "e.*").withColumn("source_file", F.coalesce("source_file", "_s")).drop("_s")
 
 
@@ -117,6 +120,10 @@ def read_xml_leaves(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", row_tag).load(path)
 
 
+def write_xml(df: DataFrame, path: str, row_tag: str, root_tag: str = "rows") -> None:
+    df.write.mode("overwrite").format("xml").option("rowTag", row_tag).option("rootTag", root_tag).save(path)
+
+
 def xml_leaves(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:
     """(id, seq, text): what isn't blank between tags, in document order."""
     parts = F.split(F.regexp_replace(text, r"(?s)<!--.*?-->|<\?.*?\?>", ""), r"<[^>]*>")
@@ -124,15 +131,14 @@ def xml_leaves(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:
 
 
 # Html blocks that are dropped whole, with what is in them.
-DROPPED = ["script", "style", "noscript", "template", "del", "nav", "form", "summary", "details", "figure", "dl", "button", "label"]
+DROPPED = ["script", "style", "noscript", "template", "del", "nav", "form", "summary", "details", "figure", "dl", "dd", "dt", "button", "label"]
 
 
 def page_elements(pages: DataFrame, id_col: str = "page_id", html: str = "html", drop: list[str] = []) -> DataFrame:  # noqa: B006
     """(id, seq, type, depth, text) of web pages: headings, list items, code, tables, images and paragraphs of <main>, else
     <body>. Paragraphs under two characters go. Patterns only: nested tags of the same name end at the first close."""
     t = F.coalesce(F.col(html), F.lit(""))
-    for tag in [*DROPPED, *drop]:
-        t = F.regexp_replace(t, f"(?is)<{tag}\\b[^>]*>.*?</{tag}>", " ")
+    t = F.regexp_replace(t, rf"(?is)<({'|'.join([*DROPPED, *drop])})\b[^>]*>.*?</\1>", " ")
     t = F.regexp_replace(t, r"(?is)<(link|meta|input|hr)\b[^>]*>", " ")
     for part in ("main", "body"):
         inner = F.regexp_extract(t, f"(?is)<{part}\\b[^>]*>(.*)</{part}>", 1)
@@ -152,14 +158,21 @@ def page_links(pages: DataFrame, id_col: str = "page_id", html: str = "html") ->
     return rows.withColumn("host", F.regexp_extract("href", r"^https?://([^/]+)", 1))
 
 
+def host_counts(links: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """(host, n, n_pages) of page_links()."""
+    return links.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(id_col).alias("n_pages"))
+
+
 def emphasis(pages: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
     return pages.select(id_col, F.posexplode(F.regexp_extract_all(html, F.lit(r"(?is)<(?:b|i|em|strong)>(.*?)</(?:b|i|em|strong)>"), F.lit(1))).alias("seq", "text"))
 
 
 def web_page_entries(pages: DataFrame, least: int = 50) -> DataFrame:
-    """(page_id, source_file, content): page text with its url on top; pages with under `least` characters go."""
+    """(page_id, seq, source_file, title, content): paragraphs of page texts with their url on top, as entries; pages with under `least`
+    characters go."""
     rows = page_elements(pages.select("page_id", "html")).groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n\n").alias("t"))
-    return rows.where(F.length("t") >= least).join(pages.select("page_id", "url"), "page_id").select("page_id", F.col("url").alias("source_file"), F.concat(F.lit("## "), "url", F.lit("\n\n"), "t").alias("content"))
+    whole = rows.where(F.length("t") >= least).join(pages.select("page_id", "url"), "page_id").select(F.struct("page_id", "url").alias("k"), F.concat(F.lit("## "), "url", F.lit("\n\n"), "t").alias("text"))
+    return split_paragraphs(whole, "k").select("k.page_id", "seq", F.col("k.url").alias("source_file"), "title", F.col("text").alias("content"))
 
 
 def messages(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:
@@ -177,15 +190,20 @@ def recipients(msgs: DataFrame) -> DataFrame:
     return msgs.select("sent_from", F.explode("sent_to").alias("sent_to")).groupBy("sent_from", "sent_to").agg(F.count(F.lit(1)).alias("n"))
 
 
-def write_kb_json(entries: DataFrame, path: str, version: str = "1.0") -> None:
-    envelopes(entries, version).write.mode("overwrite").json(path)
+def write_kb_json(entries: DataFrame, path: str, version: str = "1.0", most: int = 10_000) -> None:
+    """Envelopes, one a line."""
+    envelopes(entries, version, most).write.mode("overwrite").json(path)
 
 
-def envelopes(entries: DataFrame, version: str = "1.0") -> DataFrame:
-    """An envelope for each source file. It is one value by definition, so it is as large as the file's entries."""
+def envelopes(entries: DataFrame, version: str = "1.0", most: int = 10_000) -> DataFrame:
+    """Envelopes for each source file. A file with more than `most` entries has several (part 0, 1, ...), each with its own total, so
+    none grows with the corpus."""
     by_id = lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)  # noqa: E731  maps have no order
     body = F.array_sort(F.collect_list(F.struct("id", *[c for c in entries.columns if c not in ("id", "source_file")])), by_id)
-    return entries.groupBy("source_file").agg(F.count(F.lit(1)).cast("int").alias("total_entries"), body.alias("entries")).select(F.lit(version).alias("schema_version"), "*")
+    sizes = entries.groupBy("source_file").agg(F.ceil(F.count(F.lit(1)) / most).alias("_parts"))
+    dealt = entries.join(sizes, entries["source_file"].eqNullSafe(sizes["source_file"])).drop(sizes["source_file"])
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id"), "_parts").cast("int"))
+    return dealt.groupBy("source_file", "part").agg(F.count(F.lit(1)).cast("int").alias("total_entries"), body.alias("entries")).select(F.lit(version).alias("schema_version"), "*")
 
 
 def write_elements(elements: DataFrame, path: str) -> None:
@@ -266,7 +284,7 @@ def export_records(elements: DataFrame, shape: str, id_col: str = "element_id",
 
 def to_coco(elements: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(images, categories, annotations) of elements (filename, page_number, type, x1, y1, x2, y2) with dense ids."""
-    images = elements.select("filename", "page_number").distinct().withColumn("id", F.row_number().over(Window.orderBy("filename", "page_number")))
+    images = numbered(elements.select("filename", "page_number").distinct(), "filename", "page_number", out="id").withColumn("id", F.col("id") + 1)
     kinds = elements.select(F.col("type").alias("name")).distinct().withColumn("id", F.row_number().over(Window.orderBy("name")))
     rows = elements.join(images.withColumnRenamed("id", "image_id"), ["filename", "page_number"]).join(F.broadcast(kinds.select(F.col("name").alias("type"), F.col("id").alias("category_id"))), "type")
     box = F.array("x1", "y1", F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))

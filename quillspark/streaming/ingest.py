@@ -10,6 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import classify, entries, segment
 
+#: Parts that an ingested store is cut into by the hash of the id.
+CUTS = 256
+
 
 def entries_of(texts: DataFrame, source: str = "source_file", text: str = "text") -> DataFrame:
     """Entries of texts: paragraphs with type, keywords and a stable id (source, text and place)."""
@@ -22,18 +25,19 @@ def ingest(spark: SparkSession, path: str, store: str, checkpoint: str, make: Ca
     """Takes in the JSON-lines files (source_file, text) that are new since the last run and ends.
 
     A batch is written to its own folder, so one that is run again replaces itself; entries that the store has go in no second
-    time (anti-join by id)."""
+    time (anti-join by id). The store is cut by a hash of the id, and a batch reads the ids of the cuts it falls into alone."""
     stream = spark.readStream.schema("source_file string, text string").json(path)
 
     def put(batch: DataFrame, n: int) -> None:
-        new = make(batch).dropDuplicates(["id"])
+        new = make(batch).dropDuplicates(["id"]).withColumn("cut", F.pmod(F.xxhash64("id"), F.lit(CUTS)).cast("int"))
+        cuts = [r.cut for r in new.select("cut").distinct().collect()]  # CUTS numbers at most
         try:
-            old = batch.sparkSession.read.parquet(store).where(F.col("batch") != n)
+            old = batch.sparkSession.read.parquet(store).where((F.col("batch") != n) & F.col("cut").isin(*cuts))
             new = entries.delete_ids(new, old)
         except Exception as e:  # no store yet
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
-        new.write.mode("overwrite").parquet(f"{store}/batch={n}")
+        new.write.mode("overwrite").partitionBy("cut").parquet(f"{store}/batch={n}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
