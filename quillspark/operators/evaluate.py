@@ -129,22 +129,22 @@ def _weighted(weights: tuple[int, int, int]):
 
 
 def ngrams(df: DataFrame, id_col: str, n: int, text: str = "text") -> DataFrame:
-    """(id, h, h2): different word n-grams of each text as two 64-bit hashes of their words' hashes: 128 bits tell them apart."""
+    """(id, h, h2): word n-grams of each text as two 64-bit hashes of their words' hashes: 128 bits tell them apart."""
     words = F.transform(F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
     w = F.col("_w")  # a column of its own: inside the lambda the split would run again for each gram
     part = lambda i, k: F.xxhash64(F.transform(F.slice(w, i, n), lambda x: x[k]))
     grams = F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.struct(part(i, "a").alias("h"), part(i, "b").alias("h2"))))
-    return df.select(id_col, words.alias("_w")).select(id_col, F.explode(F.array_distinct(grams)).alias("g")).select(id_col, "g.h", "g.h2")
+    return df.select(id_col, words.alias("_w")).select(id_col, F.explode(grams).alias("g")).select(id_col, "g.h", "g.h2")
 
 
 def ngram_overlap(a: DataFrame, b: DataFrame, a_id: str, b_id: str, n: int = 5, text: str = "text", most_rows: int = 2_000_000) -> DataFrame:
     """(a_id, b_id, shared, pct): n-grams of a row of b that a row of a has, and their share of b's; pairs that share none are
     left out. b is the shorter side by use (test items): its grams are broadcast up to most_rows of them (counted; 24 bytes each), and
     those of a are then not shuffled."""
-    gb = ngrams(b, b_id, n, text)
+    gb = ngrams(b, b_id, n, text).distinct()
     total = gb.groupBy(b_id).agg(F.count(F.lit(1)).alias("total"))
     side = F.broadcast(gb) if gb.limit(most_rows + 1).count() <= most_rows else gb
-    hit = ngrams(a, a_id, n, text).join(side, ["h", "h2"]).groupBy(a_id, b_id).agg(F.count(F.lit(1)).alias("shared"))
+    hit = ngrams(a, a_id, n, text).join(side, ["h", "h2"]).distinct().groupBy(a_id, b_id).agg(F.count(F.lit(1)).alias("shared"))
     return hit.join(total, b_id).select(a_id, b_id, "shared", F.round(F.col("shared") / F.col("total"), 6).alias("pct"))
 
 

@@ -12,7 +12,7 @@ from ..operators import classify, entries, evaluate, registry, search, segment
 from ..sources import files
 from ..sources.scratch import shared_path
 from ..streaming import ingest
-from .catalog import _pick, _quoted, _sql_pick, _sql_rules, _sql_strip, query, read
+from .catalog import ORACLES, _pick, _quoted, _sql_pick, _sql_rules, _sql_strip, _sql_type, query, read
 
 
 @query("select lang, 'text' as category, sum(octet_length(encode(text)) + 1)::bigint as n_bytes, sum(length(text) + 1)::bigint as n_chars from documents group by 1")
@@ -249,17 +249,25 @@ def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql_last(s: str) -> str:
     """Place (from 0) of the last s in the first room + 1 characters of t, if over 0."""
     n, r = len(s), _quoted(s[::-1])
-    return f"case when strpos(reverse(left(t, room + 1)), {r}) > 0 and length(left(t, room + 1)) - strpos(reverse(left(t, room + 1)), {r}) - {n} + 1 > 0 then length(left(t, room + 1)) - strpos(reverse(left(t, room + 1)), {r}) - {n} + 1 end"
+    place = f"length(left(t, room + 1)) - strpos(reverse(left(t, room + 1)), {r}) - {n} + 1"
+    return f"case when strpos(reverse(left(t, room + 1)), {r}) > 0 and {place} > 0 then {place} end"
 
 
-@query(f"""with recursive r as (select doc_id, -1 as seq, ''::varchar as chunk, {_sql_strip("text")} as t, ''::varchar as head, 500::bigint as room from documents
-union all select doc_id, seq + 1, piece, {_sql_strip("substr(t, cut + 1)")}, {_sql_strip("right(piece, 50)")} || ' ', 500 - length({_sql_strip("right(piece, 50)")}) - 1 from (
+def _sql_cut(size: int, separators: list[str], overlap: int) -> str:
+    """(doc_id, chunk_seq, chunk): texts cut piece by piece (see segment.cut_piece)."""
+    tail = _sql_strip(f"right(piece, {overlap})")
+    head, room = (f"{tail} || ' '", f"{size} - length({tail}) - 1") if overlap else ("''", str(size))
+    return f"""with recursive r as (select doc_id, -1 as seq, ''::varchar as chunk, {_sql_strip("text")} as t, ''::varchar as head, {size}::bigint as room from documents
+union all select doc_id, seq + 1, piece, {_sql_strip("substr(t, cut + 1)")}, {head}, {room} from (
 select doc_id, seq, t, room, cut, case when length(t) <= room then head || t else {_sql_strip("head || left(t, cut)")} end as piece from (
-select *, case when length(t) <= room then length(t) else coalesce({", ".join(_sql_last(s) for s in (chr(10) * 2, chr(10), " "))}, room) end as cut from r where t <> '')))
-select doc_id, seq::int as chunk_seq, chunk from r where seq >= 0""")
-def recursive_chunks_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cut at blank lines, lines, words, then hard, with an overlap of 50 characters."""
-    return segment.chunk_recursive(read(spark, sf_dir, "documents"), "doc_id")
+select *, case when length(t) <= room then length(t) else coalesce({", ".join(map(_sql_last, separators))}, room) end as cut from r where t <> '')))
+select doc_id, seq::int as chunk_seq, chunk from r where seq >= 0"""
+
+
+@query(_sql_cut(300, [chr(10), " "], 0))
+def separator_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cut at lines, then words, then hard, without overlap."""
+    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(segment.cut_text(F.col("text"), 300)).alias("chunk_seq", "chunk"))
 
 
 @query("select conv_id, turn // 4 as page, string_agg(turn, ',' order by turn) as turns from conversations where turn % 5 <> 4 group by 1, 2")
@@ -377,3 +385,18 @@ def ingested_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows.write.mode("append").json(f"{top}/in")
         ingest.ingest(spark, f"{top}/in", f"{top}/store", f"{top}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{top}/store").groupBy("source_file").agg(F.count(F.lit(1)).alias("n"))
+
+
+# SQL of queries that are registered elsewhere
+ORACLES["recursive_chunks"] = _sql_cut(500, [chr(10) * 2, chr(10), " "], 50)
+_SQL_TITLE50 = "case when length(t) > 50 then left(t, 50) || '...' else t end"
+ORACLES["ingest_stream"] = f"select type, count(*) as count from (select {_sql_type(_SQL_TITLE50, 't')} as type from (select {_sql_strip('t')} as t from (select unnest(string_split(text, chr(10))) as t from documents)) where length(t) >= 15) group by 1"
+ORACLES["web_page_entries"] = f"""with w as (select page_id, '## ' || any_value(url) || chr(10) || chr(10) || t as x from (select page_id, string_agg(text, chr(10) || chr(10) order by seq) as t from ({ORACLES["page_elements"]}) group by 1) join pages using (page_id) where length(t) >= 50 group by page_id, t),
+p as (select page_id, unnest(a) as t, unnest(range(len(a))) as seq from (select page_id, list_transform(regexp_split_to_array(x, '\\n{{2,}}'), lambda s: {_sql_strip("s")}) as a from w))
+select p.page_id, seq::int as seq, url as source_file, {_SQL_TITLE50} as title, t as content from p join pages on p.page_id = pages.page_id where length(t) >= 15"""
+_SQL_CELL_TEXT = _sql_strip("regexp_replace(regexp_replace({c}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')")
+_SQL_TABLE_HEAD = "<tr><th>turn</th><th>text</th></tr>"
+ORACLES["table_chunks"] = f"""with r as (select conv_id, list('<tr><td>' || turn || '</td><td>' || regexp_replace(text, '[<>]', '', 'g') || '</td></tr>' order by turn) as r from conversations group by 1),
+f as (select conv_id, list_reduce(list_transform(r, lambda s: {{'out': []::varchar[], 'cur': s}}), lambda a, x: case when length({_SQL_CELL_TEXT.format(c="a.cur || x.cur")}) <= 1000 then {{'out': a.out, 'cur': a.cur || x.cur}} else {{'out': list_append(a.out, a.cur), 'cur': x.cur}} end) as f from r),
+c as (select conv_id, unnest(b) as b, unnest(range(len(b))) as k from (select conv_id, list_append(f.out, f.cur) as b from f)), h as (select conv_id as table_id, k, '<table>{_SQL_TABLE_HEAD}' || b || '</table>' as h from c)
+select table_id, k::int as chunk_index, h as text_as_html, {_SQL_CELL_TEXT.format(c="h")} as text, case when k > 0 then 1 else 0 end::int as num_carried_over_header_rows from h"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import classify, entries, evaluate, segment
-from .catalog import _pick, _quoted, _sql_pick, _sql_strip, query, read
+from .catalog import ORACLES, _pick, _quoted, _sql_pick, _sql_strip, query, read
 
 _ASCII = "regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')"
 
@@ -178,11 +178,16 @@ def _sql_list(words: list[str]) -> str:
 _KEYED = ["They met. What is USB? Step 4: \"the red one\" and the Printer manual. HTTP ", "How to. Paper size: NASA USB USB NASA ESA CERN ", ""]
 
 
-@query(f"""with s as (select doc_id, regexp_replace(x, '[<>{{}}\\[\\]\\\\|]', ' ', 'g') as t from {_sql_docs(_KEYED, text=_ASCII)}),
-c as (select doc_id, regexp_extract_all(t, '\\b[A-Z]{{3,}}\\b') as caps, list_filter(regexp_extract_all(t, '(?:^|\\n|\\.\\s|:\\s)([A-Z][a-zA-Z]{{2,}})', 1), lambda w: not list_contains({_sql_list(classify.STOPWORDS + classify.OPENERS)}, lower(w)))[1:4] as starts,
-regexp_extract_all(t, '(?i)\\b(?:Step|Phase|Chapter|Section)\\s+\\d+\\b')[1:2] as steps, regexp_extract_all(t, '"([^"]{{3,30}})"', 1)[1:2] as quoted, list_transform(regexp_extract_all(t, '(?i)\\b(?:{"|".join(classify.DOMAIN_WORDS)})\\b'), lambda w: lower(w))[1:3] as domain from s),
+def _sql_keywords(docs: str) -> str:
+    """(doc_id, k: its keywords) of (doc_id, x). Accented letters are letters at a word's edge for Spark, so they become _ for that test."""
+    return f"""(with s as (select doc_id, regexp_replace(x, '[<>{{}}\\[\\]\\\\|]', ' ', 'g') as t from {docs}),
+u as (select *, regexp_replace(t, '[À-ɏ]', '_', 'g') as v from s), c as (select doc_id, regexp_extract_all(v, '\\b[A-Z]{{3,}}\\b') as caps, list_filter(regexp_extract_all(t, '(?:^|\\n|\\.\\s|:\\s)([A-Z][a-zA-Z]{{2,}})', 1), lambda w: not list_contains({_sql_list(classify.STOPWORDS + classify.OPENERS)}, lower(w)))[1:4] as starts,
+regexp_extract_all(v, '(?i)\\b(?:Step|Phase|Chapter|Section)\\s+\\d+\\b')[1:2] as steps, regexp_extract_all(t, '"([^"]{{3,30}})"', 1)[1:2] as quoted, list_transform(regexp_extract_all(v, '(?i)\\b(?:{"|".join(classify.DOMAIN_WORDS)})\\b'), lambda w: lower(w))[1:3] as domain from u),
 e as (select doc_id, list_filter(list_transform(list_concat(list_filter(caps, lambda w, i: list_position(caps, w) = i)[1:4], starts, steps, quoted, domain), lambda w: trim(w)), lambda w: length(w) >= 3 and not list_contains({_sql_list(classify.STOPWORDS)}, lower(w))) as k from c)
-select doc_id, array_to_string(list_filter(k, lambda w, i: list_position(list_transform(k, lambda v: lower(v)), lower(w)) = i)[1:8], '|') as keywords from e""")
+select doc_id, list_filter(k, lambda w, i: list_position(list_transform(k, lambda v: lower(v)), lower(w)) = i)[1:8] as k from e)"""
+
+
+@query(f"select doc_id, array_to_string(k, '|') as keywords from {_sql_keywords(_sql_docs(_KEYED, text=_ASCII))}")
 def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keywords of each text, non-ASCII characters off (word boundaries differ there between the two engines)."""
     d = _docs(spark, sf_dir, _KEYED, text=T.drop_non_ascii(F.col("text")))
@@ -209,9 +214,13 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.vocabulary(read(spark, sf_dir, "documents"), "doc_id")
 
 
-@query(f"""with s as (select doc_id, unnest(w) as word from {_sql_bag("text")}), o as (select doc_id, unnest(w) as word from {_sql_bag("case when doc_id % 3 = 0 then left(text, n_chars // 2) else replace(text, 'the', 'a b') end")}),
+def _sql_missing(output: str) -> str:
+    return f"""with s as (select doc_id, unnest(w) as word from {_sql_bag("text")}), o as (select doc_id, unnest(w) as word from {_sql_bag(output)}),
 a as (select doc_id, word, count(*) as n from s group by 1, 2), b as (select doc_id, word, count(*) as m from o group by 1, 2)
-select d.doc_id, least(1.0, round(coalesce(sum(greatest(n - coalesce(m, 0), 0)) / nullif(sum(n), 0), 0), 3))::double as pct_missing from documents d left join a on a.doc_id = d.doc_id left join b on a.doc_id = b.doc_id and a.word = b.word group by 1""")
+select d.doc_id, least(1.0, round(coalesce(sum(greatest(n - coalesce(m, 0), 0)) / nullif(sum(n), 0), 0), 3))::double as pct_missing from documents d left join a on a.doc_id = d.doc_id left join b on a.doc_id = b.doc_id and a.word = b.word group by 1"""
+
+
+@query(_sql_missing("case when doc_id % 3 = 0 then left(text, n_chars // 2) else replace(text, 'the', 'a b') end"))
 def words_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of each text's words that a damaged copy lacks."""
     d = read(spark, sf_dir, "documents")
@@ -233,10 +242,23 @@ _SQL_TABLE = "(contains({c}, '|') and contains({c}, chr(10)))"
 _NO_TABLES = f"not {_SQL_TABLE.format(c='x.cur')} and not {_SQL_TABLE.format(c='a.cur')} and length(x.cur) <= 200"
 
 
-@query(f"""with cut as (select doc_id, {_SQL_PARTS} as parts from documents where len({_SQL_PARTS}) > 0),
-b as (select doc_id, list_append(f.out, f.cur) as b from (select doc_id, list_reduce(list_transform(parts, lambda s: {{'out': []::varchar[], 'cur': s}}), lambda a, x: case when {_NO_TABLES} then {{'out': a.out, 'cur': a.cur || chr(10) || chr(10) || x.cur}} else {{'out': list_append(a.out, a.cur), 'cur': x.cur}} end) as f from cut)),
-r as (select doc_id, len(b) as n, unnest(b) as t, unnest(range(len(b))) as block from b)
-select doc_id, block::int as block, case when length({_sql_strip("string_split(t, chr(10))[1]")}) > 80 then left({_sql_strip("string_split(t, chr(10))[1]")}, 80) || '...' else {_sql_strip("string_split(t, chr(10))[1]")} end as title, left(t, 2000) as content, greatest(1, floor(block / greatest(n, 1) * 30))::int as page from r where length(t) >= 10""")
+def _sql_fold(source: str, joins: str, keep: str = "doc_id") -> str:
+    """(keep, b: the blocks) of (keep, parts): an ordered fold as in segment._fold; joins speaks of a.cur (the block) and x.cur (the next)."""
+    return f"""(select {keep}, list_append(f.out, f.cur) as b from (select {keep}, list_reduce(list_transform(parts, lambda s: {{'out': []::varchar[], 'cur': s}}),
+lambda a, x: case when {joins} then {{'out': a.out, 'cur': a.cur || chr(10) || chr(10) || x.cur}} else {{'out': list_append(a.out, a.cur), 'cur': x.cur}} end) as f from {source} where len(parts) > 0))"""
+
+
+def _sql_packed(parts: str) -> str:
+    first = _sql_strip("string_split(t, chr(10))[1]")
+    return f"""with cut as (select doc_id, {parts} as parts from documents), r as (select doc_id, len(b) as n, unnest(b) as t, unnest(range(len(b))) as block from {_sql_fold("cut", _NO_TABLES)})
+select doc_id, block::int as block, case when length({first}) > 80 then left({first}, 80) || '...' else {first} end as title, left(t, 2000) as content, greatest(1, floor(block / greatest(n, 1) * 30))::int as page from r where length(t) >= 10"""
+
+
+#: The parts of texts whose line feeds were doubled.
+_SQL_LINES = f"list_filter(list_transform(string_split(text, chr(10)), lambda p: {_sql_strip('p')}), lambda p: p <> '')"
+
+
+@query(_sql_packed(_SQL_PARTS))
 def packed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs packed into blocks (an ordered fold on both sides)."""
     d = read(spark, sf_dir, "documents").select("doc_id", _broken_lines(F.col("text")).alias("text"))
@@ -244,16 +266,28 @@ def packed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SQL_JUNK = f"(regexp_matches(p, '^!\\[.*?\\]\\(.*?\\)$') or (regexp_matches(p, '^\\*?\\*?(Figure|Table)\\s+\\d+.*?\\*?\\*$') and length(p) < 80) or (length(p) < 15 and not contains(p, '|')))"
-_SQL_SOLID = f"list_filter({_SQL_PARTS}, lambda p: not {_SQL_JUNK})"
 _SPLIT_TITLES = ["To print ", "Step list ", "Doc "]
 
 
-@query(f"""with cut as (select doc_id, {_sql_pick(_SPLIT_TITLES, "doc_id")} || doc_id as title, {_SQL_SOLID} as parts from documents where len({_SQL_SOLID}) > 0),
-b as (select doc_id, title, list_filter(list_append(f.out, f.cur), lambda t: length(t) >= 20) as b from (select doc_id, title, list_reduce(list_transform(parts, lambda s: {{'out': []::varchar[], 'cur': s}}), lambda a, x: case when {_NO_TABLES} and length(a.cur) <= 640 then {{'out': a.out, 'cur': a.cur || chr(10) || chr(10) || x.cur}} else {{'out': list_append(a.out, a.cur), 'cur': x.cur}} end) as f from cut)),
-r as (select doc_id, title, unnest(b) as content, unnest(range(len(b))) as part from b)
-select doc_id, part::int as part, case when (starts_with(lower(title), 'to ') and regexp_matches(content, '(?:^|\\n)[\\s*•\\-]*\\d+\\.')) or (contains(lower(title), 'step') and regexp_matches(content, '(?:^|\\n)\\s*-\\s*\\d+\\.')) then 'sop_step' else 'general' end as type,
-case when part > 0 then title || ' (cont. ' || part || ')' else title end as title, content from r""")
+def _sql_smart(title: str, parts: str) -> str:
+    solid = f"list_filter({parts}, lambda p: not {_SQL_JUNK})"
+    return f"""with cut as (select doc_id, {title} as title, {solid} as parts from documents), s as (select doc_id, title, list_filter(b, lambda t: length(t) >= 20) as b from {_sql_fold("cut", _NO_TABLES + " and length(a.cur) <= 640", "doc_id, title")}),
+r as (select doc_id, title, unnest(b) as content, unnest(range(len(b))) as part from s)
+select doc_id, part::int as part, case when part > 0 then title || ' (cont. ' || part || ')' else title end as title, content from r"""
+
+
+_SQL_STEP = "(starts_with(lower(title), 'to ') and regexp_matches(content, '(?:^|\\n)[\\s*•\\-]*\\d+\\.')) or (contains(lower(title), 'step') and regexp_matches(content, '(?:^|\\n)\\s*-\\s*\\d+\\.'))"
+
+
+@query(f"select *, case when {_SQL_STEP} then 'sop_step' else 'general' end as type from ({_sql_smart(_sql_pick(_SPLIT_TITLES, 'doc_id') + ' || doc_id', _SQL_PARTS)})")
 def smart_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts split by size with junk dropped (an ordered fold on both sides)."""
     d = read(spark, sf_dir, "documents").select("doc_id", F.concat(_pick(_SPLIT_TITLES, F.col("doc_id")), F.col("doc_id").cast("string")).alias("title"), F.lit("general").alias("kind"), _broken_lines(F.col("text")).alias("text"))
     return segment.smart_split(d, "doc_id", "title", kind="kind")
+
+
+# SQL of queries that are registered elsewhere
+ORACLES["pct_missing"] = _sql_missing(_ASCII)
+ORACLES["packed_paragraphs"] = _sql_packed(_SQL_LINES)
+ORACLES["smart_split"] = _sql_smart("'Doc ' || doc_id", _SQL_LINES)
+ORACLES["keyword_index"] = f"select keyword, count(distinct doc_id) as n_docs from (select doc_id, unnest(list_distinct(k)) as keyword from {_sql_keywords('(select doc_id, text as x from documents)')}) group by 1"

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import classify, entries, segment
 
 #: Parts that an ingested store is cut into by the hash of the id.
-CUTS = 256
+CUTS = 32
 
 
 def entries_of(texts: DataFrame, source: str = "source_file", text: str = "text") -> DataFrame:
@@ -29,8 +29,9 @@ def ingest(spark: SparkSession, path: str, store: str, checkpoint: str, make: Ca
     stream = spark.readStream.schema("source_file string, text string").json(path)
 
     def put(batch: DataFrame, n: int) -> None:
-        new = make(batch).dropDuplicates(["id"]).withColumn("cut", F.pmod(F.xxhash64("id"), F.lit(CUTS)).cast("int"))
+        new = make(batch).withColumn("cut", F.pmod(F.xxhash64("id"), F.lit(CUTS)).cast("int"))
         cuts = [r.cut for r in new.select("cut").distinct().collect()]  # CUTS numbers at most
+        new = new.dropDuplicates(["id"])
         try:
             old = batch.sparkSession.read.parquet(store).where((F.col("batch") != n) & F.col("cut").isin(*cuts))
             new = entries.delete_ids(new, old)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators import classify, entries, evaluate, search, segment
+from quillspark.operators import classify, entries, evaluate, language, search, segment
 from quillspark.sources import files
 from quillspark.streaming import ingest
 
@@ -193,3 +193,80 @@ def test_incremental_ingest_takes_each_text_once(spark, tmp_path):
         df.write.mode("append").json(src)
         ingest.ingest(spark, src, store, mark).awaitTermination()
     assert spark.read.parquet(store).count() == 1
+
+
+def test_keywords_keep_their_numbers_and_skip_openers(spark):
+    assert one(spark, "They met. What now. Paper Step 4 and Section 12", classify.keywords) == ["Paper", "Step 4", "Section 12"]
+
+
+@pytest.mark.parametrize(
+    "fn, text, want",
+    [
+        (T.is_city_state_zip, "Doylestown, PA 18901", True),
+        (T.is_city_state_zip, "Doylestown, Pennsylvania, 18901", True),
+        (T.is_city_state_zip, "no place at all", False),
+        (T.has_phone, "Phone: 555-867-5309 x12", True),
+        (T.has_phone, "Phone: 55", False),
+        (T.has_verb, "It is over", True),
+        (T.has_verb, "A red door", False),
+        (T.element_type, "Austin, TX 78701", "Address"),
+        (T.display_source, "a" * 41, "a" * 37 + "..."),
+        (T.repair_math, "p#e and #(x) and #e =", "p$\\mu$e and $\\mu$(x) and $\\mu$e ="),
+    ],
+)
+def test_more_text(spark, fn, text, want):
+    assert one(spark, text, fn) == want
+
+
+def test_split_by_the_named_strategy(spark):
+    marked = "intro text\n# One\nbody one\n## Two\nbody two\n### Three\nbody three"
+    plain = "x" * 210 + "\nChapter 1 Start\nsome words\nChapter 2 Middle\nmore words\nChapter 3 End\nlast words"
+    paras = "The first paragraph of text.\n\nAnother one."
+    df = spark.createDataFrame([(1, marked), (2, plain), (3, paras)], "id int, text string")
+    got = {}
+    for r in segment.split_by_strategy(df, "id").orderBy("id", "seq").collect():
+        got.setdefault((r.id, r.strategy), []).append((r.title, r.content))
+    assert got[1, "markdown"][1:] == [("One", "body one"), ("Two", "body two"), ("Three", "body three")]
+    assert got[2, "plaintext"] == [("Chapter 1 Start", "Chapter 1 Start\nsome words"), ("Chapter 2 Middle", "Chapter 2 Middle\nmore words"), ("Chapter 3 End", "Chapter 3 End\nlast words")]
+    assert [t for t, _ in got[3, "paragraph"]] == ["The first paragraph of text."]
+
+
+def test_models_are_asked_batch_by_batch(spark):
+    df = spark.createDataFrame([(i, f"t{i}", f"c{i}") for i in range(7)], "id long, title string, content string")
+    asked = entries.prompts(entries.llm_batches(df, 3))
+    answers = entries.ask(asked, lambda ps: ["[" + ",".join('{"type":"faq","confidence":0.5}' for _ in range(p.count("Title: "))) + "]" for p in ps])
+    got = entries.batch_results(answers)
+    assert sorted(r.id for r in got.collect()) == list(range(7)) and {r.llm_type for r in got.collect()} == {"faq"}
+    with pytest.raises(Exception, match="answers"):
+        entries.ask(asked, lambda ps: []).collect()
+
+
+def test_type_filter_takes_one_list(spark):
+    df = spark.createDataFrame([("a",), ("b",)], "type string")
+    assert entries.filter_types(df, include=["a"]).count() == entries.filter_types(df, exclude=["a"]).count() == 1
+    for k in ({}, {"include": ["a"], "exclude": ["b"]}):
+        with pytest.raises(ValueError):
+            entries.filter_types(df, **k)
+
+
+def test_overlap_only_where_an_element_was_cut(spark):
+    df = spark.createDataFrame([(1, 0, "aaa bbb", False), (1, 1, "ccc", True), (1, 2, "ddd", False)], "d int, chunk_seq int, text string, is_continuation boolean")
+    assert [r.text for r in segment.overlapped(df, "d", 4).orderBy("chunk_seq").collect()] == ["aaa bbb", "bbb ccc", "ddd"]
+    assert [r.text for r in segment.overlapped(df, "d", 3, all_chunks=True).orderBy("chunk_seq").collect()] == ["aaa bbb", "bbb ccc", "ccc ddd"]
+
+
+def test_languages_beyond_any_number_are_told(spark):
+    names = [f"l{i:04d}" for i in range(1200)]
+    pair = lambda i: chr(97 + i // 26 % 26) + chr(97 + i % 26) + chr(0x3B1 + i // 676)
+    df = spark.createDataFrame([(i, f"{pair(i)} " * 30, n) for i, n in enumerate(names)], "id int, text string, lang string")
+    found = language.detect(df, language.profiles(df), "id")
+    assert df.join(found, "id").where("lang = detected").count() == 1200
+    short = spark.createDataFrame([("a b", "fr"), ("é b", "fr"), (" ", "fr"), ("one two three four five", "de")], "t string, d string").select(language.short_ascii(F.col("t"), F.col("d")).alias("x"))
+    assert [r.x for r in short.collect()] == ["en", "fr", None, "de"]
+
+
+def test_envelopes_have_bounded_parts(spark):
+    df = spark.createDataFrame([(str(i), "a" if i < 90 else None) for i in range(100)], "id string, source_file string")
+    got = files.envelopes(df, most=20).collect()
+    assert sum(r.total_entries for r in got) == 100 and sum(r.total_entries for r in got if r.source_file is None) == 10
+    assert len(got) > 3 and all(len(r.entries) == r.total_entries for r in got)
