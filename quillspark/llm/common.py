@@ -172,6 +172,8 @@ def bits_for(bytes_total: int, each: int = 16 << 20) -> int:
 
 def by_bucket(keys: np.ndarray, bits: int) -> list[tuple[int, slice]]:
     """The stretches of ascending 64-bit keys that share their first bits, with the bucket these name."""
-    edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-    edges = [0, *edges.tolist(), len(keys)]
-    return [(k, slice(a, b)) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+    if not len(keys):
+        return []
+    of = keys >> np.uint64(64 - bits)
+    first = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(keys)]]).tolist()
+    return [(int(of[a]), slice(a, b)) for a, b in zip(first, first[1:])]

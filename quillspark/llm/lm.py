@@ -7,9 +7,9 @@ left to right: the state is carried, failure arcs are followed until the word ha
 of a block advance together, a token a step.
 
 Counting and scoring share one exchange. Documents are dealt over blocks by a hash of their id; a block sends its different
-n-gram keys with their training counts to buckets by key (a frequent n-gram is one entry a block, whatever its count), a bucket
-adds them up and answers each block, and the block then has all counts that its own automaton needs: no task and not the driver
-ever holds the whole model. Only N and V go through the driver.
+n-gram keys with their training counts to buckets by key (a frequent n-gram is one entry a block, whatever its count; see exchange.py),
+a bucket adds them up and answers each block, and the block then has all counts that its own automaton needs: no task and not the
+driver ever holds the whole model. Only N and V go through the driver.
 
 Defined results. A null or empty text is the end token alone. Rows that repeat an id are each trained on and scored. A null id
 is held out (there is no remainder to take). With no training document every count is 0. An empty table gives no rows.
@@ -23,11 +23,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bits_for, block_of, by_bucket, id_text, n_blocks, packed_counts, packed_keys, splitmix, to_arrow, unpacked_counts, unpacked_keys, written
+from .common import bits_for, block_of, id_text, n_blocks, splitmix, to_arrow, unpacked_counts
+from .exchange import SENT, add_up, sent_rows, table
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-_SENT = "n int, bucket int, block int, keys binary, counts binary"
-_ANSWER = "n int, bucket int, block int, totals binary, types long, tokens long"
 
 
 class Block:
@@ -67,7 +66,7 @@ class Block:
         at = self.index[n - 1].copy()
         at[self.place < max(1, n - 1)] = -1
         at = at[(at >= 0) & trained[self.doc]]
-        return np.bincount(at, minlength=len(self.keys[n - 1])).astype("<u4")
+        return np.bincount(at, minlength=len(self.keys[n - 1]))
 
 
 class Automaton:
@@ -146,7 +145,7 @@ class Automaton:
         return out
 
 
-def model_scores(docs: DataFrame, order: int = 2, mu: float = 400.0, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+def model_scores(docs: DataFrame, order: int = 2, mu: float = 400.0, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20, radix: int = 8) -> DataFrame:
     """SCORES of every whole text, trained on those whose crc32(id as text) mod 10 is not 0."""
     spark = docs.sparkSession
     rows = id_text(docs, id_col, text_col)
@@ -154,33 +153,16 @@ def model_scores(docs: DataFrame, order: int = 2, mu: float = 400.0, id_col: str
     bits = bits_for(blocks * block_bytes * (order + 1) // 2)
     held = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 10 == 0, F.lit(True))
     rows = rows.select(block_of(blocks).alias("block"), "id", "text", held.alias("held"))
-    sent_shape, answer_shape, out_shape = (to_arrow(x, spark) for x in (_SENT, _ANSWER, SCORES))
+    sent_shape, out_shape = to_arrow(SENT, spark), to_arrow(SCORES, spark)
 
     def send(key, t):
         block = Block(t.column("text").to_pylist(), order)
         trained = ~np.array(t.column("held").to_pylist(), bool)
-        out = []
-        for n in range(1, order + 1):
-            keys, counts = block.keys[n - 1], block.counts(n, trained)
-            out += [(n, k, key[0].as_py(), packed_keys(keys[s]), counts[s].tobytes()) for k, s in by_bucket(keys, bits)]
-        return pa.table([pa.array([r[i] for r in out], f.type) for i, f in enumerate(sent_shape)], schema=sent_shape)
-
-    def add(key, t):
-        keys = [unpacked_keys(x.as_buffer()) for x in t.column("keys")]
-        counts = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in t.column("counts")])
-        kinds, index = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.zeros(len(kinds), np.int64)
-        np.add.at(totals, index, counts)
-        each, at, out = totals[index], 0, []
-        for k in keys:
-            out.append(packed_counts(each[at : at + len(k)]))
-            at += len(k)
-        none = [0] * (len(keys) - 1)
-        return pa.table([t.column("n"), t.column("bucket"), t.column("block"), pa.array(out, pa.binary()), pa.array([int((totals > 0).sum()), *none], pa.int64()), pa.array([int(counts.sum(dtype=np.int64)), *none], pa.int64())], schema=answer_shape)
-
-    sent = rows.groupBy("block").applyInArrow(send, _SENT)
-    answers = written(sent.groupBy("n", "bucket").applyInArrow(add, _ANSWER), "lm-counts")
-    told = answers.where("n = 1").agg(F.sum("tokens"), F.sum("types")).first()
+        sets = ((n, block.keys[n - 1], block.counts(n, trained)) for n in range(1, order + 1))
+        return table([r for n, keys, counts in sets for r in sent_rows(n, key[0].as_py(), keys, counts, bits, radix)], sent_shape)
+
+    answers, top = add_up(rows.groupBy("block").applyInArrow(send, SENT), bits, "lm", radix)
+    told = top.where("n = 1").agg(F.sum("tokens"), F.sum("types")).first()
     n_tokens, n_types = (int(x or 0) for x in told)
 
     def score(key, t, a):
@@ -197,4 +179,4 @@ def model_scores(docs: DataFrame, order: int = 2, mu: float = 400.0, id_col: str
         n = len(block.lens)
         return pa.table([t.column("id"), t.column("held"), pa.array(block.lens - 1), pa.array(known), pa.array([n_tokens] * n, pa.int64()), pa.array(base), pa.array(scores)], schema=out_shape)
 
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORES)
+    return rows.groupBy("block").cogroup(answers.select(F.col("unit").cast("int").alias("block"), "n", "bucket", "totals").groupBy("block")).applyInArrow(score, SCORES)

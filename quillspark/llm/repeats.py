@@ -4,8 +4,8 @@ Every byte that lies in a LENGTH-byte string which also starts in a document wit
 (window) belongs to the piece of the text around its anchor: the GRAM-byte string of least hash in it. Windows that are equal
 have equal anchors, so equal windows meet wherever pieces with the same anchor meet.
 
-1. Each block of documents sends the different anchors of its texts to buckets by hash; a bucket tells the blocks which anchors
-   other blocks have too.
+1. Each block of documents sends the different anchors of its texts to buckets by hash (see exchange.py); it is told how many
+   blocks have each.
 2. Each block sends the pieces of anchors that occur more than once, each different piece once, with its least document; equal
    pieces of larger documents in the block are settled on the spot. A bucket sorts the suffixes of all the pieces it got (the
    windows), and groups of equal ones name the least document of each window: what of each piece is to go follows from that.
@@ -28,7 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bits_for, block_of, by_bucket, n_blocks, packed_keys, splitmix, to_arrow, unpacked_keys, written
+from .common import bits_for, block_of, by_bucket, n_blocks, splitmix, to_arrow, unpacked_counts, written
+from .exchange import SENT, add_up, sent_rows, table
 from .suffixes import sort_suffixes
 
 LENGTH = 50
@@ -36,8 +37,6 @@ GRAM = 24
 _SPAN = LENGTH - GRAM + 1  # places of an anchor in a window
 _SLICE = 1 << 20
 _ALONE = 255  # in place of an anchor's: the piece is one window of a frequent anchor, complete in its bucket
-_ASK = "bucket int, block int, keys binary"
-_TOLD = "block int, bucket int, keys binary, hot binary"
 _PIECES = "bucket int, block int, local boolean, ids binary, rows binary, at binary, ends binary, sizes binary, anchors binary, data binary"
 _CUTS = "block int, ids binary, rows binary, at binary, ends binary"
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
@@ -97,13 +96,12 @@ def _joined(at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[new], far[last]
 
 
-def _local(t: Texts, ids: np.ndarray, rows: np.ndarray, told: np.ndarray, hot: np.ndarray, bits: int, block: int, shape: pa.Schema) -> pa.Table:
-    """What a block sends in step 2."""
+def _local(t: Texts, ids: np.ndarray, rows: np.ndarray, blocks_with: np.ndarray, hot: int, bits: int, block: int, shape: pa.Schema) -> pa.Table:
+    """What a block sends in step 2. blocks_with: how many blocks have each of its different anchors, in ascending order of these."""
     anchor, start, end, place = t.pieces()
     kinds, index, n = np.unique(anchor, return_inverse=True, return_counts=True)
-    again = (n > 1) | np.isin(kinds, told)
-    use = np.flatnonzero(again[index])
-    is_hot = np.isin(kinds, hot)[index]
+    use = np.flatnonzero(((n > 1) | (blocks_with > 1))[index])
+    is_hot = (blocks_with > hot)[index]
     doc = np.searchsorted(t.first, start, "right") - 1
     doc_of = doc.tolist()
     id_of = ids.tolist()
@@ -128,7 +126,7 @@ def _local(t: Texts, ids: np.ndarray, rows: np.ndarray, told: np.ndarray, hot: n
         d = a // wide
         out.append((block % (1 << bits), block, True, ids[d].tobytes(), rows[d].tobytes(), (a - d * wide).tobytes(), (e - d * wide).tobytes(), b"", b"", b""))
     # one piece of an anchor that no other block has is settled
-    known = np.isin(kinds, told)[index]
+    known = (blocks_with > 1)[index]
     first = np.array([have[0] for have in least.values()], np.int64)
     several = np.bincount(index[first], minlength=len(kinds)) > 1 if len(first) else np.zeros(len(kinds), bool)
     send = np.array([k for have in least.values() for k in have if known[have[0]] or several[index[have[0]]]], np.int64)
@@ -198,38 +196,30 @@ def _settle(t: pa.Table) -> tuple[np.ndarray, ...]:
     return block[e], ids[e], rows[e], at[e] + step[new], at[e] + step[last] + LENGTH
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20, hot: int = 64) -> DataFrame:
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20, hot: int = 64, radix: int = 8) -> DataFrame:
     """CUT rows of every whole text; kept_text is what is left (a cut inside a character leaves U+FFFD)."""
     spark = docs.sparkSession
     both = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     blocks = n_blocks(both, block_bytes)
     bits = bits_for(blocks * block_bytes, 2 << 20)  # a bucket's suffixes take some fifty times the bytes of its pieces
     rows = both.select(block_of(blocks).alias("block"), "id", "text", F.xxhash64("id", "text").alias("row"))
-    ask_shape, told_shape, piece_shape, cuts_shape, cut_shape = (to_arrow(x, spark) for x in (_ASK, _TOLD, _PIECES, _CUTS, CUT))
+    sent_shape, piece_shape, cuts_shape, cut_shape = (to_arrow(x, spark) for x in (SENT, _PIECES, _CUTS, CUT))
 
     def ask(key, t):
         keys = np.unique(Texts(t.column("text").to_pylist()).pieces()[0])
-        out = [(k, key[0].as_py(), packed_keys(keys[s])) for k, s in by_bucket(keys, bits)]
-        return pa.table([pa.array([r[i] for r in out], f.type) for i, f in enumerate(ask_shape)], schema=ask_shape)
-
-    def tell(key, t):
-        parts = [unpacked_keys(x.as_buffer()) for x in t.column("keys")]
-        _, index, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        own, at = [], 0
-        for p in parts:
-            blocks_with, at = n[index[at : at + len(p)]], at + len(p)
-            own.append((p[blocks_with > 1].tobytes(), p[blocks_with > hot].tobytes()))
-        return pa.table([t.column("block"), t.column("bucket"), pa.array([x[0] for x in own], pa.binary()), pa.array([x[1] for x in own], pa.binary())], schema=told_shape)
+        return table(sent_rows(0, key[0].as_py(), keys, np.ones(len(keys), np.int64), bits, radix), sent_shape)
 
     some = rows.where("id is not null")
-    told = written(some.groupBy("block").applyInArrow(ask, _ASK).groupBy("bucket").applyInArrow(tell, _TOLD), "repeats-anchors")
+    told = add_up(some.groupBy("block").applyInArrow(ask, SENT), bits, "repeats", radix)[0]
+    told = told.select(F.col("unit").cast("int").alias("block"), "bucket", "totals")
 
     def send(key, t, a):
         if not t.num_rows:
             return pa.table([pa.array([], f.type) for f in piece_shape], schema=piece_shape)
-        known, many = (np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(x.as_buffer(), "<u8") for x in a.column(c))]) for c in ("keys", "hot"))
+        a = a.sort_by("bucket")
+        blocks_with = np.concatenate([np.zeros(0, np.int64), *(unpacked_counts(x.as_buffer()) for x in a.column("totals"))])
         ids, names = (np.array(t.column(c).to_pylist(), np.int64) for c in ("id", "row"))
-        return _local(Texts(t.column("text").to_pylist()), ids, _variant(ids, names), known, many, bits, key[0].as_py(), piece_shape)
+        return _local(Texts(t.column("text").to_pylist()), ids, _variant(ids, names), blocks_with, hot, bits, key[0].as_py(), piece_shape)
 
     def settle(key, t):
         out = []

@@ -68,3 +68,13 @@ def test_counts_beyond_32_bits_stay_whole():
 
     counts = np.array([0, 1, 2**32 - 1, 2**32, 3 * 10**12, 2**62], np.int64)
     assert unpacked_counts(packed_counts(counts)).tolist() == counts.tolist()
+
+
+def test_levels_of_buckets_change_nothing(spark, docs):
+    """Many blocks and buckets in levels of two bits give what one level gives."""
+    from quillspark.llm import lm
+
+    some = docs.where("doc_id < 60")
+    one, many = (sorted(tuple(r) for r in lm.model_scores(some, order=3, block_bytes=4000, radix=k).collect()) for k in (20, 2))
+    assert [r[:5] for r in one] == [r[:5] for r in many]
+    assert all(abs(a[6] - b[6]) < 1e-6 for a, b in zip(one, many))

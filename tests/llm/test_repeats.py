@@ -76,3 +76,9 @@ def test_blind_trie(strings):
     for i, s in enumerate(strings):
         t.add(s, i)
     assert [strings[i] for g in t.groups() for i in g] == sorted(strings)
+
+
+def test_levels_of_buckets_change_nothing(spark, docs):
+    some = docs.where("doc_id < 80")
+    one, many = (sorted((r.doc_id, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.cut_repeats(some, block_bytes=6000, radix=k).collect()) for k in (20, 2))
+    assert one == many and sum(r[1] for r in one) > 0
