@@ -290,9 +290,17 @@ def detection(predicted: DataFrame, truth: DataFrame, threshold: float = 0.5, mo
     return out.select("class", "n_truth", F.round(pr, 6).alias("precision"), F.round(rc, 6).alias("recall"), F.round(2 * pr * rc / (pr + rc + 1e-16), 6).alias("f1"), "ap")
 
 
-def evaluate_corpus(output: DataFrame, truth: DataFrame, id_col: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(a row of metrics for each document both sides have, their summary): missing words and edit accuracy."""
+def unmatched(output: DataFrame, truth: DataFrame, id_col: str) -> DataFrame:
+    """(id, error) of the documents that only one side has: the failures of a corpus run."""
+    sides = [x.select(id_col).distinct().withColumn(n, F.lit(True)) for x, n in ((output, "o"), (truth, "t"))]
+    both = sides[0].join(sides[1], id_col, "full_outer").where("o is null or t is null")
+    return both.select(id_col, F.when(F.col("o").isNull(), "no output").otherwise("no truth").alias("error"))
+
+
+def evaluate_corpus(output: DataFrame, truth: DataFrame, id_col: str, by: list[str], weights: tuple[int, int, int] = (2, 1, 1)) -> tuple[DataFrame, DataFrame]:
+    """(a row of metrics for each document both sides have, their summary): missing words and edit accuracy. See unmatched() for the
+    others, type_match() and cell_accuracy() for element types and tables."""
     missing = percent_missing(output, truth, id_col)
     pairs = truth.select(id_col, *by, F.col("text").alias("source")).join(output.select(id_col, F.col("text").alias("output")), id_col)
-    rows = edit_distance(pairs, "output", "source").drop("output", "source").join(missing, id_col)
+    rows = edit_distance(pairs, "output", "source", weights).drop("output", "source").join(missing, id_col)
     return rows, metric_summary(rows, "accuracy", by)

@@ -387,6 +387,63 @@ def ingested_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{top}/store").groupBy("source_file").agg(F.count(F.lit(1)).alias("n"))
 
 
+_SQL_CASED = "(select conv_id as doc, turn as ix, (turn % 3) * 40.0 as x1, (turn % 2) * 30.0 as y1, (turn % 3) * 40.0 + 30 + length(text) % 50 as x2, (turn % 2) * 30.0 + 20 + length(text) % 50 as y2, case when turn % 5 = 4 then ' ' else left(text, 6 + turn % 3 * 9) end as text from conversations)"
+
+
+def _sql_inside(p: str, q: str) -> str:
+    return f"({q}.x1 >= {p}.x1 - 5 and {q}.y1 >= {p}.y1 - 5 and {q}.x2 <= {p}.x2 + 5 and {q}.y2 <= {p}.y2 + 5)"
+
+
+@query(f"""with o as (select a.doc, a.ix as a, b.ix as b, a.text as s, b.text as t, {_sql_inside("a", "b")} or {_sql_inside("b", "a")} as nested,
+(least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) / least((a.x2 - a.x1) * (a.y2 - a.y1), (b.x2 - b.x1) * (b.y2 - b.y1)) as share
+from {_SQL_CASED} a join {_SQL_CASED} b on a.doc = b.doc and a.ix < b.ix where least(a.x2, b.x2) > greatest(a.x1, b.x1) and least(a.y2, b.y2) > greatest(a.y1, b.y1))
+select doc, a, b, case when nested then 'nested' when share < 0.1 then 'small' when {_sql_strip("s")} = '' or {_sql_strip("t")} = '' then 'empty text' when contains(s, t) or contains(t, s) then 'duplicate text'
+when len(list_intersect(regexp_split_to_array(lower(s), '\\s+'), regexp_split_to_array(lower(t), '\\s+'))) > 0 then 'shared words' else 'none' end as case_ from o""")
+def overlap_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the overlap of two boxes means, by their places and texts."""
+    t = F.col("turn")
+    n = F.length("text") % 50
+    x, y = (t % 3) * 40.0, (t % 2) * 30.0
+    text = F.when(t % 5 == 4, F.lit(" ")).otherwise(F.substring(F.col("text"), F.lit(1), (6 + t % 3 * 9).cast("int")))
+    boxes = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.lit(1).alias("page"), t.alias("ix"), x.alias("x1"), y.alias("y1"), (x + 30.0 + n).alias("x2"), (y + 20.0 + n).alias("y2"), text.alias("text"))
+    return evaluate.box_overlaps(boxes, cell=50.0).select("doc", "a", "b", F.col("case").alias("case_"))
+
+
+_MARKED_KINDS = ["Title", "Table", "Image", "Formula", "ListItem", "Text"]
+
+
+@query(f"""select conv_id, string_agg(case {_sql_pick(_MARKED_KINDS, "turn")} when 'Title' then '# ' || text when 'Table' then '<table>' || turn || '</table>' when 'Image' then '![' || text || '](u' || turn || ')' when 'Formula' then '$$' || text || '$$' when 'ListItem' then '- ' || text else text end, chr(10) order by turn) as text from conversations where text <> '' group by 1""")
+def markdown_of_all_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("turn").cast("string")
+    e = read(spark, sf_dir, "conversations").select("conv_id", "turn", _pick(_MARKED_KINDS, F.col("turn")).alias("type"), "text", F.concat(F.lit("<table>"), t, F.lit("</table>")).alias("text_as_html"), F.concat(F.lit("u"), t).alias("image_url"))
+    return files.documents_text(e, "conv_id", "turn", markdown=True)
+
+
+@query("""select doc_id, case when doc_id % 3 = 0 then 'no output' else 'no truth' end as error from documents where doc_id % 3 = 0 or doc_id % 7 = 1 and doc_id % 3 <> 0""")
+def corpus_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that only one side of an evaluation has."""
+    d = read(spark, sf_dir, "documents").select("doc_id")
+    k = F.col("doc_id")
+    return evaluate.unmatched(d.where(k % 3 != 0), d.where((k % 7 != 1) | (k % 3 == 0)), "doc_id")
+
+
+@query(f"""with s as (select item_id, {_SQL_PLAIN} as text from benchmark), p as (select item_id, text, left(text, length(text) - item_id % 4) as o from s where text <> ''),
+m as (select case when item_id % 2 = 0 then 'even' else 'odd' end as half, round(1.0 - least(1.0, levenshtein({_sql_strip("o")}, text) / length(text)), 6) as a from p)
+select case when grouping(half) = 0 then 'half' else 'all' end as grouping, case when grouping(half) = 0 then half else 'all' end as value, round(avg(a), 3)::double as average, count(*) as count from m group by grouping sets ((half), ())""")
+def corpus_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over a corpus: texts with their ends cut off against the whole ones, summed up by a column."""
+    b = read(spark, sf_dir, "benchmark").select("item_id", F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("half"), T.strip(F.regexp_replace(T.drop_non_ascii(F.col("text")), r"\s+", " ")).alias("text"))
+    cut = b.select("item_id", F.substring(F.col("text"), F.lit(1), (F.length("text") - F.col("item_id") % 4).cast("int")).alias("text"))
+    return evaluate.evaluate_corpus(cut, b, "item_id", ["half"], (1, 1, 1))[1].select("grouping", "value", "average", "count")
+
+
+@query("""with c as (select conv_id as doc, count_if(role = 'user') / count(*) as r, count_if(role = 'system') / count(*) as c, count_if(turn % 2 = 0) / count(*) as x, 0.5 as y from conversations group by 1) select doc, round((c + r + (x + y) / 2) / 3, 6)::double as composite from c""")
+def composite_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    share = lambda c: F.count_if(c) / F.count(F.lit(1))
+    rows = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc")).agg(share(F.col("role") == "user").alias("row_accuracy"), share(F.col("role") == "system").alias("col_accuracy"), share(F.col("turn") % 2 == 0).alias("col_content"), F.lit(0.5).alias("row_content"))
+    return rows.select("doc", evaluate.composite_structure().alias("composite"))
+
+
 # SQL of queries that are registered elsewhere
 ORACLES["recursive_chunks"] = _sql_cut(500, [chr(10) * 2, chr(10), " "], 50)
 _SQL_TITLE50 = "case when length(t) > 50 then left(t, 50) || '...' else t end"
