@@ -1,5 +1,8 @@
 import hashlib
+import math
+import random
 import re
+from collections import Counter
 
 from quillspark.llm import pii, queries
 
@@ -67,3 +70,33 @@ def test_odd_rows(odd, empty):
 def test_query(spark):
     got = queries.op6_sanitise(spark, "/root/testdata/sf0.001").collect()
     assert len(got) == 200 and all(r.base_sha256 == hashlib.sha256(",".join(x for x in r.spans.split(",") if not x.startswith("term")).encode()).hexdigest() for r in got)
+
+
+def test_disclosure_equals_plain_counting(spark):
+    """Different texts, whole contexts and near terms counted one by one; copies of a text change nothing."""
+    rng = random.Random(11)
+    some = lambda n: " ".join(rng.choice(["red", "green", "blue", "stone", "river", "cloud", "table"]) for _ in range(n))
+    texts = [f"{some(3)} anna {['x@y.org', 'b@c.de'][i % 2]} {['smith', 'jones'][i % 2]} {some(4)} {i}" for i in range(12)] + [some(9) for _ in range(20)]
+    texts += texts[:5] + texts[14:22]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    different = sorted(set(texts))
+    n_t, n_e, n_te, around = Counter(), Counter(), {}, {}
+    for t in different:
+        n_t.update(set(re.findall(r"[^\W\d_]{3,}", t.lower())))
+        for m in re.finditer(r"[a-z]@[a-z]\.[a-z]+", t):
+            n_e[m[0]] += 1
+            for w in re.finditer(r"[^\W\d_]{3,}", t):
+                gap = m.start() - w.end() if w.end() <= m.start() else w.start() - m.end() if w.start() >= m.end() else None
+                if gap is not None and gap < pii.REACH:
+                    n_te.setdefault((m[0], w[0].lower()), set()).add(t)
+                    around.setdefault((m[0], w[0].lower()), set()).add(t[max(0, m.start() - pii.REACH) : m.end() + pii.REACH])
+    N, want = len(different), {}
+    for (e, w), ts in n_te.items():
+        if len(around[e, w]) >= 3:
+            share = math.log2(len(ts) * N / (n_t[w] * n_e[e])) / math.log2(N / n_e[e])
+            if share >= 0.2:
+                want[e, w] = round(share, 9)
+    rows = pii._hashed(docs, "text")
+    found = pii._found_table(rows)
+    got = {(r.v, r.term): round(r.disclosure, 9) for r in pii.disclosing(docs, found, "text", 3, 0.2, 0.9).collect()}
+    assert got == want and {("x@y.org", "smith"), ("b@c.de", "jones")} <= set(got)

@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 from fractions import Fraction
 
@@ -85,3 +86,30 @@ def test_odd_rows(odd, empty, spark):
 
 def test_query(spark):
     assert queries.op1_quality_rules(spark, "/root/testdata/sf0.001").count() == 200
+
+
+def test_cutoffs_equal_plain_nested_tests(spark):
+    """Strata with enough good labels have their own cutoff, the others share one; each by trying scores from the largest down."""
+    rng, rows = random.Random(3), []
+    for i in range(700):
+        lang = "en" if i < 400 else "de" if i < 660 else "fr" if i < 680 else None
+        words = [rng.choice(["alpha", "beta", "gamma", "DELTA!", "eps"]) for _ in range(30)] + ["###"] * rng.randrange(12)
+        rows.append((i, " ".join(words), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 10 != 0)) for i in range(700)] + [(0, 1), (9999, 1)], "doc_id long, quality int")
+    alpha, delta = 0.05, 0.05
+    counted = quality.stats(docs).select("*", *[v.alias("f_" + k) for k, v in quality.features().items()]).collect()
+    scores = {}
+    for r in counted:
+        if r.id % 10 != 0 or r.id == 0:
+            scores.setdefault(r.stratum or "\0none", []).append(max(-(-1000 * r["f_" + k] // level) for k, level in quality.LEVELS.items()))
+    allowed = lambda n: quality.most_errors(n, alpha, delta / (len(scores) + 1))
+    small = [s for s, x in scores.items() if allowed(len(x)) < 0]
+    units = {s: [v for o in small for v in scores[o]] if s in small else x for s, x in scores.items()}
+    want = {}
+    for s, x in units.items():
+        good = [v for v in set(x) if sum(y > v for y in x) <= allowed(len(x))]
+        for k, level in quality.LEVELS.items():
+            want[s, k] = (len(x), min(good) * level // 1000 if good else None)
+    got = {(r.stratum, r.feature): (r.n_good, r.cutoff) for r in quality.cutoffs(quality.stats(docs), labels, alpha, delta).collect()}
+    assert got == want and len(small) == 2 and all(want[s, "symbols"][1] is not None for s in ("en", "de"))
