@@ -278,6 +278,8 @@ def entities(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:
     t = F.col(text)
 
     def of(kind: str, pattern: str) -> Column:
+        if kind == "email":  # tried where its first run of characters starts, or where the match before ended: all other starts fail alike
+            pattern = r"(?:(?<![a-z0-9.+_-])|\G)" + pattern.replace("+@", "++@", 1)
         hits = F.regexp_extract_all(F.lower(t) if kind == "email" else t, F.lit(pattern), F.lit(0))
         return F.transform(hits, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
 
