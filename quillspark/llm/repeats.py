@@ -36,6 +36,8 @@ LENGTH = 50
 GRAM = 24
 _SPAN = LENGTH - GRAM + 1  # places of an anchor in a window
 _SLICE = 1 << 20
+#: Windows that are sorted at a time (an anchor's are never parted).
+_SORTED = 200_000
 _ALONE = 255  # in place of an anchor's: the piece is one window of a frequent anchor, complete in its bucket
 _PIECES = "bucket int, block int, local boolean, ids binary, rows binary, at binary, ends binary, sizes binary, anchors binary, data binary"
 _CUTS = "block int, ids binary, rows binary, at binary, ends binary"
@@ -175,25 +177,39 @@ def _settle(t: pa.Table) -> tuple[np.ndarray, ...]:
     words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
     anchor = first + np.where(place == _ALONE, 0, place)
     key = splitmix(words[anchor]) * np.uint64(3) + splitmix(words[anchor + 8]) * np.uint64(5) + splitmix(words[anchor + 16])
-    # the suffixes of all pieces whose anchor has several
+    # the suffixes of all pieces whose anchor has several, some anchors at a time
     _, a_index, a_count = np.unique(key, return_inverse=True, return_counts=True)
     multi = np.flatnonzero(a_count[a_index] > 1)
+    multi = multi[np.argsort(a_index[multi], kind="stable")]
     windows = size[multi] - LENGTH + 1
-    owner = np.repeat(multi, windows)
+    new = np.flatnonzero(np.diff(a_index[multi], prepend=-1))  # where an anchor's pieces begin
+    upto = np.cumsum(windows)[np.append(new[1:] - 1, len(multi) - 1)] if len(multi) else np.zeros(0, np.int64)
+    text, cuts, s = np.frombuffer(data, np.uint8), [], 0
+    while s < len(new):
+        e = max(s + 1, int(np.searchsorted(upto, (upto[s - 1] if s else 0) + _SORTED, "right")))
+        part = slice(new[s], new[e] if e < len(new) else len(multi))
+        cuts.append(_least_windows(text, first, multi[part], windows[part], ids))
+        s = e
+    entry, at_window, end_window = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*cuts)) if cuts else [np.zeros(0, np.int64)] * 3
+    return block[entry], ids[entry], rows[entry], at[entry] + at_window, at[entry] + end_window + LENGTH
+
+
+def _least_windows(text: np.ndarray, first: np.ndarray, pieces: np.ndarray, windows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, first window, last window): the runs of windows of the pieces that also stand in a document with a smaller id."""
+    owner = np.repeat(pieces, windows)
     step = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-    order, group = sort_suffixes(np.frombuffer(data, np.uint8), first[owner] + step, LENGTH)
-    low = np.full(int(group[-1]) + 1 if len(group) else 0, np.iinfo(np.int64).max)
+    order, group = sort_suffixes(text, first[owner] + step, LENGTH)
+    low = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
     np.minimum.at(low, group, ids[owner[order]])
     least = np.empty(len(owner), np.int64)
     least[order] = low[group]
     hit = least < ids[owner]
     entry, step = owner[hit], step[hit]
     if not len(entry):
-        return tuple(np.zeros(0, k) for k in (block.dtype, np.int64, "<i4", np.int64, np.int64))
+        return (np.zeros(0, np.int64),) * 3
     new = np.concatenate([[True], (entry[1:] != entry[:-1]) | (step[1:] != step[:-1] + 1)])
     last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(entry) - 1]])
-    e = entry[new]
-    return block[e], ids[e], rows[e], at[e] + step[new], at[e] + step[last] + LENGTH
+    return entry[new], step[new], step[last]
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20, hot: int = 64, radix: int = 8) -> DataFrame:
