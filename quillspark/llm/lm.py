@@ -145,7 +145,7 @@ class Automaton:
         return out
 
 
-def model_scores(docs: DataFrame, order: int = 2, mu: float = 400.0, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20, radix: int = 8) -> DataFrame:
+def model_scores(docs: DataFrame, order: int = 2, mu: float = 400.0, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20, radix: int = 8) -> DataFrame:
     """SCORES of every whole text, trained on those whose crc32(id as text) mod 10 is not 0."""
     spark = docs.sparkSession
     rows = id_text(docs, id_col, text_col)
@@ -169,8 +169,8 @@ def model_scores(docs: DataFrame, order: int = 2, mu: float = 400.0, id_col: str
         block = Block(t.column("text").to_pylist(), order)
         a = a.sort_by([("n", "ascending"), ("bucket", "ascending")])
         of = a.column("n").to_numpy()
-        data = a.column("totals").to_pylist()
-        totals = [np.concatenate([np.zeros(0, np.int64), *(unpacked_counts(d) for d, k in zip(data, of) if k == n)]) for n in range(1, order + 1)]
+        data = a.column("totals")
+        totals = [np.concatenate([np.zeros(0, np.int64), *(unpacked_counts(d.as_buffer()) for d, k in zip(data, of) if k == n)]) for n in range(1, order + 1)]
         scores = Automaton(block, totals, n_tokens, n_types, mu).scores(block)
         real = block.place > 0
         c = totals[0][block.index[0][real]]
