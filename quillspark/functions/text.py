@@ -139,12 +139,12 @@ def regroup_paragraphs(c: Column) -> Column:
     return F.array_join(F.flatten(F.transform(parts, one)), "\n\n")
 
 
-def auto_regroup(c: Column, most_lines: int = 2000, threshold: float = 0.1) -> Column:
-    """Texts with few blank lines have one paragraph a line; the others are regrouped."""
+def auto_regroup(c: Column, most_lines: int = 2000, threshold: float = 0.1, grouper: Callable[[Column], Column] = regroup_paragraphs) -> Column:
+    """Texts with few blank lines have one paragraph a line; the others are regrouped, by the user's own function if one is given."""
     lines = F.slice(F.split(c, r"\n"), 1, most_lines)
     blank = F.size(F.filter(lines, lambda x: strip(x) == ""))
     apart = F.array_join(F.filter(F.split(c, r"\n"), lambda x: strip(x) != ""), "\n\n")
-    return F.when(blank / F.size(lines) < threshold, apart).otherwise(regroup_paragraphs(c))
+    return F.when(blank / F.size(lines) < threshold, apart).otherwise(grouper(c))
 
 
 #: Cleaning steps by name, for clean_corpus().

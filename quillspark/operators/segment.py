@@ -338,12 +338,19 @@ def drop_page_furniture(blocks: DataFrame, top: str, bottom: str, height: str, t
 
 def chunk_tables(tables: DataFrame, id_col: str, html: str = "text_as_html", most: int = 500) -> DataFrame:
     """(table_id, chunk_index, text_as_html, text, num_carried_over_header_rows): rows of a table in chunks whose text stays
-    within `most` where a row allows it; later chunks carry the header rows (leading rows with <th>)."""
+    within `most`; later chunks carry the header rows (leading rows with <th>). A row over `most` is split into rows of a cell each,
+    and a cell over `most` into rows of a piece of its text each, cut at white space where there is some."""
     trs = F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>.*?</tr>"), F.lit(0))
     plain = lambda r: T.strip(F.regexp_replace(F.regexp_replace(r, "<[^>]+>", " "), r"\s+", " "))
     rows = tables.select(F.col(id_col).alias("table_id"), trs.alias("r")).withColumn("heads", F.size(F.filter("r", lambda x, i: F.forall(F.slice(F.col("r"), 1, i + 1), lambda y: y.rlike("(?i)<th\\b")))))
     head = F.array_join(F.slice("r", 1, F.col("heads")), "")
+    tr = lambda x: F.concat(F.lit("<tr>"), x, F.lit("</tr>"))
+    fitting = rf"\S(?:.{{0,{max(0, most - 2)}}}\S)?(?=\s|$)|\S{{{most}}}"
+    pieces = lambda c: F.transform(F.regexp_extract_all(plain(c), F.lit(fitting), F.lit(0)), lambda p: tr(F.concat(F.lit("<td>"), p, F.lit("</td>"))))
+    cells = lambda r: F.regexp_extract_all(r, F.lit(r"(?is)<t[dh]\b[^>]*>.*?</t[dh]>"), F.lit(0))
+    split = lambda r: F.flatten(F.transform(cells(r), lambda c: F.when(F.length(plain(c)) <= most, F.array(tr(c))).otherwise(pieces(c))))
     body = F.slice(F.col("r"), F.col("heads") + 1, F.size("r"))
+    body = F.flatten(F.transform(body, lambda r: F.when(F.length(plain(r)) <= most, F.array(r)).otherwise(split(r))))
     parts = _fold(body, lambda now, x: F.length(plain(F.concat(now, x))) <= most, "")
     rows = rows.select("table_id", "heads", head.alias("head"), F.posexplode(F.when(F.size(parts) > 0, parts).otherwise(F.array(F.lit("")))).alias("chunk_index", "b"))
     whole = F.concat(F.lit("<table>"), "head", "b", F.lit("</table>"))

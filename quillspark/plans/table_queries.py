@@ -453,7 +453,11 @@ p as (select page_id, unnest(a) as t, unnest(range(len(a))) as seq from (select
 select p.page_id, seq::int as seq, url as source_file, {_SQL_TITLE50} as title, t as content from p join pages on p.page_id = pages.page_id where length(t) >= 15"""
 _SQL_CELL_TEXT = _sql_strip("regexp_replace(regexp_replace({c}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')")
 _SQL_TABLE_HEAD = "<tr><th>turn</th><th>text</th></tr>"
-ORACLES["table_chunks"] = f"""with r as (select conv_id, list('<tr><td>' || turn || '</td><td>' || regexp_replace(text, '[<>]', '', 'g') || '</td></tr>' order by turn) as r from conversations group by 1),
+_SQL_ROW, _SQL_BARE = "'<tr><td>' || turn || '</td><td>' || t || '</td></tr>'", _SQL_CELL_TEXT.format(c="t")
+# a row over the limit becomes a row a cell, and a text over it a row for each piece that ends before white space
+ORACLES["table_chunks"] = f"""with t as (select conv_id, turn, regexp_replace(text, '[<>]', '', 'g') as t from conversations),
+s as (select conv_id, turn, case when length({_SQL_CELL_TEXT.format(c=_SQL_ROW)}) <= 1000 then [{_SQL_ROW}] else ['<tr><td>' || turn || '</td></tr>'] || case when length({_SQL_BARE}) <= 1000 then ['<tr><td>' || t || '</td></tr>']
+else list_transform(regexp_extract_all({_SQL_BARE}, '(\\S(?:.{{0,998}}\\S)?)(?:\\s|$)', 1), lambda p: '<tr><td>' || p || '</td></tr>') end end as rs from t), r as (select conv_id, flatten(list(rs order by turn)) as r from s group by 1),
 f as (select conv_id, list_reduce(list_transform(r, lambda s: {{'out': []::varchar[], 'cur': s}}), lambda a, x: case when length({_SQL_CELL_TEXT.format(c="a.cur || x.cur")}) <= 1000 then {{'out': a.out, 'cur': a.cur || x.cur}} else {{'out': list_append(a.out, a.cur), 'cur': x.cur}} end) as f from r),
 c as (select conv_id, unnest(b) as b, unnest(range(len(b))) as k from (select conv_id, list_append(f.out, f.cur) as b from f)), h as (select conv_id as table_id, k, '<table>{_SQL_TABLE_HEAD}' || b || '</table>' as h from c)
 select table_id, k::int as chunk_index, h as text_as_html, {_SQL_CELL_TEXT.format(c="h")} as text, case when k > 0 then 1 else 0 end::int as num_carried_over_header_rows from h"""

@@ -270,3 +270,19 @@ def test_envelopes_have_bounded_parts(spark):
     got = files.envelopes(df, most=20).collect()
     assert sum(r.total_entries for r in got) == 100 and sum(r.total_entries for r in got if r.source_file is None) == 10
     assert len(got) > 3 and all(len(r.entries) == r.total_entries for r in got)
+
+
+def test_rows_of_tables_over_the_limit_are_split_by_cell_and_text(spark):
+    html = "<table><tr><th>A</th></tr><tr><td>one</td><td>" + "word " * 12 + "</td></tr><tr><td>" + "x" * 45 + "</td><td>two</td></tr></table>"
+    got = segment.chunk_tables(spark.createDataFrame([(1, html)], "id int, text_as_html string"), "id", most=30).orderBy("chunk_index").collect()
+    assert all(len(r.text) <= 32 for r in got) and all(r.text.startswith("A ") for r in got)  # the header is carried on top
+    words = " ".join(r.text[2:] for r in got).split()
+    assert words == ["one", *["word"] * 12, "x" * 30, "x" * 15, "two"]
+
+
+def test_element_rows_go_to_a_database(spark):
+    df = spark.createDataFrame([("a", ["x", "y"], (1, "t"))], "id string, tags array<string>, meta struct<n:int,s:string>")
+    url = "jdbc:derby:memory:quill;create=true"
+    files.write_element_rows(df, url, "elements", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    back = spark.read.jdbc(url, "elements", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}).collect()
+    assert [(r.id, r.tags, r.meta_n, r.meta_s) for r in back] == [("a", '["x","y"]', 1, "t")]
