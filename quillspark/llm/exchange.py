@@ -19,9 +19,9 @@ SENT = "n int, bucket long, unit long, keys binary, counts binary"
 ANSWER = "n int, bucket long, unit long, totals binary, types long, tokens long"
 
 
-def sent_rows(n: int, unit: int, keys: np.ndarray, counts: np.ndarray, bits: int, radix: int) -> list[tuple]:
-    """SENT rows of a block's ascending keys and their counts."""
-    return [(n, k, unit, packed_keys(keys[s]), packed_counts(counts[s])) for k, s in by_bucket(keys, min(bits, radix))]
+def sent_rows(n: int, unit: int, keys: np.ndarray, counts: np.ndarray | None, bits: int, radix: int) -> list[tuple]:
+    """SENT rows of a block's ascending keys and their counts (None: one each, which takes no room)."""
+    return [(n, k, unit, packed_keys(keys[s]), b"" if counts is None else packed_counts(counts[s])) for k, s in by_bucket(keys, min(bits, radix))]
 
 
 def table(rows: list[tuple], shape: pa.Schema) -> pa.Table:
@@ -34,7 +34,8 @@ def _added(t: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.nd
     kinds, index = np.unique(np.concatenate(each), return_inverse=True)
     totals = np.zeros(len(kinds), np.int64)
     if "counts" in t.column_names:
-        np.add.at(totals, index, np.concatenate([unpacked_counts(x.as_buffer()) for x in t.column("counts")]))
+        counts = [unpacked_counts(c.as_buffer()) if len(c.as_buffer()) else np.ones(len(k), np.int64) for c, k in zip(t.column("counts"), each)]
+        np.add.at(totals, index, np.concatenate(counts))
     return each, kinds, totals, index
 
 

@@ -8,7 +8,7 @@ have equal anchors, so equal windows meet wherever pieces with the same anchor m
    blocks have each.
 2. Each block sends the pieces of anchors that occur more than once, each different piece once, with its least document; equal
    pieces of larger documents in the block are settled on the spot. A bucket sorts the suffixes of all the pieces it got (the
-   windows), and groups of equal ones name the least document of each window: what of each piece is to go follows from that.
+   windows; equal pieces are one), and groups of equal ones name the least document of each window: what of each piece is to go follows from that.
 3. Each block cuts the texts.
 
 Anchors found in more than `hot` blocks are dealt window by window, by a hash of the window, so no bucket takes in all
@@ -177,39 +177,52 @@ def _settle(t: pa.Table) -> tuple[np.ndarray, ...]:
     words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
     anchor = first + np.where(place == _ALONE, 0, place)
     key = splitmix(words[anchor]) * np.uint64(3) + splitmix(words[anchor + 8]) * np.uint64(5) + splitmix(words[anchor + 16])
-    # the suffixes of all pieces whose anchor has several, some anchors at a time
-    _, a_index, a_count = np.unique(key, return_inverse=True, return_counts=True)
+    # equal pieces of different blocks are one piece with the least of their documents
+    number: dict[bytes, int] = {}
+    piece = np.array([number.setdefault(data[a : a + n], len(number)) for a, n in zip(first.tolist(), size.tolist())], np.int64)
+    one = np.zeros(len(number), np.int64)
+    one[piece[::-1]] = np.arange(len(piece))[::-1]
+    lowest = np.full(len(number), np.iinfo(np.int64).max)
+    np.minimum.at(lowest, piece, ids)
+    # the suffixes of the different pieces whose anchor has several, some anchors at a time
+    _, a_index, a_count = np.unique(key[one], return_inverse=True, return_counts=True)
     multi = np.flatnonzero(a_count[a_index] > 1)
     multi = multi[np.argsort(a_index[multi], kind="stable")]
-    windows = size[multi] - LENGTH + 1
+    windows = size[one[multi]] - LENGTH + 1
     new = np.flatnonzero(np.diff(a_index[multi], prepend=-1))  # where an anchor's pieces begin
     upto = np.cumsum(windows)[np.append(new[1:] - 1, len(multi) - 1)] if len(multi) else np.zeros(0, np.int64)
-    text, cuts, s = np.frombuffer(data, np.uint8), [], 0
+    text, s = np.frombuffer(data, np.uint8), 0
+    base = np.full(len(number), -1, np.int64)  # of each piece that is sorted: where its windows begin
+    base[multi] = np.cumsum(windows) - windows
+    least = np.empty(int(windows.sum()), np.int64)
     while s < len(new):
         e = max(s + 1, int(np.searchsorted(upto, (upto[s - 1] if s else 0) + _SORTED, "right")))
         part = slice(new[s], new[e] if e < len(new) else len(multi))
-        cuts.append(_least_windows(text, first, multi[part], windows[part], ids))
+        own = np.repeat(multi[part], windows[part])
+        step = np.arange(len(own)) - np.repeat(np.cumsum(windows[part]) - windows[part], windows[part])
+        order, group = sort_suffixes(text, first[one[own]] + step, LENGTH)
+        low = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(low, group, lowest[own[order]])
+        least[base[multi[part.start]] + order] = low[group]
         s = e
-    entry, at_window, end_window = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*cuts)) if cuts else [np.zeros(0, np.int64)] * 3
-    return block[entry], ids[entry], rows[entry], at[entry] + at_window, at[entry] + end_window + LENGTH
-
-
-def _least_windows(text: np.ndarray, first: np.ndarray, pieces: np.ndarray, windows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(piece, first window, last window): the runs of windows of the pieces that also stand in a document with a smaller id."""
-    owner = np.repeat(pieces, windows)
-    step = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-    order, group = sort_suffixes(text, first[owner] + step, LENGTH)
-    low = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(low, group, ids[owner[order]])
-    least = np.empty(len(owner), np.int64)
-    least[order] = low[group]
-    hit = least < ids[owner]
-    entry, step = owner[hit], step[hit]
-    if not len(entry):
-        return (np.zeros(0, np.int64),) * 3
-    new = np.concatenate([[True], (entry[1:] != entry[:-1]) | (step[1:] != step[:-1] + 1)])
-    last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(entry) - 1]])
-    return entry[new], step[new], step[last]
+    # whole pieces of larger documents go; of the others what the sort has found
+    whole = lowest[piece] < ids
+    w = np.flatnonzero(whole)
+    out = [(block[w], ids[w], rows[w], at[w], at[w] + size[w])]
+    p = np.flatnonzero(~whole & (base[piece] >= 0))
+    for k in range(0, len(p), 20_000):
+        q = p[k : k + 20_000]
+        count = size[q] - LENGTH + 1
+        entry = np.repeat(q, count)
+        step = np.arange(len(entry)) - np.repeat(np.cumsum(count) - count, count)
+        hit = least[base[piece[entry]] + step] < ids[entry]
+        entry, step = entry[hit], step[hit]
+        if len(entry):
+            new = np.concatenate([[True], (entry[1:] != entry[:-1]) | (step[1:] != step[:-1] + 1)])
+            last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(entry) - 1]])
+            e = entry[new]
+            out.append((block[e], ids[e], rows[e], at[e] + step[new], at[e] + step[last] + LENGTH))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20, hot: int = 64, radix: int = 8) -> DataFrame:
@@ -217,16 +230,17 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     both = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     blocks = n_blocks(both, block_bytes)
+    key_bits = bits_for(blocks * block_bytes)
     bits = bits_for(blocks * block_bytes, 2 << 20)  # a bucket's suffixes take some fifty times the bytes of its pieces
     rows = both.select(block_of(blocks).alias("block"), "id", "text", F.xxhash64("id", "text").alias("row"))
     sent_shape, piece_shape, cuts_shape, cut_shape = (to_arrow(x, spark) for x in (SENT, _PIECES, _CUTS, CUT))
 
     def ask(key, t):
         keys = np.unique(Texts(t.column("text").to_pylist()).pieces()[0])
-        return table(sent_rows(0, key[0].as_py(), keys, np.ones(len(keys), np.int64), bits, radix), sent_shape)
+        return table(sent_rows(0, key[0].as_py(), keys, None, key_bits, radix), sent_shape)
 
     some = rows.where("id is not null")
-    told = add_up(some.groupBy("block").applyInArrow(ask, SENT), bits, "repeats", radix)[0]
+    told = add_up(some.groupBy("block").applyInArrow(ask, SENT), key_bits, "repeats", radix)[0]
     told = told.select(F.col("unit").cast("int").alias("block"), "bucket", "totals")
 
     def send(key, t, a):
