@@ -225,22 +225,21 @@ def _settle(t: pa.Table) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20, hot: int = 64, radix: int = 8) -> DataFrame:
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20, hot: int = 64, radix: int = 10) -> DataFrame:
     """CUT rows of every whole text; kept_text is what is left (a cut inside a character leaves U+FFFD)."""
     spark = docs.sparkSession
     both = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     blocks = n_blocks(both, block_bytes)
-    key_bits = bits_for(blocks * block_bytes)
     bits = bits_for(blocks * block_bytes, 2 << 20)  # a bucket's suffixes take some fifty times the bytes of its pieces
     rows = both.select(block_of(blocks).alias("block"), "id", "text", F.xxhash64("id", "text").alias("row"))
     sent_shape, piece_shape, cuts_shape, cut_shape = (to_arrow(x, spark) for x in (SENT, _PIECES, _CUTS, CUT))
 
     def ask(key, t):
         keys = np.unique(Texts(t.column("text").to_pylist()).pieces()[0])
-        return table(sent_rows(0, key[0].as_py(), keys, None, key_bits, radix), sent_shape)
+        return table(sent_rows(0, key[0].as_py(), keys, None, bits, radix), sent_shape)
 
     some = rows.where("id is not null")
-    told = add_up(some.groupBy("block").applyInArrow(ask, SENT), key_bits, "repeats", radix)[0]
+    told = add_up(some.groupBy("block").applyInArrow(ask, SENT), bits, "repeats", radix)[0]
     told = told.select(F.col("unit").cast("int").alias("block"), "bucket", "totals")
 
     def send(key, t, a):
