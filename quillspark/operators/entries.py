@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .numbering import numbered
 
 TYPES = ("sop_step", "faq", "manual_section", "general")
 
@@ -115,17 +116,6 @@ def apply_results(entries: DataFrame, results: DataFrame, on: str = "id") -> Dat
     return rows.withColumns({"changed": new != F.col("type"), "llm_type": F.col("_r.llm_type"), "llm_confidence": F.col("_r.llm_confidence"), "type": new}).drop("_r")
 
 
-def numbered(df: DataFrame, *by: str, out: str = "number") -> DataFrame:
-    """df with 0, 1, 2 ... in order of the columns.
-
-    In two steps, within ranges of rows and then over the ranges (a row each), so no task takes in all rows."""
-    ranged = df.repartitionByRange(*by).withColumn("_p", F.spark_partition_id())
-    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    base = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    own = F.row_number().over(Window.partitionBy("_p").orderBy(*by)) - 1
-    return ranged.withColumn("_r", own).join(F.broadcast(base), "_p").withColumn(out, (F.col("_base") + F.col("_r")).cast("long")).drop("_p", "_r", "_base")
-
-
 def llm_batches(df: DataFrame, size: int = 5, id_col: str = "id") -> DataFrame:
     """(batch, ids, items) of `size` entries each, in order of id."""
     rows = df.select(F.col(id_col).alias("id"), F.struct(F.col(id_col).alias("id"), F.substring("title", 1, 100).alias("title"), F.substring("content", 1, 300).alias("content")).alias("item"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import written
+from .numbering import running
 
 
 def words_of(t: Column) -> Column:
@@ -268,17 +270,12 @@ def detection(predicted: DataFrame, truth: DataFrame, threshold: float = 0.5, mo
 
     cls = truth.schema["class"].dataType.simpleString()
     hits = p.select("page", "class", "score", "rank", *box).groupBy("page", "class").cogroup(t.select("page", "class", *box).groupBy("page", "class")).applyInPandas(match, f"class {cls}, score double, page {truth.schema['page'].dataType.simpleString()}, rank int, hit int")
+    hits = written(hits, "detection-hits")
     n = truth.groupBy("class").agg(F.count(F.lit(1)).alias("n_truth"))
-    # running sums in two steps: within ranges of the order, and over the ranges' totals (a row for each class and range)
-    order = [F.asc("class"), F.desc("score"), F.asc("page"), F.asc("rank")]
-    ranged = hits.repartitionByRange(*order).withColumn("p", F.spark_partition_id())
-    totals = ranged.groupBy("class", "p").agg(F.sum("hit").alias("h"), F.count(F.lit(1)).alias("m"))
-    earlier = Window.partitionBy("class").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("class", "p", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}0") for c in ("h", "m")])
-    own = Window.partitionBy("class", "p").orderBy(*order[1:])
-    run = ranged.withColumns({"h": F.sum("hit").over(own), "m": F.row_number().over(own)}).join(F.broadcast(base), ["class", "p"]).join(n, "class")
-    tp = F.col("h0") + F.col("h")
-    run = run.select("class", (tp / (F.col("m0") + F.col("m"))).alias("precision"), F.floor(tp / F.col("n_truth") * (grid - 1) + 1e-9).alias("upto"))
+    order = [F.desc("score"), F.asc("page"), F.asc("rank")]
+    run = running(hits, *order, of={"h": F.col("hit"), "m": F.lit(1)}, within=("class",)).join(n, "class")
+    tp = F.col("h")
+    run = run.select("class", (tp / F.col("m")).alias("precision"), F.floor(tp / F.col("n_truth") * (grid - 1) + 1e-9).alias("upto"))
     # a point of the grid reads the best precision at its recall or beyond; recalls only rise, so that is the best of its bucket and later ones
     points = run.groupBy("class", "upto").agg(F.max("precision").alias("best"))
     points = points.withColumn("best", F.max("best").over(Window.partitionBy("class").orderBy(F.desc("upto"))))

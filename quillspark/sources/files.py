@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from ..functions import text as T
-from ..operators.entries import numbered
+from ..operators.numbering import numbered
 from ..operators.segment import split_paragraphs
 
 # Extensions of each format category, and the topic of each extension.
