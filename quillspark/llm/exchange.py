@@ -8,6 +8,8 @@ there are, rows grow in proportion to the data (times the levels), and no group
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,9 +49,10 @@ def _answers(t: pa.Table, each: list[np.ndarray], values: np.ndarray, shape: pa.
     return pa.table([t.column("n"), t.column("bucket"), t.column("unit"), pa.array(out, pa.binary()), pa.array([types, *rest], pa.int64()), pa.array([tokens, *rest], pa.int64())], schema=shape)
 
 
-def add_up(sent: DataFrame, bits: int, tag: str, radix: int = 8) -> tuple[DataFrame, DataFrame]:
+def add_up(sent: DataFrame, bits: int, tag: str, radix: int = 8, tell: Callable | None = None) -> tuple[DataFrame, DataFrame]:
     """(answers, top): ANSWER rows, one for each of the SENT rows, with the totals of its keys; and those of the last level, whose types
-    and tokens are the numbers of different keys with a count, and of all counts."""
+    and tokens are the numbers of different keys with a count, and of all counts. tell: what is answered instead of the totals, from
+    the ascending different keys of a bucket of the last level and their totals."""
     spark = sent.sparkSession
     sent_shape, answer_shape = to_arrow(SENT, spark), to_arrow(ANSWER, spark)
     levels, have = [], min(bits, radix)
@@ -69,8 +72,9 @@ def add_up(sent: DataFrame, bits: int, tag: str, radix: int = 8) -> tuple[DataFr
         have = more
 
     def add(key, t):
-        each, _, totals, index = _added(t)
-        return _answers(t, each, totals[index], answer_shape, int((totals > 0).sum()), int(totals.sum()))
+        each, kinds, totals, index = _added(t)
+        told = totals if tell is None else tell(kinds, totals)
+        return _answers(t, each, told[index], answer_shape, int((totals > 0).sum()), int(totals.sum()))
 
     top = answers = written(sent.groupBy("n", "bucket").applyInArrow(add, ANSWER), tag + "-totals")
 

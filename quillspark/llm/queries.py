@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, lm, merkle, near_dup, packing, pii, quality, repeats, token_counts, warc
+from . import align, decontam, licenses, lm, merkle, near_dup, packing, pii, ppm, quality, repeats, token_counts, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,11 +58,19 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_read(spark, sf_dir, "documents")).drop("source")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(_read(spark, sf_dir, "documents"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.languages(_read(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
     rows = merkle.manifest(_read(spark, sf_dir, "documents"), tampered=F.when(even, F.translate("text", "\n", "")))
     return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_cut_repeats, op4_decontaminate, op5_near_duplicates, op6_sanitise, op7_token_counts, op8_warc_round_trip, op9_lm_scores, op10_pack, op13_merkle_manifest)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_cut_repeats, op4_decontaminate, op5_near_duplicates, op6_sanitise, op7_token_counts, op8_warc_round_trip, op9_lm_scores, op10_pack, op11_alignment, op12_language_id, op13_merkle_manifest)}
 ORACLES: dict[str, str] = {}
