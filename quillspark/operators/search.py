@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -77,30 +78,144 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def knn_probe(vectors: DataFrame, queries: DataFrame, k: int, cells: int = 32, probes: int = 12, copies: int = 3, sample: int = 20_000, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 7) -> DataFrame:
-    """Approximate knn_batch: centroids fitted on at most `sample` rows, every row indexed under its `copies`
-    nearest centroids, the `probes` nearest cells of a query searched (an equi-join on the cell)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
-    n = vectors.count()
-    fit = vectors.sample(min(1.0, sample / max(1, n)), seed).limit(sample).select(array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
-    centres = np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(fit).clusterCenters())
-    centres = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
 
-    def nearest(m: int):
-        @F.pandas_udf("array<int>")
-        def f(v: pd.Series) -> pd.Series:
-            s = np.stack(v.to_numpy()) @ centres.T if len(v) else np.zeros((0, len(centres)))
-            return pd.Series(list(np.argsort(-s, axis=1, kind="stable")[:, :m].astype(np.int32)))
+def _centres(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
+    """k-means of a sample: centres start at rows drawn without repeats, empty ones move to the rows that lie worst."""
+    different = np.unique(x, axis=0)
+    c = different[rng.permutation(len(different))[:k]]
+    for _ in range(rounds):
+        far = (c**2).sum(1) - 2 * x @ c.T
+        of = far.argmin(1)
+        n = np.bincount(of, minlength=len(c))
+        total = np.zeros_like(c)
+        np.add.at(total, of, x)
+        c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
+        empty = np.flatnonzero(n == 0)
+        c[empty] = x[np.argsort(-far[np.arange(len(x)), of])[: len(empty)]]
+    return c
 
-        return f
 
-    rows = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("v"), F.explode(nearest(copies)(F.col(vec_col))).alias("cell"))
-    asks = queries.select("query_id", F.col("vector").alias("q"), F.explode(nearest(probes)("vector")).alias("cell"))
-    found = asks.join(rows, "cell").select("query_id", "vec_id", F.round(score(F.col("v"), F.col("q")), 6).alias("score")).distinct()
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+@dataclass
+class Index:
+    """An inverted file with residual product codes.
+
+    centres: the cells' centres; books: for each stretch of dimensions its code words; cuts: where the stretches begin; rows:
+    (cell, vec_id, code) of every vector, in the shared folder, ordered by cell; sizes: rows of each cell that has any."""
+
+    centres: np.ndarray
+    books: list[np.ndarray]
+    cuts: list[int]
+    rows: DataFrame
+    sizes: dict[int, int]
+
+    def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cell, code words) of unit vectors."""
+        cell = ((self.centres**2).sum(1) - 2 * x @ self.centres.T).argmin(1)
+        rest = x - self.centres[cell]
+        words = [((b**2).sum(1) - 2 * rest[:, i : i + b.shape[1]] @ b.T).argmin(1) for i, b in zip(self.cuts, self.books)]
+        return cell, np.stack(words, 1).astype(np.uint8)
+
+
+def vector_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = 20_000, width: int = 4, seed: int = 7) -> Index:
+    """An Index of every vector that isn't null. It has about as many cells as the square root of the rows, but a sixteenth of the sample at most;
+    centres and code words (256 for each `width` dimensions) are fitted on a sample of at most `sample` rows, drawn by a hash of the
+    id, and all rows are then coded by it."""
+    spark = vectors.sparkSession
+    real = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"))
+    n = real.count()
+    drawn = real.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) < min(1.0, 2 * sample / max(1, n)) * (1 << 40)).limit(sample).select("v").collect()
+    if not drawn:
+        return Index(np.zeros((1, 1)), [np.zeros((1, 1))], [0], spark.createDataFrame([], "cell int, vec_id long, code binary"), {})
+    x, rng = _unit(np.array([r.v for r in drawn], np.float64)), np.random.default_rng(seed)
+    cells = max(1, min(int(np.ceil(np.sqrt(n))), max(1, len(x) // 16)))
+    centres = _centres(x, cells, rng)
+    rest = x - centres[((centres**2).sum(1) - 2 * x @ centres.T).argmin(1)]
+    cuts = list(range(0, x.shape[1], width))
+    index = Index(centres, [_centres(rest[:, i : i + width], 256, rng) for i in cuts], cuts, None, {})
+
+    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                cell, words = index.code(_unit(np.stack(b["v"].to_numpy()).astype(np.float64)))
+                yield pd.DataFrame({"cell": cell.astype(np.int32), "vec_id": b["vec_id"], "code": [w.tobytes() for w in words]})
+
+    rows = real.mapInPandas(code, "cell int, vec_id long, code binary")
+    rows = written(rows.repartitionByRange("cell", "vec_id").sortWithinPartitions("cell", "vec_id"), "vector-index")
+    return Index(centres, index.books, cuts, rows, {r.cell: r.n for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()})
+
+
+def index_search(index: Index, vectors: DataFrame, queries: DataFrame, k: int, share: float = 0.65, rerank: int = 64, block: int = 2048, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(query_id, vec_id, score, rank, rescored): about the k nearest by cosine for each row of queries (query_id, vector).
+
+    A query goes to the cells nearest to it until they hold `share` of the rows (all of them with share=1); vectors without structure
+    need a large share, clustered ones a small one. Queries go to the tasks in blocks of at most `block`; a task reads codes, a
+    sixteenth of the vectors or less, looks up their code words and meets a cell's rows with the queries that go there in one matrix
+    product. It keeps the `rerank` best of each query over all it reads. Only those are scored exactly (rescored: how many), in a
+    join that reads no other vectors' values into Python."""
+    spark = vectors.sparkSession
+    none = spark.createDataFrame([], "query_id long, vec_id long")
+    cells = np.array(sorted(index.sizes), np.int64)
+    if not len(cells):
+        return none.selectExpr("*", "0D as score", "0 as rank", "0L as rescored")
+    size, centres, books = np.array([index.sizes[c] for c in cells.tolist()]), index.centres, index.books
+    n = queries.count()
+    parts = max(1, -(-n // block))
+    dealt = queries.where("vector is not null").select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("p"))
+    near = none
+    for p in range(parts):
+        rows = dealt.where(F.col("p") == p).select("query_id", "vector").collect()
+        if not rows:
+            continue
+        ids, q = np.array([r.query_id for r in rows], np.int64), _unit(np.array([r.vector for r in rows], np.float64))
+        order = np.argsort((centres[cells] ** 2).sum(1) - 2 * q @ centres[cells].T, axis=1, kind="stable")
+        before = np.cumsum(size[order], axis=1) - size[order]
+        goes = np.zeros((len(ids), len(centres)), bool)
+        np.put_along_axis(goes, cells[order], before < share * size.sum(), 1)
+        sent = spark.sparkContext.broadcast((ids, q, goes))
+
+        def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            ids, q, goes = sent.value
+            best, name = np.full((len(ids), rerank), -np.inf), np.full((len(ids), rerank), np.iinfo(np.int64).max)
+            for b in batches:
+                b = b.sort_values(["cell", "vec_id"])
+                words = np.frombuffer(b"".join(b["code"]), np.uint8).reshape(len(b), -1)
+                cell, own = b["cell"].to_numpy(), b["vec_id"].to_numpy()
+                first = np.flatnonzero(np.concatenate([cell[:1] >= 0, cell[1:] != cell[:-1]]))
+                for i, j in zip(first, np.append(first[1:], len(cell))):
+                    who = np.flatnonzero(goes[:, cell[i]])
+                    for i0 in range(i, j, 2048):  # rows of a cell that meet the queries at a time
+                        i1 = min(j, i0 + 2048)
+                        x = centres[cell[i]] + np.concatenate([book[words[i0:i1, m]] for m, book in enumerate(books)], 1)
+                        about = np.round(np.concatenate([best[who], q[who] @ x.T], 1), 9)
+                        names = np.concatenate([name[who], np.broadcast_to(own[i0:i1], (len(who), i1 - i0))], 1)
+                        if about.shape[1] > 4 * rerank:  # those below the last place go first
+                            cut = np.partition(about, -rerank, axis=1)[:, -rerank]
+                            most = int((about >= cut[:, None]).sum(1).max()) if len(who) else 0
+                            top = np.argsort(-about, axis=1, kind="stable")[:, :most]
+                            about, names = np.take_along_axis(about, top, 1), np.take_along_axis(names, top, 1)
+                        top = np.lexsort((names, -about), axis=1)[:, :rerank]
+                        best[who], name[who] = np.take_along_axis(about, top, 1), np.take_along_axis(names, top, 1)
+            there = np.isfinite(best)
+            yield pd.DataFrame({"query_id": np.repeat(ids, there.sum(1)), "vec_id": name[there], "about": best[there]})
+
+        found = index.rows.mapInPandas(scan, "query_id long, vec_id long, about double")
+        w = Window.partitionBy("query_id").orderBy(F.desc("about"), "vec_id")
+        found = written(found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= rerank).select("query_id", "vec_id"), "vector-candidates")
+        sent.destroy()
+        near = near.unionByName(found)
+    exact = near.join(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v")), "vec_id").join(queries.select("query_id", F.col("vector").alias("q")), "query_id")
+    w = Window.partitionBy("query_id")
+    scored = exact.select("query_id", "vec_id", F.round(score(F.col("v"), F.col("q")), 6).alias("score"))
+    scored = scored.withColumns({"rank": F.row_number().over(w.orderBy(F.desc("score"), "vec_id")), "rescored": F.count(F.lit(1)).over(w)})
+    return scored.where(F.col("rank") <= k)
+
+
+def knn_probe(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", **settings) -> DataFrame:
+    """Approximate knn_batch: index_search() in a vector_index() made for the purpose."""
+    return index_search(vector_index(vectors, id_col, vec_col), vectors, queries, k, id_col=id_col, vec_col=vec_col, **settings)
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import classify, entries, evaluate, language, registry, search, segment
 from ..sources import files
-from ..sources.scratch import shared_path
+from ..sources.scratch import shared_path, written
 from ..streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -464,12 +464,25 @@ def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.knn_batch(v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 10)
 
 
+def _asked(v: DataFrame) -> DataFrame:
+    return v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
 @query()
 def knn_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall of the approximate search against the exact one."""
+    """Recall at 10 of the approximate search against the exact one, and the largest share of all rows it scored exactly for a query."""
+    v = read(spark, sf_dir, "embeddings")
+    found = written(search.knn_probe(v, _asked(v), 10), "knn-found")
+    share = found.agg(F.max("rescored").alias("most")).crossJoin(v.agg(F.count(F.lit(1)).alias("n"))).select(F.round(F.col("most") / F.col("n"), 6).alias("scored_exactly"))
+    return search.recall(found, search.knn_batch(v, _asked(v), 10)).crossJoin(share)
+
+
+@query("""select q.vec_id as query_id, v.vec_id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) as score
+from embeddings q, embeddings v where q.vec_id % 50 = 0 qualify row_number() over (partition by q.vec_id order by score desc, v.vec_id) = 1""")
+def knn_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best row of the approximate search for each query, which is the exact search's: a query's own cell comes first."""
     v = read(spark, sf_dir, "embeddings")
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return search.recall(search.knn_probe(v, q, 10), search.knn_batch(v, q, 10))
+    return search.index_search(search.vector_index(v), v, _asked(v), 1, share=0.1).select("query_id", "vec_id", "score")
 
 
 @query("select label, len(embedding) as dim, count(*) as n, count(case when abs(sqrt(list_inner_product(embedding::double[], embedding::double[])) - 1) <= 0.0001 then 1 end) as n_unit from embeddings group by 1, 2")
