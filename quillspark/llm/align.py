@@ -180,7 +180,7 @@ def _with_best(keys: np.ndarray, totals: np.ndarray) -> np.ndarray:
     return 2 * totals + (totals == most)
 
 
-def text_measures(docs: DataFrame, text_col: str = "text", block_bytes: int = 6 << 20, paths: tuple = ()) -> DataFrame:
+def text_measures(docs: DataFrame, text_col: str = "text", block_bytes: int = 3 << 20, paths: tuple = ()) -> DataFrame:
     """RESULT row of each different text that isn't empty."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).where("octet_length(text) > 0")
@@ -211,7 +211,7 @@ def text_measures(docs: DataFrame, text_col: str = "text", block_bytes: int = 6
     return written(own.groupBy("unit").cogroup(answers.select(F.col("unit").alias("of"), "bucket", "totals").groupBy("of")).applyInArrow(measure, RESULT), "align-measures")
 
 
-def alignment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 6 << 20, hot: int = 1000, paths: tuple = ()) -> DataFrame:
+def alignment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 3 << 20, hot: int = 1000, paths: tuple = ()) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row.
 
     hot: copies from which a text may be looked up by broadcast; at most MOST texts are, whatever the table: a text has to have
