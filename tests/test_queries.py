@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from quillspark.plans import catalog, table_queries, text_queries  # noqa: F401
+from quillspark.plans import catalog, evaluation_queries, table_queries, text_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 ROWS_ONLY = [n for n in catalog.QUERIES if n not in catalog.ORACLES]
