@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import classify, entries, evaluate, registry, search, segment
-from ..sources import files
+from ..sources import files, html
 from ..sources.scratch import shared_path
 from ..streaming import ingest
 from .catalog import ORACLES, _pick, _quoted, _sql_pick, _sql_rules, _sql_strip, _sql_type, query, read
@@ -461,3 +461,39 @@ else list_transform(regexp_extract_all({_SQL_BARE}, '(\\S(?:.{{0,998}}\\S)?)(?:\
 f as (select conv_id, list_reduce(list_transform(r, lambda s: {{'out': []::varchar[], 'cur': s}}), lambda a, x: case when length({_SQL_CELL_TEXT.format(c="a.cur || x.cur")}) <= 1000 then {{'out': a.out, 'cur': a.cur || x.cur}} else {{'out': list_append(a.out, a.cur), 'cur': x.cur}} end) as f from r),
 c as (select conv_id, unnest(b) as b, unnest(range(len(b))) as k from (select conv_id, list_append(f.out, f.cur) as b from f)), h as (select conv_id as table_id, k, '<table>{_SQL_TABLE_HEAD}' || b || '</table>' as h from c)
 select table_id, k::int as chunk_index, h as text_as_html, {_SQL_CELL_TEXT.format(c="h")} as text, case when k > 0 then 1 else 0 end::int as num_carried_over_header_rows from h"""
+
+
+def _sql_page_blocks() -> str:
+    quoted = lambda names: ", ".join(f"'{n}'" for n in names)
+    groups = {"gone": html.DROPPED, "main": ["main"], "body": ["body"], "solid": ["table", "pre"], "list": ["ul", "ol"]}
+    text = "string_agg(piece, '' order by pos)"
+    for a, b in html.ENTITIES:
+        text = f"replace({text}, {_quoted(a)}, {_quoted(b)})"
+    return f"""with a as (select page_id, regexp_extract_all(regexp_replace(coalesce(html, ''), {_quoted(html.NO_MARKUP)}, '', 'g'), {_quoted(html.TOKEN)}) as x from pages),
+t as (select page_id, unnest(x) as token, unnest(range(len(x))) as pos from a),
+u as (select *, lower(nullif(regexp_extract(token, '^</?([A-Za-z][A-Za-z0-9]*)', 1), '')) as tag from t),
+v as (select *, case when tag is null or tag in ('br', 'img', 'hr', 'meta', 'link', 'input') or token like '%/>' then 0 when token like '</%' then -1 else 1 end as sign from u),
+s as (select *, {", ".join(f"sum(case when tag in ({quoted(v)}) then sign else 0 end) over w as s_{k}" for k, v in groups.items())} from v window w as (partition by page_id order by pos rows unbounded preceding)),
+m as (select *, {", ".join(f"s_{k} - least(0, min(s_{k}) over w) as d_{k}" for k in groups)} from s window w as (partition by page_id order by pos rows unbounded preceding)),
+h as (select *, max(d_main) over (partition by page_id) > 0 as has_main, max(d_body) over (partition by page_id) > 0 as has_body from m),
+i as (select * from h where case when has_main then d_main > 0 when has_body then d_body > 0 else true end and d_gone = 0),
+e as (select *, coalesce(case when tag in ('table', 'pre') and d_solid = case when sign = 1 then 1 else 0 end then true when d_solid > 0 then false else tag in ({quoted([*html.BLOCKS, "img", *[x for x in html.DROPPED if x not in html.INLINE]])}) end, false)
+or (d_solid = 0 and coalesce(lag(tag) over (partition by page_id order by pos) = 'img', false)) as edge from i),
+p as (select *, sum(edge::int) over (partition by page_id order by pos rows unbounded preceding) as g, case when edge and tag is not null then '' when tag is null then token when tag = 'br' then chr(10) when tag in ({quoted(html.BLOCKS)}) then ' ' else '' end as piece from e),
+b as (select page_id, min(pos) as pos, max(case when edge and sign = 1 then tag end) as opened, max(d_solid) as solid, max(d_list) as list, max(case when tag = 'img' and d_solid = 0 then regexp_extract(token, '\\salt="([^"]*)"', 1, 'i') end) as alt, {text} as x from p group by page_id, g),
+k as (select *, case when alt is not null then 'Image' when solid > 0 and opened = 'table' then 'Table' when solid > 0 and opened = 'pre' then 'CodeSnippet' when regexp_matches(opened, '^h[1-6]$') then 'Title' when list > 0 then 'ListItem' else 'NarrativeText' end as type from b),
+r as (select *, case type when 'Image' then alt when 'CodeSnippet' then regexp_replace(x, '^\\n|\\n$', '', 'g') else {_sql_strip("regexp_replace(x, '\\s+', ' ', 'g')")} end as text from k)
+select page_id, (row_number() over (partition by page_id order by pos) - 1)::int as seq, type, (case type when 'Title' then substr(opened, 2, 1)::int - 1 when 'ListItem' then list - 1 end)::int as depth, text from r where type = 'Image' or length(text) >= 2"""
+
+
+@query(_sql_page_blocks())
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of pages by the nesting of their tags."""
+    return html.page_blocks(read(spark, sf_dir, "pages"))
+
+
+@query(_sql_page_blocks().replace("from pages)", "from (select page_id, '<ul><li>' || html || '<table><tr><td>' || html || '</td></tr></table>' || replace(replace(html, '<p>', '<ol><li>'), '</p>', '</li></ol>') || '<pre>' || url as html from pages))"))
+def page_blocks_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of pages put into lists and tables, and with a list for each paragraph, some of them never closed."""
+    deep = F.concat(F.lit("<ul><li>"), "html", F.lit("<table><tr><td>"), "html", F.lit("</td></tr></table>"), F.replace(F.replace("html", F.lit("<p>"), F.lit("<ol><li>")), F.lit("</p>"), F.lit("</li></ol>")), F.lit("<pre>"), "url")
+    return html.page_blocks(read(spark, sf_dir, "pages").select("page_id", deep.alias("html")))
