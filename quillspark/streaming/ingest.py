@@ -10,8 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import classify, entries, segment
 
-#: Parts that an ingested store is cut into by the hash of the id.
-CUTS = 32
+#: The state store keeps the ids on disk and reads those it is asked for.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def entries_of(texts: DataFrame, source: str = "source_file", text: str = "text") -> DataFrame:
@@ -21,26 +21,26 @@ def entries_of(texts: DataFrame, source: str = "source_file", text: str = "text"
     return rows.select(F.substring(F.sha2(F.concat_ws("\x1f", source, "seq", "text"), 256), 1, 32).alias("id"), F.col(source).alias("source_file"), "seq", "title", F.col("text").alias("content"), "type", "keywords")
 
 
-def ingest(spark: SparkSession, path: str, store: str, checkpoint: str, make: Callable[[DataFrame], DataFrame] = entries_of) -> StreamingQuery:
+def ingest(spark: SparkSession, path: str, store: str, checkpoint: str, make: Callable[[DataFrame], DataFrame] = entries_of, known: DataFrame | None = None) -> StreamingQuery:
     """Takes in the JSON-lines files (source_file, text) that are new since the last run and ends.
 
-    A batch is written to its own folder, so one that is run again replaces itself; entries that the store has go in no second
-    time (anti-join by id). The store is cut by a hash of the id, and a batch reads the ids of the cuts it falls into alone."""
+    The ids that went in are keyed state of the stream, in the checkpoint: a batch looks up its own ids alone, so what it reads does
+    not grow with the store. It is written to its own folder, so one that is run again replaces itself. The state is cut into as many parts as the
+    session has shuffle partitions in the first run. known: entries (id) of a store that this checkpoint doesn't know of, from
+    another writer or from before a checkpoint was lost; they are left out by a join in each batch."""
     stream = spark.readStream.schema("source_file string, text string").json(path)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
 
     def put(batch: DataFrame, n: int) -> None:
-        new = make(batch).withColumn("cut", F.pmod(F.xxhash64("id"), F.lit(CUTS)).cast("int"))
-        cuts = [r.cut for r in new.select("cut").distinct().collect()]  # CUTS numbers at most
-        new = new.dropDuplicates(["id"])
-        try:
-            old = batch.sparkSession.read.parquet(store).where((F.col("batch") != n) & F.col("cut").isin(*cuts))
-            new = entries.delete_ids(new, old)
-        except Exception as e:  # no store yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        new.write.mode("overwrite").partitionBy("cut").parquet(f"{store}/batch={n}")
+        new = batch if known is None else entries.delete_ids(batch, known)
+        new.write.mode("overwrite").parquet(f"{store}/batch={n}")
 
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    spark.conf.set(provider, ROCKS)
+    try:
+        return make(stream).dropDuplicates(["id"]).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
 
 
 def running_counts(stream: DataFrame, *by: str) -> DataFrame:
@@ -48,7 +48,17 @@ def running_counts(stream: DataFrame, *by: str) -> DataFrame:
     return stream.groupBy(*by).count()
 
 
+def topic_texts(rows: DataFrame) -> DataFrame:
+    """(source_file, text, timestamp) of a topic's messages (topic, value, timestamp); messages without a value are left out."""
+    return rows.where(F.col("value").isNotNull()).select(F.col("topic").alias("source_file"), F.col("value").cast("string").alias("text"), "timestamp")
+
+
 def read_topic(spark: SparkSession, servers: str, topic: str) -> DataFrame:
-    """Messages of a topic as (source_file, text, timestamp); needs Spark's Kafka package on the class path."""
-    rows = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).load()
-    return rows.select(F.col("topic").alias("source_file"), F.col("value").cast("string").alias("text"), "timestamp")
+    """Texts of a topic as they come; needs Spark's Kafka package on the class path."""
+    return topic_texts(spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).load())
+
+
+def recent_counts(texts: DataFrame, by: str = "source_file", window: str = "10 minutes", late: str = "1 hour") -> DataFrame:
+    """(window start, by, n) of topic_texts(): messages by event time; those later than `late` count no more, and their state is dropped."""
+    rows = texts.withWatermark("timestamp", late).groupBy(F.window("timestamp", window).alias("w"), by).agg(F.count(F.lit(1)).alias("n"))
+    return rows.select(F.col("w.start").alias("start"), by, "n")
