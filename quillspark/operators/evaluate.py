@@ -239,37 +239,41 @@ def composite_structure() -> Column:
     return F.round((F.col("col_accuracy") + F.col("row_accuracy") + (F.col("col_content") + F.col("row_content")) / 2) / 3, 6)
 
 
+def _greedy(a: pd.DataFrame) -> pd.DataFrame:
+    """(page, class, rank, hit = 1) of the boxes that get a true one: all pages of a group at once, a rank a step."""
+    a = a.sort_values(["rank", "part", "of", "iou", "place"], ascending=[True, True, True, False, True]).reset_index(drop=True)
+    page = a.groupby(["part", "of"], sort=False).ngroup().to_numpy()
+    _, true = np.unique(np.stack([page, a["place"].to_numpy()], 1), axis=0, return_inverse=True)
+    true = true.ravel()
+    taken, kept = np.zeros(len(a), bool), []
+    rank = a["rank"].to_numpy()
+    first = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]])) if len(a) else []
+    for i, j in zip(first, np.append(first[1:], len(a))):
+        free = i + np.flatnonzero(~taken[true[i:j]])
+        _, one = np.unique(page[free], return_index=True)  # the best free one of each page
+        kept.append(free[one])
+        taken[true[kept[-1]]] = True
+    kept = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+    return a.loc[kept, ["page", "class", "rank"]].assign(hit=1)
+
+
 def detection(predicted: DataFrame, truth: DataFrame, threshold: float = 0.5, most: int = 100, grid: int = 101) -> DataFrame:
     """(class, n_truth, precision, recall, f1, ap) of boxes (page, class, score, x1, y1, x2, y2) against (page, class, x1, ...).
 
-    Boxes of a page and class are matched greedily by score, each true one once, the `most` best predictions of each page
-    and class taking part (the metric's own limit). Average precision reads the precision that isn't improved at any higher
-    recall at `grid` recalls."""
-    w = Window.partitionBy("page", "class").orderBy(F.desc("score"), "pid")
-    p = predicted.withColumn("pid", F.monotonically_increasing_id()).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
-    t = truth.select(*[(F.col(c) + F.lit(0.0)).alias(c) if c[0] in "xy" else F.col(c).alias(c) for c in ("page", "class", "x1", "y1", "x2", "y2")])  # own columns: both sides may come from one table
+    Boxes of a page and class are matched greedily by score, each true one once (of equally good ones the first by its place), the `most`
+    best predictions of each page and class taking part (the metric's own limit). Average precision reads the precision that isn't
+    improved at any higher recall at `grid` recalls."""
     box = [f"{c}{i}" for c in "xy" for i in (1, 2)]
-
-    def match(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a):
-            return pd.DataFrame({c: [] for c in ("class", "score", "page", "rank", "hit")})
-        a = a.sort_values("rank")
-        A, B = a[["x1", "y1", "x2", "y2"]].to_numpy(float), b[["x1", "y1", "x2", "y2"]].to_numpy(float) if len(b) else np.zeros((0, 4))
-        free, hits = np.ones(len(B), bool), []
-        for x in A:
-            side = np.clip(np.minimum(x[2:], B[:, 2:]) - np.maximum(x[:2], B[:, :2]), 0, None)
-            inter = side[:, 0] * side[:, 1]
-            union = (x[2] - x[0]) * (x[3] - x[1]) + (B[:, 2] - B[:, 0]) * (B[:, 3] - B[:, 1]) - inter
-            s = np.where(free, inter / np.maximum(union, 1e-16), -1.0)
-            k = int(s.argmax()) if len(s) else -1
-            ok = k >= 0 and s[k] > threshold
-            if ok:
-                free[k] = False
-            hits.append(int(ok))
-        return pd.DataFrame({"class": [key[1]] * len(a), "score": a["score"].astype(float), "page": [key[0]] * len(a), "rank": a["rank"], "hit": hits})
-
-    cls = truth.schema["class"].dataType.simpleString()
-    hits = p.select("page", "class", "score", "rank", *box).groupBy("page", "class").cogroup(t.select("page", "class", *box).groupBy("page", "class")).applyInPandas(match, f"class {cls}, score double, page {truth.schema['page'].dataType.simpleString()}, rank int, hit int")
+    w = Window.partitionBy("page", "class").orderBy(F.desc("score"), *box)
+    p = written(predicted.select("page", "class", "score", *box).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most), "detection-boxes")
+    t = truth.select("page", "class", *[F.col(c).alias(f"t{c}") for c in box]).withColumn("place", F.row_number().over(Window.partitionBy("page", "class").orderBy(*[f"t{c}" for c in box])))
+    near = p.join(t, ["page", "class"]).withColumn("iou", iou("", "t")).where(F.col("iou") > threshold)
+    # two hashes of page and class tell them apart, whatever their types
+    near = written(near.select(F.xxhash64("page", "class").alias("part"), F.xxhash64(F.lit(1), "page", "class").alias("of"), "page", "class", "rank", "place", "iou"), "detection-near")
+    parts = max(1, near.count() // 200_000)
+    kinds = {c: truth.schema[c].dataType.simpleString() for c in ("page", "class")}
+    found = near.groupBy(F.pmod("part", F.lit(parts)).alias("group")).applyInPandas(_greedy, f"page {kinds['page']}, class {kinds['class']}, rank int, hit int")
+    hits = p.select("page", "class", "score", "rank").join(found, ["page", "class", "rank"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
     hits = written(hits, "detection-hits")
     n = truth.groupBy("class").agg(F.count(F.lit(1)).alias("n_truth"))
     order = [F.desc("score"), F.asc("page"), F.asc("rank")]

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import corpus_run, table_eval
-from .catalog import _sql_strip, query, read
+from ..operators import corpus_run, evaluate, table_eval
+from .catalog import _BOXES, _boxes, _sql_strip, query, read
 
 #: Scores of a table of two by two cells by its fault: none; columns swapped; one cell cut below the cutoff and one above; not found; made up.
 _BY_FAULT = {"n_truth": (1, 1, 1, 1, 0), "n_predicted": (1, 1, 1, 0, 1), "precision": (1, 1, 1, 0, 0), "recall": (1, 1, 1, 0, 0), "f1": (1, 1, 1, 0, 0), "row_index": (1, 1, 1, 0, 0), "col_index": (1, 0, 1, 0, 0),
@@ -95,3 +95,28 @@ def run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a run has done, counted while its rows were written."""
     n = _run(spark, sf_dir).counts
     return spark.createDataFrame([tuple(n.values())], ", ".join(f"{k} long" for k in n))
+
+
+_SQL_IOU = "(greatest(0, least(p.x2, t.x2) - greatest(p.x1, t.x1)) * greatest(0, least(p.y2, t.y2) - greatest(p.y1, t.y1)))"
+
+
+@query(f"""with recursive b as (select doc as page, ix % 2 as class, ix, x1::double as x1, y1::double as y1, x2::double as x2, y2::double as y2, ((doc * 7 + ix * 11) % 40)::double as shift from {_BOXES}),
+t as (select page, class, x1, y1, x2, y2, row_number() over (partition by page, class order by x1, x2, y1, y2) as place from b),
+p as (select page, class, round(1 / (1 + shift), 6) as score, x1 + shift as x1, y1, x2 + shift as x2, y2 from b),
+q as (select *, row_number() over (partition by page, class order by score desc, x1, x2, y1, y2) as rank from p),
+i as (select p.*, t.place, {_SQL_IOU} / ((p.x2 - p.x1) * (p.y2 - p.y1) + (t.x2 - t.x1) * (t.y2 - t.y1) - {_SQL_IOU}) as iou from q p join t on p.page = t.page and p.class = t.class),
+c as (select q.page, q.class, q.rank, q.score, coalesce(list(place order by iou desc, place) filter (iou > 0.5), []) as places from q left join i on q.page = i.page and q.class = i.class and q.rank = i.rank group by all),
+m as (select page, class, 0::bigint as rank, 0.0::double as score, []::bigint[] as used, 0 as hit from c where rank = 1
+union all select c.page, c.class, c.rank, c.score, case when len(list_filter(places, lambda x: not list_contains(used, x))) > 0 then list_append(used, list_filter(places, lambda x: not list_contains(used, x))[1]) else used end, (len(list_filter(places, lambda x: not list_contains(used, x))) > 0)::int
+from m join c on m.page = c.page and m.class = c.class and c.rank = m.rank + 1),
+n as (select class, count(*) as n_truth from t group by 1),
+s as (select m.class, n_truth, sum(hit) over w as tp, row_number() over w as made, sum(hit) over (partition by m.class) as all_tp, count(*) over (partition by m.class) as all_made from m join n on m.class = n.class where rank > 0 window w as (partition by m.class order by score desc, m.page, rank rows unbounded preceding)),
+g as (select class, k, coalesce(max(tp / made) filter (floor(tp / n_truth * 100 + 1e-9) >= k), 0) as best from s, (select unnest(range(101)) as k) group by 1, 2),
+a as (select class, round(sum(best) / 101, 6) as ap from g group by 1)
+select distinct s.class, n_truth, round(all_tp / all_made, 6) as "precision", round(all_tp / n_truth, 6) as recall, round(2 * (all_tp / all_made) * (all_tp / n_truth) / (all_tp / all_made + all_tp / n_truth + 1e-16), 6) as f1, ap from s join a on s.class = a.class""")
+def detection_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of turns, shifted by their number, against the boxes as they are."""
+    b = _boxes(spark, sf_dir).select(F.col("doc").alias("page"), (F.col("ix") % 2).alias("class"), "ix", "x1", "y1", "x2", "y2")
+    shift = ((F.col("page") * 7 + F.col("ix") * 11) % 40).cast("double")
+    p = b.withColumns({"score": F.round(1 / (1 + shift), 6), "x1": F.col("x1") + shift, "x2": F.col("x2") + shift})
+    return evaluate.detection(p.drop("ix"), b.drop("ix"))
