@@ -83,16 +83,43 @@ def split_by_strategy(df: DataFrame, id_col: str, text: str = "text") -> DataFra
     return marked.unionByName(plain).unionByName(packed)
 
 
-def _fold(parts: Column, joins: Callable[[Column, Column], Column], sep: str) -> Column:
-    """An ordered fold of texts into blocks: joins(block, next) says whether the next goes into the block."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("now"))
+#: Starts that are put into one array before it is handed on: adding to an array copies it.
+_RUN = 256
+
+
+def _starts(items: Column, joins: Callable[[Column, Column], Column], first: Callable[[Column], Column], more: Callable[[Column, Column], Column]) -> Column:
+    """Places (from 0) where a new block starts, in one pass over items that carries a few numbers and no text: joins(block, next)
+    says whether the next goes into the block, first(item) and more(block, next) are what is known of a block. Starts are
+    gathered in runs, so the pass is near linear in the items."""
+    places = F.array().cast("array<int>")
+    start = F.struct(F.lit(0).alias("i"), F.lit(False).alias("any"), first(F.get(items, F.lit(0))).alias("now"), places.alias("run"), F.array().cast("array<array<int>>").alias("runs"))
 
     def step(acc: Column, x: Column) -> Column:
-        into = acc["now"].isNotNull() & joins(acc["now"], x)
-        return F.struct(F.when(into | acc["now"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], acc["now"])).alias("out"), F.when(into, F.concat(acc["now"], F.lit(sep), x)).otherwise(x).alias("now"))
+        new = ~(acc["any"] & joins(acc["now"], x))
+        full = new & (F.size(acc["run"]) == _RUN)
+        run = F.when(full, F.array(acc["i"])).when(new, F.array_append(acc["run"], acc["i"])).otherwise(acc["run"])
+        runs = F.when(full, F.array_append(acc["runs"], acc["run"])).otherwise(acc["runs"])
+        return F.struct((acc["i"] + 1).alias("i"), F.lit(True).alias("any"), F.when(new, first(x)).otherwise(more(acc["now"], x)).alias("now"), run.alias("run"), runs.alias("runs"))
+
+    return F.aggregate(items, start, step, lambda acc: F.concat(F.flatten(acc["runs"]), acc["run"]))
+
 
-    done = F.aggregate(parts, start, step)
-    return F.when(done["now"].isNull(), done["out"]).otherwise(F.array_append(done["out"], done["now"]))
+def _blocks(items: str, starts: str) -> Column:
+    """The items of each block; both are columns of their own, not expressions, so that neither is made anew for each block. To unfold the
+    result use posexplode_outer: for posexplode Spark tests the array's size below the projections, with all expressions put in."""
+    # item by item: a slice would unpack the whole array for each block
+    return F.transform(starts, lambda s, k: F.transform(F.sequence(s, F.coalesce(F.get(starts, k + 1), F.size(items)) - 1), lambda i: F.get(items, i)))
+
+
+def _merged(df: DataFrame, parts: Column, keep: int | None) -> DataFrame:
+    """df with _blocks: paragraphs in order, one joined to the block before it if neither is a table, it has at most 200 characters and
+    the block at most `keep`."""
+    one = F.transform("_parts", lambda x: F.struct(F.length(x).alias("n"), F.contains(x, F.lit("|")).alias("bar"), _is_table(x).alias("table")))
+    # a block of several is a table once one of them has a bar: the blank lines between them are lines
+    joins = lambda now, x: ~x["table"] & ~now["table"] & (x["n"] <= 200) & (F.lit(True) if keep is None else now["n"] <= keep)
+    more = lambda now, x: F.struct((now["n"] + x["n"] + 2).alias("n"), (now["bar"] | x["bar"]).alias("bar"), (now["bar"] | x["bar"]).alias("table"))
+    rows = df.withColumn("_parts", parts).withColumn("_starts", _starts(one, joins, lambda x: F.struct(x["n"], x["bar"], x["table"]), more))
+    return rows.withColumn("_blocks", F.transform(_blocks("_parts", "_starts"), lambda b: F.array_join(b, "\n\n"))).drop("_parts", "_starts")
 
 
 def _is_table(t: Column) -> Column:
@@ -103,8 +130,7 @@ def pack_paragraphs(df: DataFrame, id_col: str, text: str = "text", most: int =
     """(id, block, title, content, page): tables stand alone, a paragraph over 200 characters starts a block, shorter ones are
     added to it; blocks under 10 characters go."""
     parts = F.filter(F.transform(F.split(text, r"\n{2,}"), T.strip), lambda p: p != "")
-    blocks = _fold(parts, lambda now, x: ~_is_table(x) & ~_is_table(now) & (F.length(x) <= 200), "\n\n")
-    rows = df.select(id_col, blocks.alias("b")).select(id_col, F.size("b").alias("n"), F.posexplode("b").alias("block", "t")).where(F.length("t") >= 10)
+    rows = _merged(df.select(id_col, text), parts, None).withColumnRenamed("_blocks", "b").select(id_col, F.size("b").alias("n"), F.posexplode_outer("b").alias("block", "t")).where(F.length("t") >= 10)
     first = T.strip(F.element_at(F.split("t", r"\n"), 1))
     return rows.select(id_col, "block", T.shortened(first, 80, 80).alias("title"), F.substring("t", 1, most).alias("content"), T.approx_page(F.col("block"), F.col("n"), pages).alias("page"))
 
@@ -115,8 +141,8 @@ def smart_split(df: DataFrame, id_col: str, title: str, text: str = "text", size
     "To ..." title or with dashed numbers under a title with "step", else the given one. Parts of academic texts have their math
     repaired, and a promoted heading in place of a "Section n"."""
     parts = F.filter(F.transform(F.split(text, r"\n{2,}"), T.strip), lambda p: (p != "") & ~T.is_junk(p))
-    blocks = F.filter(_fold(parts, lambda now, x: ~_is_table(x) & ~_is_table(now) & (F.length(x) <= 200) & (F.length(now) <= int(0.8 * size)), "\n\n"), lambda b: F.length(b) >= 20)
-    rows = df.select(id_col, F.col(title).alias("_title"), F.col(kind).alias("_kind") if kind else F.lit(None).cast("string").alias("_kind"), T.is_academic(F.col(text)).alias("_academic"), F.posexplode(blocks).alias("part", "content"))
+    blocks = F.filter("_blocks", lambda b: F.length(b) >= 20)
+    rows = _merged(df, parts, int(0.8 * size)).select(id_col, F.col(title).alias("_title"), F.col(kind).alias("_kind") if kind else F.lit(None).cast("string").alias("_kind"), T.is_academic(F.col(text)).alias("_academic"), F.posexplode_outer(blocks).alias("part", "content")).where("part is not null")
     rows = rows.withColumn("content", F.when(F.col("_academic"), T.repair_math(F.col("content"))).otherwise(F.col("content")))
     promoted = T.promoted_heading(F.col("content"))
     rows = rows.withColumn("_title", F.when(F.col("_academic") & F.col("_title").rlike(r"^Section\s+\d+$") & (promoted != ""), promoted).otherwise(F.col("_title")))
@@ -169,25 +195,20 @@ def chunk_recursive(df: DataFrame, id_col: str, text: str = "text", size: int =
 def chunk_basic(elements: DataFrame, doc: str, seq: str, text: str = "text", kind: str = "type", most: int = 500, new_after: int | None = None, within: tuple[str, ...] = (), size: Callable[[Column], Column] = F.length) -> DataFrame:
     """(doc, chunk_seq, text, n_elements, first_seq, last_seq): elements in order, greedily joined by a blank line up to `most`
     (a chunk of `new_after` is closed); a table stands alone; an element over `most` is cut at separators. White space of
-    elements is made single spaces, except in code. size counts characters, or tokens (see token_size)."""
+    elements is made single spaces, except in code. size counts characters, or tokens (see token_size); what it gives for joined elements
+    must be the sum of theirs and of the blank line's."""
     soft = most if new_after is None else min(most, new_after)
     keys = [doc, *within]
     clean = F.when(F.col(kind) == "CodeSnippet", F.col(text)).otherwise(T.strip(F.regexp_replace(text, r"\s+", " ")))
     rows = elements.select(*keys, F.col(seq).alias("s"), F.col(kind).alias("k"), clean.alias("t")).where("t <> ''")
     grouped = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("s", "k", "t"))).alias("x"))
-    item = "struct<t:string,n:int,a:bigint,b:bigint,alone:boolean>"
-    start = F.struct(F.array().cast(f"array<{item}>").alias("out"), F.lit(None).cast(item).alias("now"))
-
-    def step(acc: Column, x: Column) -> Column:
-        alone = (x["k"] == "Table") | (size(x["t"]) > most)
-        now = acc["now"]
-        fits = now.isNotNull() & ~now["alone"] & ~alone & (size(now["t"]) < soft) & (size(F.concat(now["t"], F.lit("\n\n"), x["t"])) <= most)
-        new = F.struct(x["t"].alias("t"), F.lit(1).alias("n"), x["s"].cast("long").alias("a"), x["s"].cast("long").alias("b"), alone.alias("alone"))
-        both = F.struct(F.concat(now["t"], F.lit("\n\n"), x["t"]).alias("t"), (now["n"] + 1).alias("n"), now["a"].alias("a"), x["s"].cast("long").alias("b"), F.lit(False).alias("alone"))
-        return F.struct(F.when(fits | now.isNull(), acc["out"]).otherwise(F.array_append(acc["out"], now)).alias("out"), F.when(fits, both).otherwise(new).alias("now"))
-
-    chunks = F.aggregate("x", start, step, lambda acc: F.when(acc["now"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], acc["now"])))
-    rows = grouped.select(*keys, F.posexplode(chunks).alias("g", "c"))
+    glue = size(F.lit("\n\n"))
+    items = F.transform("x", lambda x: F.struct(size(x["t"]).cast("long").alias("n"), ((x["k"] == "Table") | (size(x["t"]) > most)).alias("alone")))
+    joins = lambda now, x: ~now["alone"] & ~x["alone"] & (now["n"] < soft) & (now["n"] + glue + x["n"] <= most)
+    more = lambda now, x: F.struct((now["n"] + glue + x["n"]).alias("n"), F.lit(False).alias("alone"))
+    cut = grouped.withColumn("starts", _starts(items, joins, lambda x: F.struct(x["n"], x["alone"]), more))
+    chunk = lambda b: F.struct(F.array_join(F.transform(b, lambda x: x["t"]), "\n\n").alias("t"), F.size(b).alias("n"), F.get(b, F.lit(0))["s"].cast("long").alias("a"), F.element_at(b, -1)["s"].cast("long").alias("b"))
+    rows = cut.select(*keys, F.posexplode_outer(F.transform(_blocks("x", "starts"), chunk)).alias("g", "c")).where("g is not null")
     over = (size(F.col("c.t")) > most) & F.lit(size is F.length)  # only these go through the cutting function
     whole = rows.where(~over).select(*keys, "g", "c", F.lit(0).alias("piece"), F.col("c.t").alias("text"))
     rows = whole.unionByName(rows.where(over).select(*keys, "g", "c", F.posexplode(cut_text(F.col("c.t"), most)).alias("piece", "text")))
@@ -233,8 +254,10 @@ def chunk_by_title(elements: DataFrame, doc: str, seq: str, text: str = "text",
     under = most if combine_under is None else combine_under
     chunks = chunk_basic(sections(elements, doc, seq, kind, page, multipage), doc, seq, text, kind, most, new_after, ("section",))
     rows = chunks.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("chunk_seq", "text"))).alias("x"))
-    joined = _fold(F.transform("x", lambda c: c["text"]), lambda now, x: (F.length(now) < under) & (F.length(now) + F.length(x) + 2 <= most), "\n\n")
-    return rows.select(doc, F.posexplode(joined).alias("chunk_seq", "text"))
+    joins = lambda now, x: (now["n"] < under) & (now["n"] + x["n"] + 2 <= most)
+    sizes = F.transform("x", lambda c: F.struct(F.length(c["text"]).alias("n")))
+    rows = rows.withColumn("starts", _starts(sizes, joins, lambda x: F.struct(x["n"]), lambda now, x: F.struct((now["n"] + x["n"] + 2).alias("n"))))
+    return rows.select(doc, F.posexplode_outer(F.transform(_blocks("x", "starts"), lambda b: F.array_join(F.transform(b, lambda c: c["text"]), "\n\n"))).alias("chunk_seq", "text")).where("chunk_seq is not null")
 
 
 def reconstruct_tables(chunks: DataFrame) -> DataFrame:
@@ -351,7 +374,11 @@ def chunk_tables(tables: DataFrame, id_col: str, html: str = "text_as_html", mos
     split = lambda r: F.flatten(F.transform(cells(r), lambda c: F.when(F.length(plain(c)) <= most, F.array(tr(c))).otherwise(pieces(c))))
     body = F.slice(F.col("r"), F.col("heads") + 1, F.size("r"))
     body = F.flatten(F.transform(body, lambda r: F.when(F.length(plain(r)) <= most, F.array(r)).otherwise(split(r))))
-    parts = _fold(body, lambda now, x: F.length(plain(F.concat(now, x))) <= most, "")
-    rows = rows.select("table_id", "heads", head.alias("head"), F.posexplode(F.when(F.size(parts) > 0, parts).otherwise(F.array(F.lit("")))).alias("chunk_index", "b"))
+    rows = rows.select("table_id", "heads", head.alias("head"), body.alias("body"))
+    long = lambda now, x: now["n"] + x["n"] + F.when((now["n"] > 0) & (x["n"] > 0), 1).otherwise(0)  # noqa: E731  a space between two texts
+    sizes = F.transform("body", lambda r: F.struct(F.length(plain(r)).alias("n")))
+    rows = rows.withColumn("starts", _starts(sizes, lambda now, x: long(now, x) <= most, lambda x: F.struct(x["n"]), lambda now, x: F.struct(long(now, x).alias("n"))))
+    rows = rows.select("table_id", "heads", "head", F.posexplode_outer(F.transform(_blocks("body", "starts"), lambda b: F.array_join(b, ""))).alias("chunk_index", "b"))
+    rows = rows.withColumns({"chunk_index": F.coalesce("chunk_index", F.lit(0)), "b": F.coalesce("b", F.lit(""))})
     whole = F.concat(F.lit("<table>"), "head", "b", F.lit("</table>"))
     return rows.select("table_id", "chunk_index", whole.alias("text_as_html"), plain(whole).alias("text"), F.when(F.col("chunk_index") > 0, F.col("heads")).otherwise(F.lit(0)).alias("num_carried_over_header_rows"))
