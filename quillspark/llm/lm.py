@@ -17,6 +17,8 @@ is held out (there is no remainder to take). With no training document every cou
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,17 +37,18 @@ class Block:
     tok: vocabulary index of each token, each text being END, words, END; place: index within the text."""
 
     def __init__(self, texts: list[str | None], order: int):
-        vocab, tok, lens = {b"": 0}, [], []
-        for t in texts:
+        vocab, tok, lens = {b"": 0}, array("i"), array("i")
+        for i, t in enumerate(texts):
             words = (t or "").encode().lower().split()
+            texts[i] = None  # the words stand in for it
             tok.append(0)
-            tok += [vocab.setdefault(w, len(vocab)) for w in words]
+            tok.extend([vocab.setdefault(w, len(vocab)) for w in words])
             tok.append(0)
             lens.append(len(words) + 2)
-        self.tok, self.lens, self.size = np.array(tok, np.int64), np.array(lens, np.int64), len(vocab)
-        self.doc = np.repeat(np.arange(len(lens)), self.lens)
+        self.tok, self.lens, self.size = np.frombuffer(tok, np.int32) if tok else np.zeros(0, np.int32), np.array(lens, np.int64), len(vocab)
+        self.doc = np.repeat(np.arange(len(lens), dtype=np.int32), self.lens)
         self.first = np.cumsum(self.lens) - self.lens
-        self.place = np.arange(len(tok)) - np.repeat(self.first, self.lens)
+        self.place = (np.arange(len(tok)) - np.repeat(self.first, self.lens)).astype(np.int32)
         word_hash = splitmix(np.fromiter((xxhash.xxh3_64_intdigest(w) for w in vocab), np.uint64, len(vocab)))
         own = word_hash[self.tok] if len(tok) else np.zeros(0, np.uint64)
         key, self.keys, self.index = own, [], []
@@ -54,7 +57,7 @@ class Block:
                 key = np.concatenate([np.zeros(1, np.uint64), splitmix(key[:-1] * np.uint64(0x9E3779B97F4A7C15) + own[1:])])[: len(own)]
             there = self.place >= max(1, n - 1)
             keys, index = np.unique(key[there], return_inverse=True)
-            at = np.full(len(own), -1, np.int64)
+            at = np.full(len(own), -1, np.int32)
             at[there] = index
             self.keys.append(keys)
             self.index.append(at)
