@@ -6,7 +6,8 @@ reader takes the blocks of a record in order, inflates a bounded piece at a time
 the payload as rows (archive, record, chunk_no, payload) with the SHA-1 so far: neither side builds a whole record.
 
 Of records with equal payloads of at least 1000 bytes the one with the largest page id is the response, the others are revisits
-that refer to it. Equal payloads meet by digest in an aggregation (one row a digest and task, however many copies).
+that refer to it. Equal payloads meet by digest in an aggregation (one row a digest and task, however many copies); what comes back is a lookup of digests
+that occur twice or more. The reader takes a revisit's digest and length from its header: there is no payload to hold against them.
 
 Defined results. A null payload is empty. A null url is written without a target. Repeated page ids: each row gets a record (rows
 with the largest id of equal payloads are all responses). A null page id is always a response and none refers to it. An empty table
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import to_arrow, written
+from .common import sized_join, to_arrow, written
 
 CHUNK = 1 << 18
 LEAST = 1000
@@ -40,7 +41,8 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bod
     # payloads too short for a revisit meet no others: each has a key of its own, so the many empty ones are not one key
     rows = rows.withColumn("same", F.when(F.octet_length("payload") >= least, F.col("digest")).otherwise(F.concat(F.lit("short:"), F.coalesce(F.col("page_id").cast("string"), F.col("url"), F.lit("")))))
     first = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    rows = rows.join(first.withColumnRenamed("digest", "same"), "same", "left")
+    # a lookup by digest: payloads stay where they are while few digests repeat; beyond that, rows of one digest are dealt over salts
+    rows = sized_join(rows, written(first.withColumnRenamed("digest", "same"), "warc-repeated"), ["same"], max_rows=500_000)
     return rows.withColumn("refers_to", F.when(F.col("kept") != F.col("page_id"), F.col("kept"))).drop("kept", "same")
 
 
