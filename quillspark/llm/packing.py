@@ -20,9 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.numbering import running
 from .common import to_arrow, written
 from .tokens import encoder
 
@@ -124,8 +125,10 @@ def pack(tokens: DataFrame, window: int = 1024, grain: int = 64, part_tokens: in
     size = have.groupBy("part").agg(F.sum("have").alias("size"))
     sources = have.select("source").distinct().join(targets.select("source", "share"), "source", "left").fillna(0.0, ["share"])
     owed = have.join(size, "part").join(sources, "source")
-    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    plan = owed.select("part", "source", "share", F.coalesce(F.sum(F.col("share") * F.col("size") - F.col("have")).over(before), F.lit(0.0)).alias("carry"))
+    # what a part is owed when it starts: a running sum in two levels, without its own share
+    mine = F.col("share") * F.col("size") - F.col("have")
+    plan = running(owed.select("part", "source", "share", mine.alias("mine"), mine.alias("carry")), "part", of={"carry": F.col("carry")}, within=("source",))
+    plan = plan.select("part", "source", "share", (F.col("carry") - F.col("mine")).alias("carry"))
     shape = to_arrow(PIECE, tokens.sparkSession)
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
