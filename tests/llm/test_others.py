@@ -175,9 +175,9 @@ file, You can obtain one at http://mozilla.org/MPL/2.0/."""
 
 
 def test_licences_wrapped_as_published(spark):
-    texts = {"MIT": (3, MIT), "BSD-3-Clause": (2, BSD), "GPL-or-later": (2, GPL3), "LGPL-or-later": (2, LGPL), "Apache-2.0": (4, APACHE), "MPL-2.0": (1, MPL)}
+    texts = {"MIT": (3, MIT), "BSD-3-Clause": (2, BSD), "GPL-3.0-or-later": (2, GPL3), "LGPL-2.1-or-later": (2, LGPL), "Apache-2.0": (4, APACHE), "MPL-2.0": (1, MPL)}
     rows, want = [], []
-    for licence, (n, t) in [*texts.items(), ("GPL-or-later", (2, GPL2)), ("CC0-1.0", (1, "Released to the public\ndomain by me"))]:
+    for licence, (n, t) in [*texts.items(), ("GPL-2.0-or-later", (2, GPL2)), ("CC0-1.0", (1, "Released to the public\ndomain by me"))]:
         marked = ["\n".join((mark + line).rstrip() for line in t.split("\n")) for mark in ("# ", " * ", "// ", "dnl ", "REM ")]
         for x in [t, t.replace("\n", "\r\n"), "Copyright (c) 2020 A. Body\n" + t, "some code\n\n" + t + "\n\nmore code", *marked]:
             rows.append((len(rows), x))
@@ -195,9 +195,9 @@ TEXTS = [
     ("BSL-1.0", 1, "Distributed under the Boost Software License, Version 1.0. (See accompanying file or a copy at the site.)"),
     ("EPL-2.0", 1, "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at http://www.eclipse.org/legal/epl-2.0"),
     ("EPL-1.0", 1, "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution."),
-    ("AGPL-or-later", 2, "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("GPL-or-later", 2, GPL3.replace("\n", " ")),
-    ("LGPL-or-later", 2, LGPL.replace("\n", " ")),
+    ("AGPL-3.0-or-later", 2, "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0-or-later", 2, GPL3.replace("\n", " ")),
+    ("LGPL-2.1-or-later", 2, LGPL.replace("\n", " ")),
     ("MIT", 3, MIT.replace("\n\n", "\0").replace("\n", " ").replace("\0", "\n\n")),
     ("MPL-2.0", 1, MPL.replace("\n", " ")),
     ("Apache-2.0", 4, APACHE),
@@ -208,21 +208,36 @@ TEXTS = [
 
 
 def plain_match(sentences):
-    """(known, licence) of whole sentences given one by one: each against every pattern, then the rules in turn."""
+    """(known, licence) of whole sentences given one by one: each against every pattern, then the rules at each place in turn."""
     known = []
     for s in sentences:
+        if "SPDX-License-Identifier:" in s:
+            known.append(("SPDX", s.split(":")[1].strip()))
+            continue
         s = re.sub(r"[\W_]+", " ", s.lower()).strip()
-        known += [n for n, p in licenses.SENTENCES.items() if re.fullmatch(p.replace(",?", ""), s)][:1]
-    left, found = list(known), []
-    for names, licence in licenses.RULES:
-        k = 0
-        while k + len(names) <= len(left):
-            if tuple(left[k : k + len(names)]) == names:
-                left[k : k + len(names)] = []
-                if licence not in found:
-                    found.append(licence)
-            else:
-                k += 1
+        for n, p in licenses.SENTENCES.items():
+            if m := re.fullmatch(p.replace("(?<", "(?P<"), s):
+                said = "".join(m.groupdict().get(g) or "" for g in "wv").replace(" ", ".")
+                known.append((n, said and (said if "." in said else said + ".0")))
+                break
+    found, k = [], 0
+    while k < len(known):
+        took, told = 1, None
+        if known[k][0] == "SPDX":
+            told = known[k][1]
+        elif not (known[k][0] == "AllRights" and k + 1 < len(known) and known[k + 1][0] in licenses.OWN_TEXT):
+            for names, licence in licenses.RULES:
+                here = known[k : k + len(names)]
+                if tuple(n for n, _ in here) == names:
+                    said = [v for _, v in here if v]
+                    took, told = len(names), licence
+                    if "{}" in licence:
+                        family, rest = licence.split("-{}")
+                        told = f"{family}-{said[-1]}{rest or '-only'}" if said else family
+                    break
+        if told and told not in found:
+            found.append(told)
+        k += took
     return len(known), " AND ".join(found) if found else "unknown" if known else "none"
 
 
@@ -240,6 +255,43 @@ def test_licence_texts_against_a_plain_matcher(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+#: Headers and heads as published, with the licence each gives.
+HEADERS = [
+    ("BSD-3-Clause", "Copyright (c) 2019, A. Body\nAll rights reserved.\n\n" + BSD), ("BSD-2-Clause", "All rights reserved.\n\n" + BSD.split("\n\n3.")[0]),
+    ("Proprietary", "Copyright (c) 2019 A. Body. All rights reserved."), ("Apache-2.0", "Copyright 2020 A. Body. All rights reserved.\n\n" + APACHE),
+    ("Proprietary AND MIT", "All rights reserved.\n\nReleased under the MIT License."),
+    ("GPL-2.0-or-later", GPL2), ("GPL-3.0-or-later", GPL3), ("LGPL-2.1-or-later", LGPL), ("LGPL-3.0-or-later", LGPL.replace("version 2.1", "version 3")),
+    ("GPL-2.0-only", GPL2.replace("either version 2\nof the License, or (at your option) any later version.", "version 2 of the License.")),
+    ("GPL-3.0-only", GPL3.replace("either version 3 of the License, or\n(at your option) any later version.", "version 3 of the License.")),
+    ("GPL-2.0-only", "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License version 2 as\npublished by the Free Software Foundation."),
+    ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."), ("GPL-2.0-only", "This program is licensed under the GNU General Public License, version 2."),
+    ("GPL", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation."),
+    ("LGPL-2.1-only", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License version 2.1 as published by the Free Software Foundation."),
+    ("AGPL-3.0-or-later", GPL3.replace("GNU General", "GNU Affero General")), ("AGPL-3.0-only", GPL3.replace("GNU General", "GNU Affero General").replace("either version 3 of the License, or\n(at your option) any later version.", "version 3 of the License.")),
+    ("Apache-2.0 OR MIT", "Licensed under either of Apache License, Version 2.0 or MIT license at your option."),
+    ("Apache-2.0 OR MIT", "Licensed under either of\n * Apache License, Version 2.0 (LICENSE-APACHE)\n * MIT license (LICENSE-MIT)\nat your option."),
+    ("GPL-2.0-only", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc."),
+    ("GPL-3.0-only", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Everyone is permitted to copy and distribute verbatim copies"),
+    ("LGPL-2.1-only", "                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999\n\nPreamble"), ("AGPL-3.0-only", "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007\n\nPreamble"),
+    ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions"), ("MPL-2.0", MPL), ("MIT", "MIT License\n\nCopyright (c) 2020 A. Body\n\n" + MIT), ("MIT", "The MIT License (MIT)\n\n" + MIT), ("ISC", "ISC License\n\nCopyright (c) 2020, A. Body"),
+    ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, A. Body\nAll rights reserved.\n\n" + BSD), ("MIT", MIT), ("Apache-2.0", APACHE),
+    ("MIT OR Apache-2.0", "// SPDX-License-Identifier: MIT OR Apache-2.0"), ("GPL-2.0-only WITH Linux-syscall-note", "/* SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note */\n#ifndef X"),
+    ("GPL-2.0-or-later", "# SPDX-License-Identifier: GPL-2.0+"), ("LGPL-2.1-or-later", "SPDX-License-Identifier: lgpl-2.1-or-later"), ("Apache-2.0+", "<!-- SPDX-License-Identifier: Apache-2.0+ -->"),
+    ("(MIT OR Apache-2.0) AND BSD-3-Clause", "# SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause"), ("none", "# SPDX-License-Identifier: LicenseRef-Own"), ("(GPL-2.0-only OR MIT) AND Proprietary", "SPDX-License-Identifier: (GPL-2.0-only OR MIT)\n\nAll rights reserved."),
+    ("CC0-1.0", "Released to the public domain."), ("CC-BY-SA-4.0", "This work is licensed under CC BY-SA 4.0."), ("none", "The General was in the public eye; version 3 of the play."), ("none", "MIT licensed him. A gnu ran by."),
+]
+
+
+def test_published_headers(spark, odd):
+    assert len(HEADERS) >= 40
+    rows = [(i, t) for i, (_, t) in enumerate(HEADERS)] + [(1000 + i, "\r\n".join("# " + x for x in t.split("\n"))) for i, (_, t) in enumerate(HEADERS) if "<!--" not in t and "/*" not in t]
+    got = dict(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "license").collect())
+    assert [(HEADERS[i % 1000][1], got[i]) for i, _ in rows] == [(HEADERS[i % 1000][1], HEADERS[i % 1000][0]) for i, _ in rows]
+    mixed = licenses.scan(odd.withColumnsRenamed({"h": "ids", "t": "licenses"}))
+    assert {r.license for r in mixed.collect()} == {"none"} and mixed.count() == odd.count()
+
+
 def test_licence_lines_of_the_corpus(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = docs.join(queries.op2_license_scan(spark, "/root/testdata/sf0.01"), "doc_id").select("text", "license").collect()
