@@ -117,19 +117,65 @@ def _weighted(weights: tuple[int, int, int]):
 
     @F.pandas_udf("int")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x: str, y: str) -> int:
-            y_codes, step = np.array([ord(c) for c in y], np.int64), np.arange(len(y) + 1) * ins
-            row = step.copy()
-            for c in x:
-                low = np.minimum(row[1:] + dele, row[:-1] + np.where(y_codes == ord(c), 0, sub))
-                row = np.minimum.accumulate(np.concatenate([[row[0] + dele], low]) - step) + step
-            return int(row[-1])
-
-        return pd.Series([one(x, y) for x, y in zip(a, b)])
+        return pd.Series(weighted_distances([x or "" for x in a], [y or "" for y in b], ins, dele, sub), dtype="int32")
 
     return distance
 
 
+def weighted_distances(a: list[str], b: list[str], ins: int, dele: int, sub: int, block: int = 1 << 22) -> np.ndarray:
+    """The least cost of turning each text of a into its text of b.
+
+    Pairs of like lengths are computed together, a diagonal band of the table a step: band cells of all pairs in one array. A path that
+    stays within the band of width w costs the least of all paths if it costs no more than any that leaves it: going w places off
+    the main diagonals takes w more insertions, or deletions. Bands start narrow and double for the pairs that need it."""
+    out = np.zeros(len(a), np.int64)
+    sizes = np.array([[len(x), len(y)] for x, y in zip(a, b)], np.int64).reshape(-1, 2)
+    todo, width = np.lexsort((sizes[:, 1], sizes[:, 0])), 16
+    while len(todo):
+        left = []
+        at = 0
+        while at < len(todo):
+            tall = int(np.abs(sizes[todo[at:], 0] - sizes[todo[at:], 1]).max()) + 2 * width + 1
+            own = todo[at : at + max(1, block // tall)]
+            got, exact = _banded([a[i] for i in own], [b[i] for i in own], ins, dele, sub, width)
+            out[own] = got
+            left.append(own[~exact])
+            at += len(own)
+        todo, width = np.concatenate(left), width * 4
+    return out
+
+
+def _banded(a: list[str], b: list[str], ins: int, dele: int, sub: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(costs within the band, whether no path outside can cost less) of pairs. Cell k of row i stands for place i + k - below of b."""
+    n, m = (np.array([len(x) for x in t], np.int64) for t in (a, b))
+    below = np.maximum(0, n - m) + width  # cells left of the main diagonal
+    wide = int((np.abs(n - m) + 2 * width + 1).max())
+    codes = [np.zeros((len(a), int(s.max()) if len(s) else 0), np.int64) for s in (n, m)]
+    for x, t in zip(codes, (a, b)):
+        for row, text in zip(x, t):
+            row[: len(text)] = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    far = 1 << 40
+    k = np.arange(wide)
+    place = k[None, :] - below[:, None]
+    inside = place <= (m - n)[:, None] + below[:, None]  # the band ends as far right of the last diagonal as it begins left of the first
+    steps = k * ins
+    row = np.where((place >= 0) & (place <= m[:, None]) & inside, place * ins, far)
+    out = np.where(n == 0, row[np.arange(len(a)), np.clip(m + below, 0, wide - 1)], 0)
+    for i in range(1, int(n.max()) + 1 if len(n) else 0):
+        j = place + i
+        real = (j >= 0) & (j <= m[:, None]) & inside
+        same = np.take_along_axis(codes[1], np.clip(j - 1, 0, max(0, codes[1].shape[1] - 1)), 1) == codes[0][:, i - 1 : i] if codes[1].shape[1] else np.zeros(j.shape, bool)
+        diagonal = np.where(j >= 1, row + np.where(same, 0, sub), far)
+        above = np.concatenate([row[:, 1:], np.full((len(a), 1), far)], 1) + dele
+        low = np.where(real, np.minimum(diagonal, above), far)
+        row = np.where(real, np.minimum.accumulate(low - steps, 1) + steps, far)
+        ends = n == i
+        out[ends] = row[ends, np.clip(m[ends] - i + below[ends], 0, wide - 1)]
+    # a path outside goes `width` + 1 places beyond both corners' diagonals and comes back
+    least = (width + 1) * (ins + dele) + np.where(m > n, (m - n) * ins, (n - m) * dele)
+    return out, (out <= least) | (width >= np.maximum(n, m))
+
+
 def ngrams(df: DataFrame, id_col: str, n: int, text: str = "text") -> DataFrame:
     """(id, h, h2): word n-grams of each text as two 64-bit hashes of their words' hashes: 128 bits tell them apart."""
     words = F.transform(F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
@@ -150,17 +196,56 @@ def ngram_overlap(a: DataFrame, b: DataFrame, a_id: str, b_id: str, n: int = 5,
     return hit.join(total, b_id).select(a_id, b_id, "shared", F.round(F.col("shared") / F.col("total"), 6).alias("pct"))
 
 
-def largest_shared_n(pairs: DataFrame, a: str, b: str, most: int = 10) -> DataFrame:
-    """pairs with shared_n: the largest n for which the two texts share a word n-gram (0 for none)."""
+def _longest_shared(x: list[str], y: list[str]) -> tuple[int, float]:
+    """(n, percentage): the largest n under the words of the shorter list for which both share a run of n words, and the share of the
+    shorter list's runs of n words that are shared; (0, 0) for none.
+
+    Runs of 1, 2, 4, ... words get numbers, the same in both lists; a run of n words is two of them that overlap. Sharing n words
+    means sharing n - 1, so n is found by halving."""
+    if len(y) < len(x):
+        x, y = y, x
+    names: dict[str, int] = {}
+    levels = [[np.array([names.setdefault(w, len(names)) for w in t], np.int64) for t in (x, y)]]
+
+    def runs(n: int) -> list[np.ndarray]:
+        p = n.bit_length() - 1
+        if 1 << p == n:
+            while len(levels) <= p:
+                h = 1 << (len(levels) - 1)
+                levels.append(_numbered(*[(t[:-h], t[h:]) for t in levels[-1]]))
+            return levels[p]
+        k = n - (1 << p)
+        return _numbered(*[(t[: len(t) - k], t[k:]) for t in runs(1 << p)])
+
+    low, high, best = 0, len(x) - 1, np.zeros(0, np.int64)
+    while low < high:
+        mid = (low + high + 1) // 2
+        a, b = runs(mid)
+        common = np.intersect1d(a, b)
+        if len(common):
+            low, best = mid, common
+        else:
+            high = mid - 1
+    return (low, round(100 * len(best) / (len(x) - low + 1), 2)) if low else (0, 0.0)
+
+
+def _numbered(*pairs: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """Pairs of numbers as numbers, equal where the pairs are."""
+    size = 1 + max((int(b.max()) for _, b in pairs if len(b)), default=0)
+    joined = np.concatenate([a * size + b for a, b in pairs])
+    new = np.unique(joined, return_inverse=True)[1]
+    return list(np.split(new.astype(np.int64), np.cumsum([len(a) for a, _ in pairs])[:-1]))
+
+
+def largest_shared_n(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """pairs with shared_n and shared_pct: the largest n, under the words of the shorter text, for which two texts share a word n-gram, and the
+    percentage of the shorter one's n-grams that are shared (of equally long ones the second's). 0 for none; words as they are."""
 
-    def grams(c: str, n: int) -> Column:
-        w = F.filter(F.split(F.lower(c), r"\s+"), lambda x: x != "")
-        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    @F.pandas_udf("struct<shared_n:int,shared_pct:double>")
+    def shared(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_longest_shared((p or "").split(), (q or "").split()) for p, q in zip(y, x)], columns=["shared_n", "shared_pct"])
 
-    found = F.lit(0)
-    for n in range(1, most + 1):
-        found = F.when(F.arrays_overlap(grams(a, n), grams(b, n)), F.lit(n)).otherwise(found)
-    return pairs.withColumn("shared_n", found)
+    return pairs.withColumn("_s", shared(F.col(a), F.col(b))).select(*[pairs[c] for c in pairs.columns], "_s.shared_n", "_s.shared_pct")
 
 
 def box_area(p: str = "") -> Column:
@@ -178,9 +263,10 @@ def iou(a: str, b: str) -> Column:
     return F.coalesce(F.try_divide(i, box_area(a) + box_area(b) - i), F.lit(0.0))
 
 
-def box_overlaps(boxes: DataFrame, keys: tuple[str, str] = ("doc", "page"), cell: float = 200.0, slack: float = 5.0) -> DataFrame:
+def box_overlaps(boxes: DataFrame, keys: tuple[str, str] = ("doc", "page"), cell: float = 200.0, slack: float = 5.0, shares: bool = False) -> DataFrame:
     """Overlapping pairs of boxes (ix, x1, y1, x2, y2, text) on a page, and the case of each: nested, small, empty text,
-    duplicate text, shared words, none.
+    duplicate text, shared words, none. With shares, the last two are told by largest_shared_n(), whose columns follow (null for the
+    other cases).
 
     Boxes are put into the cells of a grid; only boxes that share a cell meet, once, in the first cell both have."""
     cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
@@ -194,7 +280,13 @@ def box_overlaps(boxes: DataFrame, keys: tuple[str, str] = ("doc", "page"), cell
     blank = lambda t: F.coalesce(T.strip(t), F.lit("")) == ""
     common = F.arrays_overlap(F.split(F.lower(ta), r"\s+"), F.split(F.lower(tb), r"\s+"))
     case = F.when(inside("a", "b") | inside("b", "a"), "nested").when(F.col("share") < 0.1, "small").when(blank(ta) | blank(tb), "empty text").when(F.contains(ta, tb) | F.contains(tb, ta), "duplicate text").when(common, "shared words").otherwise("none")
-    return pairs.select(*keys, F.col("a.ix").alias("a"), F.col("b.ix").alias("b"), F.round("share", 6).alias("share"), case.alias("case"))
+    rows = pairs.select(*keys, F.col("a.ix").alias("a"), F.col("b.ix").alias("b"), F.round("share", 6).alias("share"), case.alias("case"), ta.alias("_ta"), tb.alias("_tb"))
+    if not shares:
+        return rows.drop("_ta", "_tb")
+    told = F.col("case").isin("shared words", "none")
+    rest = rows.where(~told).withColumns({"shared_n": F.lit(None).cast("int"), "shared_pct": F.lit(None).cast("double")})
+    asked = largest_shared_n(rows.where(told), "_ta", "_tb").withColumn("case", F.when(F.col("shared_n") > 0, "shared words").otherwise("none"))
+    return rest.unionByName(asked).drop("_ta", "_tb")
 
 
 def table_cells(elements: DataFrame, doc: str, html: str = "text_as_html") -> DataFrame:

@@ -120,3 +120,19 @@ def detection_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     shift = ((F.col("page") * 7 + F.col("ix") * 11) % 40).cast("double")
     p = b.withColumns({"score": F.round(1 / (1 + shift), 6), "x1": F.col("x1") + shift, "x2": F.col("x2") + shift})
     return evaluate.detection(p.drop("ix"), b.drop("ix"))
+
+
+@query("""with a as (select item_id, list_filter(regexp_split_to_array(regexp_replace(text, '[^\\x21-\\x7E]+', ' ', 'g'), ' +'), lambda w: w <> '') as x from benchmark),
+b as (select item_id, x, list_transform(range(1, len(x) + 1), lambda i: case when i % (3 + item_id % 17) = 0 then 'zz' || i else x[i] end)[1 + item_id % 3:] as y from a where len(x) > 3),
+w as (select item_id, unnest(x) as w, unnest(range(len(x))) as i from b), v as (select item_id, unnest(y) as w, unnest(range(len(y))) as j from b),
+d as (select w.item_id, i, i - j as d, row_number() over (partition by w.item_id, i - j order by i) as r from w join v on w.item_id = v.item_id and w.w = v.w),
+g as (select item_id, max(n) as longest from (select item_id, d, i - r, count(*) as n from d group by 1, 2, 3) group by 1),
+s as (select b.item_id, case when len(x) < len(y) then x else y end as p, case when len(x) < len(y) then y else x end as q, least(coalesce(longest, 0), least(len(x), len(y)) - 1)::int as n from b left join g on b.item_id = g.item_id)
+select item_id, n as shared_n, case when n = 0 then 0 else round(100 * len(list_intersect(list_distinct(list_transform(range(1, len(p) - n + 2), lambda i: array_to_string(p[i:i + n - 1], ' '))), list_distinct(list_transform(range(1, len(q) - n + 2), lambda i: array_to_string(q[i:i + n - 1], ' '))))) / (len(p) - n + 1), 2) end::double as shared_pct from s""")
+def shared_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest run of words that an item shares with itself once each few words are replaced."""
+    plain = F.filter(F.split(F.regexp_replace("text", r"[^\x21-\x7E]+", " "), " +"), lambda w: w != "")
+    b = read(spark, sf_dir, "benchmark").select("item_id", plain.alias("x")).where(F.size("x") > 3)
+    odd = F.transform("x", lambda w, i: F.when((i + 1) % (3 + F.col("item_id") % 17) == 0, F.concat(F.lit("zz"), (i + 1).cast("string"))).otherwise(w))
+    pairs = b.select("item_id", F.array_join("x", " ").alias("a"), F.array_join(F.slice(odd, (F.col("item_id") % 3 + 1).cast("int"), F.size("x")), " ").alias("b"))
+    return evaluate.largest_shared_n(pairs, "a", "b").select("item_id", "shared_n", "shared_pct")
