@@ -148,7 +148,7 @@ class Automaton:
         return out
 
 
-def model_scores(docs: DataFrame, order: int = 2, mu: float = 400.0, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20, radix: int = 8) -> DataFrame:
+def model_scores(docs: DataFrame, order: int = 2, mu: float = 400.0, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 6 << 20, radix: int = 8) -> DataFrame:
     """SCORES of every whole text, trained on those whose crc32(id as text) mod 10 is not 0."""
     spark = docs.sparkSession
     rows = id_text(docs, id_col, text_col)

@@ -73,4 +73,30 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_cut_repeats, op4_decontaminate, op5_near_duplicates, op6_sanitise, op7_token_counts, op8_warc_round_trip, op9_lm_scores, op10_pack, op11_alignment, op12_language_id, op13_merkle_manifest)}
-ORACLES: dict[str, str] = {}
+# crc32, bit by bit: a character's code is mixed in, then eight steps
+_SQL_CRC = """xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, 3988292384 * (a & 1)) end), 4294967295)"""
+
+
+def _sql_leaf(text: str) -> str:
+    value = lambda c: f"coalesce(octet_length(encode({c}::varchar)) || ':' || {c}::varchar, '-')"
+    return "sha256(" + " || ".join(value(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _sql_siblings(nodes: str, tree: str) -> str:
+    run = f"(partition by {tree}lvl, idx // 3 order by idx rows between"
+    return f"select *, coalesce(string_agg(h, '') over {run} unbounded preceding and 1 preceding), '') as l, coalesce(string_agg(h, '') over {run} 1 following and unbounded following), '') as r from {nodes} where n > 1"
+
+
+ORACLES: dict[str, str] = {
+    "op13_merkle_manifest": f"""with recursive leaves as (select doc_id, coalesce('=' || source, '-') as tree, {_sql_leaf("text")} as leaf, case when {_SQL_CRC} % 2 = 0 then {_sql_leaf("replace(text, chr(10), '')")} else {_sql_leaf("text")} end as seen,
+row_number() over (partition by source order by doc_id) - 1 as idx, count(*) over (partition by source) as n from documents),
+nodes as (select tree, 0 as lvl, idx, n, leaf as h from leaves union all select tree, lvl + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' order by idx)) from nodes where n > 1 group by tree, lvl, n, idx // 3),
+subs as (select tree, h as subroot, row_number() over (order by tree) - 1 as idx, count(*) over () as n from nodes where n = 1),
+tops as (select 0 as lvl, idx, n, subroot as h from subs union all select lvl + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' order by idx)) from tops where n > 1 group by lvl, n, idx // 3),
+s as ({_sql_siblings("nodes", "tree, ")}), t as ({_sql_siblings("tops", "")}),
+up as (select doc_id, tree, idx, 0 as lvl, n, seen as h, '' as proof from leaves union all select u.doc_id, u.tree, u.idx // 3, u.lvl + 1, (u.n + 2) // 3, sha256(s.l || u.h || s.r), u.proof || s.l || s.r from up u join s on u.tree = s.tree and u.lvl = s.lvl and u.idx = s.idx where u.n > 1),
+over as (select doc_id, subs.idx, 0 as lvl, subs.n, up.h, up.proof from up join subs on up.tree = subs.tree where up.n = 1 union all select o.doc_id, o.idx // 3, o.lvl + 1, (o.n + 2) // 3, sha256(t.l || o.h || t.r), o.proof || t.l || t.r from over o join t on o.lvl = t.lvl and o.idx = t.idx where o.n > 1)
+select l.doc_id, l.leaf, subs.subroot, tops.h as root, sha256(o.proof) as proof_sha256, o.h as folded_root, o.h = tops.h as verified
+from leaves l join subs on l.tree = subs.tree join over o on o.doc_id = l.doc_id and o.n = 1 join tops on tops.n = 1""",
+}

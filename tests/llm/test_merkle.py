@@ -2,6 +2,7 @@ import hashlib
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -120,3 +121,6 @@ def test_query_and_written_sql(spark, docs):
     rows = [(r.doc_id, r.source, r.lang, r.n_chars, r.text) for r in docs.select("doc_id", "source", "lang", "n_chars", "text").collect()]
     got = sorted((tuple(r) for r in queries.op13_merkle_manifest(spark, "/root/testdata/sf0.001").collect()), key=str)
     assert got == brute(rows) and 0 < sum(r[6] for r in got) < len(got)
+    duck = duckdb.connect()
+    duck.execute("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    assert sorted(duck.execute(queries.ORACLES["op13_merkle_manifest"]).fetchall(), key=str) == got
