@@ -378,9 +378,9 @@ def consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("role_set", F.array_join("role_set", ","))
 
 
-@query("""select conv_id, string_agg(t, ' ' order by turn) as text, count(*)::int as n_chunks from (select conv_id, turn, left(text, 40) as t from conversations) group by 1""")
+@query("""select conv_id, string_agg(t, ' ' order by turn) as text, count(*)::int as n_chunks from (select conv_id, turn, text as t from conversations) group by 1""")
 def reconstruct_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("table_id"), F.col("turn").alias("chunk_index"), F.substring("text", 1, 40).alias("text"), F.lit("<tr>").alias("text_as_html"))
+    c = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("table_id"), F.col("turn").alias("chunk_index"), "text", F.lit("<tr>").alias("text_as_html"))
     return segment.reconstruct_tables(c).select(F.col("table_id").alias("conv_id"), "text", "n_chunks")
 
 

@@ -27,21 +27,21 @@ def files_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(lang.alias("lang"), "category").agg(F.sum("length").alias("n_bytes"), F.sum(F.length("text")).cast("long").alias("n_chars"))
 
 
-@query("select doc_id, lang, source, n_chars, left(replace(text, chr(10), ' '), 60) as head from documents")
+@query("select doc_id, lang, source, n_chars, replace(text, chr(10), ' ') as line from documents")
 def delimited_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "delimited")
-    d = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 60).alias("head"))
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", F.replace("text", F.lit("\n"), F.lit(" ")).alias("line"))
     d.write.option("sep", ";").option("header", True).option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     rows = files.read_delimited(spark, path)
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", F.col("n_chars").cast("long").alias("n_chars"), "head")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", F.col("n_chars").cast("long").alias("n_chars"), "line")
 
 
-@query("select 'd' || doc_id as id, 'general' as type, left(text, 40) as title, source as source_file from documents")
+@query("select 'd' || doc_id as id, 'general' as type, lang as title, text as content, source as source_file from documents")
 def kb_json_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "kb")
-    d = read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.lit("general").alias("type"), F.substring("text", 1, 40).alias("title"), F.col("source").alias("source_file"))
+    d = read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.lit("general").alias("type"), F.col("lang").alias("title"), F.col("text").alias("content"), F.col("source").alias("source_file"))
     files.write_kb_json(d, path, most=100)
-    return files.read_kb_json(spark, path, multiline=False).select("id", "type", "title", "source_file")
+    return files.read_kb_json(spark, path, multiline=False).select("id", "type", "title", "content", "source_file")
 
 
 @query("select case when doc_id % 10 = 0 then null else doc_id end as doc_id, case when doc_id % 10 = 0 then null else lang end as lang, doc_id % 10 = 0 as malformed from documents")
@@ -76,10 +76,10 @@ def points_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", p[0]["x"].alias("x"))
 
 
-@query(f"select doc_id, seq::int as seq, t as text from (select doc_id, unnest([source, {_sql_strip('left(text, 30)')}, lang]) as t, unnest([0, 1, 2]) as seq from (select doc_id, lang, source, regexp_replace(text, '[<>&]', ' ', 'g') as text from documents)) where t <> ''")
+@query(f"select doc_id, seq::int as seq, t as text from (select doc_id, unnest([source, {_sql_strip('text')}, lang]) as t, unnest([0, 1, 2]) as seq from (select doc_id, lang, source, regexp_replace(text, '[<>&]', ' ', 'g') as text from documents)) where t <> ''")
 def xml_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     safe = F.regexp_replace("text", "[<>&]", " ")
-    x = F.concat(F.lit("<?xml version='1.0'?>\n<doc><a> "), "source", F.lit("</a><!-- no <b>text</b> -->\n<b><c>"), F.substring(safe, 1, 30), F.lit("</c>"), "lang", F.lit("</b></doc>"))
+    x = F.concat(F.lit("<?xml version='1.0'?>\n<doc><a> "), "source", F.lit("</a><!-- no <b>text</b> -->\n<b><c>"), safe, F.lit("</c>"), "lang", F.lit("</b></doc>"))
     return files.xml_leaves(read(spark, sf_dir, "documents").select("doc_id", x.alias("text")), "doc_id")
 
 
@@ -135,10 +135,10 @@ def export_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.merge([files.export_records(e, k, meta=["role"]).select(F.lit(k).alias("shape"), "element_id", "record") for k in _SQL_SHAPES])
 
 
-@query("""select doc_id as element_id, '{"text":' || to_json(left(text, 30)) || ',"meta":{"id":' || doc_id || case when l.quality is null then '' else ',"quality":' || l.quality end || '}}' as record from documents d left join labels l using (doc_id)""")
+@query("""select doc_id as element_id, '{"text":' || to_json(text) || ',"meta":{"id":' || doc_id || case when l.quality is null then '' else ',"quality":' || l.quality end || '}}' as record from documents d left join labels l using (doc_id)""")
 def export_with_side_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels joined to the elements they belong to."""
-    e = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("element_id"), F.substring("text", 1, 30).alias("text"))
+    e = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("element_id"), "text")
     return files.export_records(e, "prodigy", side=read(spark, sf_dir, "labels").select(F.col("doc_id").alias("element_id"), "quality"))
 
 
