@@ -12,7 +12,8 @@ In a node only pairs that can still join two components matter. Members of a lar
 members would stay in large nodes); it is compared exhaustively instead, as are nodes that are still large after `depth` levels.
 Dense nodes that share documents (the trees find the same group again and again) are one group, and a group is cut into blocks of
 4 * `limit`: every block of members outside the group's largest component meets every block, so no pair of different components is
-left out. The rows of a level that do branch lessen by a factor of DENSE at least.
+left out. Where more than ODD_BLOCKS blocks are outside, the group's members are joined by their rarest shingles instead (an exact prefix filter), which
+grows with the pairs near the threshold and not with the group's square. The rows of a level that do branch lessen by a factor of DENSE at least.
 
 Nodes and cells propose a spanning forest of their likeliest pairs; among what is then still apart every likely pair is tested on
 the full sets: as a row where a node has few of them, inside its node where they are many. So a group of thousands of near copies
@@ -31,16 +32,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, keyed, rows_without, sized, splitmix, to_arrow, written
+from .common import id_text, keyed, rows_without, sized, sized_join, splitmix, to_arrow, written
 from .components import components
 
 WIDTH = 5
 PLACES = 128
 #: Share of a node's members that may stay in large nodes when it branches.
 DENSE = 0.8
+#: Blocks of odd members of a dense group that are compared exhaustively; wider groups are joined by rare shingles.
+ODD_BLOCKS = 4
+#: Members of a wide group from which on a shingle is counted.
+MANY = 8
 _FEATURES = "id long, n_shingles long, set_key binary, low binary, high binary, roots array<long>"
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _MUL = splitmix(np.arange(1, PLACES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -318,24 +323,62 @@ def _apart(m: DataFrame, labels: DataFrame | None) -> DataFrame:
     return m.join(mixed, "node", "left_semi")
 
 
-def _cells(dense: DataFrame, labels: DataFrame | None, block: int) -> DataFrame:
-    """(node, a): cells of the groups that dense members (node, a) form, such that every two members of different components share one.
+def _cells(dense: DataFrame, labels: DataFrame | None, block: int) -> tuple[DataFrame, DataFrame]:
+    """((node, a), (g, a, comp)) of the groups that dense members (node, a) form: cells such that every two members of different components
+    share one, and the members of groups that have too many odd members for it.
 
-    The members of a group's largest component (core) and the others (odd) are dealt over blocks; each odd block meets every block."""
+    The members of a group's largest component (core) and the others (odd) are dealt over blocks; each odd block meets every block. That
+    is only done for up to ODD_BLOCKS odd blocks: members of wider groups are joined by rare shingles (_by_prefix)."""
     first = dense.groupBy("node").agg(F.min("a").alias("first"))
     group = components(dense.join(first, "node").select(F.col("a").alias("u"), F.col("first").alias("v")))
     rows = written(_labelled(group.select(F.col("component").alias("g"), F.col("node").alias("a")), labels), "near-groups")
     by = rows.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("n"))
     by = by.groupBy("g").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"))
     plan = by.where("n > top.n").select("g", F.col("top.comp").alias("core"), F.ceil(F.col("top.n") / block).alias("cores"), F.ceil((F.col("n") - F.col("top.n")) / block).alias("odds"))
-    rows = rows.join(plan, "g")
+    wide = rows.join(plan.where(F.col("odds") > ODD_BLOCKS).select("g"), "g", "left_semi")
+    rows = rows.join(plan.where(F.col("odds") <= ODD_BLOCKS), "g")
     deal = lambda n: F.pmod(F.xxhash64("a"), n)
     each = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
     cell = lambda kind, i, j: F.xxhash64("g", F.lit(kind), i.cast("long"), j.cast("long"))
     i = deal(F.col("odds"))
     odd = F.concat(each(F.col("odds"), lambda j: cell("odd", F.least(i, j), F.greatest(i, j))), each(F.col("cores"), lambda j: cell("core", i, j)))
     core = each(F.col("odds"), lambda k: cell("core", k, deal(F.col("cores"))))
-    return rows.select(F.explode(F.when(F.col("comp") == F.col("core"), core).otherwise(odd)).alias("node"), "a")
+    return rows.select(F.explode(F.when(F.col("comp") == F.col("core"), core).otherwise(odd)).alias("node"), "a"), wide.select("g", "a", "comp")
+
+
+def _by_prefix(wide: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """Pairs (a, b) of members (g, a, comp) of a group, of different components, that may have the similarity: all that have it, and few
+    others.
+
+    Shingles are ordered by the members that have them, rarest first. Of two similar sets the one that isn't larger has a shingle of the
+    other's first (1 - share) part among its own first (1 - 2 share / (1 + share)) part; the pair is kept if the places of the shingle that
+    brought it here still allow enough of them in common. What all members share comes last in the order, so it brings no pair together
+    unless their rest is too short to tell them apart."""
+    schema = "g long, a long, comp long, own long, n int, h long"
+    shape = to_arrow(schema, wide.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                own = [np.frombuffer(x.as_buffer(), "<i8") for x in part.column("s")]
+                sizes = [len(x) for x in own]
+                cols = [np.repeat(part.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("g", "a", "comp")]
+                cols.append(np.repeat(np.array([xxhash.xxh3_64_intdigest(x) for x in own], np.uint64).view(np.int64), sizes))  # an id may have several sets
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.repeat(sizes, sizes).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *own]))], schema=shape)
+
+    rows = written(wide.join(sets.withColumnRenamed("id", "a"), "a").select("g", "a", "comp", "s").mapInArrow(run, schema), "near-shingles")
+    # only what many have needs a count: all else comes first, in any order
+    many = written(rows.groupBy("g", "h").agg(F.count(F.lit(1)).alias("f")).where(f"f >= {MANY}"), "near-frequent")
+    ranked = sized_join(rows, many, ["g", "h"], max_rows=1_000_000).withColumn("r", F.row_number().over(Window.partitionBy("g", "a", "own").orderBy(F.coalesce("f", F.lit(0)), "h")))
+    ahead = lambda c: F.col("n") - F.ceil(F.lit(c) * F.col("n") - 1e-9) + 1
+    ranked = written(ranked.where(F.col("r") <= ahead(share)).select("g", "a", "comp", "n", "h", "r", (F.col("r") <= ahead(2 * share / (1 + share))).alias("few")), "near-prefixes")
+    one = ranked.select("g", "h", *[F.col(c).alias(f"{c}1") for c in ("a", "comp", "n", "r")])
+    two = ranked.where("few").select("g", "h", *[F.col(c).alias(f"{c}2") for c in ("a", "comp", "n", "r")])
+    after = (F.col("n1") > F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("a1") != F.col("a2")))
+    common = F.least("r1", "r2") + F.least(F.col("n1") - F.col("r1"), F.col("n2") - F.col("r2"))
+    fits = (F.col("n2") >= share * F.col("n1") - 1e-9) & (common >= share / (1 + share) * (F.col("n1") + F.col("n2")) - 1e-9)
+    return one.join(two, ["g", "h"]).where((F.col("comp1") != F.col("comp2")) & after & fits).select(F.least("a1", "a2").alias("a"), F.greatest("a1", "a2").alias("b")).distinct()
 
 
 def groups(docs: DataFrame, share: float = 0.75, trees: int = 12, limit: int = 256, depth: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -385,7 +428,13 @@ def groups(docs: DataFrame, share: float = 0.75, trees: int = 12, limit: int = 2
             own = own.unionByName(x)
         own = written(own, "near-dense")
         if own.limit(1).count():
-            leaves.append(_cells(own, labels, 4 * limit))
+            cells, wide = _cells(own, labels, 4 * limit)
+            leaves.append(cells)
+            wide = written(wide, "near-wide")
+            if wide.limit(1).count():
+                sets = _sets(wide.select(F.col("a").alias("id")).distinct(), docs, id_col, text_col)
+                pairs = written(_by_prefix(wide, sets, share), "near-prefix-pairs")
+                all_links = all_links.unionByName(_as_links(written(_confirm(pairs, sets, share), "near-links")))
     members = leaves[0]
     for x in leaves[1:]:
         members = members.unionByName(x)

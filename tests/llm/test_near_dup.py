@@ -116,6 +116,47 @@ def test_a_small_limit_loses_no_pair_of_a_node(spark):
     assert result(df, limit=16, depth=3) == brute(rows)
 
 
+def _under_boilerplate(n, seed=4, pairs=0):
+    """n texts that share 60 of 85 words, which joins none of them; the first `pairs` have a near copy."""
+    rng = random.Random(seed)
+    some = lambda k: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(k)]
+    common = some(60)
+    texts = [common + some(25) for _ in range(n)]
+    texts += [t[:-1] + ["changed"] for t in texts[:pairs]]
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_wide_groups_are_joined_by_rare_shingles(spark, monkeypatch):
+    """The same components whether a dense group's odd members are compared in cells or by prefixes."""
+    monkeypatch.setattr(near_dup, "ODD_BLOCKS", 0)
+    rows = _under_boilerplate(150, pairs=20)
+    rows += [(1000, rows[3][1]), (1000, rows[70][1]), (1001, rows[5][1] + " and a little more")]  # an id with two texts
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(df, limit=8) == brute(rows)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    rows, base = [], [word() for _ in range(200)]
+    for i in range(90):  # from near copies to texts just beyond the threshold, of different lengths
+        w = base[: rng.randint(120, 200)]
+        for _ in range(rng.randint(0, 12)):
+            w[rng.randrange(len(w))] = word()
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(df, limit=6, depth=2) == brute(rows)
+
+
+def test_prefix_pairs_are_all_and_few(spark):
+    """Every similar pair is proposed, and texts under one boilerplate propose none however many they are."""
+    from pyspark.sql import functions as F
+
+    for n in (200, 800):
+        rows = _under_boilerplate(n, pairs=10)
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        wide = df.select(F.lit(0).cast("long").alias("g"), F.col("doc_id").alias("a"), F.col("doc_id").alias("comp"))
+        got = {tuple(r) for r in near_dup._by_prefix(wide, near_dup._sets(df.select(F.col("doc_id").alias("id")), df, "doc_id", "text"), 0.75).collect()}
+        assert {(i, n + i) for i in range(10)} <= got and len(got) <= 20
+
+
 def test_one_row_of_each_group_stays(spark):
     t = ["one two three four five six seven", "one two three four five six seven", "red blue green grey pink teal gold"]
     rows = [(None, t[0], 1), (4, t[0], 2), (2, t[1], 3), (None, t[2], 4), (None, t[2], 5), (7, "other words stand in this text", 6), (7, "other words stand in this text", 7), (7, "and more words of another text", 8), (9, None, 9), (None, None, 10)]
