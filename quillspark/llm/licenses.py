@@ -126,7 +126,7 @@ RULES = [
 # Sentences that begin a licence's own text; "all rights reserved" right before one is part of its copyright line.
 OWN_TEXT = ["ApacheGrant", "MITTitle", "MITPermission", "BSD3Title", "BSD2Title", "BSDRedistribution", "ISCTitle", "ISCPermission", "FreePermission", "ZlibAsIs", "ZlibPermission", "GPLFree", "LGPLGrant", "AGPLGrant", "EPL1Grant", "EPL2Grant", "MPL2Grant", "BoostGrant"]
 #: Without one of these no sentence above can match; a cheap test that spares most texts the cutting.
-_HINT = r"(?i)licen[sc]|permi(ssion|tted)|copyright|rights reserved|public domain|cc0|warrant|free software|later version|endorse|as is".replace(" ", r"[^\p{L}\p{N}]+(?:(?:dnl|rem)[ \t]+)?")
+_HINT = r"(?i)licen[sc]|permi(ssion|tted)|copyright|rights reserved|public domain|cc0|warrant|free software|later version|endorse".replace(" ", r"[^\p{L}\p{N}]+(?:(?:dnl|rem)[ \t]+)?")
 #: Where a wrapped sentence may begin: the first words above, or what follows a leading ".*".
 _START = r"^(?:gnu|mozilla|apache|version|this|boost|licensed|you|unless|released|distributed|permission|the|redistribution|neither|either|dedicated|copyright|all)\b|\b(?:under|cc0)\b"
 LINES = 8
