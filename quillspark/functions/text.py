@@ -331,3 +331,36 @@ def promoted_heading(c: Column) -> Column:
     upper = F.when((F.length(upper) >= 5) & F.contains(upper, F.lit(" ")), upper)
     line = some(strip(F.regexp_extract(p, r"^\s*([^\n]{10,120})", 1)))
     return F.when(F.length(c) < 10, F.lit("")).otherwise(F.substring(F.coalesce(numbered, bold, item, upper, line, F.lit("")), 1, 100))
+
+
+# Words of prose, signs of relations, and signs with their names in formulas.
+FORMULA_PROSE = r"(?i)\b(was|were|using|calculated|where|respectively|determined|following)\b"
+FORMULA_SIGNS = "[∈∉≤≥≠≈×÷∞∑∫√∂∇]"
+FORMULA_NAMES = [("−", "-"), ("×", r"\times{}"), ("÷", r"\div{}"), ("∞", r"\infty{}"), ("∈", r"\in{}"), ("∉", r"\notin{}"), ("≤", r"\leq{}"), ("≥", r"\geq{}"), ("≈", r"\approx{}"), ("≠", r"\neq{}")]
+# What speaks for a formula: a pattern, points a match, and the most points it gives.
+FORMULA_POINTS = [
+    (r"\\[a-zA-Z]+", 3, 3), (r"\^", 1, 1), (r"_(?:\{|[0-9A-Za-z])", 1, 1), (FORMULA_SIGNS, 2, 6), ("[¼½¾]", 1, 1),
+    (r"(?<=[A-Za-z0-9)\]])\s*=\s*(?=[A-Za-z0-9(\\])", 1, 2), (r"(?<=[A-Za-z])\([^)]*\)\s*=\s*", 2, 2),
+]
+
+
+def formula_score(c: Column) -> Column:
+    """How much a text looks like notation: points of FORMULA_POINTS."""
+    score = F.lit(0)
+    for pattern, each, most in FORMULA_POINTS:
+        score = score + F.least(F.lit(most), each * F.size(F.regexp_extract_all(c, F.lit(pattern), F.lit(0))))
+    return score
+
+
+def formula_markdown(c: Column, style: str = "auto", names: bool = True) -> Column:
+    """A formula in markdown: between $$ lines if its score says so (auto), always (display) or never (plain). Texts with a $ stay as they
+    are; signs get their names only between $$."""
+    if style not in ("auto", "display", "plain"):
+        raise ValueError(style)
+    raw = strip(c)
+    body = raw
+    for sign, name in FORMULA_NAMES if names else []:
+        body = F.replace(body, F.lit(sign), F.lit(name))
+    prose = (F.length(raw) >= 80) & raw.rlike(FORMULA_PROSE)
+    wanted = {"plain": F.lit(False), "display": F.lit(True), "auto": formula_score(raw) >= F.when(prose, 3).otherwise(2)}[style]
+    return F.when((raw == "") | F.contains(raw, F.lit("$")) | ~wanted, raw).otherwise(F.concat(F.lit("$$\n"), body, F.lit("\n$$")))

@@ -180,7 +180,7 @@ def ngrams(df: DataFrame, id_col: str, n: int, text: str = "text") -> DataFrame:
     """(id, h, h2): word n-grams of each text as two 64-bit hashes of their words' hashes: 128 bits tell them apart."""
     words = F.transform(F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
     w = F.col("_w")  # a column of its own: inside the lambda the split would run again for each gram
-    part = lambda i, k: F.xxhash64(F.transform(F.slice(w, i, n), lambda x: x[k]))
+    part = lambda i, k: F.xxhash64(*[F.get(w, i - 1 + j)[k] for j in range(n)])  # noqa: E731  word by word: a slice would unpack the whole text for each gram
     grams = F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.struct(part(i, "a").alias("h"), part(i, "b").alias("h2"))))
     return df.select(id_col, words.alias("_w")).select(id_col, F.explode(grams).alias("g")).select(id_col, "g.h", "g.h2")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,10 +41,12 @@ def detect(df: DataFrame, learnt: DataFrame, id_col: str, text: str = "text", n:
     return df.select(id_col).join(rows.select(id_col, best.alias("detected")), id_col, "left")
 
 
-def short_ascii(text: Column, detected: Column) -> Column:
-    """`en` for texts that are ASCII and have under five words, null for blank ones, else what was detected."""
+def short_ascii(text: Column, detected: Column, fallback: Callable[[Column], Column] = lambda t: F.lit("en"), words: int = 5) -> Column:
+    """`fallback` of texts that are ASCII and have under `words` words, and of those without a detected language; null for blank ones,
+    else what was detected. The fallback is any column function of the text, a user's own too; what it leaves null stays as detected."""
     blank = F.trim(text) == ""
-    return F.when(blank | text.isNull(), F.lit(None)).when(~text.rlike(r"[^\x00-\x7F]") & (F.size(F.split(F.trim(text), r"\s+")) < 5), F.lit("en")).otherwise(detected)
+    short = ~text.rlike(r"[^\x00-\x7F]") & (F.size(F.split(F.trim(text), r"\s+")) < words)
+    return F.when(blank | text.isNull(), F.lit(None)).when(short | detected.isNull(), F.coalesce(fallback(text), detected)).otherwise(detected)
 
 
 def of_elements(found: DataFrame, doc: str, seq: str, lang: str = "detected") -> DataFrame:

@@ -175,16 +175,49 @@ def cut_piece(t: str, size: int, separators: tuple[str, ...], overlap: int) -> l
     return out
 
 
-def cut_text(c: Column, size: int, separators: tuple[str, ...] = ("\n", " "), overlap: int = 0) -> Column:
-    """Array of pieces (see cut_piece), Arrow batch by Arrow batch: each cut depends on the one before."""
+def cut_measured(t: str, most: int, measure: Callable[[str], int], separators: tuple[str, ...] = ("\n", " "), overlap: int = 0) -> list[str]:
+    """One text in pieces that a counter gives at most `most` each: cut at the right-most place of the first separator that leaves
+    something, else where the counter is reached. Each piece starts with about the last `overlap` units of the one before, from a word's
+    start, and a space. The counter must not fall as a text grows: places are found by halving."""
+    out, t = [], t.strip()
+    while t:
+        if measure(t) <= most:
+            out.append(t)
+            break
+        low, high = 1, len(t)
+        while low < high:  # the longest start that fits, a character at least
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if measure(t[:mid]) <= most else (low, mid - 1)
+        at = next((p for s in separators if (p := t.rfind(s, 0, low + len(s))) > 0 and measure(t[:p].strip()) > 0), low)
+        piece, rest = t[:at].strip(), t[at:].strip()
+        out.append(piece)
+        if overlap and rest:
+            low, high = 0, len(piece)
+            while low < high:  # the longest end within the overlap
+                mid = (low + high) // 2
+                low, high = (low, mid) if measure(piece[mid:]) <= overlap else (mid + 1, high)
+            if low and not piece[low - 1].isspace():
+                low = next((k for k in range(low, len(piece)) if piece[k].isspace()), len(piece))
+            tail = piece[low:].strip()
+            if tail and len(tail) + 1 + len(rest) < len(t):
+                rest = f"{tail} {rest}"
+        t = rest
+    return out
+
+
+def cut_text(c: Column, size: int, separators: tuple[str, ...] = ("\n", " "), overlap: int = 0, measure: Callable[[str], int] | None = None, cut: Callable[[str, int], list[str]] | None = None) -> Column:
+    """Array of pieces (see cut_piece, and cut_measured for a user's own counter), Arrow batch by Arrow batch: each cut depends on the one
+    before. cut: a user's own function of a text and the size, instead."""
     if overlap + 1 >= size:
         raise ValueError("the overlap leaves no room")
+    if cut is None:
+        cut = (lambda t, n: cut_piece(t, n, separators, overlap)) if measure is None else (lambda t, n: cut_measured(t, n, measure, separators, overlap))
 
     @F.pandas_udf("array<string>")
-    def cut(t: pd.Series) -> pd.Series:
-        return pd.Series([cut_piece(x, size, separators, overlap) if x else [] for x in t])
+    def pieces(t: pd.Series) -> pd.Series:
+        return pd.Series([list(cut(x, size)) if x else [] for x in t])
 
-    return cut(c)
+    return pieces(c)
 
 
 def chunk_recursive(df: DataFrame, id_col: str, text: str = "text", size: int = 500, overlap: int = 50) -> DataFrame:
@@ -192,11 +225,12 @@ def chunk_recursive(df: DataFrame, id_col: str, text: str = "text", size: int =
     return df.select(id_col, F.posexplode(cut_text(F.col(text), size, ("\n\n", "\n", " "), overlap)).alias("chunk_seq", "chunk"))
 
 
-def chunk_basic(elements: DataFrame, doc: str, seq: str, text: str = "text", kind: str = "type", most: int = 500, new_after: int | None = None, within: tuple[str, ...] = (), size: Callable[[Column], Column] = F.length) -> DataFrame:
+def chunk_basic(elements: DataFrame, doc: str, seq: str, text: str = "text", kind: str = "type", most: int = 500, new_after: int | None = None, within: tuple[str, ...] = (), size: Callable[[Column], Column] = F.length, measure: Callable[[str], int] | None = None, cut: Callable[[str, int], list[str]] | None = None) -> DataFrame:
     """(doc, chunk_seq, text, n_elements, first_seq, last_seq): elements in order, greedily joined by a blank line up to `most`
     (a chunk of `new_after` is closed); a table stands alone; an element over `most` is cut at separators. White space of
     elements is made single spaces, except in code. size counts characters, or tokens (see token_size); what it gives for joined elements
-    must be the sum of theirs and of the blank line's."""
+    must be the sum of theirs and of the blank line's. measure: the same counter for a Python text, with which an element over `most` is
+    cut if size doesn't count characters (without it such elements stay whole); cut: a user's own cutting function instead."""
     soft = most if new_after is None else min(most, new_after)
     keys = [doc, *within]
     clean = F.when(F.col(kind) == "CodeSnippet", F.col(text)).otherwise(T.strip(F.regexp_replace(text, r"\s+", " ")))
@@ -206,12 +240,12 @@ def chunk_basic(elements: DataFrame, doc: str, seq: str, text: str = "text", kin
     items = F.transform("x", lambda x: F.struct(size(x["t"]).cast("long").alias("n"), ((x["k"] == "Table") | (size(x["t"]) > most)).alias("alone")))
     joins = lambda now, x: ~now["alone"] & ~x["alone"] & (now["n"] < soft) & (now["n"] + glue + x["n"] <= most)
     more = lambda now, x: F.struct((now["n"] + glue + x["n"]).alias("n"), F.lit(False).alias("alone"))
-    cut = grouped.withColumn("starts", _starts(items, joins, lambda x: F.struct(x["n"], x["alone"]), more))
+    started = grouped.withColumn("starts", _starts(items, joins, lambda x: F.struct(x["n"], x["alone"]), more))
     chunk = lambda b: F.struct(F.array_join(F.transform(b, lambda x: x["t"]), "\n\n").alias("t"), F.size(b).alias("n"), F.get(b, F.lit(0))["s"].cast("long").alias("a"), F.element_at(b, -1)["s"].cast("long").alias("b"))
-    rows = cut.select(*keys, F.posexplode_outer(F.transform(_blocks("x", "starts"), chunk)).alias("g", "c")).where("g is not null")
-    over = (size(F.col("c.t")) > most) & F.lit(size is F.length)  # only these go through the cutting function
+    rows = started.select(*keys, F.posexplode_outer(F.transform(_blocks("x", "starts"), chunk)).alias("g", "c")).where("g is not null")
+    over = (size(F.col("c.t")) > most) & F.lit(size is F.length or measure is not None or cut is not None)  # only these go through the cutting function
     whole = rows.where(~over).select(*keys, "g", "c", F.lit(0).alias("piece"), F.col("c.t").alias("text"))
-    rows = whole.unionByName(rows.where(over).select(*keys, "g", "c", F.posexplode(cut_text(F.col("c.t"), most)).alias("piece", "text")))
+    rows = whole.unionByName(rows.where(over).select(*keys, "g", "c", F.posexplode(cut_text(F.col("c.t"), most, measure=measure, cut=cut)).alias("piece", "text")))
     order = F.row_number().over(Window.partitionBy(doc).orderBy(*within, "g", "piece")) - 1
     return rows.select(doc, order.alias("chunk_seq"), "text", F.col("c.n").alias("n_elements"), F.col("c.a").alias("first_seq"), F.col("c.b").alias("last_seq"), (F.col("piece") > 0).alias("is_continuation"))
 
@@ -229,7 +263,7 @@ def cut_tokens(df: DataFrame, id_col: str, text: str = "text", most: int = 512)
     """(id, piece, text): texts cut into runs of at most `most` words (as token_size() counts), joined by single spaces."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     rows = df.select(id_col, words.alias("_w"))
-    runs = F.when(F.size("_w") > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size("_w") - 1) / most).cast("int")), lambda k: F.array_join(F.slice("_w", k * most + 1, most), " "))).otherwise(F.array().cast("array<string>"))
+    runs = F.when(F.size("_w") > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size("_w") - 1) / most).cast("int")), lambda k: F.array_join(F.transform(F.sequence(k * most, F.least(k * most + most, F.size("_w")) - 1), lambda i: F.get("_w", i)), " "))).otherwise(F.array().cast("array<string>"))
     return rows.select(id_col, F.posexplode(runs).alias("piece", "text"))
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import corpus_run, evaluate, table_eval
+from ..operators import corpus_run, evaluate, segment, table_eval
+from ..sources import files
 from .catalog import _BOXES, _boxes, _sql_strip, query, read
 
 #: Scores of a table of two by two cells by its fault: none; columns swapped; one cell cut below the cutoff and one above; not found; made up.
@@ -136,3 +137,52 @@ def shared_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = F.transform("x", lambda w, i: F.when((i + 1) % (3 + F.col("item_id") % 17) == 0, F.concat(F.lit("zz"), (i + 1).cast("string"))).otherwise(w))
     pairs = b.select("item_id", F.array_join("x", " ").alias("a"), F.array_join(F.slice(odd, (F.col("item_id") % 3 + 1).cast("int"), F.size("x")), " ").alias("b"))
     return evaluate.largest_shared_n(pairs, "a", "b").select("item_id", "shared_n", "shared_pct")
+
+
+@query("""with w as (select doc_id, list_filter(regexp_split_to_array(regexp_replace(text, '[^\\x21-\\x7E]+', ' ', 'g'), ' +'), lambda x: x <> '') as w from documents),
+k as (select doc_id, w, unnest(range(greatest(0, (len(w) + 39) // 40))) as k from w)
+select doc_id, k::int as piece, array_to_string(w[k * 40 + 1:k * 40 + 40], ' ') as text from k""")
+def measured_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts cut by a counter of one's own (here: words), at blanks."""
+    t = T.strip(F.regexp_replace("text", r"[^\x21-\x7E]+", " "))
+    pieces = segment.cut_text(t, 40, (" ",), measure=lambda x: len(x.split()))
+    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(pieces).alias("piece", "text"))
+
+
+@query("""with t as (select conv_id, turn, case turn % 6 when 0 then 'x^2 + y_1 = ' || turn when 1 then 'plain ' || turn when 2 then 'a ≤ b × ' || turn when 3 then 'costs $' || turn when 4 then 'f(x) = ' || turn else 'the mean was calculated using the following words, which are long enough to be prose, x_1^' || turn end as f from conversations)
+select conv_id, turn, case turn % 6 when 0 then '$$' || chr(10) || f || chr(10) || '$$' when 2 then '$$' || chr(10) || replace(replace(f, '≤', '\\leq{}'), '×', '\\times{}') || chr(10) || '$$' when 4 then '$$' || chr(10) || f || chr(10) || '$$' else f end as text from t""")
+def formulas_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas in markdown where their signs speak for it."""
+    k = F.col("turn").cast("string")
+    kinds = ["x^2 + y_1 = ", "plain ", "a ≤ b × ", "costs $", "f(x) = ", "the mean was calculated using the following words, which are long enough to be prose, x_1^"]
+    text = F.concat(F.element_at(F.array(*map(F.lit, kinds)), (F.col("turn") % 6 + 1).cast("int")), k)
+    e = read(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("d"), F.lit(0).alias("seq"), F.lit("Formula").alias("type"), text.alias("text"))
+    return files.documents_text(e, "d", "seq", markdown=True, formulas="auto").select("d.conv_id", "d.turn", "text")
+
+
+@query("""with e as (select conv_id, turn, turn // 2 as page, role = 'user' as title, md5(conv_id || '-' || turn) as t from conversations),
+b as (select *, title or page <> coalesce(lag(page) over (partition by conv_id order by turn), page) as starts from e),
+s as (select *, sum(starts::int) over (partition by conv_id order by turn rows unbounded preceding) as section from b),
+c as (select conv_id, section, min(turn) as turn, string_agg(t, chr(10) || chr(10) order by turn) as t from s group by 1, 2)
+select conv_id, count(*) as n_sections, sum(length(t)) as n_chars from c group by 1""")
+def titled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections begin at titles and at changes of page: how many there are, and their characters."""
+    c = read(spark, sf_dir, "conversations")
+    e = c.select("conv_id", "turn", F.floor(F.col("turn") / 2).alias("page"), F.when(F.col("role") == "user", "Title").otherwise("Text").alias("type"), F.md5(F.concat_ws("-", "conv_id", "turn")).alias("text"))
+    parts = segment.chunk_by_title(e, "conv_id", "turn", page="page", most=10_000, combine_under=0, multipage=False)
+    return parts.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_sections"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query("""with e as (select conv_id, turn, role = 'user' as title, md5(conv_id || '-' || turn) as t from conversations),
+s as (select *, sum(title::int) over (partition by conv_id order by turn rows unbounded preceding) as section from e),
+c as (select conv_id, section, string_agg(t, chr(10) || chr(10) order by turn) as t from s group by 1, 2),
+r as (select conv_id, t, row_number() over (partition by conv_id order by section) as k, count(*) over (partition by conv_id) as n from c),
+f as (with recursive w as (select conv_id, k, n, t as text, 0 as chunk_seq, false as done from r where k = 1
+union all select w.conv_id, r.k, r.n, case when length(w.text) < 100 and length(w.text) + length(r.t) + 2 <= 150 then w.text || chr(10) || chr(10) || r.t else r.t end, case when length(w.text) < 100 and length(w.text) + length(r.t) + 2 <= 150 then w.chunk_seq else w.chunk_seq + 1 end, false from w join r on w.conv_id = r.conv_id and r.k = w.k + 1) select * from w)
+select conv_id, chunk_seq::int as chunk_seq, arg_max(text, k) as text from f group by 1, 2""")
+def titles_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections under 100 characters joined while they stay within 150."""
+    c = read(spark, sf_dir, "conversations")
+    e = c.select("conv_id", "turn", F.when(F.col("role") == "user", "Title").otherwise("Text").alias("type"), F.md5(F.concat_ws("-", "conv_id", "turn")).alias("text"))
+    joined = segment.chunk_by_title(e, "conv_id", "turn", most=150, combine_under=100)
+    return joined.select("conv_id", "chunk_seq", "text")

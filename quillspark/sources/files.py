@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -241,9 +242,20 @@ def write_flat_csv(df: DataFrame, path: str, columns: list[str] | None = None) -
     (rows.select(*columns) if columns else rows).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_metric_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Tab-separated, ordered by connector and filename."""
+def write_metric_report(df: DataFrame, path: str, mode: str = "overwrite") -> str:
+    """Tab-separated, ordered by connector and filename, as one file (a row a document). Gives the path written: with mode "unique" the first of path, path_1,
+    path_2 ... that isn't there yet."""
+    if mode == "unique":
+        there = _exists(df.sparkSession)
+        path, mode = next(p for p in (path if k == 0 else f"{path}_{k}" for k in itertools.count()) if not there(p)), "error"
     df.orderBy("connector", "filename").coalesce(1).write.mode(mode).option("sep", "\t").option("header", True).csv(path)
+    return path
+
+
+def _exists(spark: SparkSession) -> Callable[[str], bool]:
+    """Whether a path is there, asked of the file system that it names."""
+    of, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    return lambda p: of(p).getFileSystem(conf).exists(of(p))
 
 
 def store_write(df: DataFrame, path: str, mode: str = "overwrite", by: str | None = "company", batch: int = 500_000) -> None:
@@ -291,12 +303,13 @@ def to_coco(elements: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return images, kinds, rows.select("image_id", "category_id", box.alias("bbox"), ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("area"))
 
 
-def documents_text(elements: DataFrame, doc: str, seq: str, markdown: bool = False) -> DataFrame:
-    """(doc, text): elements that aren't empty in order, as lines or as markdown."""
+def documents_text(elements: DataFrame, doc: str, seq: str, markdown: bool = False, formulas: str | None = None) -> DataFrame:
+    """(doc, text): elements that aren't empty in order, as lines or as markdown. formulas: the style of functions.text.formula_markdown()
+    for formulas in markdown; without one they stand between $$ in their line."""
     t = F.col("text")
     if markdown:
         html = F.col("text_as_html") if "text_as_html" in elements.columns else F.lit(None).cast("string")
         url = F.col("image_url") if "image_url" in elements.columns else F.lit(None).cast("string")
-        t = F.when(F.col("type") == "Title", F.concat(F.lit("# "), t)).when(F.col("type") == "Table", F.coalesce(html, t)).when(F.col("type") == "Image", F.concat(F.lit("!["), t, F.lit("]("), F.coalesce(url, F.lit("")), F.lit(")"))).when(F.col("type") == "Formula", F.concat(F.lit("$$"), t, F.lit("$$"))).when(F.col("type") == "ListItem", F.concat(F.lit("- "), t)).otherwise(t)
+        t = F.when(F.col("type") == "Title", F.concat(F.lit("# "), t)).when(F.col("type") == "Table", F.coalesce(html, t)).when(F.col("type") == "Image", F.concat(F.lit("!["), t, F.lit("]("), F.coalesce(url, F.lit("")), F.lit(")"))).when(F.col("type") == "Formula", T.formula_markdown(t, formulas) if formulas else F.concat(F.lit("$$"), t, F.lit("$$"))).when(F.col("type") == "ListItem", F.concat(F.lit("- "), t)).otherwise(t)
     rows = elements.where(F.coalesce("text", F.lit("")) != "").select(doc, F.col(seq).alias("s"), t.alias("t"))
     return rows.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "t"))), lambda x: x["t"]), "\n").alias("text"))
