@@ -131,18 +131,25 @@ def resolve_labels(files: DataFrame, entries: DataFrame, company: str | None = N
     return rows.drop("c0", "t0", "c1", "t1", "_none").where("company is not null and topic is not null")
 
 
+# Kinds of keywords in their order: the pattern and the group that holds the word, how many of a kind count, and whether
+# they count once each, may open a sentence, and are put in lower case.
+KEYWORD_KINDS = [
+    (r"\b[A-Z]{3,}\b", 0, 4, "once"),
+    (r"(?:^|\n|\.\s|:\s)([A-Z][a-zA-Z]{2,})", 1, 4, "no opening"),
+    (r"(?i)\b(?:Step|Phase|Chapter|Section)\s+\d+\b", 0, 2, ""),
+    ('"([^"]{3,30})"', 1, 2, ""),
+    (r"(?i)\b(?:" + "|".join(DOMAIN_WORDS) + r")\b", 0, 3, "lower"),
+]
+KEYWORD_BREAKS = r"[<>{}\[\]\\|]"
+
+
 def keywords(text: Column, most: int = 8) -> Column:
-    """Capitals, sentence starts, steps, quoted and domain words, in this order and in order of appearance; equal words (case
-    ignored) once; three characters at least."""
-    t = F.regexp_replace(text, r"[<>{}\[\]\\|]", " ")
-    found = lambda p, g=0: F.regexp_extract_all(t, F.lit(p), F.lit(g))
+    """Words of KEYWORD_KINDS, kind by kind and in order of appearance; equal words (case ignored) once; three characters at least."""
+    plain = F.regexp_replace(text, KEYWORD_BREAKS, " ")
     stop, opening = F.array(*map(F.lit, STOPWORDS)), F.array(*map(F.lit, STOPWORDS + OPENERS))
-    capitals = F.slice(F.array_distinct(found(r"\b[A-Z]{3,}\b")), 1, 4)
-    starts = F.slice(F.filter(found(r"(?:^|\n|\.\s|:\s)([A-Z][a-zA-Z]{2,})", 1), lambda w: ~F.array_contains(opening, F.lower(w))), 1, 4)
-    steps = F.slice(found(r"(?i)\b(?:Step|Phase|Chapter|Section)\s+\d+\b"), 1, 2)
-    quoted = F.slice(found('"([^"]{3,30})"', 1), 1, 2)
-    domain = F.slice(F.transform(found(r"(?i)\b(?:" + "|".join(DOMAIN_WORDS) + r")\b"), F.lower), 1, 3)
-    every = F.filter(F.transform(F.concat(capitals, starts, steps, quoted, domain), lambda w: F.trim(w)), lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, F.lower(w)))
+    does = {"": lambda x: x, "once": F.array_distinct, "no opening": lambda x: F.filter(x, lambda w: ~F.array_contains(opening, F.lower(w))), "lower": lambda x: F.transform(x, F.lower)}
+    kinds = [F.slice(does[how](F.regexp_extract_all(plain, F.lit(pattern), F.lit(group))), 1, n) for pattern, group, n, how in KEYWORD_KINDS]
+    every = F.filter(F.transform(F.concat(*kinds), lambda w: F.trim(w)), lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, F.lower(w)))
     once = F.filter(every, lambda w, i: F.array_position(F.transform(every, F.lower), F.lower(w)) == i + 1)
     return F.slice(once, 1, most)
 

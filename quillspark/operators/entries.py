@@ -45,7 +45,8 @@ def browse(df: DataFrame, limit: int = 50, type: str | None = None, company: str
     if keyword:
         where &= F.contains(F.lower("text"), F.lit(keyword.lower())) | F.contains(F.lower("title"), F.lit(keyword.lower()))
     rows = df.where(where)
-    return rows.orderBy(order).limit(limit).withColumn("shown_of", F.lit(rows.count()))
+    # the number is one row beside at most `limit`; it runs with the query, not while the plan is made
+    return rows.orderBy(order).limit(limit).crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).cast("int").alias("shown_of"))))
 
 
 def select_unclassified(df: DataFrame, company: str | None = None, topic: str | None = None) -> tuple[DataFrame, DataFrame]:
