@@ -43,8 +43,13 @@ _CLASS = "[" + "".join("\\" + c if c in "-*" else c for c in BULLETS) + "]"
 
 
 def strip(c: Column) -> Column:
-    """White space of any kind off both ends (trim takes spaces only)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """White space of any kind off both ends (trim takes spaces only, unless told what to take)."""
+    return F.trim(c, F.lit(" \t\n\x0b\f\r"))
+
+
+def bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with the value made once: an expression that is named several times inside a lambda is otherwise made anew each time."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
 
 
 def drop_non_ascii(c: Column) -> Column:
@@ -202,9 +207,12 @@ def is_academic(c: Column) -> Column:
 
 def is_junk(c: Column) -> Column:
     """Image references, short captions, and anything under 15 characters that is no table row."""
-    p = strip(c)
-    caption = p.rlike(r"^\*?\*?(Figure|Table)\s+\d+.*?\*?\*$") & (F.length(p) < 80)
-    return p.rlike(r"^!\[.*?\]\(.*?\)$") | caption | ((F.length(p) < 15) & ~F.contains(p, F.lit("|")))
+
+    def junk(p: Column) -> Column:
+        caption = (F.length(p) < 80) & p.rlike(r"^\*?\*?(Figure|Table)\s+\d+.*?\*?\*$")
+        return ((F.length(p) < 15) & ~F.contains(p, F.lit("|"))) | caption | p.rlike(r"^!\[.*?\]\(.*?\)$")
+
+    return bound(strip(c), junk)
 
 
 def _share(c: Column, kept: str, of: Column | None = None) -> Column:
@@ -215,17 +223,17 @@ def _share(c: Column, kept: str, of: Column | None = None) -> Column:
 def without_garble(c: Column, least: float = 0.6) -> Column:
     """Blank if under `least` of it is printable; else without control characters."""
     control = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
-    return F.when(_share(c, r"[^\x20-\x7e\n\r\t\p{L}\p{N}\p{P}]") < least, F.lit("")).otherwise(F.regexp_replace(c, control, ""))
+    return F.when(_share(c, r"[^\x20-\x7e\n\r\t\p{L}\p{N}\p{P}]+") < least, F.lit("")).otherwise(F.regexp_replace(c, control, ""))
 
 
 def mostly_letters(c: Column, least: float = 0.3) -> Column:
-    return _share(c, r"\P{L}") >= least
+    return _share(c, r"\P{L}+") >= least
 
 
 def under_non_alpha(c: Column, threshold: float = 0.5) -> Column:
     """Letters are under the threshold among what is not white space; false for blank text."""
-    solid = F.length(F.regexp_replace(c, r"\s", ""))
-    return F.when(solid == 0, F.lit(False)).otherwise(_share(c, r"\P{L}", solid) < threshold)
+    solid = F.length(F.regexp_replace(c, r"\s+", ""))
+    return F.when(solid == 0, F.lit(False)).otherwise(_share(c, r"\P{L}+", solid) < threshold)
 
 
 def is_numbered(c: Column) -> Column:
@@ -246,8 +254,10 @@ def sentence_count(c: Column, least_words: int = 5) -> Column:
 
 
 def exceeds_cap_ratio(c: Column, threshold: float = 0.5) -> Column:
-    words = F.filter(F.split(c, r"\s+"), lambda w: w.rlike("^[A-Za-z]"))
-    return F.size(F.filter(words, lambda w: w.rlike("^[A-Z]"))) / F.greatest(F.lit(1), F.size(words)) > threshold
+    # strings are ordered by their bytes, so two comparisons tell what a word begins with
+    capital, small = lambda w: (w >= "A") & (w < "["), lambda w: (w >= "a") & (w < "{")
+    share = lambda words: F.size(F.filter(words, capital)) / F.greatest(F.lit(1), F.size(words))
+    return bound(F.filter(F.split(c, r"\s+"), lambda w: capital(w) | small(w)), share) > threshold
 
 
 def is_title(c: Column, most_words: int = 12) -> Column:
