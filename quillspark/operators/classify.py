@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 # File-name patterns and their company, in order; the first that occurs decides.
 COMPANY_RULES = [("hp", "HP"), ("printer", "HP"), ("router", "NETGEAR"), ("netgear", "NETGEAR"), ("kb.netgear", "NETGEAR"), ("samsung", "Samsung"), ("galaxy", "Samsung"), ("apple", "Apple"), ("iphone", "Apple"), ("macbook", "Apple"), ("sony", "Sony"), ("playstation", "Sony"), ("dell", "Dell"), ("usermanual", "Generic"), ("manual", "Generic"), ("sample_manual", "Generic")]
 # Company names looked for in file names and in the first 1000 characters, in order.
@@ -145,13 +147,18 @@ KEYWORD_BREAKS = r"[<>{}\[\]\\|]"
 
 def keywords(text: Column, most: int = 8) -> Column:
     """Words of KEYWORD_KINDS, kind by kind and in order of appearance; equal words (case ignored) once; three characters at least."""
-    plain = F.regexp_replace(text, KEYWORD_BREAKS, " ")
     stop, opening = F.array(*map(F.lit, STOPWORDS)), F.array(*map(F.lit, STOPWORDS + OPENERS))
     does = {"": lambda x: x, "once": F.array_distinct, "no opening": lambda x: F.filter(x, lambda w: ~F.array_contains(opening, F.lower(w))), "lower": lambda x: F.transform(x, F.lower)}
-    kinds = [F.slice(does[how](F.regexp_extract_all(plain, F.lit(pattern), F.lit(group))), 1, n) for pattern, group, n, how in KEYWORD_KINDS]
-    every = F.filter(F.transform(F.concat(*kinds), lambda w: F.trim(w)), lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, F.lower(w)))
-    once = F.filter(every, lambda w, i: F.array_position(F.transform(every, F.lower), F.lower(w)) == i + 1)
-    return F.slice(once, 1, most)
+
+    def every(plain: Column) -> Column:
+        kinds = [F.slice(does[how](F.regexp_extract_all(plain, F.lit(pattern), F.lit(group))), 1, n) for pattern, group, n, how in KEYWORD_KINDS]
+        return F.filter(F.transform(F.concat(*kinds), lambda w: F.trim(w)), lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, F.lower(w)))
+
+    def once(found: Column) -> Column:
+        return T.bound(F.transform(found, F.lower), lambda low: F.filter(found, lambda w, i: F.array_position(low, F.lower(w)) == i + 1))
+
+    # the text's patterns are read once a text, not once for each word they give
+    return F.slice(T.bound(T.bound(F.regexp_replace(text, KEYWORD_BREAKS, " "), every), once), 1, most)
 
 
 def keyword_index(df: DataFrame, id_col: str, keywords_col: str) -> tuple[DataFrame, DataFrame]:
