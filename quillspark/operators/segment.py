@@ -130,7 +130,9 @@ def pack_paragraphs(df: DataFrame, id_col: str, text: str = "text", most: int =
     """(id, block, title, content, page): tables stand alone, a paragraph over 200 characters starts a block, shorter ones are
     added to it; blocks under 10 characters go."""
     parts = F.filter(F.transform(F.split(text, r"\n{2,}"), T.strip), lambda p: p != "")
-    rows = _merged(df.select(id_col, text), parts, None).withColumnRenamed("_blocks", "b").select(id_col, F.size("b").alias("n"), F.posexplode_outer("b").alias("block", "t")).where(F.length("t") >= 10)
+    # what is told of a text stands in columns of its own before its blocks are unfolded: beside posexplode it would be made for each block
+    rows = _merged(df.select(id_col, text), parts, None).select(id_col, F.size("_blocks").alias("n"), F.col("_blocks").alias("b"))
+    rows = rows.select(id_col, "n", F.posexplode_outer("b").alias("block", "t")).where(F.length("t") >= 10)
     first = T.strip(F.element_at(F.split("t", r"\n"), 1))
     return rows.select(id_col, "block", T.shortened(first, 80, 80).alias("title"), F.substring("t", 1, most).alias("content"), T.approx_page(F.col("block"), F.col("n"), pages).alias("page"))
 
@@ -142,7 +144,9 @@ def smart_split(df: DataFrame, id_col: str, title: str, text: str = "text", size
     repaired, and a promoted heading in place of a "Section n"."""
     parts = F.filter(F.transform(F.split(text, r"\n{2,}"), T.strip), lambda p: (p != "") & ~T.is_junk(p))
     blocks = F.filter("_blocks", lambda b: F.length(b) >= 20)
-    rows = _merged(df, parts, int(0.8 * size)).select(id_col, F.col(title).alias("_title"), F.col(kind).alias("_kind") if kind else F.lit(None).cast("string").alias("_kind"), T.is_academic(F.col(text)).alias("_academic"), F.posexplode_outer(blocks).alias("part", "content")).where("part is not null")
+    rows = _merged(df, parts, int(0.8 * size)).select(id_col, F.col(title).alias("_title"), F.col(kind).alias("_kind") if kind else F.lit(None).cast("string").alias("_kind"), T.is_academic(F.col(text)).alias("_academic"), blocks.alias("_blocks"))
+    # tells of the whole text, so it is made before the parts are unfolded: beside posexplode it would read the text again for each part
+    rows = rows.select(id_col, "_title", "_kind", "_academic", F.posexplode_outer("_blocks").alias("part", "content")).where("part is not null")
     rows = rows.withColumn("content", F.when(F.col("_academic"), T.repair_math(F.col("content"))).otherwise(F.col("content")))
     promoted = T.promoted_heading(F.col("content"))
     rows = rows.withColumn("_title", F.when(F.col("_academic") & F.col("_title").rlike(r"^Section\s+\d+$") & (promoted != ""), promoted).otherwise(F.col("_title")))
