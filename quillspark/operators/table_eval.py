@@ -1,7 +1,8 @@
 """Tables found in documents against the true ones: which is which, where their cells stand and what they say.
 
 Cells are rows (doc, table_ix, row, col, text). Likeness of two texts is the ratio of the standard library's SequenceMatcher. Only
-pairs that can reach the asked ratio are compared: a ratio of c needs c / 2 of both texts' characters in common, so two texts must
+pairs that can reach the asked ratio are compared. Where few texts stand under a key, as in most documents, their characters are counted pair
+by pair; where many do, pairs are found by a join: a ratio of c needs c / 2 of both texts' characters in common, so two texts must
 share one of their rarest characters (with its number of occurrence), which an equi-join tells, and enough of all of them."""
 
 from __future__ import annotations
@@ -40,32 +41,85 @@ def candidates(a: DataFrame, b: DataFrame, keys: list[str], cutoff: float) -> Da
     return bound.select(*keys, "a", "b", (F.lit(2.0) * F.col("k") / (F.col("n_a") + F.col("n_b"))).alias("bound")).where(F.col("bound") >= F.lit(cutoff) - 1e-9)
 
 
+#: Pairs of texts under a key, and their characters, up to which they are compared in one row.
+FEW, FEW_CHARS = 1024, 1 << 20
+
+
+def _best(word: str, others: list, cutoff: float, m: SequenceMatcher) -> tuple | None:
+    """(ratio, text, -id) of the text most like the word; others: (bound, text, id) by falling bounds."""
+    m.set_seq2(word)
+    found, ratios = None, {}
+    for limit, text, name in others:
+        if found is not None and limit < found[0] - 1e-9:  # what is left can't be better
+            break
+        if text not in ratios:
+            m.set_seq1(text)
+            ratios[text] = m.ratio() if m.real_quick_ratio() >= cutoff else 0.0
+        this = (ratios[text], text, -name)
+        if this[0] >= cutoff and (found is None or this > found):
+            found = this
+    return found
+
+
+def _bounded(word: str, texts: list, cutoff: float, m: SequenceMatcher) -> list:
+    """(bound, text, id) by falling bounds of those that may reach the cutoff, from the characters both have. A text that equals the word is
+    alone: no other reaches 1 (SequenceMatcher leaves frequent characters out from 200 characters on)."""
+    same = [(1.0, word, i) for i, t in texts if t == word] if len(word) < 200 else []
+    if same:
+        return same
+    m.set_seq2(word)
+    out = []
+    for i, t in texts:
+        m.set_seq1(t)
+        if m.real_quick_ratio() >= cutoff and (limit := m.quick_ratio()) >= cutoff - 1e-9 and limit > 0:
+            out.append((limit, t, i))
+    return sorted(out, reverse=True)
+
+
 def closest(a: DataFrame, b: DataFrame, keys: list[str], cutoff: float) -> DataFrame:
-    """(keys, a, b, ratio): for each text of a the text of b that is most like it, if its ratio reaches the cutoff; of equal ratios the
-    greater text, of equal texts the smaller id."""
+    """(keys, a, b, ratio, word, like): for each text of a the text of b that is most like it, if its ratio reaches the cutoff; of equal
+    ratios the greater text, of equal texts the smaller id. word and like are the two texts."""
+    named = lambda df, name, side: df.select(*keys, F.col(name).alias("id"), "text", F.lit(side).alias("side"))
+    real = F.col("text").isNotNull()
+    for k in keys:
+        real = real & F.col(k).isNotNull()
+    both = written(named(a, "a", 0).unionByName(named(b, "b", 1)).where(real), "texts")
+    one = F.col("side") == 0
+    sizes = both.groupBy(*keys).agg(F.count_if(one).alias("n"), F.count_if(~one).alias("m"), F.sum(F.length("text").cast("long")).alias("chars"))
+    many = written(sizes.where((F.col("n") > 0) & (F.col("m") > 0) & ((F.col("n") * F.col("m") > FEW) | (F.col("chars") > FEW_CHARS))).select(*keys), "texts-many")
+    some = not many.isEmpty()
+    few = both.join(many, keys, "left_anti") if some else both
+    of = lambda side: F.array_sort(F.collect_list(F.when(side, F.struct("id", "text"))))
+    rows = few.groupBy(*keys).agg(of(one).alias("x"), of(~one).alias("y")).where("size(x) > 0 and size(y) > 0")
+
+    @F.pandas_udf("array<struct<a:long,b:long,ratio:double,word:string,like:string>>")
+    def matched(x: pd.Series, y: pd.Series) -> pd.Series:
+        out, m = [], SequenceMatcher()
+        for words, texts in zip(x, y):
+            texts, row = [(t["id"], t["text"]) for t in texts], []
+            for w in words:
+                if (found := _best(w["text"], _bounded(w["text"], texts, cutoff, m), cutoff, m)) is not None:
+                    row.append({"a": w["id"], "b": -found[2], "ratio": found[0], "word": w["text"], "like": found[1]})
+            out.append(row)
+        return pd.Series(out, dtype=object)
+
+    near = rows.select(*keys, matched("x", "y").alias("f")).select(*keys, F.explode("f").alias("f")).select(*keys, "f.*")
+    return near.unionByName(_closest_of_many(*(both.where(side).join(many, keys, "left_semi").select(*keys, F.col("id").alias(n), "text") for side, n in ((one, "a"), (~one, "b"))), keys, cutoff)) if some else near
+
+
+def _closest_of_many(a: DataFrame, b: DataFrame, keys: list[str], cutoff: float) -> DataFrame:
+    """closest() by candidates()."""
     pairs = candidates(a, b, keys, cutoff)
     rows = pairs.join(a.withColumnRenamed("text", "word"), [*keys, "a"]).join(b, [*keys, "b"])
     lists = rows.groupBy(*keys, "a").agg(F.first("word").alias("word"), F.sort_array(F.collect_list(F.struct("bound", "text", F.col("b"))), asc=False).alias("others"))
 
-    @F.pandas_udf("struct<b:long,ratio:double>")
+    @F.pandas_udf("struct<b:long,ratio:double,like:string>")
     def best(words: pd.Series, others: pd.Series) -> pd.DataFrame:
-        out = []
-        for word, rest in zip(words, others):
-            m, found, ratios = SequenceMatcher(), None, {}
-            m.set_seq2(word)
-            for o in rest:  # by falling bounds: what is left can't be better
-                if found is not None and o["bound"] < found[0] - 1e-9:
-                    break
-                if o["text"] not in ratios:
-                    m.set_seq1(o["text"])
-                    ratios[o["text"]] = m.ratio() if m.real_quick_ratio() >= cutoff else 0.0
-                this = (ratios[o["text"]], o["text"], -o["b"])
-                if this[0] >= cutoff and (found is None or this > found):
-                    found = this
-            out.append((None, None) if found is None else (-found[2], found[0]))
-        return pd.DataFrame({"b": pd.Series([x[0] for x in out], dtype="Int64"), "ratio": pd.Series([x[1] for x in out], dtype="float64")})
-
-    return lists.select(*keys, "a", best("word", "others").alias("x")).where("x.b is not null").select(*keys, "a", F.col("x.b").alias("b"), F.col("x.ratio").alias("ratio"))
+        m = SequenceMatcher()
+        out = [_best(w, [(o["bound"], o["text"], o["b"]) for o in rest], cutoff, m) for w, rest in zip(words, others)]
+        return pd.DataFrame({"b": pd.Series([None if x is None else -x[2] for x in out], dtype="Int64"), "ratio": pd.Series([None if x is None else x[0] for x in out], dtype="float64"), "like": pd.Series([None if x is None else x[1] for x in out], dtype=object)})
+
+    return lists.select(*keys, "a", "word", best("word", "others").alias("x")).where("x.b is not null").select(*keys, "a", "x.b", "x.ratio", "word", "x.like")
 
 
 def _joined(cells: DataFrame, doc: str, *order: str) -> DataFrame:
@@ -78,7 +132,7 @@ def match_tables(predicted: DataFrame, truth: DataFrame, doc: str, cutoff: float
     """(doc, p, t, similarity) of each predicted table: the true one whose text is most like its own, t null and similarity 0 if none is."""
     p = _joined(predicted, doc, "row", "col")
     a, b = p.select(doc, F.col("table_ix").cast("long").alias("a"), "text"), _joined(truth, doc, "row", "col").select(doc, F.col("table_ix").cast("long").alias("b"), "text")
-    found = closest(a, b, [doc], cutoff).withColumnsRenamed({"a": "p", "b": "t", "ratio": "similarity"})
+    found = closest(a, b, [doc], cutoff).select(doc, F.col("a").alias("p"), F.col("b").alias("t"), F.col("ratio").alias("similarity"))
     return p.select(doc, F.col("table_ix").cast("long").alias("p")).join(found, [doc, "p"], "left").withColumn("similarity", F.round(F.coalesce("similarity", F.lit(0.0)), 6))
 
 
@@ -116,11 +170,11 @@ def cell_scores(predicted: DataFrame, truth: DataFrame, matches: DataFrame, doc:
     b = low(truth).join(pairs, [doc, "table_ix"]).select(doc, "p", "row", "col", "text")
     name = lambda df, n: df.groupBy(doc, "p", "text").agg(F.xxhash64("text").alias(n))  # noqa: E731  an id for each different text of a table
     one, two = name(a, "a"), name(b, "b")
-    near = closest(one, two, [doc, "p"], cutoff).select(doc, "p", "a", "b")
-    near = near.join(one, [doc, "p", "a"]).join(two.withColumnRenamed("text", "like"), [doc, "p", "b"]).select(doc, "p", "text", "like")
+    near = closest(one, two, [doc, "p"], cutoff).select(doc, "p", F.col("word").alias("text"), "like")
     turn = lambda w: F.row_number().over(Window.partitionBy(doc, "p", w).orderBy("row", "col")) - 1
     sides = b.withColumnRenamed("text", "like").withColumnsRenamed({"row": "r", "col": "c"})
     sides = sides.withColumns({"k": F.row_number().over(Window.partitionBy(doc, "p", "like").orderBy("r", "c")) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy(doc, "p", "like"))})
+    sides = written(sides, "table-places")  # read twice
     mine = a.join(near, [doc, "p", "text"]).withColumn("turn", turn("like"))
     counts = sides.where("k = 0").select(doc, "p", "like", "n")
     hits = mine.join(counts, [doc, "p", "like"]).withColumn("k", (F.col("turn") % F.col("n")).cast("int")).join(sides.drop("n"), [doc, "p", "like", "k"])

@@ -100,3 +100,20 @@ def test_closest_on_awkward_texts(spark):
         got = {a[r.a]: b[r.b] for r in table_eval.closest(df(a, "a"), df(b, "b"), ["key"], cutoff).collect()}
         want = {x: m[0] for x in a if (m := get_close_matches(x, b, n=1, cutoff=cutoff))}
         assert got == want
+
+
+def test_few_texts_are_matched_as_many_are(spark, monkeypatch):
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcde ") for _ in range(n))
+    a = [(d, i, rng.choice([word(rng.randint(0, 9)), "ab" * 120, "same"])) for d in range(12) for i in range(6)] + [(None, 1, "same"), (3, 77, None)]
+    b = [(d, i, rng.choice([word(rng.randint(0, 9)), "ab" * 120, "same"])) for d in range(12) for i in range(8)] + [(None, 1, "same"), (40, 1, "same")]
+    a, b = spark.createDataFrame(a, "doc int, a long, text string"), spark.createDataFrame(b, "doc int, b long, text string")
+    rows = lambda: sorted(tuple(r) for r in table_eval.closest(a, b, ["doc"], 0.6).collect())
+    signs = []
+    monkeypatch.setattr(table_eval, "candidates", lambda *x, f=table_eval.candidates: signs.append(1) or f(*x))
+    few = rows()
+    assert few and not signs  # no row a character
+    monkeypatch.setattr(table_eval, "FEW", 0)
+    assert rows() == few and signs
+    monkeypatch.setattr(table_eval, "FEW", 40)
+    assert rows() == few
