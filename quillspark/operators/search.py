@@ -37,11 +37,48 @@ def knn(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id",
     return rows.select(id_col, F.round(score(F.col(vec_col), q, metric), 6).alias("score")).orderBy(F.desc_nulls_last("score"), id_col).limit(k)
 
 
+#: Rows and columns of a matrix of scores at a time.
+_ROWS = 512
+
+
+class _Best:
+    """The k best scores of each query so far, ties by the smaller id; a score that is no number comes first, as Spark orders it."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.score, self.name = k, np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+
+    def put(self, who: np.ndarray, scores: np.ndarray, names: np.ndarray) -> None:
+        """Scores of the queries `who` (rows) and the ids `names` (columns)."""
+        if not self.k or not scores.size:
+            return
+        scores = np.where(np.isnan(scores), np.inf, scores)
+        last, tied = self.score[who, -1][:, None], self.name[who, -1][:, None]
+        least = np.maximum(last, np.partition(scores, -self.k, axis=1)[:, -self.k][:, None]) if scores.shape[1] > self.k else last
+        r, c = np.nonzero((scores >= least) & ((scores > last) | (names[None, :] < tied)))
+        if not len(r):
+            return
+        some = np.unique(r)
+        row = np.concatenate([np.repeat(some, self.k), r])
+        value = np.concatenate([self.score[who[some]].ravel(), scores[r, c]])
+        name = np.concatenate([self.name[who[some]].ravel(), names[c]])
+        order = np.lexsort((name, -value, row))
+        row = row[order]
+        first = np.searchsorted(row, some)
+        take = order[(first[:, None] + np.arange(self.k)).ravel()]  # every query has its k old places at least
+        self.score[who[some]], self.name[who[some]] = value[take].reshape(-1, self.k), name[take].reshape(-1, self.k)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the query, id, score)."""
+        there = self.score > -np.inf
+        values = self.score[there]
+        return np.repeat(np.arange(len(there)), there.sum(1)), self.name[there], np.where(np.isinf(values), np.nan, values)
+
+
 def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 4096) -> DataFrame:
     """(query_id, vec_id, score, rank): the k nearest by cosine for each row of queries (query_id, vector), ties by id.
 
-    Queries go to the tasks in blocks of at most `block` rows; each batch of vectors meets a block in one matrix product and
-    only its k best a query go on, so what is shuffled doesn't grow with the vectors a batch holds."""
+    Queries go to the tasks in blocks of at most `block` rows; vectors meet a block in matrix products of bounded size, and a task hands on
+    the k best a query of all it reads, so neither its memory nor what is shuffled grows with the vectors it holds."""
     spark = vectors.sparkSession
     n = queries.count()
     parts = max(1, -(-n // block))
@@ -55,17 +92,17 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             ids, q = sent.value
-            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+            q, ids = _unit(q), np.array(ids, np.int64)
+            best = _Best(len(ids), k)
             for b in batches:
                 b = b[b["v"].notna()]
-                if not len(b):
-                    continue
-                v = np.stack(b["v"].to_numpy()).astype(np.float64)
-                s = np.round(q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T, 6)
-                i = b["i"].to_numpy()
-                keep = min(k, len(i))
-                best = np.stack([np.lexsort((i, -x))[:keep] for x in s])
-                yield pd.DataFrame({"query_id": np.repeat(ids, keep), "vec_id": i[best.ravel()], "score": np.take_along_axis(s, best, 1).ravel()})
+                for i0 in range(0, len(b), _ROWS):
+                    part = b[i0 : i0 + _ROWS]
+                    v, own = _unit(np.stack(part["v"].to_numpy()).astype(np.float64)), part["i"].to_numpy()
+                    for j in range(0, len(q), _ROWS):
+                        best.put(np.arange(j, min(len(q), j + _ROWS)), np.round(q[j : j + _ROWS] @ v.T, 6), own)
+            who, names, values = best.rows()
+            yield pd.DataFrame({"query_id": ids[who], "vec_id": names, "score": values})
 
         near = vectors.select(F.col(id_col).alias("i"), F.col(vec_col).alias("v")).mapInPandas(run, "query_id long, vec_id long, score double")
         if parts > 1:  # written before the next block is read: driver and executors hold one at a time
@@ -82,19 +119,28 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
+def _nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the nearest centre, its distance without the row's own length), some rows at a time."""
+    of, far, own = np.empty(len(x), np.int64), np.empty(len(x)), (c**2).sum(1)
+    for i in range(0, len(x), _ROWS):
+        d = own - 2 * x[i : i + _ROWS] @ c.T
+        of[i : i + _ROWS] = d.argmin(1)
+        far[i : i + _ROWS] = d.min(1)
+    return of, far
+
+
 def _centres(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
     """k-means of a sample: centres start at rows drawn without repeats, empty ones move to the rows that lie worst."""
     different = np.unique(x, axis=0)
     c = different[rng.permutation(len(different))[:k]]
     for _ in range(rounds):
-        far = (c**2).sum(1) - 2 * x @ c.T
-        of = far.argmin(1)
+        of, far = _nearest(x, c)
         n = np.bincount(of, minlength=len(c))
         total = np.zeros_like(c)
         np.add.at(total, of, x)
         c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
         empty = np.flatnonzero(n == 0)
-        c[empty] = x[np.argsort(-far[np.arange(len(x)), of])[: len(empty)]]
+        c[empty] = x[np.argsort(-far)[: len(empty)]]
     return c
 
 
@@ -113,9 +159,9 @@ class Index:
 
     def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(cell, code words) of unit vectors."""
-        cell = ((self.centres**2).sum(1) - 2 * x @ self.centres.T).argmin(1)
+        cell = _nearest(x, self.centres)[0]
         rest = x - self.centres[cell]
-        words = [((b**2).sum(1) - 2 * rest[:, i : i + b.shape[1]] @ b.T).argmin(1) for i, b in zip(self.cuts, self.books)]
+        words = [_nearest(rest[:, i : i + b.shape[1]], b)[0] for i, b in zip(self.cuts, self.books)]
         return cell, np.stack(words, 1).astype(np.uint8)
 
 
@@ -132,7 +178,7 @@ def vector_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     x, rng = _unit(np.array([r.v for r in drawn], np.float64)), np.random.default_rng(seed)
     cells = max(1, min(int(np.ceil(np.sqrt(n))), max(1, len(x) // 16)))
     centres = _centres(x, cells, rng)
-    rest = x - centres[((centres**2).sum(1) - 2 * x @ centres.T).argmin(1)]
+    rest = x - centres[_nearest(x, centres)[0]]
     cuts = list(range(0, x.shape[1], width))
     index = Index(centres, [_centres(rest[:, i : i + width], 256, rng) for i in cuts], cuts, None, {})
 
@@ -178,7 +224,7 @@ def index_search(index: Index, vectors: DataFrame, queries: DataFrame, k: int, s
 
         def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             ids, q, goes = sent.value
-            best, name = np.full((len(ids), rerank), -np.inf), np.full((len(ids), rerank), np.iinfo(np.int64).max)
+            best = _Best(len(ids), rerank)
             for b in batches:
                 b = b.sort_values(["cell", "vec_id"])
                 words = np.frombuffer(b"".join(b["code"]), np.uint8).reshape(len(b), -1)
@@ -186,20 +232,13 @@ def index_search(index: Index, vectors: DataFrame, queries: DataFrame, k: int, s
                 first = np.flatnonzero(np.concatenate([cell[:1] >= 0, cell[1:] != cell[:-1]]))
                 for i, j in zip(first, np.append(first[1:], len(cell))):
                     who = np.flatnonzero(goes[:, cell[i]])
-                    for i0 in range(i, j, 2048):  # rows of a cell that meet the queries at a time
-                        i1 = min(j, i0 + 2048)
+                    for i0 in range(i, j, _ROWS):  # rows of a cell that meet the queries at a time
+                        i1 = min(j, i0 + _ROWS)
                         x = centres[cell[i]] + np.concatenate([book[words[i0:i1, m]] for m, book in enumerate(books)], 1)
-                        about = np.round(np.concatenate([best[who], q[who] @ x.T], 1), 9)
-                        names = np.concatenate([name[who], np.broadcast_to(own[i0:i1], (len(who), i1 - i0))], 1)
-                        if about.shape[1] > 4 * rerank:  # those below the last place go first
-                            cut = np.partition(about, -rerank, axis=1)[:, -rerank]
-                            most = int((about >= cut[:, None]).sum(1).max()) if len(who) else 0
-                            top = np.argsort(-about, axis=1, kind="stable")[:, :most]
-                            about, names = np.take_along_axis(about, top, 1), np.take_along_axis(names, top, 1)
-                        top = np.lexsort((names, -about), axis=1)[:, :rerank]
-                        best[who], name[who] = np.take_along_axis(about, top, 1), np.take_along_axis(names, top, 1)
-            there = np.isfinite(best)
-            yield pd.DataFrame({"query_id": np.repeat(ids, there.sum(1)), "vec_id": name[there], "about": best[there]})
+                        for w in range(0, len(who), _ROWS):
+                            best.put(who[w : w + _ROWS], np.round(q[who[w : w + _ROWS]] @ x.T, 9), own[i0:i1])
+            who, names, about = best.rows()
+            yield pd.DataFrame({"query_id": ids[who], "vec_id": names, "about": about})
 
         found = index.rows.mapInPandas(scan, "query_id long, vec_id long, about double")
         w = Window.partitionBy("query_id").orderBy(F.desc("about"), "vec_id")

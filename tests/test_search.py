@@ -36,3 +36,33 @@ def test_equal_vectors_nulls_and_empty_tables(spark):
     assert _set(search.index_search(index, v, q, 7, share=1, rerank=300)) == _set(search.knn_batch(v, q, 7))
     assert search.index_search(search.vector_index(v.where("false")), v, q, 3).count() == 0
     assert search.index_search(index, v, q.where("false"), 3).count() == 0
+
+
+def test_best_in_tiles_equals_a_sort():
+    rng = np.random.default_rng(5)
+    scores = np.round(rng.integers(0, 9, (7, 400)) / 8, 6)
+    scores[2, [5, 300]], names = np.nan, rng.permutation(400)
+    for k in (1, 5, 500):
+        best = search._Best(7, k)
+        for i in range(0, 400, 33):
+            best.put(np.array([0, 2, 3, 6]), scores[[0, 2, 3, 6], i : i + 33], names[i : i + 33])
+        who, found, values = best.rows()
+        for q in (0, 2, 3, 6):
+            order = np.lexsort((names, -np.where(np.isnan(scores[q]), np.inf, scores[q])))[:k]
+            assert found[who == q].tolist() == names[order].tolist()
+            assert np.array_equal(values[who == q], scores[q][order], equal_nan=True)
+        assert not np.isin([1, 4, 5], who).any()
+
+
+def test_nearest_centres_some_rows_at_a_time():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    x, c = rng.normal(size=(20_000, 8)), rng.normal(size=(500, 8))
+    want = ((c**2).sum(1) - 2 * x @ c.T).argmin(1)
+    tracemalloc.start()
+    got = search._nearest(x, c)[0]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == want.tolist()
+    assert most < 20e6  # all at once: 80 MB and more
