@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -209,6 +209,10 @@ def cut_measured(t: str, most: int, measure: Callable[[str], int], separators: t
     return out
 
 
+#: Characters of texts whose pieces are held in Python at a time.
+_HELD = 1 << 20
+
+
 def cut_text(c: Column, size: int, separators: tuple[str, ...] = ("\n", " "), overlap: int = 0, measure: Callable[[str], int] | None = None, cut: Callable[[str, int], list[str]] | None = None) -> Column:
     """Array of pieces (see cut_piece, and cut_measured for a user's own counter), Arrow batch by Arrow batch: each cut depends on the one
     before. cut: a user's own function of a text and the size, instead."""
@@ -218,8 +222,17 @@ def cut_text(c: Column, size: int, separators: tuple[str, ...] = ("\n", " "), ov
         cut = (lambda t, n: cut_piece(t, n, separators, overlap)) if measure is None else (lambda t, n: cut_measured(t, n, measure, separators, overlap))
 
     @F.pandas_udf("array<string>")
-    def pieces(t: pd.Series) -> pd.Series:
-        return pd.Series([list(cut(x, size)) if x else [] for x in t])
+    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for t in batches:
+            out, held = [], 0
+            for x in t:
+                out.append(list(cut(x, size)) if x else [])
+                held += len(x) if x else 0
+                if held > _HELD:  # pieces of a batch go on some texts at a time: a batch counts rows, whatever their length
+                    yield pd.Series(out, dtype=object)
+                    out, held = [], 0
+            if out:
+                yield pd.Series(out, dtype=object)
 
     return pieces(c)
 
