@@ -42,9 +42,10 @@ def percent_missing(output: DataFrame, source: DataFrame, id_col: str, text: str
     """(id, pct_missing): the share of the source's words that the output lacks, to three places; 0 for an empty source. Documents
     that only one side has are left out.
 
-    Words of both sides are counted in one aggregation, under opposite columns."""
-    sides = [x.select(id_col, _split(F.col(text)).alias("_w"), F.lit(s).alias("_s")) for x, s in ((source, 1), (output, 0))]
-    both = sides[0].unionByName(sides[1])
+    Words of both sides are counted in one aggregation, under opposite columns. Texts are brought together by their id before they are
+    split, so what is shuffled is the texts and not a row for each word of each."""
+    sides = [x.select(id_col, F.col(text).alias("_t"), F.lit(s).alias("_s")) for x, s in ((source, 1), (output, 0))]
+    both = sides[0].unionByName(sides[1]).repartition(id_col).select(id_col, _split(F.col("_t")).alias("_w"), "_s")
     words = both.select(id_col, "_s", F.explode_outer(_counted(F.col("_w"))).alias("word"))
     n = words.groupBy(id_col, "word").agg(F.sum("_s").alias("n"), F.sum(1 - F.col("_s")).alias("m"))
     real = F.col("word").isNotNull()

@@ -1,9 +1,10 @@
 """What is read once a text, and not once for each word, block or part of it."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators import classify, segment
+from quillspark.operators import classify, evaluate, segment
 
 
 def _plan(df):
@@ -30,3 +31,22 @@ def test_texts_are_told_before_their_parts_are_unfolded(spark):
     assert "Abstract" not in above
     above = _plan(segment.pack_paragraphs(d, "i")).split("Generate ")[0]
     assert "size(" not in above
+
+
+def test_missing_words_shuffle_texts_and_not_words(spark):
+    d = spark.createDataFrame([(1, "a big dog and a big cat"), (2, "of"), (3, ""), (4, "x")], "i int, text string")
+    o = spark.createDataFrame([(1, "big dog and dog"), (2, None), (3, "new"), (5, "x")], "i int, text string")
+    out = evaluate.percent_missing(o, d, "i")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")  # the words are made above it
+    assert sorted((r.i, r.pct_missing) for r in out.collect()) == [(1, 0.571), (2, 1.0), (3, 0.0)]
+
+
+def test_pieces_go_on_some_texts_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(segment, "_HELD", 50)
+    udf = {}
+    monkeypatch.setattr(segment.F, "pandas_udf", lambda t: lambda f: udf.setdefault("f", f) and (lambda c: c))
+    segment.cut_text(F.lit("x"), 10)
+    texts = ["ab cd ef gh ij kl"] * 20 + [None, ""]
+    got = list(udf["f"](iter([pd.Series(texts)])))
+    assert len(got) > 4 and [p for s in got for p in s] == [["ab cd ef", "gh ij kl"]] * 20 + [[], []]
