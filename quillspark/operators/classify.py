@@ -55,17 +55,20 @@ _NUMBERED = r"(?:^|\n)[\s*•\-]*\d+\."
 
 def knowledge_type(title: Column, content: Column) -> Column:
     """sop_step, faq, manual_section or general; the first rule that holds decides."""
-    t = F.regexp_replace(F.lower(F.regexp_replace(title, r"\*+", "")), r"^\s+|\s+$", "")
-    body = F.lower(content)
-    has = lambda *words: F.lit(False) if not words else F.expr("false") | _any(t, words)
-    steps = F.size(F.regexp_extract_all(body, F.lit(_NUMBERED), F.lit(0)))
+    steps = F.size(F.regexp_extract_all(content, F.lit(_NUMBERED), F.lit(0)))
+    # the title is put in order and the steps are counted once a text, not once for each word that is looked for
+    return T.bound(F.struct(T.strip(F.lower(F.replace(title, F.lit("*"), F.lit("")))).alias("title"), steps.alias("steps")), _type_of)
+
+
+def _type_of(x: Column) -> Column:
+    t, steps = x["title"], x["steps"]
     return (
         F.when(t.startswith("to ") & (steps >= 1), "sop_step")
-        .when(has("step", "procedure", "process", "instruction"), "sop_step")
+        .when(_any(t, ("step", "procedure", "process", "instruction")), "sop_step")
         .when(steps >= 3, "sop_step")
-        .when(has("how to"), F.when(steps >= 1, "sop_step").otherwise("faq"))
-        .when(has("?", "what is", "what are", "what does", "why ", "when ", "q:", "q&a", "faq", "frequently asked"), "faq")
-        .when(has("chapter", "section", "overview", "introduction", "specification"), "manual_section")
+        .when(_any(t, ("how to",)), F.when(steps >= 1, "sop_step").otherwise("faq"))
+        .when(_any(t, ("?", "what is", "what are", "what does", "why ", "when ", "q:", "q&a", "faq", "frequently asked")), "faq")
+        .when(_any(t, ("chapter", "section", "overview", "introduction", "specification")), "manual_section")
         .otherwise("general")
     )
 
@@ -133,6 +136,16 @@ def resolve_labels(files: DataFrame, entries: DataFrame, company: str | None = N
     return rows.drop("c0", "t0", "c1", "t1", "_none").where("company is not null and topic is not null")
 
 
+
+
+def _by_first_letter(words: list[str]) -> str:
+    """A pattern of the words that tries a letter for all words that begin with it."""
+    of: dict[str, list[str]] = {}
+    for w in words:
+        of.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in of.items())
+
+
 # Kinds of keywords in their order: the pattern and the group that holds the word, how many of a kind count, and whether
 # they count once each, may open a sentence, and are put in lower case.
 KEYWORD_KINDS = [
@@ -140,7 +153,7 @@ KEYWORD_KINDS = [
     (r"(?:^|\n|\.\s|:\s)([A-Z][a-zA-Z]{2,})", 1, 4, "no opening"),
     (r"(?i)\b(?:Step|Phase|Chapter|Section)\s+\d+\b", 0, 2, ""),
     ('"([^"]{3,30})"', 1, 2, ""),
-    (r"(?i)\b(?:" + "|".join(DOMAIN_WORDS) + r")\b", 0, 3, "lower"),
+    (r"(?i)\b(?:" + _by_first_letter(DOMAIN_WORDS) + r")\b", 0, 3, "lower"),
 ]
 KEYWORD_BREAKS = r"[<>{}\[\]\\|]"
 

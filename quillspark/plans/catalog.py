@@ -725,7 +725,7 @@ def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     name = "entries_" + uuid.uuid4().hex[:8]
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_folder(spark, sf_dir))
-    counts = ingest.running_counts(ingest.entries_of(stream.select(F.col("source").alias("source_file"), F.regexp_replace("text", "\n", "\n\n").alias("text"))), "type")
+    counts = ingest.running_counts(ingest.entries_of(stream.select(F.col("source").alias("source_file"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))), "type")
     q = counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", shared_path(spark, "stream")).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)

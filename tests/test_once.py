@@ -25,6 +25,13 @@ def test_keyword_patterns_are_read_once(spark):
     assert [r.k for r in out.orderBy("i").collect()] == [["NASA", "ESA", "Probe", "Step", "Step 4", "deep space"], None, []]
 
 
+def test_a_title_is_put_in_order_and_steps_are_counted_once(spark):
+    rows = [("*To do* it ", "1. a"), (" How to", "x"), ("How to", "1. x"), ("any", "1. a\n * 2. b\n\t3. c"), ("why not", "x"), ("An Overview\n", "x"), ("Step", None), (None, "1. a\n2. b\n3. c"), (None, None)]
+    out = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, title string, text string").select("i", classify.knowledge_type(F.col("title"), F.col("text")).alias("k"))
+    assert _plan(out).count("regexp_extract_all(") == 1 and "regexp_replace(" not in _plan(out) and _plan(out).count("lower(") == 1
+    assert [r.k for r in out.orderBy("i").collect()] == ["sop_step", "faq", "sop_step", "sop_step", "faq", "manual_section", "sop_step", "sop_step", "general"]
+
+
 def test_texts_are_told_before_their_parts_are_unfolded(spark):
     d = spark.createDataFrame([(1, "T", "Abstract of a paper on the lambda cell\n\nanother paragraph that is long enough")], "i int, title string, text string")
     above = _plan(segment.smart_split(d, "i", "title")).split("Generate ")[0]
