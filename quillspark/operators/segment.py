@@ -14,7 +14,12 @@ from ..functions import text as T
 def split_paragraphs(df: DataFrame, id_col: str, text: str = "text", by: str = r"\n{2,}", least: int = 15) -> DataFrame:
     """(id, seq, title, text): stripped parts of at least `least` characters; the title is the first 50 characters and dots."""
     rows = df.select(id_col, F.posexplode(F.split(text, by)).alias("seq", "t")).withColumn("t", T.strip(F.col("t"))).where(F.length("t") >= least)
-    return rows.select(id_col, "seq", T.shortened(F.col("t"), 50, 50).alias("title"), F.col("t").alias("text"))
+    return rows.select(id_col, "seq", title_of(F.col("t")).alias("title"), F.col("t").alias("text"))
+
+
+def title_of(text: Column) -> Column:
+    """The first 50 characters of a paragraph and dots."""
+    return T.shortened(text, 50, 50)
 
 
 def _lines(df: DataFrame, id_col: str, text: str) -> DataFrame:

@@ -14,11 +14,22 @@ from ..operators import classify, entries, segment
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def paragraphs_of(texts: DataFrame, source: str = "source_file", text: str = "text") -> DataFrame:
+    """(id, source_file, seq, content): paragraphs of texts with a stable id (source, text and place)."""
+    rows = segment.split_paragraphs(texts, source, text)
+    return rows.select(F.substring(F.sha2(F.concat_ws("\x1f", source, "seq", "text"), 256), 1, 32).alias("id"), F.col(source).alias("source_file"), "seq", F.col("text").alias("content"))
+
+
+def described(rows: DataFrame) -> DataFrame:
+    """paragraphs_of() with what follows from their text alone: title, type and keywords."""
+    rows = rows.withColumn("title", segment.title_of(F.col("content")))
+    rows = rows.withColumns({"type": classify.knowledge_type(F.col("title"), F.col("content")), "keywords": classify.keywords(F.concat_ws(" ", "title", "content"))})
+    return rows.select("id", "source_file", "seq", "title", "content", "type", "keywords")
+
+
 def entries_of(texts: DataFrame, source: str = "source_file", text: str = "text") -> DataFrame:
     """Entries of texts: paragraphs with type, keywords and a stable id (source, text and place)."""
-    rows = segment.split_paragraphs(texts, source, text)
-    rows = rows.withColumns({"type": classify.knowledge_type(F.col("title"), F.col("text")), "keywords": classify.keywords(F.concat_ws(" ", "title", "text"))})
-    return rows.select(F.substring(F.sha2(F.concat_ws("\x1f", source, "seq", "text"), 256), 1, 32).alias("id"), F.col(source).alias("source_file"), "seq", "title", F.col("text").alias("content"), "type", "keywords")
+    return described(paragraphs_of(texts, source, text))
 
 
 def ingest(spark: SparkSession, path: str, store: str, checkpoint: str, make: Callable[[DataFrame], DataFrame] = entries_of, known: DataFrame | None = None) -> StreamingQuery:
@@ -27,14 +38,16 @@ def ingest(spark: SparkSession, path: str, store: str, checkpoint: str, make: Ca
     The ids that went in are keyed state of the stream, in the checkpoint: a batch looks up its own ids alone, so what it reads does
     not grow with the store. It is written to its own folder, so one that is run again replaces itself. The state is cut into as many parts as the
     session has shuffle partitions in the first run. known: entries (id) of a store that this checkpoint doesn't know of, from
-    another writer or from before a checkpoint was lost; they are left out by a join in each batch."""
+    another writer or from before a checkpoint was lost; they are left out by a join in each batch. Entries of entries_of() are described
+    after that, so what is in the store already is only split and looked up."""
+    make, tell = (paragraphs_of, described) if make is entries_of else (make, None)
     stream = spark.readStream.schema("source_file string, text string").json(path)
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider, None)
 
     def put(batch: DataFrame, n: int) -> None:
         new = batch if known is None else entries.delete_ids(batch, known)
-        new.write.mode("overwrite").parquet(f"{store}/batch={n}")
+        (tell(new) if tell else new).write.mode("overwrite").parquet(f"{store}/batch={n}")
 
     spark.conf.set(provider, ROCKS)
     try:

@@ -25,6 +25,15 @@ def test_keyword_patterns_are_read_once(spark):
     assert [r.k for r in out.orderBy("i").collect()] == [["NASA", "ESA", "Probe", "Step", "Step 4", "deep space"], None, []]
 
 
+def test_words_of_the_trade_by_first_letter(spark):
+    import re
+
+    text = " ".join([*classify.DOMAIN_WORDS, *(w.title() for w in classify.DOMAIN_WORDS), "papers wi fi usb-wi-fi notebook DATA_ file.", *(w[:-1] for w in classify.DOMAIN_WORDS)])
+    pattern = next(p for p, *_, how in classify.KEYWORD_KINDS if how == "lower")
+    assert re.findall(pattern, text) == re.findall(r"(?i)\b(?:" + "|".join(classify.DOMAIN_WORDS) + r")\b", text)
+    assert pattern.count("(?:") == 1 + len({w[0] for w in classify.DOMAIN_WORDS})
+
+
 def test_a_title_is_put_in_order_and_steps_are_counted_once(spark):
     rows = [("*To do* it ", "1. a"), (" How to", "x"), ("How to", "1. x"), ("any", "1. a\n * 2. b\n\t3. c"), ("why not", "x"), ("An Overview\n", "x"), ("Step", None), (None, "1. a\n2. b\n3. c"), (None, None)]
     out = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, title string, text string").select("i", classify.knowledge_type(F.col("title"), F.col("text")).alias("k"))

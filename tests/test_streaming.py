@@ -30,6 +30,25 @@ def test_a_batch_looks_up_its_own_ids_alone(spark, tmp_path):
     assert len(files) <= 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_only_what_is_new_is_described(spark, tmp_path, monkeypatch):
+    src, store, mark = (str(tmp_path / x) for x in ("in", "store", "mark"))
+    rows = [(f"s{i % 10}", f"Printer number {i % 10} is described in a paragraph of its own") for i in range(30)]
+    given, plain = [], ingest.described
+
+    def described(new):
+        new = new.persist()
+        given.append((new.columns, new.count()))
+        return plain(new)
+
+    monkeypatch.setattr(ingest, "described", described)
+    for run in range(2):  # the same texts again in a new file
+        _add(src, f"f{run}", rows)
+        ingest.ingest(spark, src, store, mark).awaitTermination()
+    assert given == [(["id", "source_file", "seq", "content"], 10), (["id", "source_file", "seq", "content"], 0)]
+    got, want = spark.read.parquet(store), ingest.entries_of(spark.createDataFrame(rows, "source_file string, text string")).distinct()
+    assert got.columns[:7] == want.columns and sorted(map(str, got.drop("batch").collect())) == sorted(map(str, want.collect()))
+
+
 def test_a_store_of_another_writer(spark, tmp_path):
     src, store, mark = (str(tmp_path / x) for x in ("in", "store", "mark"))
     rows = [(f"s{i}", f"paragraph number {i} is long enough to be kept as an entry of its own") for i in range(30)]
