@@ -61,35 +61,46 @@ def fill(queues: list[deque], share: np.ndarray, deficit: np.ndarray, window: in
     """Windows, each a list of (source, document, start, length). queues: for each source (document, tokens) in order."""
     left = np.array([sum(n for _, n in q) for q in queues], np.int64)
     at = [0] * len(queues)  # tokens of each queue's first document that are out already
-    turn = 0
+    live = left > 0
+    gain, turn = None, 0
 
     def serve(s: int, take: int, out: list) -> int:
-        take = served = int(min(take, left[s]))
-        left[s] -= take
+        nonlocal gain
+        has = left.item(s)
+        take = served = min(take, has)
+        left[s] = has - take
         deficit[s] -= take
+        if take == has:
+            live[s], gain = False, None
+        queue, start = queues[s], at[s]
         while take:
-            doc, n = queues[s][0]
-            step = min(take, n - at[s])
-            out.append((s, doc, at[s], step))
-            at[s] += step
+            doc, n = queue[0]
+            step = min(take, n - start)
+            out.append((s, doc, start, step))
+            start += step
             take -= step
-            if at[s] == n:
-                queues[s].popleft()
-                at[s] = 0
+            if start == n:
+                queue.popleft()
+                start = 0
+        at[s] = start
         return served
 
-    while (live := left > 0).any():
-        weights = np.where(live, np.maximum(share, 1e-12), 0)
-        deficit += weights / weights.sum() * window
+    while live.any():
+        if gain is None:  # what a window adds changes only when a queue has run dry
+            weights = np.where(live, np.maximum(share, 1e-12), 0)
+            gain = weights / weights.sum() * window
+        deficit += gain
         room, out = window, []
-        ready = np.flatnonzero(live & (deficit >= np.minimum(grain, left)))
-        for s in np.roll(ready, -turn).tolist():
-            if room:
-                room -= serve(s, min(room, max(1, int(deficit[s]))), out)
+        ready = np.flatnonzero(live & (deficit >= np.minimum(grain, left))).tolist()
+        first = turn % max(1, len(ready))
+        for s in ready[first:] + ready[:first]:
+            if not room:
+                break
+            room -= serve(s, min(room, max(1, int(deficit.item(s)))), out)
         turn += 1
-        while room and (live := left > 0).any():
+        while room and live.any():
             s = int(np.argmax(np.where(live, deficit, -np.inf)))
-            room -= serve(s, min(room, max(grain, int(deficit[s]))), out)
+            room -= serve(s, min(room, max(grain, int(deficit.item(s)))), out)
         yield out
 
 
@@ -136,24 +147,25 @@ def pack(tokens: DataFrame, window: int = 1024, grain: int = 64, part_tokens: in
         names = sorted(right.column("source").to_pylist())
         told = {s: (a, c) for s, a, c in zip(*(right.column(x).to_pylist() for x in ("source", "share", "carry")))}
         left = left.sort_by([("id", "ascending"), ("ids", "ascending")])
-        ids, n = left.column("id").to_pylist(), left.column("n_tokens").to_pylist()
-        data = left.column("ids")
+        n = left.column("n_tokens").to_pylist()
         queues = {s: deque() for s in names}
         for i, s in enumerate(left.column("source").to_pylist()):
             queues[s].append((i, n[i]))
         share, carry = (np.array([told[s][k] for s in names], float) for k in (0, 1))
-        cols: list[list] = [[] for _ in range(8)]
-        doc_ids, last = None, -1
-        for k, seq in enumerate(_cut(fill([queues[s] for s in names], share, carry, window, grain), window)):
-            offset = 0
-            for s, doc, start, length in seq:
-                if doc != last:
-                    doc_ids, last = np.frombuffer(data[doc].as_buffer(), "<u2"), doc
-                crc = zlib.crc32(doc_ids[start : start + length].astype("<u4").tobytes())
-                for c, v in zip(cols, (ids[doc], start, length, crc, n[doc], (part << 32) + k, offset, names[s])):
-                    c.append(v)
-                offset += length
-        return pa.table([pa.array(c, f.type) for c, f in zip(cols, shape)], schema=shape)
+        pieces, in_seq = [], []
+        for seq in _cut(fill([queues[s] for s in names], share, carry, window, grain), window):
+            pieces += seq
+            in_seq.append(len(seq))
+        # what a document or a sequence says of its pieces is looked up for all of them at once
+        ids = [np.frombuffer(x.as_buffer(), "<u2") for x in left.column("ids")]
+        crcs = [zlib.crc32(ids[doc][start : start + length].astype("<u4")) for _, doc, start, length in pieces]
+        _, doc, start, length = np.array(pieces, np.int64).reshape(-1, 4).T
+        end = np.cumsum(length)
+        first = np.cumsum(in_seq) - in_seq  # the first piece of each sequence
+        offset = end - length - np.repeat((end - length)[first], in_seq)
+        of = left.select(["id", "n_tokens", "source"]).take(pa.array(doc))
+        cols = (of.column("id"), start, length, crcs, of.column("n_tokens"), (part << 32) + np.repeat(np.arange(len(in_seq)), in_seq), offset, of.column("source"))
+        return pa.table([c.cast(f.type) if isinstance(c, pa.ChunkedArray) else pa.array(c, f.type) for c, f in zip(cols, shape)], schema=shape)
 
     return tokens.groupBy("part").cogroup(plan.groupBy("part")).applyInArrow(run, PIECE)
 

@@ -72,3 +72,14 @@ def test_odd_rows(odd, empty):
     distinct = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
     check(distinct, 1024)
     assert packing.packed(odd).selectExpr("sum(length)").first()[0] == packing.token_table(odd).selectExpr("sum(n_tokens)").first()[0]
+
+
+def test_a_windows_gain_is_worked_out_when_a_queue_runs_dry(monkeypatch):
+    from collections import deque
+
+    calls, plain = [], np.maximum
+    monkeypatch.setattr(packing.np, "maximum", lambda *a: calls.append(1) or plain(*a))
+    queues = [deque([(0, 700), (1, 900)]), deque([(2, 400)]), deque()]
+    windows = list(packing.fill(queues, np.array([0.6, 0.4, 0.0]), np.zeros(3), 16, 4))
+    assert len(windows) == 125 and all(sum(x[3] for x in w) == 16 for w in windows)
+    assert len(calls) == 2 and not any(queues)
