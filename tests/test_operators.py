@@ -265,6 +265,18 @@ def test_languages_beyond_any_number_are_told(spark):
     assert [r.x for r in short.collect()] == ["en", "fr", None, "de"]
 
 
+def test_languages_are_told_where_a_text_is_read(spark, monkeypatch):
+    rows = [(1, "the cat and the dog", "en"), (2, "der Hund und die Katze", "de"), (3, "le chat et le chien", "fr"), (4, None, "fr"), (5, "12 !", None), (6, "und the Katze", None), (6, "der Chien", None), (7, "x", "en"), (8, "漢字", None)]
+    df = spark.createDataFrame(rows, "id int, text string, lang string")
+    learnt = language.profiles(df)
+    found = language.detect(df, learnt, "id")
+    assert "(?=" not in found._jdf.queryExecution().optimizedPlan().toString()  # no row for each place of a text
+    got = sorted(map(tuple, found.collect()), key=str)
+    assert got[:3] == [(1, "en"), (2, "de"), (3, "fr")] and {d for i, d in got if i in (4, 5, 7, 8)} == {None}
+    monkeypatch.setattr(language, "_CELLS", 0)
+    assert got == sorted(map(tuple, language.detect(df, learnt, "id").collect()), key=str)
+
+
 def test_envelopes_have_bounded_parts(spark):
     df = spark.createDataFrame([(str(i), "a" if i < 90 else None) for i in range(100)], "id string, source_file string")
     got = files.envelopes(df, most=20).collect()
