@@ -4,7 +4,7 @@ Queries of readers write the given tables in the format in question to the share
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -79,7 +79,14 @@ def points_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"select doc_id, seq::int as seq, t as text from (select doc_id, unnest([source, {_sql_strip('text')}, lang]) as t, unnest([0, 1, 2]) as seq from (select doc_id, lang, source, regexp_replace(text, '[<>&]', ' ', 'g') as text from documents)) where t <> ''")
 def xml_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     safe = F.regexp_replace("text", "[<>&]", " ")
-    x = F.concat(F.lit("<?xml version='1.0'?>\n<doc><a> "), "source", F.lit("</a><!-- no <b>text</b> -->\n<b><c>"), safe, F.lit("</c>"), "lang", F.lit("</b></doc>"))
+
+    def referred(c: str) -> Column:
+        out = F.col(c)
+        for x in "&<>" + files.XML_SPACE:
+            out = F.replace(out, F.lit(x), F.lit(f"&#{ord(x)};"))
+        return F.coalesce(out, F.lit(""))
+
+    x = F.concat(F.lit("<?xml version='1.0'?>\n<doc><a> "), referred("source"), F.lit("</a><!-- no <b>text</b> -->\n<b><c>"), F.coalesce(safe, F.lit("")), F.lit("</c>"), referred("lang"), F.lit("</b></doc>"))
     return files.xml_leaves(read(spark, sf_dir, "documents").select("doc_id", x.alias("text")), "doc_id")
 
 
